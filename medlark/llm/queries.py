@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, idfiles, tokens, warc
+from . import exact_dedup, idfiles, merkle, tokens, warc
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_files(spark, read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -29,6 +33,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op7_id_files": op7_id_files,
     "op8_exact_dedup": op8_exact_dedup,
 }
