@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, idfiles, merkle, tokens, warc
+from . import exact_dedup, idfiles, merkle, mixing, tokens, warc
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_files(spark, read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
+    "op4_mixing": op4_mixing,
     "op7_id_files": op7_id_files,
     "op8_exact_dedup": op8_exact_dedup,
 }
