@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, idfiles, merkle, mixing, tokens, toxicity, warc
+from . import exact_dedup, idfiles, merkle, mixing, spans, tokens, toxicity, warc
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.cleaned(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_id_files": op7_id_files,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_sentence_spans": op9_sentence_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
