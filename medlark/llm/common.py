@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +47,33 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a screen: 8 MB at most go to each executor, however many keys there are.
+SCREEN_BITS = 1 << 26
+
+
+def screen(keys: DataFrame, key: str):
+    """A test of column values against the long column `key` of a table: false only for values that aren't there.
+
+    A bit map of fixed size, built by the executors from two hashes of each key. With more keys it lets more others pass;
+    it keeps rows from a shuffle and decides nothing, so a join has to follow."""
+    spark = keys.sparkSession
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(SCREEN_BITS)) for k in (1, 2)]))
+    parts = keys.select(places.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("cast(p % 32768 as long)")).alias("map")).collect()
+    bits = np.zeros(SCREEN_BITS // 8, dtype=np.uint8)
+    for r in parts:
+        at = int(r["block"]) * 4096
+        got = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
+        bits[at : at + len(got)] = got
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        bits = shared.value
+        hit = np.ones(len(a), dtype=bool)
+        for p in (a.to_numpy(), b.to_numpy()):
+            hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(hit)
+
+    return lambda column: test(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(SCREEN_BITS)) for k in (1, 2)])

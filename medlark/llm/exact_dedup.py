@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import screen, written
 
 #: The characters that don't count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -166,9 +166,13 @@ class Snapshot:
 
 def same_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(digest, same) for every row of found (digest, new_id, old_id): whether the two texts' normalised bytes agree."""
-    # a digest stands once on the right; only texts of the two rows named pass on
-    texts = docs.select(F.col("doc_id").alias("_id"), F.sha2(normalised(F.col("text")), 256).alias("digest"), normalised(F.col("text")).alias("norm"))
-    picked = texts.join(found, "digest").where(F.col("_id").eqNullSafe(F.col("new_id")) | F.col("_id").eqNullSafe(F.col("old_id")))
+    # of a class, the texts of two rows are wanted: those pass a screen of fixed size before anything is shuffled
+    wanted = found.select("digest", F.explode(F.array("new_id", "old_id")).alias("id")).distinct()
+    row = lambda id_: F.xxhash64("digest", F.coalesce(id_.cast("long"), F.lit(-1)))
+    passes = screen(wanted.select(row(F.col("id")).alias("key")), "key")
+    texts = docs.select(F.col("doc_id").alias("_id"), normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    texts = texts.where(passes(row(F.col("_id"))))
+    picked = texts.join(wanted.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("id")))
     return picked.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
 
 
