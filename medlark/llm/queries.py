@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, idfiles, merkle, mixing, spans, tokens, toxicity, warc
+from . import exact_dedup, idfiles, merkle, mixing, order_minhash, packing, spans, tokens, toxicity, warc
 from .common import read_table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, read_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_files(spark, read_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -42,15 +46,21 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.cleaned(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_id_files": op7_id_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentence_spans": op9_sentence_spans,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
