@@ -22,7 +22,7 @@ from .tokens import encode_ids
 
 #: Writer settings; sizes are in bytes, the stride in rows.
 ORC = {
-    "orc.compress": "ZSTD",
+    "orc.compress": "SNAPPY",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
@@ -36,19 +36,9 @@ def write_ids(docs: DataFrame, vocabulary: str, kind: str, end_id: int, folder:
     spark = docs.sparkSession
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    ids = encode_ids(ranged, vocabulary, kind, ["doc_id"], suffix=end_id)
-    id_type = dict(ids.dtypes)["doc_id"]
-
-    def place(batches):
-        """A running total within the partition, whose rows are in order."""
-        before = 0
-        for b in batches:
-            n = np.diff(np.asarray(b.column("ids").offsets)).astype(np.int64)
-            ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ends - n), b.column("ids")], names=["doc_id", "n_tokens", "before", "ids"])
-            before = int(ends[-1]) if len(n) else before
-
-    placed = ids.mapInArrow(place, f"doc_id {id_type}, n_tokens long, before long, ids array<int>").withColumn("part", F.spark_partition_id())
+    # the running total is within the partition, whose rows are in order
+    ids = encode_ids(ranged, vocabulary, kind, ["doc_id"], suffix=end_id, running=True)
+    placed = ids.withColumn("part", F.spark_partition_id())
     writer = placed.write.format("orc")
     for k, v in ORC.items():
         writer = writer.option(k, v)

@@ -1,8 +1,8 @@
 """Token counts and token ids of whole texts, in Arrow batches.
 
-A text is cut at boundaries that no token of the vocabulary can cross, every distinct unit of a batch is encoded once
-by the tokenizers library (encode_batch, in byte-balanced calls), and lengths or ids are put together again. Units are
-kept in a bounded cache between batches. Results equal those of encoding the whole text in one call.
+A text is cut at boundaries that no token of the vocabulary can cross, units are encoded by the tokenizers library, and
+lengths or ids are put together again. Units that come again are kept in a bounded cache between batches, which are
+balanced by bytes. Results equal those of encoding the whole text in one call.
 
 Nulls count as empty texts. Rows are never merged, so repeated rows each give a row. Only the id and text columns are
 read: extra columns, whatever their names, do no harm.
@@ -10,8 +10,10 @@ read: extra columns, whatever their names, do no harm.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 CACHE_UNITS = 500_000
 #: Longer units are encoded each time.
 LONGEST_CACHED = 48
-#: Bytes of text in one call of the library.
-CALL_BYTES = 1 << 20
 #: Bytes of text in one Arrow batch that we build.
 OUT_BYTES = 4 << 20
 
@@ -35,77 +35,94 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def word_units(text: str) -> list[str]:
-    """Units of a vocabulary whose pre-tokenizer drops white space. No token and no normalisation crosses ASCII white
-    space, of which bytes.split() knows just the six characters."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 #: A space with white space (or the end) behind it and white space before it: the only kind inside a longer run.
 _RUN = re.compile(r"\s (?:\s|$)")
 _BEFORE_RUN = re.compile(r"(?<=\S)(?= )")
 
 
-def space_units(text: str) -> list[str]:
-    """Units of a byte-level vocabulary that keeps white space. A match of its pattern that holds a character other than
-    white space holds at most one space, its first character; so a cut before a space is safe if the character on
-    either side of that space isn't white space. Runs that hold other spaces stay whole."""
-    if not text:
-        return []
-    if text[0] == " " or _RUN.search(text):
-        return _BEFORE_RUN.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+#: Units that are one pre-token of letters, or two with a mark behind, and that normalisation only puts in lower case.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on, in order."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-UNITS: dict[str, Callable] = {"word": word_units, "space": space_units}
+class UnitEncoder(dict):
+    """A cache from unit to little-endian unsigned 32-bit ids that encodes what it lacks.
 
+    Plain units go to the library's BPE model itself, since what its normalizer and pre-tokenizer make of them is plain;
+    all other units go through the whole library. A unit is kept when it is met a second time (a bit map of fixed size
+    tells), so that units seen once don't crowd out the others.
 
-class UnitEncoder:
-    """Encodes through a cache from unit to little-endian unsigned 32-bit ids."""
+    Kind "word": the pre-tokenizer drops white space; no token and no normalisation crosses ASCII white space, of which
+    bytes.split() knows just the six characters. Keys are bytes.
+
+    Kind "space": a byte-level vocabulary that keeps white space. A match of its pattern that holds a character other than
+    white space holds at most one space, its first character; so a cut before a space is safe if the character on either
+    side of that space isn't white space. Keys are what stands behind the space; runs with other spaces stay whole."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.units = UNITS[kind]
-        self.bytes_kind = kind == "word"
-        self.cache: dict = {}
-
-    def _learn(self, units: list) -> dict:
-        found, call, size = {}, [], 0
-
-        def flush():
-            got = self.library.encode_batch_fast([u.decode("utf-8", "surrogatepass") if self.bytes_kind else u for u in call], add_special_tokens=False)
-            for u, e in zip(call, got, strict=True):
-                found[u] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-        for u in units:
-            call.append(u)
-            size += len(u)
-            if size >= CALL_BYTES:
-                flush()
-                call, size = [], 0
-        if call:
-            flush()
-        return found
+        self.tokenize = self.library.model.tokenize
+        self.words = kind == "word"
+        self.letters = _byte_letters()
+        self.before = "" if self.words else " "
+        self.space = "" if self.words else self.letters[0x20]
+        self.met = bytearray(1 << 22)
+        self.marks = {m: self._whole(m) if m else b"" for m in ("", *".,;:!?")}
+
+    def _whole(self, text: str) -> bytes:
+        e = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def __missing__(self, unit):
+        words = self.words
+        text = unit.decode("utf-8", "surrogatepass") if words else unit
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            ids = self._whole(self.before + text)
+        else:
+            w, mark = m.groups()
+            if words and not w.islower():
+                ids = self[(w.lower() + mark).encode()]
+            elif mark:
+                ids = self[w.encode() if words else w] + self.marks[mark]
+            else:
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [k.id for k in self.tokenize(self.space + w)]).tobytes()
+        h = hash(unit) & 0x1FFFFFF
+        byte, bit = h >> 3, 1 << (h & 7)
+        if not self.met[byte] & bit:
+            self.met[byte] |= bit
+        elif len(unit) <= LONGEST_CACHED:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+    def _spaced(self, text: str) -> bytes:
+        if text[0] == " " or _RUN.search(text):
+            return b"".join([self[u[1:]] if u[0] == " " and u[1:2] != " " else self._whole(u) for u in _BEFORE_RUN.split(text)])
+        first, *rest = text.split(" ")
+        return self._whole(first) + b"".join(map(self.__getitem__, rest))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """All ids of each text, four bytes each. New units of the whole batch are learnt together."""
-        parts = [self.units(t) if t else () for t in texts]
-        cache = self.cache
-        fresh = [u for u in set().union(*parts) if u not in cache]
-        if len(cache) + len(fresh) > CACHE_UNITS and cache:
-            cache.clear()
-            fresh = list(set().union(*parts))
-        cache.update(self._learn(fresh))
-        out = [b"".join(map(cache.__getitem__, p)) for p in parts]
-        for u in fresh:
-            if len(u) > LONGEST_CACHED:
-                del cache[u]
-        return out
+        """All ids of each text, four bytes each."""
+        if not self.words:
+            return [self._spaced(t) if t else b"" for t in texts]
+        look = self.__getitem__
+        return [b"".join(map(look, t.encode("utf-8", "surrogatepass").split())) if t else b"" for t in texts]
 
     def ids(self, text: str | None) -> bytes:
         return self.batch([text])[0]
@@ -118,8 +135,6 @@ def encoder(path: str, kind: str) -> UnitEncoder:
     """One encoder for each worker process and vocabulary."""
     key = (path, kind)
     if key not in _ENCODERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[key] = UnitEncoder(path, kind)
     return _ENCODERS[key]
@@ -156,20 +171,23 @@ def count_tokens(docs: DataFrame, path: str, kind: str = "word", limit: int = 20
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > F.lit(limit)).alias("over_limit"))
 
 
-def encode_ids(docs: DataFrame, path: str, kind: str, carry: list[str], text_col: str = "text", suffix: int | None = None) -> DataFrame:
-    """The carried columns and `ids`, an array<int> of each row's ids, with `suffix` as the last one if given."""
-    fields = [f for f in docs.schema.fields if f.name in carry]
+def encode_ids(docs: DataFrame, path: str, kind: str, carry: list[str], text_col: str = "text", suffix: int | None = None, running: bool = False) -> DataFrame:
+    """The carried columns and `ids`, an array<int> of each row's ids, with `suffix` as the last one if given. With
+    `running`, also n_tokens and `before`: ids of all rows ahead in the partition."""
+    fields = {f.name: f for f in docs.schema.fields}
     source = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
     end = b"" if suffix is None else np.array([suffix], dtype="<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path, kind)
+        enc, before = encoder(path, kind), 0
         for b in balanced(batches, "_text"):
             rows = [x + end for x in enc.batch(b.column("_text").to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in rows])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], ids], names=[*carry, "ids"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(fields, key=lambda f: carry.index(f.name)))
-    return source.mapInArrow(run, f"{schema}, ids array<int>")
+            n = np.fromiter((len(x) >> 2 for x in rows), dtype=np.int64, count=len(rows))
+            edges = np.concatenate([[0], np.cumsum(n)])
+            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+            more = {"n_tokens": pa.array(n), "before": pa.array(before + edges[:-1])} if running else {}
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], *more.values(), ids], names=[*carry, *more, "ids"])
+            before += int(edges[-1])
+
+    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in carry)
+    return source.mapInArrow(run, f"{schema}, {'n_tokens long, before long, ' if running else ''}ids array<int>")
