@@ -77,3 +77,15 @@ def screen(keys: DataFrame, key: str):
         return pd.Series(hit)
 
     return lambda column: test(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(SCREEN_BITS)) for k in (1, 2)])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ...: names that clash, be it by case alone, can't be told apart otherwise."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def pick(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of exactly these names, the first of each, whatever else the table has."""
+    plain, names = numbered(df)
+    return plain.select(*[F.col(names[df.columns.index(c)]).alias(c) for c in columns])

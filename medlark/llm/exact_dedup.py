@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import screen, written
+from .common import numbered, pick, screen, written
 
 #: The characters that don't count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -181,6 +181,7 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
 
     The table comes in as `batches` parts dealt by doc_id: the first becomes a snapshot, each later one is screened
     against the snapshot so far. `copies_of_keep`: rows of the class that share doc_id and length with the one that stays."""
+    docs = pick(docs, "doc_id", "text")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     rows = written(digest_rows(docs).withColumn("part", part), "digests")
     known = Snapshot(spark, rows.where("part = 0"))
@@ -204,9 +205,11 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
 def kept_documents(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows, one."""
     keep = dedup(spark, docs, batches).where("kept").groupBy("keep_id", "text_sha256").agg(F.count(F.lit(1)).alias("_copies"))
-    keyed = docs.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    on = keyed["doc_id"].eqNullSafe(keep["keep_id"]) & (keyed["_digest"] == keep["text_sha256"])
-    rows = keyed.join(keep, on).select(*[keyed[f"`{c}`"] for c in docs.columns], "_digest", "_copies")
-    single = rows.where("_copies = 1").drop("_digest", "_copies")
-    first = rows.where("_copies > 1").groupBy("doc_id", "_digest").agg(*[F.max_by(F.col(f"`{c}`"), F.struct(*[F.col(f"`{x}`") for x in docs.columns])).alias(c) for c in docs.columns if c != "doc_id"])
-    return single.unionByName(first.drop("_digest").select(*docs.columns))
+    plain, names = numbered(docs)
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    keyed = plain.withColumn("_digest", F.sha2(normalised(F.col(at["text"])), 256))
+    rows = keyed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("text_sha256")))
+    # rows of one doc_id and one normalised text: the longest original, then the largest row, stays
+    size = F.coalesce(F.length(F.col(at["text"]).cast("string")), F.lit(0))
+    repeated = rows.where("_copies > 1").groupBy("keep_id", "_digest").agg(F.max(F.struct(size.alias("_size"), *names)).alias("row")).select(*[f"row.{n}" for n in names])
+    return rows.where("_copies = 1").select(*names).unionByName(repeated).toDF(*docs.columns)

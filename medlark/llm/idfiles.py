@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, pick
 from .tokens import encode_ids
 
 #: Writer settings; sizes are in bytes, the stride in rows.
@@ -35,7 +35,7 @@ def write_ids(docs: DataFrame, vocabulary: str, kind: str, end_id: int, folder:
     """Writes (part, doc_id, n_tokens, before, ids) rows; before: ids of the file ahead of the document's."""
     spark = docs.sparkSession
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     # the running total is within the partition, whose rows are in order
     ids = encode_ids(ranged, vocabulary, kind, ["doc_id"], suffix=end_id, running=True)
     placed = ids.withColumn("part", F.spark_partition_id())

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pick
+
 PIECE, FINE, SHORT = 64, 8, 600
 #: A paragraph whose hash is divisible by this ends its section.
 SECTION = 8
@@ -135,7 +137,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
 
     Documents are dealt by ranges of doc_id and pass through each range in order, one looking ahead to the next; the first
     document of a range (one a range) is sent to the range before as well, as what follows its last one."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = np.array(_bounds(docs, parts), dtype=np.int64)
 

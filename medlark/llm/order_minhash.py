@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, screen, written
+from .common import numbered, pick, remove, screen, written
 from .tokens import balanced
 
 SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 4
@@ -244,6 +244,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, key, class_id, class_size, links and kept of every row. links: verified links of the row's text."""
+    docs = pick(docs, "doc_id", "text")
     rows = written(sketches(docs), "sketches")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     texts_ = rows.where("n > 0").groupBy("t1", "t2").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
@@ -293,9 +294,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns; of repeated rows one, too. Texts without words all stay."""
     keep = classes(spark, docs).where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_copies")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_copies")
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, names = numbered(docs)
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-    keyed = docs.toDF(*names).withColumn("_key", F.xxhash64(F.col(at["text"]).cast("string")))
+    keyed = plain.withColumn("_key", F.xxhash64(F.col(at["text"]).cast("string")))
     rows = keyed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     repeated = rows.where("_copies > 1").groupBy("_d", "_k").agg(F.max(F.struct(*names)).alias("row")).select("row.*")
     return rows.where("_copies = 1").select(*names).unionByName(repeated).toDF(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, screen, written
+from .common import pick, remove, screen, written
 from .tokens import balanced
 
 #: Sentences in a run, words that a run has at least, and code points after which a sentence is cut at the next space.
@@ -69,7 +69,7 @@ def runs(parts: list[str]) -> list[tuple[int, int, int, int]]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
 def run_rows(docs: DataFrame) -> DataFrame:

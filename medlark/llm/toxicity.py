@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import numbered, pick, remove, written
 from .tokens import balanced
 
 #: Parameters of the model: prior documents, standard errors, documents of a known word, penalty of other tokens,
@@ -143,9 +143,9 @@ def _bounded_log_odds(n0: int, n1: int):
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the training rows."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = pick(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    return pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -243,14 +243,13 @@ def evidence(rows: DataFrame, model: Model, carry: list[str], segments: bool = F
 def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, segments: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, with n_tokens and the number of segments."""
     model = learn(spark, docs, labels)
-    out = evidence(docs, model, ["doc_id"], segments)
+    out = evidence(pick(docs, "doc_id", "text"), model, ["doc_id"], segments)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_segments", "significant", *(["segments"] if segments else []))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows that aren't predicted toxic, with their columns. Rows are scored where they stand: nothing is joined back."""
     model = learn(spark, docs, labels)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
-    rows = docs.toDF(*names).withColumn("text", F.col(text))
+    plain, names = numbered(docs)
+    rows = plain.withColumn("text", F.col(names[docs.columns.index("text")]))
     return evidence(rows, model, names).where(F.col("score") < threshold).select(*names).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, pick, written
 
 CHUNK = 64 << 10
 #: Fixed values of the format.
@@ -38,7 +38,7 @@ def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
     Groups are counted with map-side sums, so a payload that a third of all pages share costs a row a task. Pages meet
     only groups of two or more; keys of other pages are their own, so no key but a real group's is large, and those the
     engine splits (a skewed sort-merge join)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long"))
     known = F.concat_ws(":", F.sha2("payload", 256), F.col("payload_bytes"))
     groups = rows.where(F.col("payload_bytes") >= least).groupBy(known.alias("key")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("key", "keeper")
