@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import numbered, pick, remove, screen, written
 from .tokens import balanced
 
-SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 4
+SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 8
 #: Members that are compared with a leader in one go.
 TOGETHER = 64
 _WORDS = re.compile(r"\w+")
