@@ -552,3 +552,58 @@ def audit_counts(spark, sf_dir):
     leaks = r.groupBy("caseid").agg(F.countDistinct("split").alias("k")).where("k > 1").agg(F.count(F.lit(1)).alias("cases_in_several_splits"))
     main = r.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.countDistinct("report")).alias("duplicate_reports"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
     return main.crossJoin(orphans).crossJoin(leaks)
+
+
+# --- models and streams ------------------------------------------------------------------------------------------------
+
+
+def _model_rows(spark, sf_dir):
+    risk = RI.patient_risk(RI.temporal_ror(P.exposures(spark, sf_dir), P.reports(spark, sf_dir), "dc_id"))
+    orders = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report"), "o_totalprice")
+    return P.reports(spark, sf_dir).withColumnRenamed("is_serious", "label").join(orders, "report").join(risk, "report")
+
+
+@query()
+def rf_baseline(spark, sf_dir):
+    """Scores of all reports by a forest fitted on train: no SQL."""
+    from ..operators import models
+
+    rows = GR.checkpointed(_model_rows(spark, sf_dir))
+    return models.scored(models.fit(rows, ["o_totalprice", "max_ror", "mean_log_ror", "high_ror_count"], "forest", trees=10, depth=4), rows).select("report", "split", "label", "score")
+
+
+@query()
+def patient_graph_features(spark, sf_dir):
+    """The eight columns of the graph: iterations, no SQL. Checked in parts by the queries above."""
+    patients = P.reports(spark, sf_dir).select(F.col("report").alias("patient_index"), "split", "is_serious")
+    links = _links(spark, sf_dir)
+    nodes = links.select("node_index").distinct().withColumn("log_ror", F.col("node_index") / 100.0)
+    return GR.graph_features(links, patients, nodes)
+
+
+def _events(spark, sf_dir):
+    schema = P.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def _stream_folder(spark) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def stream_latest_by_user(spark, sf_dir):
+    from ..streaming import upsert
+
+    return upsert.drained(upsert.latest_by_key(_events(spark, sf_dir), "user_id", ["ts", "event_id"], ["value"]), _stream_folder(spark))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    from ..streaming import upsert
+
+    out = upsert.drained(upsert.windowed_counts(_events(spark, sf_dir), "ts", by=["event_type"]), _stream_folder(spark))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
