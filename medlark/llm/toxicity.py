@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Learning: over all labelled training rows, documents with each word are counted by label. A word's score is the lower
-bound (Z standard errors) of its log-odds between labels under an informative Dirichlet prior, whose mass is dealt to the
-labels as the training documents are. Words seen in fewer than KNOWN documents take the score of their longest prefix
-that is seen in so many. All other tokens score -DRIFT.
+Learning: over all labelled training rows, texts with each word are counted by label; equal texts of one label count once,
+as copies would make their rare words look telling. A word's score is the lower bound (Z standard errors) of its log-odds
+between labels under an informative Dirichlet prior, whose mass is dealt to the labels as the training texts are. Words
+seen in fewer than KNOWN texts take the score of their longest prefix that is seen in so many. Tokens that don't reach
+LEAST score -DRIFT.
 
 Scanning: one linear pass over a text's tokens finds all maximal segments of positive score. Under the background (texts
 labelled 0), the number of segments of score S or more in n tokens is about K n exp(-lambda S); lambda solves
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import numbered, pick, remove, written
 from .tokens import balanced
 
-#: Parameters of the model: prior documents, standard errors, documents of a known word, penalty of other tokens,
-#: prefix lengths, the largest number of terms, rows that the last curve is fitted on, E-value of a significant segment.
-PRIOR, Z, KNOWN, DRIFT, PREFIXES, MOST_TERMS, CALIBRATION, SIGNIFICANT = 1.0, 3.0, 10, 0.1, (6, 5, 4), 200_000, 20_000, 0.01
+#: Parameters of the model: prior documents, standard errors, documents of a known word, least log-odds of a term that
+#: counts, penalty of other tokens, prefix lengths, the largest number of terms, rows that the last curve is fitted on,
+#: E-value of a significant segment.
+PRIOR, Z, KNOWN, LEAST, DRIFT, PREFIXES, MOST_TERMS, CALIBRATION, SIGNIFICANT = 1.0, 3.0, 10, 1.0, 0.1, (6, 5, 4), 200_000, 20_000, 0.01
 #: Labels are sent to all tasks up to so many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_LABELS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -148,8 +150,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
 
 
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """One row of each text and label: the smallest doc_id. Only hashes and ids are grouped."""
+    first = written(labelled.select("doc_id", "toxic", F.xxhash64("text").alias("h")).groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("toxic").alias("label")), "distinct")
+    first = F.broadcast(first) if first.count() <= BROADCAST_LABELS else first
+    return labelled.join(first, (labelled["doc_id"] == first["doc_id"]) & (labelled["toxic"] == first["label"])).select(labelled["doc_id"], "text", "toxic")
+
+
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    labelled = labelled_rows(docs, labels)
+    labelled = distinct_texts(labelled_rows(docs, labels))
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -162,10 +171,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
         part = table.where(F.length("term") > k).groupBy(F.concat(F.substring("term", 1, k), F.lit("*")).alias("term")).agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
         prefixes = part if prefixes is None else prefixes.unionByName(part)
     scored = written(table.where(known).unionByName(prefixes.where(known)).withColumn("s", bound), "terms")
-    positive = scored.where("s > 0")
+    positive = scored.where(F.col("s") >= LEAST)
     # terms that stand in for nothing else but keep a longer known term from taking a prefix's score
     lead = positive.where(F.col("term").endswith("*")).select(F.rtrim(F.col("term"), F.lit("*")).alias("lead")).distinct()
-    plain = scored.where("s <= 0").withColumn("lead", F.explode(F.array(*[F.substring("term", 1, k) for k in PREFIXES])))
+    plain = scored.where(F.col("s") < LEAST).withColumn("lead", F.explode(F.array(*[F.substring("term", 1, k) for k in PREFIXES])))
     blocked = plain.join(lead, "lead").select("term", F.lit(0.0).alias("s"), "y0", "y1").distinct()
     rows = positive.select("term", "s", "y0", "y1").unionByName(blocked).orderBy(F.desc("s"), "term").limit(MOST_TERMS).collect()
     model = Model({r["term"]: r["s"] for r in rows})
