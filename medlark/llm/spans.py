@@ -1,6 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (after . ! ? and at line ends; a longer one after LONGEST code points, at a space). Every run
+A text is cut into sentences (after . ! ? and at line ends; one of more than
+LONGEST code points further, behind words that a checksum picks). Every run
 of RUN consecutive sentences is hashed (128 bits); a run of fewer than LEAST_WORDS words grows by further sentences, once
 forwards from its first and once backwards from its last one, so that the edges of a passage are met too. The first
 occurrence of a hash is that of smallest (doc_id, key, place), key being a hash of the text; every sentence that another
@@ -14,6 +15,7 @@ no run and stay. Empty table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,34 @@ from pyspark.sql import functions as F
 from .common import pick, remove, screen, written
 from .tokens import balanced
 
-#: Sentences in a run, words that a run has at least, and code points after which a sentence is cut at the next space.
-RUN, LEAST_WORDS, LONGEST = 2, 20, 200
+#: Sentences in a run, words that a run has at least, and code points from which a sentence is cut further.
+RUN, LEAST_WORDS, LONGEST = 2, 20, 90
+#: A long sentence is cut behind words whose checksum is divisible by CUT, but at pieces of FEW to MANY words.
+CUT, FEW, MANY = 8, 5, 30
 _BETWEEN = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(rf"[^.!?\n]{{1,{LONGEST}}}(?:[.!?]+[\"')\]]*\s*|\n\s*|$|(?=[.!?\n])|\S*\s*)|[.!?\n]\s*")
+_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+[\"')\]]*\s*|\n\s*|$|(?=[.!?\n]))|[.!?\n]\s*")
+_WORD = re.compile(r"\s*\S+\s*|\s+")
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that together are the text."""
-    return _SENTENCE.findall(text)
+    """Pieces that together are the text. Long sentences are cut by their words, not by places, so that the same words are
+    cut alike wherever a sentence starts."""
+    found = _SENTENCE.findall(text)
+    if len(text) <= LONGEST or max(map(len, found)) <= LONGEST:
+        return found
+    out = []
+    for s in found:
+        if len(s) <= LONGEST:
+            out.append(s)
+            continue
+        words, first = _WORD.findall(s), 0
+        for k, w in enumerate(words, 1):
+            if k - first >= MANY or k - first >= FEW and zlib.crc32(w.strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append("".join(words[first:k]))
+                first = k
+        if first < len(words):
+            out.append("".join(words[first:]))
+    return out
 
 
 def runs(parts: list[str]) -> list[tuple[int, int, int, int]]:
