@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import numbered, pick, remove, written
 
 #: Fixed by the contract: what separates words, and the weights of sources by rank, repeating.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents in a bucket, about, and residuals that meet in a node of the tree.
-BUCKET, FAN = 20_000, 64
+BUCKET, FAN = 4_000, 64
 _EVEN = 1e-9
 
 
@@ -84,6 +84,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray
 def mixture(spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row, and the columns to carry along."""
     carry = carry or []
+    docs = pick(docs, "doc_id", "text", "source", *carry)
     deal = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text").cast("string")))
     rows = sized(docs.withColumn("source", F.col("source").cast("string"))).select("doc_id", "source", "size", deal.alias("deal"), *[c for c in carry if c not in ("doc_id", "source", "size")])
     rows = written(rows, "sizes")
@@ -130,8 +131,8 @@ def copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs.
 
     Rows get a key that is written with them, so that repeated rows stay apart when decisions meet them again."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    keyed = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    plain, names = numbered(docs)
+    keyed = written(plain.withColumn("row", F.monotonically_increasing_id()), "keyed")
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
     mixed = mixture(spark, keyed.select("row", *[F.col(n).alias(c) for c, n in at.items()]), carry=["row"], **options)
     taken = mixed.where("copies > 0").select("row", F.col("copies").cast("int").alias("_copies"))
