@@ -3,7 +3,8 @@
 Documents become pieces of at most `room` tokens (only the first may be shorter if there are several). Whole pieces are
 sequences of their own; the others are dealt at random to islands of about ISLAND pieces. On an island, solutions are sets
 of bins. Crossover injects well-filled bins of one parent whole into the other, drops the bins there that hold any of the
-same pieces, and puts displaced pieces into the best-fitting bins, largest first. An island stops at its lower bound,
+same pieces, and puts displaced pieces into the best-fitting bins, largest first;
+a mutation opens the least-filled bins and some others and fits their pieces anew. An island stops at its lower bound,
 ceil(tokens / room). Islands that aren't there exchange elites: fill patterns of full bins go to the next island, which
 builds bins of its own pieces after them. At the end each island's few least-filled bins are opened, and their pieces are
 packed together with those of FAN islands, in a tree up to one island, so that waste doesn't grow with the islands.
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import pick, remove, written
 from .tokens import balanced, encoder
 
 #: Pieces of an island; islands that a node of the tree joins; bins that an island opens; solutions; generations in an
-#: epoch; epochs; elites sent; fill from which a bin is well filled.
-ISLAND, FAN, OPENED, POPULATION, GENERATIONS, EPOCHS, ELITES, WELL = 4096, 64, 16, 6, 12, 2, 64, 0.995
+#: epoch; epochs; openings of a mutation; elites sent; fill from which a bin is well filled.
+ISLAND, FAN, OPENED, POPULATION, GENERATIONS, EPOCHS, TRIES, ELITES, WELL = 4096, 64, 16, 4, 2, 2, 16, 64, 0.995
 
 
 def cut(n: int, room: int) -> list[tuple[int, int]]:
@@ -40,7 +41,7 @@ def cut(n: int, room: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, room: int, end_id: int, kind: str = "space") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; ids leave the function as a checksum only."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    source = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -101,6 +102,50 @@ def best_fit(room: int, size: list[int], order: list[int], start: list | None =
     return [tuple(b) for b in bins.bins]
 
 
+def subset_fit(room: int, size: list[int]) -> list[tuple[int, ...]]:
+    """Bins around the largest piece left, each with the pieces whose sum comes nearest to the gap, larger pieces first. Sums
+    that can be reached are bits of a number; for some hundred pieces at most."""
+    left = sorted(range(len(size)), key=lambda i: size[i])
+    mask, out = (1 << (room + 1)) - 1, []
+    while left:
+        seed = left.pop()
+        gap, reach = room - size[seed], [1]
+        for i in left:
+            reach.append(reach[-1] | reach[-1] << size[i] & mask)
+        target = (reach[-1] & ((1 << (gap + 1)) - 1)).bit_length() - 1
+        chosen = []
+        for k in range(len(left) - 1, -1, -1):
+            n = size[left[k]]
+            if n <= target and reach[k] >> (target - n) & 1:
+                chosen.append(k)
+                target -= n
+        out.append((seed, *[left[k] for k in chosen]))
+        for k in chosen:
+            del left[k]
+    return out
+
+
+def reopened(room: int, size: list[int], bins: list, rng: np.random.Generator, low: int = 8, others: int = 25) -> list[tuple[int, ...]]:
+    """TRIES times, the least-filled bins and some others are opened and their pieces fitted anew, best fit by
+    falling length and by nearest sums; the best is taken if it isn't worse in bins, then in squared fills."""
+    bins = list(bins)
+    fills = np.array([sum([size[i] for i in b]) for b in bins])
+    for _ in range(TRIES):
+        at = {*np.argsort(fills, kind="stable")[:low].tolist(), *rng.integers(0, len(bins), others).tolist()}
+        items = [i for k in at for i in bins[k]]
+        lengths = [size[i] for i in items]
+        found = []
+        for fit in (best_fit(room, lengths, sorted(range(len(items)), key=lambda j: -lengths[j])), subset_fit(room, lengths)):
+            fill = [sum([lengths[j] for j in b]) for b in fit]
+            found.append((-len(fit), sum([f * f for f in fill]), fit, fill))
+        n, squares, fit, fill = max(found, key=lambda x: x[:2])
+        if (n, squares) >= (-len(at), int((fills[list(at)] ** 2).sum())):
+            keep = [k for k in range(len(bins)) if k not in at]
+            bins = [bins[k] for k in keep] + [tuple(items[j] for j in b) for b in fit]
+            fills = np.concatenate([fills[keep], np.array(fill)])
+    return bins
+
+
 def crossed(room: int, size: list[int], into: list, injected: list) -> list[tuple[int, ...]]:
     """Bins of `into` with the injected bins: bins with pieces twice are dropped, their other pieces fitted in."""
     there = {i for b in injected for i in b}
@@ -152,14 +197,7 @@ def evolve(room: int, size: list[int], rng: np.random.Generator, first: list | N
             well = [x for x in group[b] if fill(x) >= WELL * room]
             take = rng.random(len(well)) < rng.uniform(0.2, 0.8)
             child = crossed(room, size, group[a], [x for x, t in zip(well, take, strict=True) if t])
-            # a mutation: the least-filled bins and a few others are opened and fitted anew
-            low = sorted(child, key=fill)[: 2 + len(child) // 100]
-            other = {int(k) for k in rng.integers(0, len(child), 1 + len(child) // 20)}
-            opened = set(low) | {child[k] for k in other}
-            loose = [i for x in opened for i in x]
-            rng.shuffle(loose)
-            loose.sort(key=lambda i: -size[i] * (1 + 0.2 * (i % 7 == 0)))
-            children.append(best_fit(room, size, loose, [x for x in child if x not in opened]))
+            children.append(reopened(room, size, child, rng))
         group = sorted(group + children, key=worth, reverse=True)[:POPULATION]
     return group[0]
 

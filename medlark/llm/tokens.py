@@ -21,6 +21,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pick
+
 #: Units in a worker's cache; it is emptied when full.
 CACHE_UNITS = 500_000
 #: Longer units are encoded each time.
@@ -35,14 +37,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A space with white space (or the end) behind it and white space before it: the only kind inside a longer run.
-_RUN = re.compile(r"\s (?:\s|$)")
+#: White space beside white space, or at an end: units are then cut before spaces behind other characters only.
+_RUN = re.compile(r"\s\s|^\s|\s$")
 _BEFORE_RUN = re.compile(r"(?<=\S)(?= )")
-
-
-#: Units that are one pre-token of letters, or two with a mark behind, and that normalisation only puts in lower case.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]?)")
+#: Units that are one pre-token of letters, or two with marks behind, and that normalisation only puts in lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{0,8})")
+#: Runs of marks that are remembered.
+MARKS = 2_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,7 +65,8 @@ class UnitEncoder(dict):
 
     Kind "space": a byte-level vocabulary that keeps white space. A match of its pattern that holds a character other than
     white space holds at most one space, its first character; so a cut before a space is safe if the character on either
-    side of that space isn't white space. Keys are what stands behind the space; runs with other spaces stay whole."""
+    side of that space isn't white space, and so is one on either side of a line end between other characters. Keys are
+    what stands behind a space; kind "bare" has units with none before. Runs of white space stay whole."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -76,10 +78,12 @@ class UnitEncoder(dict):
         self.tokenize = self.library.model.tokenize
         self.words = kind == "word"
         self.letters = _byte_letters()
-        self.before = "" if self.words else " "
-        self.space = "" if self.words else self.letters[0x20]
+        self.before = " " if kind == "space" else ""
+        self.space = self.letters[0x20] if kind == "space" else ""
+        self.bare = UnitEncoder(path, "bare") if kind == "space" else self
         self.met = bytearray(1 << 22)
-        self.marks = {m: self._whole(m) if m else b"" for m in ("", *".,;:!?")}
+        self.marks = {m: self._whole(m) if m else b"" for m in ("", *".,;:!?\n")}
+        self.line_end = self.marks["\n"]
 
     def _whole(self, text: str) -> bytes:
         e = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -96,7 +100,12 @@ class UnitEncoder(dict):
             if words and not w.islower():
                 ids = self[(w.lower() + mark).encode()]
             elif mark:
-                ids = self[w.encode() if words else w] + self.marks[mark]
+                behind = self.marks.get(mark)
+                if behind is None:
+                    behind = self._whole(mark)
+                    if len(self.marks) < MARKS:
+                        self.marks[mark] = behind
+                ids = self[w.encode() if words else w] + behind
             else:
                 if not w.isascii():
                     w = w.encode().decode("latin-1").translate(self.letters)
@@ -112,10 +121,15 @@ class UnitEncoder(dict):
         return ids
 
     def _spaced(self, text: str) -> bytes:
-        if text[0] == " " or _RUN.search(text):
+        if _RUN.search(text):
             return b"".join([self[u[1:]] if u[0] == " " and u[1:2] != " " else self._whole(u) for u in _BEFORE_RUN.split(text)])
-        first, *rest = text.split(" ")
-        return self._whole(first) + b"".join(map(self.__getitem__, rest))
+        look, bare, out = self.__getitem__, self.bare, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(bare[first])
+            out += map(look, rest)
+            out.append(self.line_end)
+        return b"".join(out[:-1])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text, four bytes each."""
@@ -156,7 +170,7 @@ def balanced(batches: Iterator[pa.RecordBatch], text: str, limit: int = OUT_BYTE
 def count_tokens(docs: DataFrame, path: str, kind: str = "word", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; lengths only leave the Arrow function. Null text: 0 and 0.
     A null id stays null. An empty table gives an empty result."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         enc = encoder(path, kind)
