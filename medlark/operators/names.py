@@ -135,4 +135,4 @@ def consensus(candidates: DataFrame) -> DataFrame:
 
 def tokens_of(column: Column) -> Column:
     """Names of a typed list: commas and line ends part them."""
-    return F.filter(F.transform(F.split(F.regexp_replace(column, "\n", ","), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(column, "\n", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
