@@ -19,17 +19,21 @@ def atc_rows(exposures: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def atc_features(rows: DataFrame) -> DataFrame:
-    """Counts are of distinct drugs. They come from rows made distinct by (report, drug, class) once, so that no aggregate
-    needs a distinct of its own."""
-    levels = rows.groupBy("report").agg(*[F.size(F.collect_set(f"l{i}")).cast("bigint").alias(f"atc_l{i}_diversity") for i in range(1, 5)])
-    one = rows.select("report", "dc_id", "l1").distinct()
-    l1 = one.groupBy("report", "l1").agg(F.count(F.lit(1)).alias("n"))
-    letters = l1.groupBy("report").agg(*[F.coalesce(F.sum(F.when(F.col("l1") == x, F.col("n"))), F.lit(0)).alias(f"count_{x.lower()}") for x in string.ascii_uppercase], F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("therapeutic_duplicates_l1"))
-    l2 = rows.select("report", "dc_id", "l2").where("l2 is not null").distinct().groupBy("report", "l2").agg(F.count(F.lit(1)).alias("n")).groupBy("report").agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("therapeutic_duplicates_l2"))
-    per_drug = rows.groupBy("report", "dc_id").agg(F.max(F.col("l1").isin(*V.ATC_RISK_LETTERS).cast("int")).alias("risk"), F.max(F.coalesce(F.col("l3").isin(*V.ATC_RISK_GROUPS), F.lit(False)).cast("int")).alias("group"))
+    """Counts are of distinct drugs. Rows are dealt by report once; that also clusters (report, drug, class) and
+    (report, class), so nothing is shuffled again, and no aggregate needs a distinct of its own."""
+    dealt = rows.repartition("report")
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"l{i}").alias("code")) for i in range(1, 5)]))
+    one = dealt.select("report", "dc_id", level.alias("at")).select("report", "dc_id", "at.level", "at.code").where("code is not null").distinct()
+    n = one.groupBy("report", "level", "code").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda i: F.col("level") == i
+    counts = n.groupBy("report").agg(
+        *[F.count_if(at(i)).alias(f"atc_l{i}_diversity") for i in range(1, 5)],
+        *[F.coalesce(F.sum(F.when(at(1) & (F.col("code") == x), F.col("n"))), F.lit(0)).alias(f"count_{x.lower()}") for x in string.ascii_uppercase],
+        *[F.coalesce(F.sum(F.when(at(i), F.col("n") - 1)), F.lit(0)).alias(f"therapeutic_duplicates_l{i}") for i in (1, 2)],
+    )
+    per_drug = dealt.groupBy("report", "dc_id").agg(F.max(F.col("l1").isin(*V.ATC_RISK_LETTERS).cast("int")).alias("risk"), F.max(F.coalesce(F.col("l3").isin(*V.ATC_RISK_GROUPS), F.lit(False)).cast("int")).alias("group"))
     risk = per_drug.groupBy("report").agg(F.sum("risk").alias("num_high_risk_atc"), F.sum("group").alias("num_high_risk_atc_groups"))
-    out = levels.join(letters, "report").join(risk, "report").join(l2, "report", "left")
-    return out.withColumn("therapeutic_duplicates_l2", F.coalesce("therapeutic_duplicates_l2", F.lit(0)))
+    return counts.join(risk, "report")
 
 
 def exposure_features(rows: DataFrame, key: str = "primaryid") -> DataFrame:

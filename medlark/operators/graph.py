@@ -46,7 +46,7 @@ def graph_edges(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nod
     left = named.join(dictionary.where("dc_id > 0").select("faers_raw").distinct(), "faers_raw", "left_anti")
     labels = unknown.select("faers_raw").join(nodes.where("node_kind = 'frequent_unknown'").select(F.col("node_label").alias("faers_raw"), "semantic_id"), "faers_raw")
     rest = left.join(labels, "faers_raw", "left").select("patient_index", F.coalesce("semantic_id", F.lit(-1).cast("bigint")).alias("semantic_id"))
-    return known.unionByName(rest).distinct().join(nodes.select("semantic_id", "node_index"), "semantic_id").select("patient_index", "node_index").distinct()
+    return known.unionByName(rest).distinct().join(nodes.select("semantic_id", "node_index"), "semantic_id").select("patient_index", "node_index")
 
 
 def degree(edges: DataFrame) -> DataFrame:

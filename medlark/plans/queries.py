@@ -384,6 +384,7 @@ def _graph(spark, sf_dir):
     mapped = dictionary.where("dc_id > 0")
     unknown = NA.unmapped_by_frequency(edges, mapped, 20)
     nodes = GR.drug_nodes(mapped.select("dc_id").distinct(), unknown)
+    edges = edges.select("patient_index", "faers_raw").distinct()
     return edges, unknown, nodes, GR.graph_edges(edges.select("patient_index", "faers_raw"), dictionary, unknown, nodes)
 
 
