@@ -85,7 +85,13 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*names), names
 
 
+#: Bytes of an Arrow batch, on either side: texts are long, and two tasks share an executor.
+ARROW_BYTES = 16 << 20
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns of exactly these names, the first of each, whatever else the table has."""
+    """The columns of exactly these names, the first of each, whatever else the table has. Arrow batches of the session are
+    held to ARROW_BYTES from here on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     plain, names = numbered(df)
     return plain.select(*[F.col(names[df.columns.index(c)]).alias(c) for c in columns])

@@ -28,7 +28,7 @@ CACHE_UNITS = 500_000
 #: Longer units are encoded each time.
 LONGEST_CACHED = 48
 #: Bytes of text in one Arrow batch that we build.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 2 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -155,16 +155,20 @@ def encoder(path: str, kind: str) -> UnitEncoder:
 
 
 def balanced(batches: Iterator[pa.RecordBatch], text: str, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices of about `limit` bytes of text (a longer text stands alone)."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0)).astype(np.int64)
-        part = np.cumsum(sizes) // limit
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        edges = [0, *cuts.tolist(), b.num_rows]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            yield b.slice(lo, hi - lo)
+    """The rows of batches in slices of about `limit` bytes of text (a longer text stands alone). What Arrow keeps of freed
+    memory goes back at the end, as workers wait for further tasks."""
+    try:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0)).astype(np.int64)
+            part = np.cumsum(sizes) // limit
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            edges = [0, *cuts.tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield b.slice(lo, hi - lo)
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def count_tokens(docs: DataFrame, path: str, kind: str = "word", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ class Model:
         for i, w in enumerate(tokens):
             s = memo.get(w)
             if s is None:
-                if len(memo) > 500_000:
+                if len(memo) > 200_000:
                     memo.clear()
                 s = memo[w] = self.score_of(w)
             if s:
