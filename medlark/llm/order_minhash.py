@@ -5,7 +5,7 @@ each of BANDS hash functions a text's TUPLE least labelled shingles are taken an
 hash of that ordered tuple is a bucket, so texts with the same shingles in another order part. Equal texts are first
 brought together as one class each. In a bucket, classes are compared with the bucket's leaders only (up to LEADERS,
 drawn by hash); what a leader doesn't link, later rounds compare again, component against component with new leaders,
-until a round links nothing. Buckets so give as many pairs as they have members, a round, and never all pairs.
+until a round links nothing, at most ROUNDS times. Buckets so give as many pairs as they have members, a round, and never all pairs.
 
 A pair is a link if its similarity is 0.8 or more: shingles that a banded alignment matches in order, over all shingles of
 both. The band is as wide as that similarity allows gaps, so nothing that reaches it is lost. Links' connected components
@@ -18,6 +18,7 @@ Repeated rows are equal texts. Empty table: empty result. Extra columns are igno
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import numbered, pick, remove, screen, written
 from .tokens import balanced
 
-SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 8
+SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 4
 #: Members that are compared with a leader in one go.
 TOGETHER = 64
 _WORDS = re.compile(r"\w+")
@@ -56,7 +57,7 @@ class Hasher:
     def words(self, text: str) -> np.ndarray:
         found = _WORDS.findall(text.lower())
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(found) - known.keys() if len(found) > len(known) else [w for w in set(found) if w not in known]:
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -274,6 +275,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if none:
             break
         component = written(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "components")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # so that Spark drops the shuffle files of rounds that are over
     remove(spark, texts)
     ends = None
     if component is None:
