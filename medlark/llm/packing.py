@@ -28,7 +28,7 @@ from .tokens import balanced, encoder
 
 #: Pieces of an island; islands that a node of the tree joins; bins that an island opens; solutions; generations in an
 #: epoch; epochs; openings of a mutation; elites sent; fill from which a bin is well filled.
-ISLAND, FAN, OPENED, POPULATION, GENERATIONS, EPOCHS, TRIES, ELITES, WELL = 4096, 64, 16, 4, 2, 2, 16, 64, 0.995
+ISLAND, FAN, OPENED, POPULATION, GENERATIONS, EPOCHS, TRIES, ELITES, WELL = 4096, 64, 16, 3, 2, 2, 20, 64, 0.995
 
 
 def cut(n: int, room: int) -> list[tuple[int, int]]:
