@@ -3,9 +3,12 @@
 Shingles are five consecutive words (lower case, punctuation left out), each labelled with its number of occurrence. For
 each of BANDS hash functions a text's TUPLE least labelled shingles are taken and kept in their order in the text; the
 hash of that ordered tuple is a bucket, so texts with the same shingles in another order part. Equal texts are first
-brought together as one class each. In a bucket, classes are compared with the bucket's leaders only (up to LEADERS,
-drawn by hash); what a leader doesn't link, later rounds compare again, component against component with new leaders,
-until a round links nothing, at most ROUNDS times. Buckets so give as many pairs as they have members, a round, and never all pairs.
+brought together as one class each. A few rounds compare a bucket's classes with a leader drawn by hash, which gives as
+many pairs as there are members and joins large groups. What then still is apart is settled exactly: of all texts of open
+buckets (several components, more than a pair), every pair across components that a prefix filter can't rule out is
+compared, text against text. With shingles in one order for all, rare ones first, two texts of similarity 0.8 or more share
+one so early that the rest of either is long enough; so every pair of a bucket ends in one component, or was compared, or
+is proven to be below 0.8. The number of leader rounds changes the cost, not the classes.
 
 A pair is a link if its similarity is 0.8 or more: shingles that a banded alignment matches in order, over all shingles of
 both. The band is as wide as that similarity allows gaps, so nothing that reaches it is lost. Links' connected components
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import numbered, pick, remove, screen, written
 from .tokens import balanced
 
-SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 4
+SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 2
+#: Slots of the table of shingle counts, a byte each, that puts rare shingles first. Any table gives the same pairs in the end.
+SLOTS = 1 << 22
 #: Members that are compared with a leader in one go.
 TOGETHER = 64
 _WORDS = re.compile(r"\w+")
@@ -195,6 +200,77 @@ def _pairs(buckets: DataFrame, component: DataFrame | None, round_: int) -> Data
     return found.select("leader", F.col("uid").alias("member")).distinct()
 
 
+def _open(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(uid, component, n) of the texts in buckets that leaders haven't settled: of several components, and more than two
+    members, as the first leader meets every other member."""
+    rows = buckets.withColumn("component", F.col("uid"))
+    if component is not None:
+        rows = buckets.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    apart = rows.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("members > 2 and lo < hi").select("band", "bucket")
+    return rows.join(apart, ["band", "bucket"]).select("uid", "component", "n").distinct()
+
+
+def _rarity(rows: DataFrame) -> np.ndarray:
+    """A byte for each slot of shingle hashes, growing with the logarithm of how many of the rows' shingles fall there."""
+
+    def run(batches):
+        hasher, counts = Hasher(), np.zeros(SLOTS, dtype=np.int64)
+        for b in balanced(batches, "text"):
+            for t in b.column("text").to_pylist():
+                np.add.at(counts, (labelled(shingles(hasher.words(t or ""))) % _U(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "c"])
+
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.sum("c") + 1))).cast("int").alias("level")
+    slots = rows.select("text").mapInArrow(run, "slot int, c long").groupBy("slot").agg(level)
+    # a few MB at most: the slots of a block as a string of slots and levels
+    blocks = slots.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.expr("(slot % 4096) * 256 + level")).alias("levels"))
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    for r in blocks.toLocalIterator():
+        got = np.array(r["levels"], dtype=np.int64)
+        out[int(r["block"]) * 4096 + (got >> 8)] = got & 255
+    return out
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(uid, component, n, shingle, place) of the first shingles of each text, the rare ones of all rows first: as many as it
+    takes for two texts that are similar enough to share one."""
+    shared = rows.sparkSession.sparkContext.broadcast(_rarity(rows))
+
+    def run(batches):
+        hasher, level = Hasher(), shared.value
+        for b in balanced(batches, "text"):
+            found, counts = [np.zeros(0, _U)], []
+            for t in b.column("text").to_pylist():
+                h = labelled(shingles(hasher.words(t or "")))
+                keep = len(h) - int(np.ceil(SIMILAR * len(h) - 1e-9)) + 1
+                found.append(h[np.lexsort((h, level[(h % _U(SLOTS)).astype(np.int64)]))[:keep]])
+                counts.append(len(found[-1]))
+            at = np.repeat(np.arange(b.num_rows), counts)
+            place = np.concatenate([np.zeros(0, np.int32), *[np.arange(c, dtype=np.int32) for c in counts]])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in ("uid", "component", "n")], pa.array(np.concatenate(found).view(np.int64)), pa.array(place)], names=["uid", "component", "n", "shingle", "place"])
+
+    return rows.select("uid", "component", "n", "text").mapInArrow(run, "uid long, component long, n long, shingle long, place int")
+
+
+def _left(rows: DataFrame) -> DataFrame:
+    """Distinct (leader, member) of different components that may be similar enough: a shared shingle in both prefixes, and
+    behind it enough shingles in either text. Pairs within a shingle's largest component are never met."""
+    early = written(_prefixes(rows), "prefixes")
+    heads = early.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "major")
+    heads = written(heads, "heads")
+    passes = screen(heads, "shingle")
+    met = written(early.where(passes(F.col("shingle"))).join(heads, "shingle"), "met")
+    remove(rows.sparkSession, early)
+    minor = met.where("component != major").select("shingle", *[F.col(c).alias(f"{c}_") for c in ("uid", "component", "n", "place")])
+    least, all_ = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")), F.col("n") + F.col("n_")
+    near = (F.least("n", "n_") >= SIMILAR * F.greatest("n", "n_") - 1e-6) & (least >= SIMILAR / (1 + SIMILAR) * all_ - 1e-6)
+    found = minor.join(met, "shingle").where((F.col("component") != F.col("component_")) & ((F.col("component") == F.col("major")) | (F.col("uid") > F.col("uid_"))) & near)
+    return found.select(F.least("uid", "uid_").alias("leader"), F.greatest("uid", "uid_").alias("member")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(leader, member, similarity) of the pairs that reach the least similarity. A leader's text goes to its members in
     groups of about TOGETHER; rows stream, the leader's first."""
@@ -260,20 +336,23 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("k"), text.alias("text")).where(passes(F.col("k")))
     texts = found.join(involved, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).groupBy("uid").agg(F.first("text").alias("text"))
     texts = written(texts, "involved")
-    links = component = None
-    for round_ in range(ROUNDS):
-        pairs = _pairs(buckets, component, round_)
-        if links is not None:
-            pairs = pairs.join(tried, ["leader", "member"], "left_anti")
+    links = component = tried = None
+    for round_ in range(ROUNDS + 1):
+        if round_ < ROUNDS:
+            pairs = _pairs(buckets, component, round_)
+        else:  # whatever the leaders left
+            pairs = _left(written(texts.join(_open(buckets, component), "uid"), "open"))
+        if tried is not None:
+            ways = tried.unionByName(tried.select(F.col("member").alias("leader"), F.col("leader").alias("member")))
+            pairs = pairs.join(ways, ["leader", "member"], "left_anti")
         pairs = written(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.isEmpty():
-            break
+            continue
         fresh = written(verified(pairs, texts), "verified")
-        none = fresh.isEmpty()
+        if fresh.isEmpty():
+            continue
         links = fresh if links is None else links.unionByName(fresh)
-        tried = pairs if round_ == 0 else tried.unionByName(pairs)
-        if none:
-            break
         component = written(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "components")
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # so that Spark drops the shuffle files of rounds that are over

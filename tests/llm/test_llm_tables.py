@@ -197,6 +197,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def _tail(name: str, n: int) -> str:
+    return " ".join(f"{name}x{i}" for i in range(n))
+
+
+#: 174 shingles that all texts of a family have, in the same buckets. Two texts with 22 own shingles are alike if they share 2 more.
+TEMPLATE = _tail("t", 178)
+
+
+def test_near_duplicates_of_a_template_family(spark):
+    rows = [(2 * c + k, f"{TEMPLATE} {_tail(f'c{c}', 2)} {_tail(f'd{c}e{k}', 22)}") for c in range(60) for k in range(2)]
+    h = order_minhash.Hasher()
+    s = [order_minhash.shingles(h.words(t)) for _, t in rows]
+    assert all((order_minhash.aligned(s[i], s[j]) >= 0.8) == (i // 2 == j // 2) for i in range(len(s)) for j in range(i))
+    got = {x["doc_id"]: (x["class_id"], x["class_size"]) for x in order_minhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (d - d % 2, 2) for d, _ in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["uid"]: r["component"] for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
