@@ -214,6 +214,19 @@ def test_near_duplicates_of_a_template_family(spark):
     assert got == {d: (d - d % 2, 2) for d, _ in rows}
 
 
+def test_near_duplicates_joined_by_one_link(spark):
+    rows = []
+    for f in range(8):  # families of two groups, joined by one pair
+        template = _tail(f"t{f}", 178)
+        rows += [(1000 * f + 100 * g + k, f"{template} {_tail(f'c{f}g{g}', 2)} {_tail(f'd{f}g{g}e{k}', 22)}") for g in range(2) for k in range(1, 20)]
+        rows += [(1000 * f + 100 * g, f"{_tail(f'p{f}', 2)} {template} {_tail(f'c{f}g{g}', 2)} {_tail(f'd{f}g{g}e0', 20)}") for g in range(2)]
+    h = order_minhash.Hasher()
+    s = {d: order_minhash.shingles(h.words(t)) for d, t in rows}
+    assert [(a, b) for a in range(20) for b in range(100, 120) if order_minhash.aligned(s[a], s[b]) >= 0.8] == [(0, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x["class_id"], x["class_size"]) for x in order_minhash.classes(spark, docs).collect()} == {(1000 * f, 40) for f in range(8)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["uid"]: r["component"] for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
