@@ -37,6 +37,8 @@ from .tokens import balanced
 SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 2
 #: Slots of the table of shingle counts, a byte each, that puts rare shingles first. Any table gives the same pairs in the end.
 SLOTS = 1 << 22
+#: Shingles of a text that gets exact buckets as well.
+FEW = 9
 #: Members that are compared with a leader in one go.
 TOGETHER = 64
 _WORDS = re.compile(r"\w+")
@@ -111,6 +113,21 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_keys(h: np.ndarray) -> np.ndarray:
+    """Exact buckets of a text of few shingles: itself, and itself without each one. Two such texts of similarity 0.8 or more
+    have one in common, as up to FEW shingles allow for one gap on either side only."""
+    if not 0 < len(h) <= FEW:
+        return np.zeros(0, dtype=_U)
+    keys = set()
+    for gone in range(-1, len(h) if len(h) > 1 else 0):
+        key = _U(len(h) - (gone >= 0))
+        for i in range(len(h)):
+            if i != gone:
+                key = _mix(np.array([key * _U(31) + h[i]], dtype=_U))[0]
+        keys.add(int(key))
+    return np.array(sorted(keys), dtype=_U)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """Similarity M / (|a| + |b| - M) of two shingle sequences, M being the longest common subsequence within the band
     that a similarity of `least` allows; 0 if it can't reach that. Bit-parallel over the band, in blocks of columns."""
@@ -177,7 +194,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = shingles(w)
                 d = xxhash.xxh3_128_intdigest(w.tobytes())
                 rows.append(((d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63), len(h)))
-                keys.append(sketch(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                keys.append(np.concatenate([sketch(h), short_keys(h)]).view(np.int64) if len(h) else np.zeros(0, np.int64))
             n = np.array(rows, dtype=np.int64).reshape(-1, 3)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
@@ -326,7 +343,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     texts_ = rows.where("n > 0").groupBy("t1", "t2").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     uniq = written(texts_.select("t1", "t2", "one.doc_id", "one.key", "n", "keys", "copies").withColumn("uid", F.monotonically_increasing_id()), "texts")
-    every = uniq.select("uid", "n", F.posexplode("keys").alias("band", "bucket"))
+    every = uniq.select("uid", "n", F.posexplode("keys").alias("band", "bucket")).withColumn("band", F.least("band", F.lit(BANDS)))
     shared = written(every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket"), "shared")
     passes = screen(shared, "bucket")
     buckets = written(every.where(passes(F.col("bucket"))).join(shared, ["band", "bucket"]), "buckets")

@@ -227,6 +227,12 @@ def test_near_duplicates_joined_by_one_link(spark):
     assert {(x["class_id"], x["class_size"]) for x in order_minhash.classes(spark, docs).collect()} == {(1000 * f, 40) for f in range(8)}
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    rows = [(2 * c + k, _tail(f"s{c}", 9 - k)) for c in range(1500) for k in range(2)]
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["uid"]: r["component"] for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
