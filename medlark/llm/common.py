@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir. One of our own where it is unset, on a single machine only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
@@ -49,19 +52,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of a screen: 8 MB at most go to each executor, however many keys there are.
-SCREEN_BITS = 1 << 26
+#: Bits of a screen: about 16 a key, at most so many (32 MB go to each executor then, however many keys there are).
+SCREEN_BITS = 1 << 28
 
 
 def screen(keys: DataFrame, key: str):
     """A test of column values against the long column `key` of a table: false only for values that aren't there.
 
-    A bit map of fixed size, built by the executors from two hashes of each key. With more keys it lets more others pass;
-    it keeps rows from a shuffle and decides nothing, so a join has to follow."""
+    A bit map, built by the executors from two hashes of each key: of 16 bits a key and more, about one other value in 70
+    passes. Beyond SCREEN_BITS / 16 keys more of them pass; it keeps rows from a shuffle and decides nothing, so a join has
+    to follow. `keys` is counted first: hand in a written table."""
     spark = keys.sparkSession
-    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(SCREEN_BITS)) for k in (1, 2)]))
+    size = min(SCREEN_BITS, max(1 << 16, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(size)) for k in (1, 2)]))
     parts = keys.select(places.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("cast(p % 32768 as long)")).alias("map")).collect()
-    bits = np.zeros(SCREEN_BITS // 8, dtype=np.uint8)
+    bits = np.zeros(size // 8, dtype=np.uint8)
     for r in parts:
         at = int(r["block"]) * 4096
         got = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
@@ -76,7 +81,7 @@ def screen(keys: DataFrame, key: str):
             hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return pd.Series(hit)
 
-    return lambda column: test(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(SCREEN_BITS)) for k in (1, 2)])
+    return lambda column: test(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in (1, 2)])
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, written
+from .common import new_path, pick, screen, written
 
 CHUNK = 64 << 10
 #: Fixed values of the format.
@@ -35,16 +35,20 @@ RECORD_ID = "urn:page:"
 def with_decisions(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Adds payload, payload_bytes, digest and refers_to (the response of a revisit, else null).
 
-    Groups are counted with map-side sums, so a payload that a third of all pages share costs a row a task. Pages meet
-    only groups of two or more; keys of other pages are their own, so no key but a real group's is large, and those the
-    engine splits (a skewed sort-merge join)."""
+    Groups are counted with map-side sums, so a payload that a third of all pages share costs a row a task. Only pages of
+    groups of two or more (and a few that a screen lets pass) are shuffled, to meet their group's row; a hot payload's pages
+    are split by the engine (a skewed sort-merge join). All others go on where they were read."""
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long"))
-    known = F.concat_ws(":", F.sha2("payload", 256), F.col("payload_bytes"))
-    groups = rows.where(F.col("payload_bytes") >= least).groupBy(known.alias("key")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("key", "keeper")
-    own = F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.uuid()))
-    keyed = rows.withColumn("key", F.when(F.col("payload_bytes") >= least, known).otherwise(own))
-    return keyed.join(groups, "key", "left").select("page_id", "url", "payload", "payload_bytes", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to"))
+    keyed = rows.withColumn("key", F.when(F.col("payload_bytes") >= least, F.concat_ws(":", F.sha2("payload", 256), F.col("payload_bytes"))))
+    groups = keyed.where("key is not null").groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("key", "keeper")
+    groups = written(groups, "groups")
+    passes = screen(groups.select(F.xxhash64("key").alias("h")), "h")
+    shared = F.col("key").isNotNull() & passes(F.xxhash64("key"))
+    met = keyed.where(shared).join(groups, "key", "left")
+    columns = ["page_id", "url", "payload", "payload_bytes"]
+    alone = keyed.where(~shared).select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    return alone.unionByName(met.select(*columns, F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to")))
 
 
 def _files(uri: str):
