@@ -1,17 +1,21 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and their leaves.
-
-Leaves are pieces of a paragraph of at most PIECE code points that end with a sentence; together they are the whole text.
-A paragraph's hash covers its leaves' hashes, a section's its paragraphs', the root the sections'. A section ends with an
-empty line, or where a paragraph's own hash says so, so that an edit moves no boundary elsewhere. Equal roots mean equal
-texts; where roots differ, only branches with differing hashes are followed, down to the leaves, which locate the edit.
-
-The fingerprint is a string: root, then sections of paragraphs of leaves, each leaf its code points and part of its hash.
-Texts of up to SHORT code points also carry a level of finer leaves, as one leaf says too little of a short text. The
-likeness of two fingerprints is the share of the longer text's code points in leaves that both have.
-
-Null text: empty. The empty text has a root of its own and no leaves; two empty texts are alike, 1.0, an empty and
-another 0.0. A null doc_id comes before all others; rows of equal doc_id follow each other by text. A sole document is
-its own next. Empty table: empty result. Extra columns are ignored.
+"""Document fingerprints: a Merkle tree over paragraphs and sections.
+
+Tokens (up to TOKEN code points and the white space behind them) are the lowest nodes. A node of level k ends where a token's
+own hash ends in 2k zero bits, so about four nodes make one of the next level and an edit moves no boundary elsewhere;
+sentences, paragraphs and sections end nodes of the levels SENTENCE, PARAGRAPH and SECTION at least, so nodes of those levels
+are (parts of) paragraphs and sections. FANOUT nodes without such an end make a node, too, as words that repeat may have none.
+A node's hash covers those of its children in order. The root is the hash of the whole text with the top node's: equal roots
+mean equal texts.
+
+A fingerprint is a string: root, number of its lowest level, and from there to the top the nodes of each level, as code
+points and hash. The lowest level is the first one with at most NODES nodes, by one rule for texts of every size. Two
+fingerprints are compared from the lowest level of either that both have, top down: equal branches are passed over whole.
+`likeness` is the share of the longer text's code points in branches that both have; `differing` aligns branches in order
+and gives the places of the differing ones in either text, moved and repeated ones included.
+
+Null text: empty. The empty text has a root and no nodes; two empty texts are alike, 1.0, an empty and another 0.0. A null
+doc_id comes before all others; rows of equal doc_id follow each other by text. A sole document is its own next. Empty
+table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,116 +23,200 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
 
-PIECE, FINE, SHORT = 64, 8, 600
-#: A paragraph whose hash is divisible by this ends its section.
-SECTION = 8
-_LEAVES = re.compile(rf"[^.!?\n]{{1,{PIECE}}}(?:[.!?]+\s?|\s)?|[.!?]+\s?|\s")
-_FINE = re.compile(rf"\S{{1,{FINE}}}\s?|\s")
-_PARAGRAPHS = re.compile(r"[^\n]*\n+|[^\n]+")
-
-
-def _hash(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
-def _leaf(text: str) -> tuple[bytes, str]:
-    h = _hash(text.encode("utf-8", "surrogatepass"))
-    return h, f"{len(text):x}.{h.hex()[:6]}"
+TOKEN, FANOUT, NODES = 12, 16, 128
+#: Levels at which nodes end with sentences, paragraphs and sections (paragraphs before an empty line).
+SENTENCE, PARAGRAPH, SECTION = 2, 4, 6
+#: Bytes of text in a range of documents.
+RANGE_BYTES = 64 << 20
+_TOKENS = re.compile(rf"\S{{1,{TOKEN}}}\s*|\s+")
+_U = np.uint64
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def _end_of(token: str, h: int) -> int:
+    """The level that ends with a token."""
+    zeros = (h & -h).bit_length() - 1 if h else 64
+    level = zeros >> 1
+    lines = token.count("\n")
+    if lines:
+        return max(level, SECTION if lines > 1 else PARAGRAPH)
+    return max(level, SENTENCE) if token.rstrip()[-1:] in ".!?" else level
+
+
+class Tokens:
+    """(hash, level of its end, code points) of tokens, kept between texts in a bounded cache."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, int, int]] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        found = _TOKENS.findall(text)
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        for t in set(found):
+            if t not in known:
+                h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+                known[t] = (h, _end_of(t, h), len(t))
+        return np.array([known[t] for t in found], dtype=_U).reshape(-1, 3)
+
+
+def levels(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, code points) of the nodes of each level, tokens first, up to one node."""
+    h, end, n = tokens[:, 0], tokens[:, 1].astype(np.int64), tokens[:, 2].astype(np.int64)
+    out = [(h, n)]
+    level = 0
+    while len(h) > 1:
+        level += 1
+        at = np.arange(len(h))
+        last = end >= level
+        last[-1] = True
+        first = np.concatenate([[True], last[:-1]])
+        place = at - np.maximum.accumulate(np.where(first, at, 0))
+        last |= place % FANOUT == FANOUT - 1
+        starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+        place = at - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]])))
+        h = _mix(np.add.reduceat(_mix(h + _PLACES[place]), starts) + _U(level))
+        n = np.add.reduceat(n, starts)
+        end = end[last]
+        out.append((h, n))
+    return out
 
 
-def paragraph(text: str) -> tuple[bytes, str]:
-    """Hash of a paragraph and its part of the fingerprint."""
-    leaves = [_leaf(x) for x in _LEAVES.findall(text)]
-    return _hash(b"P" + b"".join([h for h, _ in leaves])), ",".join([s for _, s in leaves])
+_PLACES = _mix(np.arange(1, FANOUT + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def fingerprint(text: str | None, known: dict | None = None) -> str:
-    """`known` keeps paragraphs between calls: of an edited text, only what changed is hashed."""
+def fingerprint(text: str | None, tokens: Tokens | None = None) -> str:
     text = text or ""
-    known = {} if known is None else known
-    sections, group = [], []
-    for p in _PARAGRAPHS.findall(text):
-        node = known.get(p)
-        if node is None:
-            node = known[p] = paragraph(p)
-        group.append(node)
-        if p.endswith("\n\n") or node[0][0] % SECTION == 0:
-            sections.append(group)
-            group = []
-    if group:
-        sections.append(group)
-    hashes = [_hash(b"S" + b"".join([h for h, _ in s])) for s in sections]
-    root = _hash(b"R" + b"".join(hashes)).hex()
-    body = ";".join("/".join([t for _, t in s]) for s in sections)
-    if not 0 < len(text) <= SHORT:
-        return f"{root}|{body}"
-    pieces = _FINE.findall(text)
-    fine = [f"{len(x):x}.{_hash((before + x).encode('utf-8', 'surrogatepass')).hex()[:6]}" for before, x in zip(["", *pieces], pieces, strict=False)]
-    return f"{root}|{body}|{','.join(fine)}"
-
-
-def _levels(print_: str) -> tuple[str, list[str], list[str]]:
-    root, body, *fine = print_.split("|")
-    split = re.split(r"[,/;]", body) if body else []
-    return root, split, fine[0].split(",") if fine else []
+    tree = levels((tokens or Tokens()).of(text)) if text else []
+    low = next((k for k, (h, _) in enumerate(tree) if len(h) <= NODES), 0)
+    root = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, key=b"" if not tree else int(tree[-1][0][0]).to_bytes(8, "little")).hexdigest()
+    body = "|".join([",".join([f"{n:x}.{h & 0xFFFFFFFFFF:010x}" for h, n in zip(h.tolist(), n.tolist(), strict=True)]) for h, n in tree[low:]])
+    return f"{root}|{low}|{body}"
+
+
+def _nodes(print_: str) -> tuple[str, int, list[list[tuple[int, str]]]]:
+    """Root, lowest level, and the (code points, hash) of each level from there on."""
+    root, low, *body = print_.split("|")
+    return root, int(low), [[(int(n, 16), x) for n, _, x in (node.partition(".") for node in level.split(","))] for level in body if level]
+
+
+def _compared(a: str, b: str):
+    """The levels that both have, lowest first, as lists of nodes; None where one has none."""
+    (ra, la, ta), (rb, lb, tb) = _nodes(a), _nodes(b)
+    if not ta or not tb:
+        return ra == rb, ta, tb, None
+    low = max(la, lb)
+    # a text whose top is below the other's lowest level: its top node has no equal there
+    top = min(la + len(ta), lb + len(tb))
+    if top <= low:
+        return ra == rb, ta, tb, None
+    return ra == rb, ta, tb, (ta[low - la : top - la], tb[low - lb : top - lb])
+
+
+def _children(level: list[tuple[int, str]], below: list[tuple[int, str]], wanted: list[int]) -> list[int]:
+    """Places of the children of the wanted nodes in the level below: those within the same code points."""
+    out, k, at, left = [], 0, 0, set(wanted)
+    for i, (n, _) in enumerate(level):
+        end, got = at + n, k
+        while k < len(below) and at < end:
+            at += below[k][0]
+            k += 1
+        if i in left:
+            out += range(got, k)
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text's code points in leaves of both, at the finest level that both have; 1 for equal roots."""
-    (ra, la, fa), (rb, lb, fb) = _levels(a), _levels(b)
-    if ra == rb:
+    """Share of the longer text's code points in branches of both; 1 for equal roots."""
+    same, ta, tb, both = _compared(a, b)
+    if same:
         return 1.0
-    if fa and fb:
-        la, lb = fa, fb
-    weigh = lambda leaf: int(leaf.partition(".")[0], 16)
-    total = max(sum(map(weigh, la)), sum(map(weigh, lb)))
-    common = sum(weigh(x) * n for x, n in (Counter(la) & Counter(lb)).items())
+    if both is None:
+        return 0.0
+    total = max(sum(n for n, _ in ta[0]), sum(n for n, _ in tb[0]))
+    la, lb = both
+    open_a, open_b, common = list(range(len(la[-1]))), list(range(len(lb[-1]))), 0
+    for k in range(len(la) - 1, -1, -1):
+        met = Counter(la[k][i] for i in open_a) & Counter(lb[k][i] for i in open_b)
+        if met:
+            common += sum(n * c for (n, _), c in met.items())
+            open_a, open_b = _rest(la[k], open_a, met), _rest(lb[k], open_b, met)
+        if k:
+            open_a, open_b = _children(la[k], la[k - 1], open_a), _children(lb[k], lb[k - 1], open_b)
     return common / total if total else 0.0
 
 
-def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, start, end) in code points of the first text: its leaves in branches that the second text lacks. Equal
-    sections and equal paragraphs are passed over without a look at their leaves."""
-    if a.split("|")[0] == b.split("|")[0]:
-        return []
-    body, other = a.split("|")[1], b.split("|")[1]
-    sections = set(other.split(";"))
-    paragraphs = {p for s in sections for p in s.split("/")}
-    leaves = Counter(x for p in paragraphs for x in p.split(","))
-    out, at = [], 0
-    for k, section in enumerate(body.split(";") if body else []):
-        for p in section.split("/"):
-            for leaf in p.split(","):
-                n = int(leaf.partition(".")[0], 16)
-                if section not in sections and p not in paragraphs and leaf not in leaves:
-                    if out and out[-1][0] == k and out[-1][2] == at:
-                        out[-1] = (k, out[-1][1], at + n)
-                    else:
-                        out.append((k, at, at + n))
-                at += n
+def _rest(level: list[tuple[int, str]], places: list[int], met: Counter) -> list[int]:
+    left, out = Counter(met), []
+    for i in places:
+        if left[level[i]] > 0:
+            left[level[i]] -= 1
+        else:
+            out.append(i)
     return out
 
 
+def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, other start, other end) in code points of the first and of the second text: the branches that an
+    alignment in order leaves over, from the first one on. Equal branches are passed over whole; of a pair of stretches one may be
+    empty (something was put in or left out)."""
+    same, ta, tb, both = _compared(a, b)
+    if same:
+        return []
+    if both is None:
+        return [(0, sum(n for n, _ in ta[0]) if ta else 0, 0, sum(n for n, _ in tb[0]) if tb else 0)]
+    la, lb = both
+    starts = lambda level: np.concatenate([[0], np.cumsum([n for n, _ in level])]).astype(int).tolist()
+    sa, sb = [starts(x) for x in la], [starts(x) for x in lb]
+    gaps = [(0, len(la[-1]), 0, len(lb[-1]))]
+    for k in range(len(la) - 1, -1, -1):
+        finer = []
+        for a0, a1, b0, b1 in gaps:
+            x, y = la[k][a0:a1], lb[k][b0:b1]
+            i = j = 0
+            for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+                if m.a > i or m.b > j:
+                    finer.append((a0 + i, a0 + m.a, b0 + j, b0 + m.b))
+                i, j = m.a + m.size, m.b + m.size
+        if k:  # the same stretches in nodes of the level below
+            place = lambda s, below, i: below.index(s[i])
+            gaps = [(place(sa[k], sa[k - 1], p), place(sa[k], sa[k - 1], q), place(sb[k], sb[k - 1], r), place(sb[k], sb[k - 1], s)) for p, q, r, s in finer]
+        else:
+            gaps = finer
+    return [(sa[0][p], sa[0][q], sb[0][r], sb[0][s]) for p, q, r, s in gaps]
+
+
 def edited(text: str, following: str) -> str:
     """The last floor(n/4) code points replaced by the first as many (or all) of the following text."""
     m = len(text) // 4
     return text[: len(text) - m] + following[:m]
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 doc_ids that cut the table into ranges of about equal size."""
+def _bounds(docs: DataFrame, parts: int | None) -> list[int]:
+    """At most parts - 1 doc_ids that cut the table into ranges of about equal size; by default of about RANGE_BYTES."""
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     if parts < 2:
         return []
-    quantiles = F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)
+    quantiles = F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))
     return sorted(set(docs.agg(quantiles.alias("q")).first()["q"] or []))
 
 
@@ -138,7 +226,6 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
     Documents are dealt by ranges of doc_id and pass through each range in order, one looking ahead to the next; the first
     document of a range (one a range) is sent to the range before as well, as what follows its last one."""
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = np.array(_bounds(docs, parts), dtype=np.int64)
 
     @F.pandas_udf("int")
@@ -149,22 +236,23 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
     # one row a range: which doc_id it starts with, and the range before, in which the first document also ends. The table
     # goes round: ahead of the first range stands the last
     starts = sorted((r["part"], None if r["nulls"] else r["least"]) for r in ranged.groupBy("part").agg(F.min("doc_id").alias("least"), (F.count("doc_id") < F.count(F.lit(1))).alias("nulls")).collect())
-    lent = [(p, least, starts[k - 1][0]) for k, (p, least) in enumerate(starts)]
-    table = F.broadcast(spark.createDataFrame(lent, "p int, least long, before int"))
-    both = F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("to"), F.lit(True).alias("extra")))
+    lent = [(p, k, least, (k - 1) % len(starts)) for k, (p, least) in enumerate(starts)]
+    table = F.broadcast(spark.createDataFrame(lent, "p int, own int, least long, before int"))
+    both = F.array(F.struct(F.col("own").alias("to"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("to"), F.lit(True).alias("extra")))
     ranged = ranged.join(table, F.col("part") == F.col("p")).withColumn("at", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("least")), both).otherwise(F.slice(both, 1, 1)))).select("doc_id", "text", "at.to", "at.extra")
-    dealt = ranged.repartition(max(1, len(starts)), "to").sortWithinPartitions("to", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # a range a task
+    dealt = ranged.repartitionById(max(1, len(starts)), F.col("to")).sortWithinPartitions("to", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches):
-        held = None  # (part, doc_id, text): waits for what follows it
+        tokens = Tokens()
+        held = None  # (part, doc_id, text, fingerprint): waits for what follows it
         rows, size = [], 0
 
-        def give(one, following):
+        def give(one, following, following_print):
             nonlocal size
-            known: dict = {}
-            _, doc_id, text = one
+            _, doc_id, text, own = one
             changed = edited(text, following)
-            own, new, following_print = fingerprint(text, known), fingerprint(changed, known), fingerprint(following)
+            new = fingerprint(changed, tokens)
             rows.append((doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, new, likeness(own, new), likeness(own, following_print)))
             size += len(own) + len(new)
 
@@ -177,15 +265,18 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
         for b in batches:
             for doc_id, text, to, extra in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "to", "extra")], strict=True):
                 text = text or ""
+                if extra and (held is None or held[0] != to):
+                    continue
+                print_ = fingerprint(text, tokens)
                 if held is not None and held[0] == to:
-                    give(held, text)
+                    give(held, text, print_)
                     held = None
                 if not extra:
-                    held = (to, doc_id, text)
+                    held = (to, doc_id, text, print_)
                 if size > 4 << 20:
                     yield batch()
         if held is not None:  # only a table of one range that nothing was lent to
-            give(held, held[2])
+            give(held, held[2], held[3])
         if rows:
             yield batch()
 
@@ -194,4 +285,3 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
