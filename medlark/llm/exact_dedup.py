@@ -1,9 +1,10 @@
 """Exact deduplication against immutable snapshots screened by static binary-fuse filters.
 
 Texts are equal when they are identical after deleting the characters of [\\x20\\x09-\\x0D]. A snapshot is a written table of
-classes (one row for every distinct text) with a binary-fuse filter for each of its digest buckets. A new batch is
-grouped by itself first; of its classes, those that the filter of their bucket denies are new, and no row of the
-snapshot is touched for them; the positives join their exact bucket, where the normalised bytes are compared.
+classes (one row for every distinct text) with a binary-fuse filter for each of its digest buckets; it is immutable, and can
+be opened from its folder in later sessions. A new batch is grouped by itself first; of its classes, those that the filters
+of all snapshots deny are new, and no row of a snapshot is touched for them; the positives join their exact bucket, where
+the normalised bytes are compared. What is new becomes a snapshot of its own.
 
 Nulls: a null text is empty; a null doc_id counts as larger than all. Repeated rows are rows of their class, and one of
 them stays. Empty tables give empty results. Extra columns are ignored.
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, screen, written
+from .common import new_path, numbered, pick, screen, written
 
 #: The characters that don't count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -134,18 +135,31 @@ def _bucket(buckets: int):
 
 
 class Snapshot:
-    """Classes of accepted texts, written once, with a filter for every bucket of digests."""
+    """Classes of accepted texts and a filter for every bucket of their digests, written once under a folder and never
+    changed; `open` reads it again in any later session."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, n_rows: int | None = None):
-        self.classes = written(classes(rows), "snapshot")
-        self.buckets = max(1, -(-self.classes.count() // BUCKET_CLASSES))
+    def __init__(self, spark: SparkSession, folder: str):
+        self.classes = spark.read.parquet(f"{folder}/classes")
+        self.filters = spark.read.parquet(f"{folder}/filters")
+        self.buckets = (self.filters.select("buckets").first() or [1])[0]
+
+    open = classmethod(lambda cls, spark, folder: cls(spark, folder))
+
+    @classmethod
+    def write(cls, spark: SparkSession, rows: DataFrame, folder: str | None = None) -> Snapshot:
+        """rows: (digest, doc_id, n_chars, n), a row a class. The filters are written last."""
+        folder = folder or new_path(spark, "snapshot")
+        rows.select("digest", "doc_id", "n_chars", "n").write.parquet(f"{folder}/classes")
+        known = spark.read.parquet(f"{folder}/classes")
+        buckets = max(1, -(-known.count() // BUCKET_CLASSES))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             part = fuse_build(pdf["key"].to_numpy().astype(np.uint64))
-            return pd.DataFrame([part | {"bucket": pdf["bucket"].iloc[0]}])
+            return pd.DataFrame([part | {"bucket": pdf["bucket"].iloc[0], "buckets": buckets}])
 
-        keyed = self.classes.select(_bucket(self.buckets).alias("bucket"), _key().alias("key"))
-        self.filters = written(keyed.groupBy("bucket").applyInPandas(build, "seed int, length int, segments int, table binary, bucket int"), "filters")
+        keyed = known.select(_bucket(buckets).alias("bucket"), _key().alias("key"))
+        keyed.groupBy("bucket").applyInPandas(build, "seed int, length int, segments int, table binary, bucket int, buckets int").write.parquet(f"{folder}/filters")
+        return cls(spark, folder)
 
     def screened(self, batch: DataFrame) -> DataFrame:
         """Classes of a batch with `maybe`: false if the snapshot surely lacks their digest. A bucket's classes meet its
@@ -159,42 +173,54 @@ class Snapshot:
         # more classes than the snapshot has: a bucket is dealt to several tasks, each with a copy of its filter
         salts = max(1, -(-batch.count() // (self.buckets * BUCKET_CLASSES)))
         left = batch.withColumns({"key": _key(), "bucket": _bucket(self.buckets), "salt": F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int")})
-        right = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        right = self.filters.drop("buckets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         schema = ", ".join(f"{c} {t}" for c, t in batch.dtypes) + ", maybe boolean"
         return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInPandas(probe, schema)
 
+    def matches(self, fresh: DataFrame) -> DataFrame:
+        """(digest, new_id, old_id) of the screened classes that stand in the exact buckets: a filter may be wrong."""
+        return fresh.where("maybe").select("digest", F.col("doc_id").alias("new_id")).join(self.classes.select("digest", F.col("doc_id").alias("old_id")), "digest")
+
 
 def same_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(digest, same) for every row of found (digest, new_id, old_id): whether the two texts' normalised bytes agree."""
-    # of a class, the texts of two rows are wanted: those pass a screen of fixed size before anything is shuffled
-    wanted = found.select("digest", F.explode(F.array("new_id", "old_id")).alias("id")).distinct()
+    """(digest, same) for every row of the written table found (digest, new_id, old_id): whether the two texts' normalised
+    bytes agree. A row whose texts aren't there fails the job: nothing is taken for equal that wasn't compared."""
+    # of a class, the texts of two rows are wanted: those pass a screen before anything is shuffled
+    wanted = written(found.select("digest", F.explode(F.array("new_id", "old_id")).alias("id")).distinct(), "wanted")
     row = lambda id_: F.xxhash64("digest", F.coalesce(id_.cast("long"), F.lit(-1)))
     passes = screen(wanted.select(row(F.col("id")).alias("key")), "key")
     texts = docs.select(F.col("doc_id").alias("_id"), normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     texts = texts.where(passes(row(F.col("_id"))))
     picked = texts.join(wanted.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("id")))
-    return picked.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
+    compared = picked.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
+    missing = F.raise_error(F.concat(F.lit("no texts to compare for digest "), F.col("digest")))
+    return found.select("digest").join(compared, "digest", "left").select("digest", F.when(F.col("same").isNull(), missing.cast("boolean")).otherwise(F.col("same")).alias("same"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, copies_of_keep) of every row.
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row.
 
-    The table comes in as `batches` parts dealt by doc_id: the first becomes a snapshot, each later one is screened
-    against the snapshot so far. `copies_of_keep`: rows of the class that share doc_id and length with the one that stays."""
+    The table comes in as `batches` parts dealt by doc_id. Each batch's classes are screened against all snapshots so far;
+    what none of them has becomes one more snapshot, and the older ones stay as they are."""
     docs = pick(docs, "doc_id", "text")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     rows = written(digest_rows(docs).withColumn("part", part), "digests")
-    known = Snapshot(spark, rows.where("part = 0"))
-    merged = known.classes.select("digest", F.lit(0).alias("variant"), "doc_id", "n_chars", "n")
+    known = [Snapshot.write(spark, classes(rows.where("part = 0")))]
+    merged = known[0].classes.select("digest", F.lit(0).alias("variant"), "doc_id", "n_chars", "n")
     for k in range(1, batches):
-        fresh = written(known.screened(classes(rows.where(F.col("part") == k))), "screened")
-        found = fresh.where("maybe").select("digest", F.col("doc_id").alias("new_id")).join(known.classes.select("digest", F.col("doc_id").alias("old_id")), "digest")
+        batch = classes(rows.where(F.col("part") == k))
+        batch = batch if len(known) == 1 else written(batch, "batch")
+        found = None
+        for snapshot in known:  # a digest stands in one of them at most
+            fresh = written(snapshot.screened(batch), "screened")
+            hits = snapshot.matches(fresh)
+            found = hits if found is None else found.unionByName(hits)
         checked = written(same_bytes(docs, written(found, "positives")), "checked")
-        # texts of one digest and other bytes (a collision) would stay apart, as a variant of their own
-        tagged = fresh.join(checked, "digest", "left").select("digest", F.when(F.col("same"), 0).when(F.col("same").isNull(), 0).otherwise(k).alias("variant"), "doc_id", "n_chars", "n")
+        # texts of one digest and other bytes (a collision) stay apart, as a variant of their own
+        tagged = fresh.join(checked, "digest", "left").select("digest", F.when(F.col("same") == F.lit(False), k).otherwise(0).alias("variant"), "doc_id", "n_chars", "n")
         merged = merged.unionByName(tagged)
         if k + 1 < batches:
-            known = Snapshot(spark, rows.where(F.col("part") <= k).select("doc_id", "n_chars", "digest"))
+            known.append(Snapshot.write(spark, fresh.join(checked, "digest", "left_anti")))
     final = merged.groupBy("digest", "variant").agg(best().alias("keep"), F.sum("n").alias("group_size"))
     odd = merged.where("variant > 0").select("digest", F.col("variant").alias("part"), "variant").distinct()
     final = written(final.select("digest", "variant", F.col("keep.doc_id").alias("keep_id"), "group_size"), "classes")
