@@ -5,8 +5,8 @@ sequences of their own; the others are dealt at random to islands of about ISLAN
 of bins. Crossover injects well-filled bins of one parent whole into the other, drops the bins there that hold any of the
 same pieces, and puts displaced pieces into the best-fitting bins, largest first;
 a mutation opens the least-filled bins and some others and fits their pieces anew. An island stops at its lower bound,
-ceil(tokens / room). Islands that aren't there exchange elites: fill patterns of full bins go to the next island, which
-builds bins of its own pieces after them. At the end each island's few least-filled bins are opened, and their pieces are
+ceil(tokens / room). Islands that aren't there keep their whole population from epoch to epoch and exchange elites: fill
+patterns of their fullest bins go to the next island, which builds bins of its own pieces after them. At the end each island's few least-filled bins are opened, and their pieces are
 packed together with those of FAN islands, in a tree up to one island, so that waste doesn't grow with the islands.
 
 Nulls: a null text is empty (the end id only). Repeated rows, and rows with null doc_id, give pieces of their own. Empty
@@ -172,18 +172,17 @@ def after_patterns(room: int, size: list[int], patterns: list[list[int]]) -> lis
     return out
 
 
-def evolve(room: int, size: list[int], rng: np.random.Generator, first: list | None = None, migrants: list | None = None) -> list[tuple[int, ...]]:
-    """The best set of bins found. Fewer bins win, then the larger sum of squared fills."""
+def evolve(room: int, size: list[int], rng: np.random.Generator, first: list | None = None, migrants: list | None = None) -> list[list[tuple[int, ...]]]:
+    """The population, best solution first: fewer bins win, then the larger sum of squared fills. `first` is the population
+    of the epoch before. A solution at the lower bound stands alone."""
     bound = -(-sum(size) // room)
-    falling = sorted(range(len(size)), key=lambda i: -size[i])
     fill = lambda b: sum([size[i] for i in b])
     worth = lambda s: (-len(s), sum(fill(b) ** 2 for b in s))
-    start = first or best_fit(room, size, falling)
-    if len(start) <= bound:
-        return start
-    group = [start]
+    group = list(first) if first else [best_fit(room, size, sorted(range(len(size)), key=lambda i: -size[i]))]
+    if len(group[0]) <= bound:
+        return group[:1]
     if migrants:
-        group.append(crossed(room, size, start, after_patterns(room, size, migrants)))
+        group.append(crossed(room, size, group[0], after_patterns(room, size, migrants)))
     while len(group) < POPULATION:
         noise = np.array(size) * rng.uniform(0.7, 1.3, len(size))
         group.append(best_fit(room, size, np.argsort(-noise).tolist()))
@@ -199,12 +198,26 @@ def evolve(room: int, size: list[int], rng: np.random.Generator, first: list | N
             child = crossed(room, size, group[a], [x for x, t in zip(well, take, strict=True) if t])
             children.append(reopened(room, size, child, rng))
         group = sorted(group + children, key=worth, reverse=True)[:POPULATION]
-    return group[0]
+    return group[:1] if len(group[0]) <= bound else group[:POPULATION]
 
 
 # --- islands ----------------------------------------------------------------------------------------------------------
 
-_ROWS = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long, island long, bin int, offset long, fill long, pattern array<int>"
+#: others: a piece's bins in the other solutions of its island's population.
+_ROWS = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long, island long, bin int, offset long, fill long, others array<int>, pattern array<int>"
+
+
+def _numbers(bins: list[tuple[int, ...]], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int32)
+    for k, b in enumerate(bins):
+        out[list(b)] = k
+    return out
+
+
+def _bins(numbers: np.ndarray) -> list[tuple[int, ...]]:
+    order = np.argsort(numbers, kind="stable")
+    cuts = np.flatnonzero(np.diff(numbers[order])) + 1
+    return [tuple(g.tolist()) for g in np.split(order, cuts)]
 
 
 def _pack(room: int, seed: int, level: int, epoch: int):
@@ -217,20 +230,24 @@ def _pack(room: int, seed: int, level: int, epoch: int):
         rng = np.random.default_rng([seed, level, epoch, island])
         first = None
         if epoch:
-            first = [tuple(g) for g in items.groupby("bin").indices.values()]
+            others = np.array([list(x) for x in items["others"]], dtype=np.int64).reshape(len(size), -1)
+            first = [_bins(items["bin"].to_numpy().astype(np.int64)), *[_bins(others[:, k]) for k in range(others.shape[1])]]
         migrants = [[int(n) for n in p] for p in pdf.loc[pdf["pattern"].notna(), "pattern"]]
-        bins = sorted(evolve(room, size, rng, first, migrants), key=lambda b: (sum(size[i] for i in b), b))
-        number, offset, fill = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        for k, b in enumerate(bins):
+        fill_of = lambda b: sum([size[i] for i in b])
+        best, *rest = evolve(room, size, rng, first, migrants)
+        bins = sorted(best, key=lambda b: (fill_of(b), b))
+        offset, fill = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        for b in bins:
             at = 0
             for i in b:
-                number[i], offset[i] = k, at
+                offset[i] = at
                 at += size[i]
             fill[list(b)] = at
-        out = items.assign(bin=number, offset=offset, fill=fill)
-        if epoch + 1 < EPOCHS and len(bins) > -(-sum(size) // room):
-            full = [[size[i] for i in b] for b in bins if sum(size[i] for i in b) == room][:ELITES]
-            sent = pd.DataFrame({"island": island, "pattern": full})
+        more = epoch + 1 < EPOCHS and len(bins) > -(-sum(size) // room)
+        kept = np.stack([_numbers(b, len(size)) for b in rest], axis=1).tolist() if more and rest else [[]] * len(size)
+        out = items.assign(bin=_numbers(bins, len(size)), offset=offset, fill=fill, others=kept)
+        if more:  # an island that isn't finished always sends elites, full or not: they tell so
+            sent = pd.DataFrame({"island": island, "pattern": [[size[i] for i in b] for b in bins[::-1][:ELITES]]})
             out = pd.concat([out, sent.reindex(columns=out.columns)], ignore_index=True).astype({"piece": "Int32", "bin": "Int32", **{c: "Int64" for c in ("uid", "start", "length", "ids_crc32", "island", "offset", "fill")}})
         return out
 
@@ -264,7 +281,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, room: int = 1024
     whole = table.where(F.col("length") == room).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose = table.where(F.col("length") < room)
     islands = max(1, -(-loose.count() // ISLAND))
-    empty = {"bin": F.lit(None).cast("int"), "offset": F.lit(None).cast("long"), "fill": F.lit(None).cast("long"), "pattern": F.lit(None).cast("array<int>")}
+    empty = {"bin": F.lit(None).cast("int"), "offset": F.lit(None).cast("long"), "fill": F.lit(None).cast("long"), "others": F.lit(None).cast("array<int>"), "pattern": F.lit(None).cast("array<int>")}
     columns = [c.split()[0] for c in schema.split(", ")]
     at = loose.withColumn("island", F.pmod(F.xxhash64("uid"), F.lit(islands))).withColumns(empty).select(*columns)
     result, level = whole, 0
