@@ -137,13 +137,60 @@ def test_order_minhash_heeds_order_and_occurrence():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=120), st.integers(0, 5))
 def test_packing_keeps_pieces_and_room(size, seed):
-    bins = packing.evolve(64, size, np.random.default_rng(seed))
+    group = packing.evolve(64, size, np.random.default_rng(seed))
+    again = packing.evolve(64, size, np.random.default_rng(seed + 1), group, [[40, 24], [10]])
+    for bins in [*group, *again]:
+        assert sorted(i for b in bins for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 64 for b in bins)
+        assert sorted(packing._bins(packing._numbers(bins, len(size)))) == sorted(tuple(sorted(b)) for b in bins)
+    bins = group[0]
+    assert len(again[0]) <= len(bins)
     assert sorted(i for b in bins for i in b) == list(range(len(size)))
     assert all(sum(size[i] for i in b) <= 64 for b in bins) and len(bins) <= len(packing.best_fit(64, size, sorted(range(len(size)), key=lambda i: -size[i])))
     fit = packing.subset_fit(64, size)
     assert sorted(i for b in fit for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 64 for b in fit)
 
 
+def _least_bins(room, size):
+    """The fewest bins, by trying all ways."""
+    best = [len(size)]
+
+    def go(left, free):
+        if len(free) >= best[0]:
+            return
+        if not left:
+            best[0] = len(free)
+            return
+        n, tried = left[0], set()
+        for k, f in enumerate(free):
+            if f >= n and f not in tried:
+                tried.add(f)
+                go(left[1:], free[:k] + [f - n] + free[k + 1 :])
+        go(left[1:], [*free, room - n])
+
+    go(sorted(size, reverse=True), [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(8, 40), min_size=1, max_size=11), st.integers(0, 5))
+def test_packing_finds_the_fewest_bins_of_few_pieces(size, seed):
+    assert len(packing.evolve(64, size, np.random.default_rng(seed))[0]) == _least_bins(64, size)
+
+
+def test_unfinished_islands_without_full_bins_go_on():
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    size = r.integers(260, 340, 900)  # three in a bin, none of them full
+    rows = pd.DataFrame({"uid": range(900), "doc_id": range(900), "piece": 0, "start": 0, "length": size, "ids_crc32": 0, "island": 3, "bin": None, "offset": None, "fill": None, "others": None, "pattern": None})
+    one = packing._pack(1024, 1, 0, 0)(rows)
+    elites = one[one["pattern"].notna()]
+    own = one[one["pattern"].isna()]
+    assert len(elites) == packing.ELITES and set(elites["island"]) == {3} and max(own["fill"]) <= 1024 and len(own) == 900
+    two = packing._pack(1024, 1, 0, 1)(one)
+    assert two["pattern"].isna().all() and two["bin"].nunique() <= own["bin"].nunique()
+
+
 def test_crossover_and_migration():
     size = [40, 24, 30, 34, 20, 20, 24]
     child = packing.crossed(64, size, [(0, 4), (1, 2), (3, 5), (6,)], [(0, 1)])
@@ -180,19 +227,63 @@ def test_pivot_keeps_words_and_expectation():
 @given(st.text(alphabet="ab .!\né\U0001f44d", max_size=300), st.text(alphabet="ab .!\n", max_size=200))
 def test_merkle(a, b):
     for t in (a, b):
-        assert "".join(x for p in merkle._PARAGRAPHS.findall(t) for x in merkle._LEAVES.findall(p)) == t
+        assert "".join(merkle._TOKENS.findall(t)) == t
     fa, fb = merkle.fingerprint(a), merkle.fingerprint(b)
     assert (fa == fb) == (a == b) and (fa.split("|")[0] == fb.split("|")[0]) == (a == b)
     assert 0 <= merkle.likeness(fa, fb) <= 1 and merkle.likeness(fa, fa) == 1 and merkle.likeness(fa, fb) == merkle.likeness(fb, fa)
-    assert merkle.fingerprint(a, {}) == fa and merkle.fingerprint(None) == merkle.fingerprint("")
+    known = merkle.Tokens()
+    assert merkle.fingerprint(b, known) == fb and merkle.fingerprint(a, known) == fa and merkle.fingerprint(None) == merkle.fingerprint("")
+    for start, end, other, other_end in merkle.differing(fa, fb):
+        assert 0 <= start <= end <= len(a) and 0 <= other <= other_end <= len(b)
+    assert (merkle.differing(fa, fb) == []) == (a == b)
+    # what isn't told to differ is the same text in both, in order
+    rest = lambda t, cuts: "".join(t[e:s] for e, s in zip([0, *[c[1] for c in cuts]], [*[c[0] for c in cuts], len(t)], strict=True))
+    cuts = merkle.differing(fa, fb)
+    assert rest(a, [c[:2] for c in cuts]) == rest(b, [c[2:] for c in cuts])
+
+
+LINES = [f"Line {i} says {i * i}. And so on it goes.\n" for i in range(200)]
+
+
+def test_merkle_levels_are_nested_and_few():
+    for text in ("".join(LINES), "spam " * 5000, "x" * 9000, "one two. three"):
+        tree = merkle.levels(merkle.Tokens().of(text))
+        assert all(sum(n.tolist()) == len(text) for _, n in tree) and len(tree[-1][0]) == 1
+        for (_, fine), (_, coarse) in zip(tree, tree[1:], strict=False):
+            assert set(np.cumsum(coarse).tolist()) <= set(np.cumsum(fine).tolist()) and len(coarse) <= len(fine)
+        assert all(len(level) <= merkle.NODES for level in merkle._nodes(merkle.fingerprint(text))[2])
 
 
 def test_merkle_locates_an_edit():
-    text = "".join(f"Line {i} says {i * i}. And so on it goes.\n" for i in range(200))
+    text = "".join(LINES)
     changed = text.replace("Line 120 says", "Line 120 SAYS")
     where = merkle.differing(merkle.fingerprint(text), merkle.fingerprint(changed))
-    assert len(where) == 1 and where[0][1] <= text.index("Line 120 says") + 9 < where[0][2] and where[0][2] - where[0][1] <= 64
-    assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(changed)) > 0.95
+    assert len(where) == 1 and where[0][0] <= text.index("Line 120 says") + 9 < where[0][1] and where[0][:2] == where[0][2:] and where[0][1] - where[0][0] < len(text) / 8
+    assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(changed)) > 0.85
+
+
+def test_merkle_locates_moved_and_repeated_paragraphs():
+    paragraphs = ["".join(LINES[10 * k : 10 * k + 10]) + "\n" for k in range(12)]
+    plain = "".join(paragraphs)
+    moved = "".join([*paragraphs[:3], paragraphs[7], *paragraphs[3:7], *paragraphs[8:]])
+    twice = "".join([*paragraphs[:5], paragraphs[4], *paragraphs[5:]])
+    f = merkle.fingerprint(plain)
+    for text in (moved, twice):
+        g = merkle.fingerprint(text)
+        for cuts in (merkle.differing(f, g), merkle.differing(g, f)):
+            assert cuts and sum(e - s + x - o for s, e, o, x in cuts) < len(plain) / 2
+    assert merkle.likeness(f, merkle.fingerprint(moved)) > 0.8
+
+
+@pytest.mark.parametrize("words", [8, 30, 120, 700, 6000])
+def test_likeness_is_near_the_share_that_stays(words):
+    r, off = random.Random(words), []
+    for _ in range(30):
+        text, other = (" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) + r.choice(["", "", "", "", ".", ","]) for _ in range(words)) for _ in range(2))
+        changed = merkle.edited(text, other)
+        off.append(merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(changed)) - 0.75)
+        assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(other)) < 0.2
+    assert -0.12 < sum(off) / len(off) <= 0.03 and min(off) > -0.35
 
 
 @settings(max_examples=100, deadline=None)
