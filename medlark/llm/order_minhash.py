@@ -3,12 +3,14 @@
 Shingles are five consecutive words (lower case, punctuation left out), each labelled with its number of occurrence. For
 each of BANDS hash functions a text's TUPLE least labelled shingles are taken and kept in their order in the text; the
 hash of that ordered tuple is a bucket, so texts with the same shingles in another order part. Equal texts are first
-brought together as one class each. A few rounds compare a bucket's classes with a leader drawn by hash, which gives as
-many pairs as there are members and joins large groups. What then still is apart is settled exactly: of all texts of open
-buckets (several components, more than a pair), every pair across components that a prefix filter can't rule out is
-compared, text against text. With shingles in one order for all, rare ones first, two texts of similarity 0.8 or more share
-one so early that the rest of either is long enough; so every pair of a bucket ends in one component, or was compared, or
-is proven to be below 0.8. The number of leader rounds changes the cost, not the classes.
+brought together as one class each. Leaders come first: a bucket's classes are compared with the text that shares its
+buckets with most, which gives as many pairs as there are members and joins large groups. What then still is apart is
+settled exactly: of all texts of open buckets (several components, more than a pair), every pair across components that a
+prefix filter can't rule out is compared, text against text. With shingles in one order for all, rare ones first, two texts
+of similarity 0.8 or more share one so early that the rest of either is long enough; so every pair of a bucket ends in one
+component, or was compared, or is proven to be below 0.8. The texts that share an early shingle with a large component are
+compared with one central text of it before that, as most of them are joined by it. The numbers of leader rounds change the
+cost, not the classes.
 
 A pair is a link if its similarity is 0.8 or more: shingles that a banded alignment matches in order, over all shingles of
 both. The band is as wide as that similarity allows gaps, so nothing that reaches it is lost. Links' connected components
@@ -28,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, pick, remove, screen, written
 from .tokens import balanced
 
-SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS = 5, 0.8, 20, 4, 4, 2
+SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS, CENTRAL = 5, 0.8, 20, 4, 4, 1, 2
 #: Slots of the table of shingle counts, a byte each, that puts rare shingles first. Any table gives the same pairs in the end.
 SLOTS = 1 << 22
 #: Shingles of a text that gets exact buckets as well.
@@ -204,13 +206,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, component: DataFrame | None, round_: int) -> DataFrame:
-    """Distinct (leader, member): in each bucket, one text of each component against the bucket's leader of this round."""
-    drawn = lambda c: F.xxhash64(c, F.col("band") % LEADERS, F.lit(round_))
+    """Distinct (leader, member): in each bucket, one text of each component against the bucket's leader of this round. In
+    every other round that is the text which shares its buckets with most, near the middle of a group; else one by chance."""
+    chance = lambda c: F.xxhash64(c, F.col("band") % LEADERS, F.lit(round_))
+    drawn = (lambda c: F.struct(-F.col("company"), F.xxhash64(c))) if round_ % 2 == 0 else chance
     rows = buckets.withColumn("component", F.col("uid"))
     if component is not None:
         rows = buckets.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     if component is not None:
-        rows = rows.groupBy("band", "bucket", "component").agg(F.min_by(F.struct("uid", "n"), drawn("uid")).alias("one")).select("band", "bucket", "component", "one.uid", "one.n")
+        rows = rows.groupBy("band", "bucket", "component").agg(F.min_by(F.struct("uid", "n", "company"), drawn("uid")).alias("one")).select("band", "bucket", "component", "one.uid", "one.n", "one.company")
     # one row a bucket, summed within tasks first; a bucket's members are then met by key, and a large one is split
     lead = rows.groupBy("band", "bucket").agg(F.min_by(F.struct("uid", "n"), drawn("uid")).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket", F.col("leader.uid").alias("leader"), F.col("leader.n").alias("ln"))
     found = rows.join(lead, ["band", "bucket"]).where(F.col("uid") != F.col("leader")).where(F.least("n", "ln") >= SIMILAR * F.greatest("n", "ln"))
@@ -218,13 +222,13 @@ def _pairs(buckets: DataFrame, component: DataFrame | None, round_: int) -> Data
 
 
 def _open(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(uid, component, n) of the texts in buckets that leaders haven't settled: of several components, and more than two
+    """(uid, n, company) of the texts in buckets that leaders haven't settled: of several components, and more than two
     members, as the first leader meets every other member."""
     rows = buckets.withColumn("component", F.col("uid"))
     if component is not None:
         rows = buckets.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     apart = rows.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("members > 2 and lo < hi").select("band", "bucket")
-    return rows.join(apart, ["band", "bucket"]).select("uid", "component", "n").distinct()
+    return rows.join(apart, ["band", "bucket"]).select("uid", "n", "company").distinct()
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -252,7 +256,7 @@ def _rarity(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """(uid, component, n, shingle, place) of the first shingles of each text, the rare ones of all rows first: as many as it
+    """(uid, n, company, shingle, place) of the first shingles of each text, the rare ones of all rows first: as many as it
     takes for two texts that are similar enough to share one."""
     shared = rows.sparkSession.sparkContext.broadcast(_rarity(rows))
 
@@ -267,24 +271,48 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                 counts.append(len(found[-1]))
             at = np.repeat(np.arange(b.num_rows), counts)
             place = np.concatenate([np.zeros(0, np.int32), *[np.arange(c, dtype=np.int32) for c in counts]])
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in ("uid", "component", "n")], pa.array(np.concatenate(found).view(np.int64)), pa.array(place)], names=["uid", "component", "n", "shingle", "place"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in ("uid", "n", "company")], pa.array(np.concatenate(found).view(np.int64)), pa.array(place)], names=["uid", "n", "company", "shingle", "place"])
 
-    return rows.select("uid", "component", "n", "text").mapInArrow(run, "uid long, component long, n long, shingle long, place int")
+    return rows.select("uid", "n", "company", "text").mapInArrow(run, "uid long, n long, company long, shingle long, place int")
 
 
-def _left(rows: DataFrame) -> DataFrame:
-    """Distinct (leader, member) of different components that may be similar enough: a shared shingle in both prefixes, and
-    behind it enough shingles in either text. Pairs within a shingle's largest component are never met."""
-    early = written(_prefixes(rows), "prefixes")
-    heads = early.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "major")
+def _placed(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """rows with the component of each uid: its own where no link has been found."""
+    if component is None:
+        return rows.withColumn("component", F.col("uid"))
+    return rows.join(component, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+
+def _met(early: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The rows of shingles that several components have early, with the shingle's largest component and its central text."""
+    rows = _placed(early, component)
+    parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"), F.max_by(F.struct("uid", "n", "place"), F.struct("company", "uid")).alias("central"))
+    heads = parts.groupBy("shingle").agg(F.max_by(F.struct("component", "central"), F.struct("c", "component")).alias("head"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("head.component").alias("major"), "head.central")
     heads = written(heads, "heads")
     passes = screen(heads, "shingle")
-    met = written(early.where(passes(F.col("shingle"))).join(heads, "shingle"), "met")
-    remove(rows.sparkSession, early)
-    minor = met.where("component != major").select("shingle", *[F.col(c).alias(f"{c}_") for c in ("uid", "component", "n", "place")])
-    least, all_ = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")), F.col("n") + F.col("n_")
-    near = (F.least("n", "n_") >= SIMILAR * F.greatest("n", "n_") - 1e-6) & (least >= SIMILAR / (1 + SIMILAR) * all_ - 1e-6)
-    found = minor.join(met, "shingle").where((F.col("component") != F.col("component_")) & ((F.col("component") == F.col("major")) | (F.col("uid") > F.col("uid_"))) & near)
+    return written(rows.where(passes(F.col("shingle"))).join(heads, "shingle"), "met")
+
+
+def _near(n, place, n_, place_):
+    """Whether two texts that share a shingle at these places, and none before, may be similar enough."""
+    least = F.least(n - place, n_ - place_)
+    return (F.least(n, n_) >= SIMILAR * F.greatest(n, n_) - 1e-6) & (least >= SIMILAR / (1 + SIMILAR) * (n + n_) - 1e-6)
+
+
+def _central(met: DataFrame) -> DataFrame:
+    """Distinct (leader, member): a text against the central text of the largest component that shares an early shingle."""
+    c = F.col
+    found = met.where((c("component") != c("major")) & _near(c("n"), c("place"), c("central.n"), c("central.place")))
+    return found.select(F.least("uid", "central.uid").alias("leader"), F.greatest("uid", "central.uid").alias("member")).distinct()
+
+
+def _left(met: DataFrame) -> DataFrame:
+    """Distinct (leader, member) of different components that may be similar enough: a shared shingle in both prefixes, and
+    behind it enough shingles in either text. Pairs within a shingle's largest component are never met."""
+    c = F.col
+    minor = met.where("component != major").select("shingle", *[c(x).alias(f"{x}_") for x in ("uid", "component", "n", "place")])
+    apart = (c("component") != c("component_")) & ((c("component") == c("major")) | (c("uid") > c("uid_")))
+    found = minor.join(met.select("shingle", "uid", "component", "major", "n", "place"), "shingle").where(apart & _near(c("n"), c("place"), c("n_"), c("place_")))
     return found.select(F.least("uid", "uid_").alias("leader"), F.greatest("uid", "uid_").alias("member")).distinct()
 
 
@@ -318,7 +346,7 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes; each turn is written, so lineage stays short and nothing is collected."""
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     before = None
-    for _ in range(40):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -336,6 +364,19 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("uid"), F.col("b").alias("component")).unionByName(roots)
 
 
+def joined(component: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """(uid, component) after more links (leader, member): only the components that these touch are worked on."""
+    ends = fresh.select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    if component is None:
+        return written(components(ends), "components")
+    for end in ("a", "b"):
+        ends = ends.join(component.select(F.col("uid").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    further = components(ends).select(F.col("uid").alias("component"), F.col("component").alias("further"))
+    fresh_ends = fresh.select(F.explode(F.array("leader", "member")).alias("uid")).distinct().join(component, "uid", "left_anti")
+    every = component.unionByName(fresh_ends.withColumn("component", F.col("uid")))
+    return written(every.join(further, "component", "left").select("uid", F.coalesce("further", "component").alias("component")), "components")
+
+
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, key, class_id, class_size, links and kept of every row. links: verified links of the row's text."""
     docs = pick(docs, "doc_id", "text")
@@ -344,35 +385,53 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts_ = rows.where("n > 0").groupBy("t1", "t2").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     uniq = written(texts_.select("t1", "t2", "one.doc_id", "one.key", "n", "keys", "copies").withColumn("uid", F.monotonically_increasing_id()), "texts")
     every = uniq.select("uid", "n", F.posexplode("keys").alias("band", "bucket")).withColumn("band", F.least("band", F.lit(BANDS)))
-    shared = written(every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket"), "shared")
+    shared = written(every.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket", "members"), "shared")
     passes = screen(shared, "bucket")
-    buckets = written(every.where(passes(F.col("bucket"))).join(shared, ["band", "bucket"]), "buckets")
-    involved = buckets.select("uid").distinct().join(uniq.select("uid", "doc_id", "key"), "uid")
+    # company: how often a text meets another in its buckets; a text has some 30 of them at most
+    company = F.sum("members").over(Window.partitionBy("uid")).alias("company")
+    buckets = written(every.where(passes(F.col("bucket"))).join(shared, ["band", "bucket"]).select("uid", "n", "band", "bucket", company), "buckets")
+    involved = written(buckets.select("uid").distinct().join(uniq.select("uid", "doc_id", "key"), "uid"), "wanted")
     passes = screen(involved, "key")
     text = F.col("text").cast("string")
     found = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("k"), text.alias("text")).where(passes(F.col("k")))
     texts = found.join(involved, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).groupBy("uid").agg(F.first("text").alias("text"))
     texts = written(texts, "involved")
     links = component = tried = None
-    for round_ in range(ROUNDS + 1):
-        if round_ < ROUNDS:
-            pairs = _pairs(buckets, component, round_)
-        else:  # whatever the leaders left
-            pairs = _left(written(texts.join(_open(buckets, component), "uid"), "open"))
+
+    def linked(pairs: DataFrame) -> bool:
+        """Compares the pairs that haven't been compared yet; whether that gave any link."""
+        nonlocal links, component, tried
         if tried is not None:
             ways = tried.unionByName(tried.select(F.col("member").alias("leader"), F.col("leader").alias("member")))
             pairs = pairs.join(ways, ["leader", "member"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.isEmpty():
-            continue
+            return False
         fresh = written(verified(pairs, texts), "verified")
         if fresh.isEmpty():
-            continue
+            return False
         links = fresh if links is None else links.unionByName(fresh)
-        component = written(components(links.select(F.col("leader").alias("a"), F.col("member").alias("b"))), "components")
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # so that Spark drops the shuffle files of rounds that are over
+        component = joined(component, fresh)
+        return True
+
+    for round_ in range(ROUNDS):
+        linked(_pairs(buckets, component, round_))
+    open_ = written(texts.join(_open(buckets, component), "uid"), "open")
+    if not open_.isEmpty():
+        early = written(_prefixes(open_), "prefixes")
+        remove(spark, open_)
+        met = _met(early, component)
+        for _ in range(CENTRAL):
+            if not linked(_central(met)):
+                break
+            remove(spark, met)
+            met = _met(early, component)
+        linked(_left(met))
+        remove(spark, early)
+        remove(spark, met)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that Spark drops the shuffle files of rounds that are over
     remove(spark, texts)
     ends = None
     if component is None:
