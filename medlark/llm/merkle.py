@@ -9,9 +9,9 @@ mean equal texts.
 
 A fingerprint is a string: root, number of its lowest level, and from there to the top the nodes of each level, as code
 points and hash. The lowest level is the first one with at most NODES nodes, by one rule for texts of every size. Two
-fingerprints are compared from the lowest level of either that both have, top down: equal branches are passed over whole.
-`likeness` is the share of the longer text's code points in branches that both have; `differing` aligns branches in order
-and gives the places of the differing ones in either text, moved and repeated ones included.
+fingerprints are compared from the lowest level that both have on. `likeness` is the share of the longer text's code points
+in branches that both have; `differing` goes from the top down, passes over equal branches whole, aligns the others in order
+and gives their places in either text, moved and repeated ones included.
 
 Null text: empty. The empty text has a root and no nodes; two empty texts are alike, 1.0, an empty and another 0.0. A null
 doc_id comes before all others; rows of equal doc_id follow each other by text. A sole document is its own next. Empty
@@ -21,8 +21,11 @@ table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from array import array
 from collections import Counter
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -34,12 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-TOKEN, FANOUT, NODES = 12, 16, 128
+TOKEN, FANOUT, NODES, HASH_BITS = 12, 16, 128, 40
 #: Levels at which nodes end with sentences, paragraphs and sections (paragraphs before an empty line).
 SENTENCE, PARAGRAPH, SECTION = 2, 4, 6
 #: Bytes of text in a range of documents.
 RANGE_BYTES = 64 << 20
 _TOKENS = re.compile(rf"\S{{1,{TOKEN}}}\s*|\s+")
+_STOPS = {".", "!", "?"}
 _U = np.uint64
 
 
@@ -49,32 +53,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _end_of(token: str, h: int) -> int:
-    """The level that ends with a token."""
-    zeros = (h & -h).bit_length() - 1 if h else 64
-    level = zeros >> 1
-    lines = token.count("\n")
-    if lines:
-        return max(level, SECTION if lines > 1 else PARAGRAPH)
-    return max(level, SENTENCE) if token.rstrip()[-1:] in ".!?" else level
+class Tokens(dict):
+    """Numbers of tokens, and by number their hash, the level that they end and their code points; kept between texts in a
+    bounded cache."""
 
-
-class Tokens:
-    """(hash, level of its end, code points) of tokens, kept between texts in a bounded cache."""
+    MOST = 200_000
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.rows = array("Q")
+
+    def __missing__(self, token: str) -> int:
+        h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) or 1
+        level = (h & -h).bit_length() - 1 >> 1
+        if "\n" in token:
+            level = max(level, SECTION if token.count("\n") > 1 else PARAGRAPH)
+        elif token.rstrip()[-1:] in _STOPS:
+            level = max(level, SENTENCE)
+        self.rows.extend((h, level, len(token)))
+        k = self[token] = len(self)
+        return k
 
     def of(self, text: str) -> np.ndarray:
+        """(hash, level, code points) of each token of a text."""
+        if len(self) > self.MOST:
+            self.clear()
+            self.rows = array("Q")
         found = _TOKENS.findall(text)
-        known = self.known
-        if len(known) > 200_000:
-            known.clear()
-        for t in set(found):
-            if t not in known:
-                h = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-                known[t] = (h, _end_of(t, h), len(t))
-        return np.array([known[t] for t in found], dtype=_U).reshape(-1, 3)
+        numbers = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        return np.frombuffer(self.rows, dtype=_U).reshape(-1, 3)[numbers]
 
 
 def levels(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,14 +90,16 @@ def levels(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     level = 0
     while len(h) > 1:
         level += 1
-        at = np.arange(len(h))
         last = end >= level
         last[-1] = True
-        first = np.concatenate([[True], last[:-1]])
-        place = at - np.maximum.accumulate(np.where(first, at, 0))
-        last |= place % FANOUT == FANOUT - 1
-        starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-        place = at - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]])))
+        ends = np.flatnonzero(last) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        place = np.arange(len(h)) - np.repeat(starts, sizes)
+        if sizes.max() > FANOUT:
+            last |= place % FANOUT == FANOUT - 1
+            starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+            place %= FANOUT
         h = _mix(np.add.reduceat(_mix(h + _PLACES[place]), starts) + _U(level))
         n = np.add.reduceat(n, starts)
         end = end[last]
@@ -102,104 +110,94 @@ def levels(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 _PLACES = _mix(np.arange(1, FANOUT + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def fingerprint(text: str | None, tokens: Tokens | None = None) -> str:
+@dataclass
+class Tree:
+    """A fingerprint taken apart: root, number of the lowest level, and the nodes of each level from there on, each one number
+    of code points and HASH_BITS of its hash."""
+
+    root: str
+    low: int
+    levels: list[list[int]]
+
+    @property
+    def size(self) -> int:
+        return sum(x >> HASH_BITS for x in self.levels[0]) if self.levels else 0
+
+    def __str__(self) -> str:
+        body = "|".join([",".join(["%x" % x for x in level]) for level in self.levels])
+        return f"{self.root}|{self.low}|{body}"
+
+    @classmethod
+    def parse(cls, text: str) -> Tree:
+        root, low, *body = text.split("|")
+        return cls(root, int(low), [[int(x, 16) for x in level.split(",")] for level in body if level])
+
+
+def tree(text: str | None, tokens: Tokens | None = None) -> Tree:
     text = text or ""
-    tree = levels((tokens or Tokens()).of(text)) if text else []
-    low = next((k for k, (h, _) in enumerate(tree) if len(h) <= NODES), 0)
-    root = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, key=b"" if not tree else int(tree[-1][0][0]).to_bytes(8, "little")).hexdigest()
-    body = "|".join([",".join([f"{n:x}.{h & 0xFFFFFFFFFF:010x}" for h, n in zip(h.tolist(), n.tolist(), strict=True)]) for h, n in tree[low:]])
-    return f"{root}|{low}|{body}"
-
-
-def _nodes(print_: str) -> tuple[str, int, list[list[tuple[int, str]]]]:
-    """Root, lowest level, and the (code points, hash) of each level from there on."""
-    root, low, *body = print_.split("|")
-    return root, int(low), [[(int(n, 16), x) for n, _, x in (node.partition(".") for node in level.split(","))] for level in body if level]
-
-
-def _compared(a: str, b: str):
-    """The levels that both have, lowest first, as lists of nodes; None where one has none."""
-    (ra, la, ta), (rb, lb, tb) = _nodes(a), _nodes(b)
-    if not ta or not tb:
-        return ra == rb, ta, tb, None
-    low = max(la, lb)
-    # a text whose top is below the other's lowest level: its top node has no equal there
-    top = min(la + len(ta), lb + len(tb))
-    if top <= low:
-        return ra == rb, ta, tb, None
-    return ra == rb, ta, tb, (ta[low - la : top - la], tb[low - lb : top - lb])
-
-
-def _children(level: list[tuple[int, str]], below: list[tuple[int, str]], wanted: list[int]) -> list[int]:
-    """Places of the children of the wanted nodes in the level below: those within the same code points."""
-    out, k, at, left = [], 0, 0, set(wanted)
-    for i, (n, _) in enumerate(level):
-        end, got = at + n, k
-        while k < len(below) and at < end:
-            at += below[k][0]
-            k += 1
-        if i in left:
-            out += range(got, k)
-    return out
+    every = levels((Tokens() if tokens is None else tokens).of(text)) if text else []
+    low = next((k for k, (h, _) in enumerate(every) if len(h) <= NODES), 0)
+    top = int(every[-1][0][0]).to_bytes(8, "little") if every else b""
+    root = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, key=top).hexdigest()
+    mask = _U((1 << HASH_BITS) - 1)
+    return Tree(root, low, [((n.astype(_U) << _U(HASH_BITS)) | (h & mask)).tolist() for h, n in every[low:]])
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of the longer text's code points in branches of both; 1 for equal roots."""
-    same, ta, tb, both = _compared(a, b)
-    if same:
+def fingerprint(text: str | None, tokens: Tokens | None = None) -> str:
+    return str(tree(text, tokens))
+
+
+def _levels_of_both(a: Tree, b: Tree) -> tuple[list[list[int]], list[list[int]]] | None:
+    """The levels that both have, lowest first; None if one has none, or is below the other's lowest level as a whole."""
+    low, top = max(a.low, b.low), min(a.low + len(a.levels), b.low + len(b.levels))
+    if not a.levels or not b.levels or top <= low:
+        return None
+    return a.levels[low - a.low : top - a.low], b.levels[low - b.low : top - b.low]
+
+
+def alike(a: Tree, b: Tree) -> float:
+    """Share of the longer text's code points in branches of both; 1 for equal roots. Equal branches have equal nodes in the
+    lowest common level, so that level counts them all, each as often as both have it."""
+    if a.root == b.root:
         return 1.0
-    if both is None:
+    both = _levels_of_both(a, b)
+    if both is None or set(both[0][0]).isdisjoint(both[1][0]):
         return 0.0
-    total = max(sum(n for n, _ in ta[0]), sum(n for n, _ in tb[0]))
-    la, lb = both
-    open_a, open_b, common = list(range(len(la[-1]))), list(range(len(lb[-1]))), 0
-    for k in range(len(la) - 1, -1, -1):
-        met = Counter(la[k][i] for i in open_a) & Counter(lb[k][i] for i in open_b)
-        if met:
-            common += sum(n * c for (n, _), c in met.items())
-            open_a, open_b = _rest(la[k], open_a, met), _rest(lb[k], open_b, met)
-        if k:
-            open_a, open_b = _children(la[k], la[k - 1], open_a), _children(lb[k], lb[k - 1], open_b)
-    return common / total if total else 0.0
-
-
-def _rest(level: list[tuple[int, str]], places: list[int], met: Counter) -> list[int]:
-    left, out = Counter(met), []
-    for i in places:
-        if left[level[i]] > 0:
-            left[level[i]] -= 1
-        else:
-            out.append(i)
-    return out
+    common = sum((x >> HASH_BITS) * c for x, c in (Counter(both[0][0]) & Counter(both[1][0])).items())
+    return common / max(a.size, b.size)
+
+
+def likeness(a: str, b: str) -> float:
+    return alike(Tree.parse(a), Tree.parse(b))
 
 
 def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """(start, end, other start, other end) in code points of the first and of the second text: the branches that an
-    alignment in order leaves over, from the first one on. Equal branches are passed over whole; of a pair of stretches one may be
-    empty (something was put in or left out)."""
-    same, ta, tb, both = _compared(a, b)
-    if same:
+    alignment in order leaves over, from the first one on. It goes from the top down: equal branches are passed over whole, and
+    only nodes below differing ones are looked at. Of a pair of stretches one may be empty (something was put in or left
+    out)."""
+    one, two = Tree.parse(a), Tree.parse(b)
+    if one.root == two.root:
         return []
+    both = _levels_of_both(one, two)
     if both is None:
-        return [(0, sum(n for n, _ in ta[0]) if ta else 0, 0, sum(n for n, _ in tb[0]) if tb else 0)]
+        return [(0, one.size, 0, two.size)]
     la, lb = both
-    starts = lambda level: np.concatenate([[0], np.cumsum([n for n, _ in level])]).astype(int).tolist()
+    starts = lambda level: list(itertools.accumulate((x >> HASH_BITS for x in level), initial=0))
     sa, sb = [starts(x) for x in la], [starts(x) for x in lb]
     gaps = [(0, len(la[-1]), 0, len(lb[-1]))]
     for k in range(len(la) - 1, -1, -1):
         finer = []
         for a0, a1, b0, b1 in gaps:
-            x, y = la[k][a0:a1], lb[k][b0:b1]
             i = j = 0
-            for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+            for m in SequenceMatcher(None, la[k][a0:a1], lb[k][b0:b1], autojunk=False).get_matching_blocks():
                 if m.a > i or m.b > j:
                     finer.append((a0 + i, a0 + m.a, b0 + j, b0 + m.b))
                 i, j = m.a + m.size, m.b + m.size
+        gaps = finer
         if k:  # the same stretches in nodes of the level below
-            place = lambda s, below, i: below.index(s[i])
-            gaps = [(place(sa[k], sa[k - 1], p), place(sa[k], sa[k - 1], q), place(sb[k], sb[k - 1], r), place(sb[k], sb[k - 1], s)) for p, q, r, s in finer]
-        else:
-            gaps = finer
+            below_a, below_b = ({at: i for i, at in enumerate(s[k - 1])} for s in (sa, sb))
+            gaps = [(below_a[sa[k][p]], below_a[sa[k][q]], below_b[sb[k][r]], below_b[sb[k][s]]) for p, q, r, s in finer]
     return [(sa[0][p], sa[0][q], sb[0][r], sb[0][s]) for p, q, r, s in gaps]
 
 
@@ -245,16 +243,16 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
 
     def run(batches):
         tokens = Tokens()
-        held = None  # (part, doc_id, text, fingerprint): waits for what follows it
+        held = None  # (part, doc_id, text, tree): waits for what follows it
         rows, size = [], 0
 
-        def give(one, following, following_print):
+        def give(one, following, next_tree):
             nonlocal size
             _, doc_id, text, own = one
             changed = edited(text, following)
-            new = fingerprint(changed, tokens)
-            rows.append((doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, new, likeness(own, new), likeness(own, following_print)))
-            size += len(own) + len(new)
+            new = tree(changed, tokens)
+            rows.append((doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), str(own), str(new), alike(own, new), alike(own, next_tree)))
+            size += len(rows[-1][3]) + len(rows[-1][4])
 
         def batch():
             nonlocal rows, size
@@ -267,12 +265,12 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
                 text = text or ""
                 if extra and (held is None or held[0] != to):
                     continue
-                print_ = fingerprint(text, tokens)
+                here = tree(text, tokens)
                 if held is not None and held[0] == to:
-                    give(held, text, print_)
+                    give(held, text, here)
                     held = None
                 if not extra:
-                    held = (to, doc_id, text, print_)
+                    held = (to, doc_id, text, here)
                 if size > 4 << 20:
                     yield batch()
         if held is not None:  # only a table of one range that nothing was lent to
