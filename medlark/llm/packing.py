@@ -248,7 +248,8 @@ def _pack(room: int, seed: int, level: int, epoch: int):
         out = items.assign(bin=_numbers(bins, len(size)), offset=offset, fill=fill, others=kept)
         if more:  # an island that isn't finished always sends elites, full or not: they tell so
             sent = pd.DataFrame({"island": island, "pattern": [[size[i] for i in b] for b in bins[::-1][:ELITES]]})
-            out = pd.concat([out, sent.reindex(columns=out.columns)], ignore_index=True).astype({"piece": "Int32", "bin": "Int32", **{c: "Int64" for c in ("uid", "start", "length", "ids_crc32", "island", "offset", "fill")}})
+            out = pd.concat([out, sent.reindex(columns=out.columns)], ignore_index=True)
+            out = out.assign(**{c: pd.Series([x if isinstance(x, list) else None for x in out[c]], dtype=object) for c in ("others", "pattern")}).astype({"piece": "Int32", "bin": "Int32", **{c: "Int64" for c in ("uid", "start", "length", "ids_crc32", "island", "offset", "fill")}})
         return out
 
     return run
