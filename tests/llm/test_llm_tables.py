@@ -261,7 +261,7 @@ def test_packing(spark, docs, empty, monkeypatch):
     assert packing.pack(spark, empty, BYTE).count() == 0
 
 
-def test_toxicity_learns_held_out_documents(spark):
+def test_toxicity_learns_held_out_documents(spark, monkeypatch):
     import random
 
     r = random.Random(2)
@@ -287,6 +287,11 @@ def test_toxicity_learns_held_out_documents(spark):
     assert all(not x["predicted"] for x in got if x["doc_id"] in (1000, 1001))
     clean = toxicity.clean_documents(spark, docs, labels)
     assert clean.columns == docs.columns and 700 < clean.count() < 790
+    # a model too large to be sent along gives the same through joins
+    monkeypatch.setattr(toxicity, "BROADCAST_TERMS", 0)
+    large = toxicity.scores(spark, docs, labels, segments=True).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 9), r["predicted"], r["significant"])
+    assert sorted(map(key, large)) == sorted(map(key, got)) and any(r["segments"] for r in large)
 
 
 def test_toxicity_without_labels(spark, docs, empty):
@@ -295,6 +300,39 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.scores(spark, empty, none).count() == 0
 
 
+def test_toxicity_model_by_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, marks = [], []
+    for i in range(600):
+        w = [r.choice(vocabulary[: 120 + 80 * (i % 5 != 0)]) for _ in range(r.randint(5, 60))] + ["foul"] * (i % 5 == 0 or i % 50 == 1) + ["calm"] * (i % 5 != 0 or i % 20 == 0)
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(i % 5 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.learn(spark, docs, labels)
+    train = {(t, y): 1 for (d, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(d).encode()) % 4 != 2}
+    n = Counter(y for _, y in train)
+    seen = {y: Counter(w for t, z in train if z == y for w in set(t.split())) for y in (0, 1)}
+    for w in {*seen[0], *seen[1]}:
+        y0, y1 = seen[0][w], seen[1][w]
+        if y0 + y1 < toxicity.KNOWN:
+            continue
+        a0, a1 = (n[y] / (n[0] + n[1]) for y in (0, 1))
+        delta = math.log((y1 + a1) / (n[1] + 1)) - math.log((y0 + a0) / (n[0] + 1))
+        wide = 3 * math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
+        want = delta - wide if delta - wide >= 1 else max(delta + wide, -1.0) if delta + wide < -0.1 else 0.0
+        assert model.score_of(w) == pytest.approx(want)
+    assert any(s < 0 for s in model.terms.values()) and model.score_of("foul") > 1
+    tokens_ = Counter(round(model.score_of(w), 3) or -model.drift for t, y in train if y == 0 for w in t.split())
+    total = sum(tokens_.values())
+    assert sum(c * s for s, c in tokens_.items()) < 0 and sum(c / total * math.exp(model.rate * s) for s, c in tokens_.items()) == pytest.approx(1, abs=0.01)
+    segments = sum(len(model.document(t.split(), {})[2]) for t, y in train if y == 0)
+    assert model.k == pytest.approx((segments + 1) / (total + 1))
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 700 + "</p>"
     rows = [(1, "http://a", big), (2, None, big), (3, "u", big + "."), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (None, "u", big), (2, None, big), (8, "u", "x" * 200_000)]

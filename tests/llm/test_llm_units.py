@@ -84,7 +84,7 @@ def _segments_by_definition(values):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([0, 0, 0, 0, 1.03, 0.57, 0.21, 2.11]), max_size=24))
+@given(st.lists(st.sampled_from([0, 0, 0, 0, 1.03, 0.57, 0.21, 2.11, -0.83, -0.13]), max_size=24))
 def test_maximal_segments(scores):
     hits = [(i, s) for i, s in enumerate(scores) if s]
     got = toxicity.maximal_segments(hits, drift=0.5)
@@ -93,6 +93,16 @@ def test_maximal_segments(scores):
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_rate_of_the_law():
+    import math
+
+    drift, rate = toxicity._solve_rate([(1.5, 10), (-0.7, 100), (0.0, 890)])
+    assert drift == toxicity.DRIFT and abs(0.01 * math.exp(1.5 * rate) + 0.1 * math.exp(-0.7 * rate) + 0.89 * math.exp(-drift * rate) - 1) < 1e-6
+    drift, rate = toxicity._solve_rate([(2.0, 500), (0.0, 500)])  # the drift grows until the mean is negative
+    assert drift == 3.2 and rate > 0
+    assert toxicity._solve_rate([(0.0, 5)]) == (toxicity.DRIFT, 1.0)
+
+
 def _lcs(a, b):
     p = [0] * (len(b) + 1)
     for x in a:
@@ -248,10 +258,11 @@ LINES = [f"Line {i} says {i * i}. And so on it goes.\n" for i in range(200)]
 def test_merkle_levels_are_nested_and_few():
     for text in ("".join(LINES), "spam " * 5000, "x" * 9000, "one two. three"):
         tree = merkle.levels(merkle.Tokens().of(text))
-        assert all(sum(n.tolist()) == len(text) for _, n in tree) and len(tree[-1][0]) == 1
+        assert all(sum(n.tolist()) == len(text) for _, n in tree) and len(tree[-1][0]) == 1 and len(tree) < 40
         for (_, fine), (_, coarse) in zip(tree, tree[1:], strict=False):
             assert set(np.cumsum(coarse).tolist()) <= set(np.cumsum(fine).tolist()) and len(coarse) <= len(fine)
-        assert all(len(level) <= merkle.NODES for level in merkle._nodes(merkle.fingerprint(text))[2])
+        kept = merkle.Tree.parse(merkle.fingerprint(text))
+        assert str(kept) == merkle.fingerprint(text) and kept.size == len(text) and all(len(level) <= merkle.NODES for level in kept.levels)
 
 
 def test_merkle_locates_an_edit():
