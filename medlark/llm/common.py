@@ -56,32 +56,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SCREEN_BITS = 1 << 28
 
 
-def screen(keys: DataFrame, key: str):
-    """A test of column values against the long column `key` of a table: false only for values that aren't there.
+#: A hash sets the bits that these two stretches of it name.
+SCREEN_SHIFTS = (0, 32)
+
 
-    A bit map, built by the executors from two hashes of each key: of 16 bits a key and more, about one other value in 70
-    passes. Beyond SCREEN_BITS / 16 keys more of them pass; it keeps rows from a shuffle and decides nothing, so a join has
-    to follow. `keys` is counted first: hand in a written table."""
-    spark = keys.sparkSession
+def bits_of(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit map of a column of 64-bit hashes, built by the executors: of 16 bits a hash and more, about one other hash in 70
+    has both its bits set. `keys` is counted first: hand in a written table."""
     size = min(SCREEN_BITS, max(1 << 16, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
-    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(size)) for k in (1, 2)]))
+    places = F.explode(F.array(*[_place(F.col(key), k, size) for k in SCREEN_SHIFTS]))
     parts = keys.select(places.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("cast(p % 32768 as long)")).alias("map")).collect()
     bits = np.zeros(size // 8, dtype=np.uint8)
     for r in parts:
         at = int(r["block"]) * 4096
         got = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
         bits[at : at + len(got)] = got
-    shared = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _place(column, shift: int, size: int):
+    return F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(size - 1).cast("long"))
+
+
+def may_have(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bit map; false only for hashes that aren't."""
+    hit = np.ones(len(hashes), dtype=bool)
+    for k in SCREEN_SHIFTS:
+        p = (hashes.view(np.uint64) >> np.uint64(k)) & np.uint64(len(bits) * 8 - 1)
+        hit &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
+def screen(keys: DataFrame, key: str):
+    """A test of columns of 64-bit hashes against a table's: false only for hashes that aren't there.
+
+    Beyond SCREEN_BITS / 16 keys more others pass; it keeps rows from a shuffle and decides nothing, so a join has to
+    follow."""
+    shared = keys.sparkSession.sparkContext.broadcast(bits_of(keys, key))
 
     @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        bits = shared.value
-        hit = np.ones(len(a), dtype=bool)
-        for p in (a.to_numpy(), b.to_numpy()):
-            hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(hit)
-
-    return lambda column: test(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in (1, 2)])
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(may_have(shared.value, np.ascontiguousarray(h.to_numpy(dtype=np.int64))))
+
+    return lambda column: test(column)
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -1,11 +1,14 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (after . ! ? and at line ends; one of more than
-LONGEST code points further, behind words that a checksum picks). Every run
-of RUN consecutive sentences is hashed (128 bits); a run of fewer than LEAST_WORDS words grows by further sentences, once
-forwards from its first and once backwards from its last one, so that the edges of a passage are met too. The first
-occurrence of a hash is that of smallest (doc_id, key, place), key being a hash of the text; every sentence that another
-occurrence covers is removed. Case, white space and punctuation don't count.
+A text is cut into sentences after . ! ? and at line ends, and, by one rule for all of them, behind words whose own hash says
+so (one in CUT), so that a passage is cut alike wherever it starts and whatever stands around it; a sentence without such a
+word ends after MANY words. Every run of RUN consecutive sentences is hashed (128 bits); a run of fewer than LEAST_WORDS
+words grows by further sentences, once forwards from its first and once backwards from its last one, so that both edges of
+a passage are met. The first occurrence of a hash is that of smallest (doc_id, key, place), key being a hash of the text;
+every sentence that another occurrence covers is removed. Case, white space and punctuation don't count.
+
+Hashes alone are counted first. Only runs whose hash comes again (and a few that a screen lets pass) are carried with
+their places, in a second pass over the texts.
 
 Nulls: a null text is empty and stays null; a null doc_id comes first. Repeated rows count as one document, and each gets
 its result; equal texts of other doc_ids are copies, of which the first stays. Texts of fewer than LEAST_WORDS words have
@@ -15,7 +18,7 @@ no run and stay. Empty table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,68 +26,122 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, remove, screen, written
+from .common import bits_of, may_have, pick, remove, screen, written
 from .tokens import balanced
 
-#: Sentences in a run, words that a run has at least, and code points from which a sentence is cut further.
-RUN, LEAST_WORDS, LONGEST = 2, 20, 90
-#: A long sentence is cut behind words whose checksum is divisible by CUT, but at pieces of FEW to MANY words.
-CUT, FEW, MANY = 8, 5, 30
-_BETWEEN = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+[\"')\]]*\s*|\n\s*|$|(?=[.!?\n]))|[.!?\n]\s*")
-_WORD = re.compile(r"\s*\S+\s*|\s+")
+#: Sentences in a run and words that it has at least; a sentence ends behind one word in CUT, and after MANY words.
+RUN, LEAST_WORDS, CUT, MANY = 2, 20, 5, 32
+_WORDS = re.compile(r"[^\W_]+[\W_]*")
+_WORD = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"[.!?\n\u3002\uff01\uff1f]")
+_U = np.uint64
+#: Odd factors of the two polynomials over word hashes, and their inverses modulo 2 ** 64.
+_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_INVERSES = [pow(f, -1, 1 << 64) for f in _FACTORS]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, dtype=_U)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words(dict):
+    """Numbers of words with what follows them, and by number the word's hash, whether a sentence ends there, and the code
+    points; kept between texts in a bounded cache."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.rows = array("Q")
+        self.powers = [_powers(f, 1024) for f in (*_FACTORS, *_INVERSES)]
+
+    def __missing__(self, token: str) -> int:
+        word = token.rstrip()
+        if not word.isalnum():
+            word = _WORD.match(word)[0]
+        h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        self.rows.extend((h, (h >> 20) % CUT == 0 or (token[-1] != " " or len(token) > len(word) + 1) and _STOP.search(token, len(word)) is not None, len(token)))
+        k = self[token] = len(self)
+        return k
+
+    def of(self, text: str) -> tuple[int, np.ndarray]:
+        """Code points before the first word, and (hash, end, code points) of each word."""
+        if len(self) > self.MOST:
+            self.clear()
+            self.rows = array("Q")
+        found = _WORDS.findall(text)
+        numbers = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        rows = np.frombuffer(self.rows, dtype=_U).reshape(-1, 3)[numbers] if len(found) else np.zeros((0, 3), _U)
+        return len(text) - int(rows[:, 2].sum()), rows
+
+    def power(self, which: int, n: int) -> np.ndarray:
+        if len(self.powers[which]) < n:
+            self.powers[which] = _powers([*_FACTORS, *_INVERSES][which], 2 * n)
+        return self.powers[which][:n]
+
+
+def _ends(rows: np.ndarray) -> np.ndarray:
+    """0 and the number of words up to the end of each sentence."""
+    if not len(rows):
+        return np.zeros(1, dtype=np.int64)
+    last = rows[:, 1] != 0
+    last[-1] = True
+    ends = np.concatenate([[0], np.flatnonzero(last) + 1])
+    sizes = np.diff(ends)
+    if sizes.max() > MANY:
+        place = np.arange(len(rows)) - np.repeat(ends[:-1], sizes)
+        last |= place % MANY == MANY - 1
+        ends = np.concatenate([[0], np.flatnonzero(last) + 1])
+    return ends
+
+
+def cuts(text: str, words: Words | None = None) -> list[int]:
+    """0 and the code points up to the end of each sentence; together the sentences are the text."""
+    before, rows = (Words() if words is None else words).of(text)
+    if not len(rows):
+        return [0, len(text)] if text else [0]
+    upto = np.concatenate([[0], np.cumsum(rows[:, 2].astype(np.int64))]) + before
+    out = upto[_ends(rows)]
+    out[0] = 0
+    return out.tolist()
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that together are the text. Long sentences are cut by their words, not by places, so that the same words are
-    cut alike wherever a sentence starts."""
-    found = _SENTENCE.findall(text)
-    if len(text) <= LONGEST or max(map(len, found)) <= LONGEST:
-        return found
-    out = []
-    for s in found:
-        if len(s) <= LONGEST:
-            out.append(s)
-            continue
-        words, first = _WORD.findall(s), 0
-        for k, w in enumerate(words, 1):
-            if k - first >= MANY or k - first >= FEW and zlib.crc32(w.strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
-                out.append("".join(words[first:k]))
-                first = k
-        if first < len(words):
-            out.append("".join(words[first:]))
-    return out
-
-
-def runs(parts: list[str]) -> list[tuple[int, int, int, int]]:
-    """(first, end, hash, hash) of every run."""
-    plain = [_BETWEEN.sub(" ", p.lower()).strip() for p in parts]
-    at = [i for i, p in enumerate(plain) if p]
-    ends = [0]
-    for i in at:
-        ends.append(ends[-1] + plain[i].count(" ") + 1)
-    n, out = len(at), []
-    if ends[-1] < LEAST_WORDS:
-        return out
-    spans = set()
-    j = i = 0
-    for i in range(n):  # forwards: the least end for each first sentence
-        while j < n and (j < i + RUN or ends[j] - ends[i] < LEAST_WORDS):
-            j += 1
-        if j - i < RUN or ends[j] - ends[i] < LEAST_WORDS:
-            break
-        spans.add((i, j))
-    i = 0
-    for j in range(RUN, n + 1):  # backwards: the last first sentence for each end
-        while i + 1 <= j - RUN and ends[j] - ends[i + 1] >= LEAST_WORDS:
-            i += 1
-        if ends[j] - ends[i] >= LEAST_WORDS:
-            spans.add((i, j))
-    if n < RUN:
-        spans.add((0, n))
-    for i, j in sorted(spans):
-        h = xxhash.xxh3_128_intdigest(" ".join([plain[k] for k in at[i:j]]).encode("utf-8", "surrogatepass"))
-        out.append((at[i], at[j - 1] + 1, (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)))
+    at = cuts(text)
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def runs(text: str, words: Words | None = None) -> np.ndarray:
+    """Rows (first, end, hash, hash) of every run."""
+    words = Words() if words is None else words
+    _, rows = words.of(text)
+    n_words = len(rows)
+    if n_words < LEAST_WORDS:
+        return np.zeros((0, 4), dtype=np.int64)
+    ends = _ends(rows)
+    n = len(ends) - 1
+    at = np.arange(n + 1)
+    # forwards, the least end for each first sentence; backwards, the last first sentence for each end
+    end = np.maximum(np.searchsorted(ends, ends + LEAST_WORDS), at + RUN)
+    first = np.minimum(np.searchsorted(ends, ends - LEAST_WORDS, side="right") - 1, at - RUN)
+    spans = np.unique(np.concatenate([(at << 32 | end)[end <= n], (first << 32 | at)[first >= 0]]))
+    if not len(spans):
+        spans = np.array([n])
+    out = np.empty((len(spans), 4), dtype=np.int64)
+    out[:, 0], out[:, 1] = spans >> 32, spans & 0xFFFFFFFF
+    lo, hi = ends[out[:, 0]], ends[out[:, 1]]
+    for k in range(2):
+        h = _mix(rows[:, 0] + _U(k))
+        upto = np.concatenate([np.zeros(1, _U), np.cumsum(h * words.power(k, n_words), dtype=_U)])
+        value = (upto[hi] - upto[lo]) * words.power(2 + k, n_words)[lo]
+        out[:, 2 + k] = _mix(value + (hi - lo).astype(_U)).view(np.int64)
     return out
 
 
@@ -93,17 +150,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, first, end, h1, h2) of every run of every row."""
+def run_hashes(docs: DataFrame) -> DataFrame:
+    """(h1, n): how often each run stands in a batch of texts."""
+
+    def run(batches):
+        words = Words()
+        for b in balanced(batches, "text"):
+            found = [runs(t, words)[:, 2] for t in b.column("text").to_pylist() if t]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h1", "n"])
+
+    return _keyed(docs).select("text").mapInArrow(run, "h1 long, n long")
+
+
+def run_rows(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, key, first, end, h1, h2) of every run of every row, or of those whose h1 passes the bit map `known`."""
+    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        words = Words()
         for b in balanced(batches, "text"):
-            found, counts = [], []
+            found, counts = [np.zeros((0, 4), np.int64)], []
             for t in b.column("text").to_pylist():
-                got = runs(sentences(t)) if t else []
-                found += got
+                got = runs(t, words) if t else found[0]
+                if shared is not None and len(got):
+                    got = got[may_have(shared.value, np.ascontiguousarray(got[:, 2]))]
+                found.append(got)
                 counts.append(len(got))
-            n = np.array(found, dtype=np.int64).reshape(-1, 4)
+            n = np.concatenate(found)
             at = pa.array(np.repeat(np.arange(b.num_rows), counts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("key").take(at), pa.array(n[:, 0].astype(np.int32)), pa.array(n[:, 1].astype(np.int32)), pa.array(n[:, 2]), pa.array(n[:, 3])], names=["doc_id", "key", "first", "end", "h1", "h2"])
 
@@ -112,9 +186,11 @@ def run_rows(docs: DataFrame) -> DataFrame:
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, key, covered): for each document that loses any, runs of its sentences as (first, end)."""
-    every = written(run_rows(docs), "runs")
-    place = F.struct("doc_id", "key", "first")
     # sums within a task first: a passage in a third of all texts costs a row a task
+    again = written(run_hashes(docs).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1"), "again")
+    every = written(run_rows(docs, bits_of(again, "h1")), "runs")
+    remove(spark, again)
+    place = F.struct("doc_id", "key", "first")
     repeated = every.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where("origin != last").select("h1", "h2", "origin")
     repeated = written(repeated, "repeated")
     passes = screen(repeated, "h1")
@@ -136,25 +212,24 @@ def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        words = Words()
         for b in balanced(batches, "text"):
             out = []
             for t, covered in zip(b.column("text").to_pylist(), b.column("covered").to_pylist(), strict=True):
-                parts = sentences(t) if t else []
-                gone = np.zeros(len(parts) + 1, dtype=np.int64)
-                for c in covered or ():
-                    gone[c["first"]] += 1
-                    gone[c["end"]] -= 1
-                gone = np.cumsum(gone)[: len(parts)] > 0
-                cut, at = [], 0
-                for p, g in zip(parts, gone.tolist(), strict=True):
-                    if g:
-                        if cut and cut[-1]["end"] == at:
-                            cut[-1]["end"] = at + len(p)
-                        else:
-                            cut.append({"start": at, "end": at + len(p)})
-                    at += len(p)
-                left = t if not cut else "".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g])
-                out.append((len(parts), int(gone.sum()), cut, left))
+                at = cuts(t or "", words)
+                n = len(at) - 1
+                if not covered:
+                    out.append((n, 0, [], t))
+                    continue
+                gone = np.zeros(n + 2, dtype=np.int64)
+                for c in covered:
+                    gone[c["first"] + 1] += 1
+                    gone[c["end"] + 1] -= 1
+                gone = np.cumsum(gone) > 0  # one to the right, and nothing gone on either side
+                edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+                cut = [{"start": at[i], "end": at[j]} for i, j in edges.tolist()]
+                left = "".join([t[x:y] for x, y in zip([0, *[c["end"] for c in cut]], [*[c["start"] for c in cut], len(t)], strict=True)])
+                out.append((n, int(gone.sum()), cut, left))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind), pa.array(cols[3], pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
