@@ -138,23 +138,58 @@ def test_spans(spark, docs, empty):
     got = defaultdict(list)
     for r in spans.cleaned(spark, table).collect():
         got[r["doc_id"]].append(r)
-    occurrences, keys = defaultdict(set), {}
+    # by brute force: every run of sentences as text, from their definition
+    plain = lambda p: re.findall(r"[^\W_]+", p.lower())
+    occurrences, pieces = defaultdict(set), {}
     for d, t in set(rows):
-        keys[(d, t)] = spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t").alias("k")).first()["k"]
-        for i, j, *h in spans.runs(spans.sentences(t or "")):
-            occurrences[tuple(h)].add(((d is not None, d or 0, keys[(d, t)], i), d, t, i, j))
+        key = spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t").alias("k")).first()["k"]
+        pieces[(d, t)] = parts = spans.sentences(t or "")
+        assert "".join(parts) == (t or "") and not any(re.search(r"[.!?\n][\W_]*[^\W_]", p[re.search(r"[^\W_]|$", p).start() :]) for p in parts)
+        words = [plain(p) for p in parts]
+        count = lambda i, j: sum(map(len, words[i:j]))  # noqa: B023, E731
+        n = len(parts)
+        found = {(i, next((j for j in range(i + 2, n + 1) if count(i, j) >= 20), 0)) for i in range(n)} | {(next((i for i in range(j - 2, -1, -1) if count(i, j) >= 20), -1), j) for j in range(n + 1)}
+        found = {(i, j) for i, j in found if 0 <= i < j} or ({(0, n)} if n and count(0, n) >= 20 else set())
+        for i, j in found:
+            occurrences[" ".join(w for p in words[i:j] for w in p)].add(((d is not None, d or 0, key, i), d, t, i, j))
     gone = defaultdict(set)
     for found in occurrences.values():
         for _, d, t, i, j in sorted(found, key=lambda f: f[0])[1:]:
             gone[(d, t)].update(range(i, j))
     for d, t in rows:
         r = next(x for x in got[d] if True)
-        left = t if t is None else "".join(p for k, p in enumerate(spans.sentences(t)) if k not in gone[(d, t)])
-        assert r["text"] == left and r["n_removed"] == len(gone[(d, t)])
+        left = t if t is None else "".join(p for k, p in enumerate(pieces[(d, t)]) if k not in gone[(d, t)])
+        assert r["text"] == left and r["n_removed"] == len(gone[(d, t)]) and r["n_sentences"] == len(pieces[(d, t)])
+        assert t is None or left == "".join(t[x:y] for x, y in zip([0, *[c["end"] for c in r["removed"]]], [*[c["start"] for c in r["removed"]], len(t)], strict=True))
     assert got[51][0]["text"].strip() == "A different start. Another end." and got[50][0]["n_removed"] == 0 and got[52][0]["text"] == ""
     assert len(got[12]) == 2 and spans.cleaned(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("stops", [True, False])
+def test_spans_find_passages_of_over_50_words_anywhere(spark, stops):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) + (r.choice([".", "", "", "", "", "", ",", ""]) if stops else "")
+    prose = lambda n: [word() for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(200):
+        passage = prose(r.randint(51, 70))
+        for d in (2 * k, 2 * k + 1):
+            own = prose(r.randint(60, 200))
+            at = r.randint(0, len(own))
+            before = " ".join(own[:at]) + " " * (at > 0)
+            rows.append((d, before + " ".join([*passage, *own[at:]])))
+            planted[d] = (len(before), len(before) + len(" ".join(passage)))
+    rows += [(1000 + k, " ".join(prose(150))) for k in range(100)]
+    got = {x["doc_id"]: x for x in spans.cleaned(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[d]["n_removed"] for d in got if d >= 1000 or d % 2 == 0)
+    later = [d for d in planted if d % 2]
+    assert sum(got[d]["n_removed"] > 0 for d in later) / len(later) > 0.97
+    share = [sum(min(c["end"], planted[d][1]) - max(c["start"], planted[d][0]) for c in got[d]["removed"]) / (planted[d][1] - planted[d][0]) for d in later]
+    assert sum(share) / len(share) > 0.75 and all(c["start"] >= planted[d][0] - 1 and c["end"] <= planted[d][1] + 1 for d in later for c in got[d]["removed"])
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = order_minhash.classes(spark, docs).collect()
     by = defaultdict(set)
