@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as V
+from .ranges import quantiles
 
 #: Support and spread that a drug's own reference needs, and the clip of relative doses.
 SUPPORT, SPREAD, CLIP = 20, 1e-12, 10.0
@@ -48,9 +49,29 @@ def references(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *cols)
 
 
+def wide_references(rows: DataFrame) -> DataFrame:
+    """`references` by dimension alone: nine groups at most, each ranked over many tasks."""
+    used = rows.where((F.col("split") == "train") & (F.col("eligible") == 1))
+    at, out = [0.25, 0.5, 0.75, 0.9], None
+    for p, c in (("amount", "canonical_amount"), ("daily", "canonical_daily_amount")):
+        q = quantiles(used.select("dose_dimension", F.log(c).alias("_log")), "_log", at, ["dose_dimension"])
+        part = q.select("dose_dimension", F.col("support").alias(f"{p}_support"), F.col("q")[1].alias(f"{p}_median"), F.col("q")[0].alias(f"{p}_q25"), F.col("q")[2].alias(f"{p}_q75"), (F.col("q")[2] - F.col("q")[0]).alias(f"{p}_iqr"), F.col("q")[3].alias(f"{p}_p90"))
+        out = part if out is None else out.join(part, "dose_dimension", "left").fillna({f"{p}_support": 0})
+    return out
+
+
+def lookup(rows: DataFrame) -> DataFrame:
+    """The frozen table that doses are scored against: a row a drug and dimension with its own reference, the dimension's
+    beside it (dim_...), and which of the two applies."""
+    own, wide = references(rows, ["dc_id", "dose_dimension"]), wide_references(rows)
+    out = own.join(F.broadcast(wide.select("dose_dimension", *[F.col(c).alias(f"dim_{c}") for c in wide.columns if c != "dose_dimension"])), "dose_dimension", "left")
+    enough = lambda p: (F.col(f"{p}_support") >= SUPPORT) & (F.col(f"{p}_iqr") > SPREAD)
+    return out.withColumns({f"{p}_level": F.when(enough(p), "drug").when(F.col(f"dim_{p}_support") > 0, "dimension") for p in ("amount", "daily")})
+
+
 def relative(rows: DataFrame) -> DataFrame:
     """Log doses against the drug's reference, else the dimension's; null where neither applies or the row isn't eligible."""
-    own, wide = references(rows, ["dc_id", "dose_dimension"]), references(rows, ["dose_dimension"])
+    own, wide = references(rows, ["dc_id", "dose_dimension"]), wide_references(rows)
     rename = lambda df, tag: df.select(*[F.col(c).alias(c if c in ("dc_id", "dose_dimension") else f"{tag}_{c}") for c in df.columns])
     # a row a dimension: nine at most
     out = rows.join(rename(own, "drug"), ["dc_id", "dose_dimension"], "left").join(F.broadcast(rename(wide, "dim")), "dose_dimension", "left")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
+#: Replicates of the bootstrap that are summed together.
+REPLICATES = 50
+
 
 def score_table(rows: DataFrame) -> DataFrame:
     """(score, pos, neg): one row a distinct score."""
@@ -15,20 +23,22 @@ def score_table(rows: DataFrame) -> DataFrame:
 
 def auc(rows: DataFrame) -> DataFrame:
     """The share of (positive, negative) pairs in order, ties as halves; null where a class is empty."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = score_table(rows).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return t.agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + 0.5 * F.col("neg"))), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    t = running(score_table(rows), [F.asc("score")], {"upto": "neg"})
+    return t.agg(F.try_divide(F.sum(F.col("pos") * (F.col("upto") - 0.5 * F.col("neg"))), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def confusion(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Counts and rates at each threshold (score >= threshold is positive), in one pass."""
-    spark = rows.sparkSession
-    cuts = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    hit = F.col("score") >= F.col("threshold")
-    c = rows.crossJoin(F.broadcast(cuts)).groupBy("threshold").agg(
-        F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"),
-        F.count_if(~hit & (F.col("label") == 1)).alias("fn"), F.count_if(~hit & (F.col("label") == 0)).alias("tn"),
-    )
+    """Counts and rates at each threshold (score >= threshold is positive). Rows are counted once, by the number of
+    thresholds that they reach; sums over these few counts give every threshold's cells."""
+    cuts = sorted({float(t) for t in thresholds})
+    reached = reduce(lambda out, t: out + (F.col("score") >= t).cast("int"), cuts, F.lit(0))
+    one = rows.where(F.col("score").isNotNull()).groupBy(reached.alias("reached")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    # a row a threshold, and one more
+    steps = rows.sparkSession.createDataFrame([(k, t) for k, t in enumerate(cuts, 1)], "k int, threshold double")
+    at = F.col("reached") >= F.col("k")
+    c = steps.crossJoin(F.broadcast(one)).groupBy("threshold").agg(
+        *[F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0)).alias(n) for n, cond, x in (("tp", at, "pos"), ("fp", at, "neg"), ("fn", ~at, "pos"), ("tn", ~at, "neg"))]
+    )
     d = F.try_divide
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     recall, spec = d(tp, tp + fn), d(tn, tn + fp)
@@ -40,11 +50,15 @@ def confusion(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     )
 
 
+def _from_above(rows: DataFrame) -> DataFrame:
+    """The score table with tp and fp at each score as threshold."""
+    return running(score_table(rows), [F.desc("score")], {"tp": "pos", "fp": "neg"})
+
+
 def policies(rows: DataFrame, recall: float = 0.95) -> DataFrame:
     """Thresholds by policy: a half, best F1 (the highest of equals), the highest that keeps the recall."""
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    t = score_table(rows).withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)}).withColumn("all_pos", F.sum("pos").over(every))
+    t = _from_above(rows)
+    t = t.crossJoin(F.broadcast(t.agg(F.sum("pos").alias("all_pos"))))
     t = t.withColumns({"f1": F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")), "rec": F.try_divide(F.col("tp").cast("double"), F.col("all_pos"))})
     found = t.agg(F.max_by("score", F.struct("f1", "score")).alias("max_f1"), F.max(F.when(F.col("rec") >= recall, F.col("score"))).alias("recall"))
     return found.select(F.explode(F.array(F.struct(F.lit("fixed").alias("policy"), F.lit(0.5).alias("threshold")), F.struct(F.lit("max_f1").alias("policy"), F.col("max_f1").alias("threshold")), F.struct(F.lit("recall").alias("policy"), F.col("recall").alias("threshold")))).alias("p")).select("p.policy", "p.threshold")
@@ -66,36 +80,37 @@ def probability_metrics(rows: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = score_table(rows).withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
+    t = _from_above(rows)
     return t.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double")).alias("auprc"))
 
 
-def bootstrap_difference(rows: DataFrame, replicates: int = 500, seed: int = 42) -> pd.DataFrame:
+def bootstrap_difference(rows: DataFrame, replicates: int = 500, seed: int = 42, key: str | None = None) -> pd.DataFrame:
     """(delta mean, 2.5 and 97.5 % quantiles, share above 0) of AUC(score_b) - AUC(score_a), stratified by class and paired.
-    Replicates are spread over tasks; each needs the evaluation rows, which are sent once (an evaluation table)."""
-    spark = rows.sparkSession
-    data = rows.select("label", "score_a", "score_b").toPandas()
-    shared = spark.sparkContext.broadcast((data["label"].to_numpy(), data["score_a"].to_numpy(), data["score_b"].to_numpy()))
-
-    def one_auc(y: np.ndarray, s: np.ndarray) -> float:
-        ranks = pd.Series(s).rank().to_numpy()
-        pos = y == 1
-        n1, n0 = pos.sum(), (~pos).sum()
-        return float((ranks[pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
-
-    def run(batches):
-        y, a, b = shared.value
-        at = [np.flatnonzero(y == k) for k in (0, 1)]
-        for pdf in batches:
-            out = []
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                pick = np.concatenate([rng.choice(x, len(x)) for x in at])
-                out.append(one_auc(y[pick], b[pick]) - one_auc(y[pick], a[pick]))
-            yield pd.DataFrame({"delta": out})
-
-    deltas = spark.range(replicates).mapInPandas(run, "delta double")
+
+    Replicates weigh rows by Poisson counts drawn from a hash of (seed, replicate, row), the large-table form of drawing with
+    replacement; a row has the same counts in both arms. Rows are summed by score and replicate, replicates of a block
+    together, so nothing but sums is shuffled and no task holds the table. `key` tells rows apart (default: their values and
+    an even deal among equal ones)."""
+    plain = rows.select(*([F.col(key).alias("_id")] if key else []), "label", "score_a", "score_b")
+    if not key:
+        number = Window.partitionBy("label", "score_a", "score_b").orderBy(F.lit(0))
+        plain = plain.withColumn("_id", F.struct("label", "score_a", "score_b", F.row_number().over(number)))
+    # Poisson(1) by inversion of its distribution function; beyond 7 there are 10 in a million
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
+    out = None
+    for lo in range(0, replicates, REPLICATES):
+        some = range(lo, min(lo + REPLICATES, replicates))
+        u = F.transform(F.sequence(F.lit(some[0]), F.lit(some[-1])), lambda k: (F.pmod(F.xxhash64(F.lit(seed), k, "_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40))
+        drawn = plain.withColumn("_u", u).withColumn("_w", F.transform("_u", lambda x: reduce(lambda n, c: n + (x >= c).cast("int"), steps, F.lit(0))))
+        for arm in ("score_a", "score_b"):
+            weigh = lambda c, k: F.sum(F.when(F.col("label") == c, F.col("_w")[k]).otherwise(0))
+            by_score = drawn.groupBy(F.col(arm).alias("score")).agg(*[weigh(c, i).alias(f"{t}{i}") for i in range(len(some)) for c, t in ((1, "p"), (0, "n"))])
+            t = running(by_score, [F.asc("score")], {f"u{i}": f"n{i}" for i in range(len(some))})
+            one = t.agg(*[F.try_divide(F.sum(F.col(f"p{i}") * (F.col(f"u{i}") - 0.5 * F.col(f"n{i}"))), (F.sum(f"p{i}") * F.sum(f"n{i}")).cast("double")).alias(f"a{i}") for i in range(len(some))])
+            part = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("replicate"), F.lit(arm).alias("arm"), F.col(f"a{i}").alias("auc")) for i, k in enumerate(some)])).alias("x")).select("x.*")
+            out = part if out is None else out.unionByName(part)
+    deltas = out.groupBy("replicate").agg((F.max(F.when(F.col("arm") == "score_b", F.col("auc"))) - F.max(F.when(F.col("arm") == "score_a", F.col("auc")))).alias("delta"))
+    # a row a replicate
     return deltas.agg(F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_above_0")).toPandas()
 
 

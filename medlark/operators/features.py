@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as V
+from .ranges import quantiles
 
 
 def atc_rows(exposures: DataFrame, codes: DataFrame) -> DataFrame:
@@ -70,16 +71,21 @@ def indication_features(terms: DataFrame, vocabulary: DataFrame, bins: int = 32)
     return one.groupBy("report").agg(*[F.max(f"has_{k}").alias(f"has_{k}") for k in V.INDICATIONS], *[F.count_if(F.col("hash_bin") == b).alias(f"indication_hash_{b:02d}") for b in range(bins)])
 
 
-def train_median(rows: DataFrame, value: Column) -> Column:
-    """The exact median over training rows, as a scalar subquery column."""
-    return F.coalesce(rows.where("split = 'train'").agg(F.median(value)).scalar(), F.lit(0.0))
+def train_medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row: the exact median of each value over training rows, by name. Ranks are taken over many tasks."""
+    out = None
+    for name, value in values.items():
+        one = quantiles(rows.where("split = 'train'").select(value.cast("double").alias("_x")), "_x", [0.5], []).select(F.col("q")[0].alias(name))
+        one = one.agg(F.max(name).alias(name))  # a row of nulls without any value
+        out = one if out is None else out.crossJoin(one)
+    return out
 
 
 def demographics(cohort: DataFrame) -> DataFrame:
     """Imputed and clamped age and weight, bands, polypharmacy terms. Band gaps at fractional ages are as specified."""
     kg = C.weight_kg(F.col("weight"), F.col("weight_unit"))
     rows = cohort.withColumn("_kg", kg)
-    medians = rows.where("split = 'train'").agg(F.median("age_years").alias("_age"), F.median("_kg").alias("_weight"))
+    medians = train_medians(rows, {"_age": F.col("age_years"), "_weight": F.col("_kg")})
     rows = rows.crossJoin(F.broadcast(medians)).withColumn("age_imputed", F.coalesce("age_years", "_age"))
     a = F.col("age_imputed")
     return rows.withColumns({
@@ -106,9 +112,42 @@ def assemble(base: DataFrame, key: str, parts: list[DataFrame], defaults: dict |
     return out.fillna(fill) if fill else out
 
 
-def patient_vector(cohort: DataFrame) -> DataFrame:
-    """Age, sex and drugs as floats, ages imputed by the train median."""
-    median = cohort.where("split = 'train'").agg(F.median("age").alias("_m"))
-    rows = cohort.crossJoin(F.broadcast(median))
+def patient_vector(cohort: DataFrame, numeric: list[str] = ()) -> DataFrame:
+    """features: age, sex and drugs as floats, ages imputed by the train median, then the numeric columns, 0 where they are
+    null or no number."""
+    rows = cohort.crossJoin(F.broadcast(train_medians(cohort, {"_m": F.col("age")})))
     parts = [C.clamped(F.coalesce(F.col("age").cast("double"), F.col("_m")), 120.0), (F.coalesce(F.col("sex"), F.lit("")) == "M").cast("double"), C.clamped(F.coalesce(F.col("num_drugs").cast("double"), F.lit(0.0)), 50.0)]
+    parts += [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numeric]
     return rows.withColumn("features", F.array(*[p.cast("float") for p in parts])).drop("_m")
+
+
+def drug_vector(nodes: DataFrame) -> DataFrame:
+    """nodes (log_ror, has_boxed_warning, atc_code, ...) with features: log ROR over its deviation, 0 where it is unknown,
+    the boxed warning, and one flag a letter of the first ATC level."""
+    m = nodes.agg(F.avg("log_ror").alias("_m"), F.stddev_pop("log_ror").alias("_s"))
+    z = F.coalesce((F.col("log_ror") - F.col("_m")) / F.when(F.col("_s") > 1e-6, F.col("_s")).otherwise(1.0), F.lit(0.0))
+    letters = [F.coalesce(F.col("atc_code").rlike(rf"(^|\|){x}").cast("double"), F.lit(0.0)) for x in string.ascii_uppercase]
+    parts = [z, F.coalesce(F.col("has_boxed_warning").cast("double"), F.lit(0.0)), *letters]
+    return nodes.crossJoin(F.broadcast(m)).withColumn("features", F.array(*[p.cast("float") for p in parts])).drop("_m", "_s")
+
+
+#: Components of drug_vector.
+DRUG_FEATURES = ["log_ror", "has_boxed_warning", *[f"atc_{x}" for x in string.ascii_lowercase]]
+#: Who reported is known only once a report is complete.
+REPORTER_FEATURES = ("reporter_md", "reporter_cn", "reporter_hp", "reporter_ph", "reporter_lw", "reporter_unknown")
+TRACKS = ("prospective", "prospective-no-dosage", "completed_report")
+
+
+def track(names: list[str], which: str = "prospective") -> list[str]:
+    """The features of a track: all of a completed report, else none of the reporter, and no dose feature where asked."""
+    if which not in TRACKS:
+        raise ValueError(f"no such track: {which}")
+    if which == "completed_report":
+        return list(names)
+    dose = [n for n in names if n.startswith("dose_normalized_")]
+    if which == "prospective-no-dosage" and not dose:
+        raise ValueError("there are no dose features to leave out")
+    chosen = [n for n in names if n not in REPORTER_FEATURES and not (which == "prospective-no-dosage" and n in dose)]
+    if not chosen:
+        raise ValueError("no feature is left")
+    return chosen

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: written to spark.checkpoint.dir, or a folder of ours where that is unset."""
+    """Cuts the lineage of an iteration: written to spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import os
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of ours, on a single machine only."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+
+
 def dense_index(rows: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
     """0-based positions in a total order without bringing all rows into one task: range-partitioned, counted by partition,
     numbered within. One row a partition is gathered."""
@@ -29,8 +39,14 @@ def dense_index(rows: DataFrame, order: list, name: str, parts: int | None = Non
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_base") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_base")
 
 
+def has_other(named: DataFrame, dictionary: DataFrame, unknown: DataFrame) -> bool:
+    """Whether any name is neither mapped nor among the frequent unknown ones."""
+    known = dictionary.where("dc_id > 0").select("faers_raw").unionByName(unknown.select("faers_raw")).distinct()
+    return not named.select("faers_raw").distinct().join(known, "faers_raw", "left_anti").isEmpty()
+
+
 def drug_nodes(mapped: DataFrame, unknown: DataFrame, has_other: bool = True) -> DataFrame:
-    """(node_index, semantic_id, node_label, node_kind): mapped ids, then frequent unknown names, then OTHER."""
+    """(node_index, semantic_id, node_label, node_kind): mapped ids, then frequent unknown names, then OTHER if asked for."""
     top = mapped.agg(F.max("dc_id")).scalar()
     rows = mapped.select(F.lit(0).alias("kind"), F.col("dc_id").alias("semantic_id"), F.concat(F.lit("DC:"), F.col("dc_id")).alias("node_label"), F.lit("mapped").alias("node_kind"))
     rows = rows.unionByName(unknown.select(F.lit(1).alias("kind"), (F.coalesce(top, F.lit(0)) + F.col("rank")).cast("bigint").alias("semantic_id"), F.col("faers_raw").alias("node_label"), F.lit("frequent_unknown").alias("node_kind")))
@@ -119,11 +135,13 @@ def rotated(edges: DataFrame, nodes: int, seed: int, split_no: int) -> DataFrame
 
 def systematic_sample(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
     """At most `each` rows of every label, at even distances in key order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    at = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1
+    from .ranges import running
+
+    ranked = running(rows.withColumn("_one", F.lit(1)), [F.asc(key)], {"_end": "_one"}, by=label)
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))  # a row a label
     slot = lambda k: F.floor(k * each / F.col("_n"))
-    ranked = rows.withColumn("_n", n).withColumn("_at", at)
-    return ranked.where((F.col("_n") <= each) | (slot(F.col("_at") + 1) > slot(F.col("_at")))).drop("_n", "_at")
+    ranked = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    return ranked.where((F.col("_n") <= each) | (slot(F.col("_end")) > slot(F.col("_end") - 1))).select(*rows.columns)
 
 
 def primary_drug(edges: DataFrame, patients: DataFrame, none: int) -> DataFrame:
@@ -149,3 +167,101 @@ def grid_cells(points: DataFrame, cells: int = 4) -> DataFrame:
 
 def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+SPLIT_IDS = {"train": 0, "validation": 1, "test": 2}
+
+
+def split_id(split: Column) -> Column:
+    """0, 1, 2 for train, validation, test; -1 for anything else."""
+    return F.coalesce(*[F.when(split == s, F.lit(k)) for s, k in SPLIT_IDS.items()], F.lit(-1))
+
+
+def ordered_edges(edges: DataFrame, patients: DataFrame, parts: int | None = None) -> DataFrame:
+    """(split_id, patient_index, node_index) in that order over all files: dealt by ranges, sorted within."""
+    order = ["split_id", "patient_index", "node_index"]
+    rows = edges.join(patients.select("patient_index", split_id(F.col("split")).alias("split_id")), "patient_index").select(*order)
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def split_offsets(edges: DataFrame) -> DataFrame:
+    """(split_id, edges, first): number of edges and place of the first one, a row a split. Each split must have some."""
+    from .quality import AuditError
+
+    n = {r["split_id"]: r["n"] for r in edges.groupBy("split_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(n) != set(SPLIT_IDS.values()):
+        raise AuditError(f"edges by split are {n}")
+    rows, first = [], 0
+    for k in sorted(n):
+        rows.append((k, n[k], first))
+        first += n[k]
+    return edges.sparkSession.createDataFrame(rows, "split_id int, edges long, first long")
+
+
+def one_hop_means(edges: DataFrame, patients: DataFrame, nodes: DataFrame, width: int, features: str = "features") -> DataFrame:
+    """(patient_index, neighbours): the mean of the drugs' vectors, component by component. A patient without drugs fails
+    the job: such a graph can't be trained on."""
+    from .quality import require_no_orphans
+
+    require_no_orphans(patients, edges, "patient_index")
+    means = edges.join(nodes.select("node_index", features), "node_index").groupBy("patient_index").agg(*[F.avg(F.col(features)[k]).alias(f"_m{k}") for k in range(width)])
+    return patients.select("patient_index").join(means, "patient_index").select("patient_index", F.array(*[F.col(f"_m{k}") for k in range(width)]).alias("neighbours"))
+
+
+def inductive_audit(edges: DataFrame, patients: DataFrame, message_edges: DataFrame | None = None) -> dict[str, int]:
+    """Counts by split after checks: every patient in exactly one split, every edge's patient known, indexes dense, and the
+    edges that messages are learnt from of training patients only."""
+    from .quality import AuditError, require_no_orphans, require_splits, require_unique
+
+    counts = require_splits(patients)
+    require_unique(patients, ["patient_index"])
+    require_no_orphans(edges, patients, "patient_index")
+    n = sum(counts.values())
+    lo, hi = patients.agg(F.min("patient_index"), F.max("patient_index")).first()
+    if (lo, hi) != (0, n - 1):
+        raise AuditError(f"patient indexes run from {lo} to {hi}, there are {n}")
+    used = message_edges if message_edges is not None else edges.join(patients.where("split = 'train'").select("patient_index"), "patient_index", "left_semi")
+    if not used.join(patients.where("split <> 'train'").select("patient_index"), "patient_index", "left_semi").isEmpty():
+        raise AuditError("messages are learnt from edges of held-out patients")
+    return counts
+
+
+def cluster_drug_edges(edges: DataFrame, clusters: DataFrame, k: int = 10) -> DataFrame:
+    """(cluster, node_index, weight): the k drugs with most edges of each cluster's patients; clusters: patient_index, cluster."""
+    weights = edges.join(clusters, "patient_index").groupBy("cluster", "node_index").agg(F.count(F.lit(1)).alias("weight"))
+    return top_per_group(weights, "cluster", [F.desc("weight"), F.asc("node_index")], k)
+
+
+def named_nodes(nodes: DataFrame, structures: DataFrame) -> DataFrame:
+    """Nodes with the name to show: the structure's, else the node's own label. structures: id, name."""
+    names = structures.groupBy(F.col("id").cast("bigint").alias("semantic_id")).agg(F.min("name").alias("_name"))
+    return nodes.join(names, "semantic_id", "left").withColumn("display_name", F.coalesce(F.when(F.col("node_kind") == "mapped", F.col("_name")), F.col("node_label"))).drop("_name")
+
+
+def clustered(points: DataFrame, cells: int = 4, clusters: int = 4) -> DataFrame:
+    """points with cx, cy and a cluster: each cell of the even grid is cut at the median of x and each half at its median of
+    y, so at most cells * cells * clusters clusters. Medians are exact (one row a cell)."""
+    from .ranges import quantiles
+
+    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    place = lambda c, lo, hi: F.least(F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(lo)) * cells, F.col(hi) - F.col(lo)), F.lit(0.0))), F.lit(cells - 1)).cast("int")
+    put = points.crossJoin(F.broadcast(box)).withColumns({"cx": place("x", "x0", "x1"), "cy": place("y", "y0", "y1")}).drop("x0", "x1", "y0", "y1")
+    if clusters < 2:
+        return put.withColumn("cluster", (F.col("cx") * cells + F.col("cy")).cast("int"))
+    across = quantiles(put, "x", [0.5], ["cx", "cy"]).select("cx", "cy", F.col("q")[0].alias("_mx"))
+    halved = put.join(F.broadcast(across), ["cx", "cy"]).withColumn("_right", (F.col("x") > F.col("_mx")).cast("int"))
+    up = quantiles(halved, "y", [0.5], ["cx", "cy", "_right"]).select("cx", "cy", "_right", F.col("q")[0].alias("_my"))
+    quarter = halved.join(F.broadcast(up), ["cx", "cy", "_right"]).withColumn("_quarter", F.col("_right") * 2 + (F.col("y") > F.col("_my")).cast("int"))
+    return quarter.withColumn("cluster", ((F.col("cx") * cells + F.col("cy")) * 4 + F.col("_quarter")).cast("int")).drop("_mx", "_my", "_right", "_quarter")
+
+
+def without_drug_features(nodes: DataFrame, features: str = "features") -> DataFrame:
+    """Ablation: all components of the drugs' vectors are zero."""
+    return nodes.withColumn(features, F.transform(features, lambda x: x * 0))
+
+
+def rotated_within(edges: DataFrame, nodes: int, seed: int) -> DataFrame:
+    """Ablation: drug ends of each split (edges with split_id) moved by that split's shift."""
+    shift = 1 + F.pmod(F.lit(seed).cast("long") * 1000003 + F.col("split_id") * 97, F.lit(max(nodes - 1, 1)))
+    return edges.withColumn("node_index", F.pmod(F.col("node_index") + shift, F.lit(nodes)))

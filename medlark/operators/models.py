@@ -16,9 +16,11 @@ def classifier(kind: str, width: int, seed: int = 42, **options):
     base = {"featuresCol": "scaled", "labelCol": "label"}
     made = {
         "boosted": lambda: GBTClassifier(**base, weightCol="weight", seed=seed, maxIter=options.get("rounds", 50), maxDepth=options.get("depth", 5), stepSize=0.1, subsamplingRate=0.9, validationIndicatorCol="held"),
-        "forest": lambda: RandomForestClassifier(**base, weightCol="weight", seed=seed, numTrees=options.get("trees", 100), maxDepth=options.get("depth", 10)),
+        "forest": lambda: RandomForestClassifier(**base, weightCol="weight", seed=seed, numTrees=options.get("trees", 500), maxDepth=options.get("depth", 20)),
         "logistic": lambda: LogisticRegression(**base, weightCol="weight", maxIter=options.get("rounds", 100)),
         "svm": lambda: LinearSVC(**base, weightCol="weight", maxIter=options.get("rounds", 50)),
+        # boosting of shallow trees, the nearest there is to boosted stumps of depth three
+        "adaboost": lambda: GBTClassifier(**base, weightCol="weight", seed=seed, maxIter=options.get("rounds", 200), maxDepth=options.get("depth", 3), stepSize=options.get("step", 0.1)),
         "network": lambda: MultilayerPerceptronClassifier(**base, seed=seed, maxIter=options.get("rounds", 60), layers=[width, options.get("hidden", 64), 2]),
     }
     return made[kind]()
@@ -56,3 +58,22 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return sorted(zip(features, map(float, values.toArray()), strict=True), key=lambda x: -abs(x[1]))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def calibrated(rows: DataFrame, fit_on: str = "validation") -> DataFrame:
+    """rows (score, label, split) with `calibrated`: a logistic curve (Platt) over the logit of the score, fitted on one split."""
+    clipped = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    assembler = VectorAssembler(inputCols=["_logit"], outputCol="_x")
+    data = assembler.transform(rows.withColumn("_logit", F.log(clipped / (1 - clipped))))
+    curve = LogisticRegression(featuresCol="_x", labelCol="label", predictionCol="_p", rawPredictionCol="_r", probabilityCol="_q").fit(data.where(F.col("split") == fit_on))
+    from pyspark.ml.functions import vector_to_array
+
+    return curve.transform(data).withColumn("calibrated", vector_to_array("_q")[1]).select(*rows.columns, "calibrated")

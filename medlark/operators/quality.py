@@ -55,7 +55,30 @@ def require_no_targets(features: list[str], targets: tuple = ("is_serious", "is_
         raise AuditError(f"targets among the features: {leaked}")
 
 
-def missing_prerequisites(paths: dict[str, str]) -> list[str]:
-    import os
+def require_same_cases(cohort: DataFrame, splits: DataFrame) -> None:
+    """The cohort and the table of splits have the same cases in the same splits, once each."""
+    a, b = (t.select("caseid", "split") for t in (cohort, splits))
+    if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
+        raise AuditError("the cohort and its table of splits differ")
 
-    return [f"{k}: {p}" for k, p in paths.items() if not os.path.exists(p)]
+
+def require_integer_ids(df: DataFrame, columns: list[str]) -> None:
+    kinds = dict(df.dtypes)
+    if wrong := {c: kinds[c] for c in columns if kinds[c] != "bigint"}:
+        raise AuditError(f"ids that aren't 64-bit integers: {wrong}")
+
+
+def require_codec(spark, path: str, codec: str = "SNAPPY") -> int:
+    """Number of column chunks of an output, all of which have to be of one codec."""
+    from ..sources.delimited import codecs
+
+    found = codecs(spark, path)
+    if set(found) != {codec}:
+        raise AuditError(f"{path} has column chunks of {found}")
+    return found[codec]
+
+
+def missing_prerequisites(paths: dict[str, str], spark) -> list[str]:
+    from ..sources.manifest import exists
+
+    return [f"{k}: {p}" for k, p in paths.items() if not exists(spark, p)]

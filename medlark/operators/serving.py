@@ -55,4 +55,4 @@ def ablation(spark: SparkSession, rows: DataFrame, base: list[str], extra: list[
         arms[name] = MO.scored(MO.fit(rows, features, kind, **options), held).select("report", "label", F.col("score").alias(f"score_{name}"))
     both = arms["a"].join(arms["b"].drop("label"), "report")
     auc = {k: EV.auc(both.select("label", F.col(f"score_{k}").alias("score"))).first()["auc"] for k in arms}
-    return {"auc_without": auc["a"], "auc_with": auc["b"], "difference": EV.bootstrap_difference(both, replicates, seed).iloc[0].to_dict()}
+    return {"auc_without": auc["a"], "auc_with": auc["b"], "difference": EV.bootstrap_difference(both, replicates, seed, "report").iloc[0].to_dict()}
