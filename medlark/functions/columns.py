@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,14 +115,36 @@ def atc_level(code: Column, length: int) -> Column:
     return F.when(code.rlike("^[A-Z][0-9]{2}") & (F.length(code) >= length), F.substring(code, 1, length))
 
 
+@cache
+def _ascii_forms() -> str:
+    """The compatibility characters that NFKC makes ASCII, as a JSON map: a table by rule, not by hand."""
+    pairs = ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(0x80, 0x10000) if not 0xD800 <= k < 0xE000)
+    return json.dumps({a: b for a, b in pairs if a != b and b.isascii()})
+
+
+@cache
+def _composed() -> str:
+    """A pattern of ASCII letters with a combining mark that NFKC makes one character."""
+    bases = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    marks = {chr(m): "".join(b for b in bases if len(unicodedata.normalize("NFKC", b + chr(m))) == 1) for m in range(0x300, 0x370)}
+    return "|".join(f"[{b}]\\x{{{ord(m):x}}}" for m, b in marks.items() if b)
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility forms as ASCII where they have one (full width, ligatures, small forms), letters with a combining mark
+    as one character that isn't ASCII. Texts that are ASCII already aren't touched."""
+    forms = F.from_json(F.lit(_ascii_forms()), "map<string,string>")
+    plain = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(forms, x), x)), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, _composed(), "\u00e9")).otherwise(c)
+
+
 def drug_name(c: Column) -> Column:
     """A name without dose, form, release and salt. Compatibility forms are unified where there is anything but ASCII."""
-    name = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    name = F.regexp_replace(name, "[®™]", "")
-    name = F.regexp_replace(name, r"\[[^\]]*\]", " ")
+    name = F.upper(F.trim(compatible(F.regexp_replace(F.coalesce(c, F.lit("")), V.NAME_MARKS, ""))))
+    name = F.regexp_replace(name, V.NAME_BRACKETS, " ")
     name = F.regexp_replace(name, V.NAME_FORM_TAIL, "")
     name = F.regexp_replace(name, rf"^\s*{V.NAME_DOSE}\s+", "")
-    name = F.regexp_replace(name, r"^\s*\d{1,4}[.)]?\s+(?=[A-Z])", "")
+    name = F.regexp_replace(name, V.NAME_ORDINAL, "")
     for _ in range(2):
         name = F.regexp_replace(name, rf"(?:\s+|\s*[-,/]\s*){V.NAME_DOSE}(?:\s*/\s*{V.NAME_DOSE})?\s*$", "")
         name = F.regexp_replace(name, V.NAME_RELEASE, "")

@@ -72,6 +72,9 @@ SPLITS = {
     "gnn-full": {"train": [f"{y}Q{q}" for y in range(2019, 2024) for q in range(1, 5)], "validation": ["2024Q1"], "test": ["2024Q2"]},
 }
 # Parts of drug names that say nothing of the ingredient.
+NAME_MARKS = "[®™]"
+NAME_BRACKETS = r"\[[^\]]*\]"
+NAME_ORDINAL = r"^\s*\d{1,4}[.)]?\s+(?=[A-Z])"
 NAME_DOSE = r"(?:\d+(?:\.\d+)?|\.\d+)\s*(?:MCG|UG|MG|G|KG|ML|L|IU|UNIT(?:S)?|MEQ|MMOL|%)"
 NAME_FORM_TAIL = r"\s*[\[(](?:CAPSULES?|TABLETS?|INJECTIONS?|SOLUTIONS?|SUSPENSIONS?|CREAMS?|OINTMENTS?|PATCH(?:ES)?|SPRAYS?|SYRUPS?|POWDERS?|GELS?)[\])]\s*$"
 NAME_RELEASE = r"\s+(?:ER|XR|CR|SR|DR|IR|XL|LA|SA|EXTENDED RELEASE|SUSTAINED RELEASE|CONTROLLED RELEASE|DELAYED RELEASE)\s*$"

@@ -80,22 +80,84 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy(names: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3) -> DataFrame:
+#: Where the cutoff is above this, only the plain ratio can reach it: the others are scaled by 0.95.
+TOKEN_RATIOS = 95.0
+
+
+def fuzzy(names: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3, scorer=None) -> DataFrame:
     """(name, alias, score) of names whose best alias reaches the cutoff and leads the next one by the margin. Only aliases
-    with the same first letter and a length that can reach the cutoff are scored."""
+    with the same first letter are scored; above TOKEN_RATIOS also only those of a length that can reach the cutoff less
+    the margin, which name and alias meet by. `scorer` is a column function of both, `_score` by default."""
+    least = cutoff - margin
     a = names.select("name").distinct().withColumn("_k", F.substring("name", 1, 1)).where("_k <> ''")
     b = known.select("alias").distinct().withColumn("_k", F.substring("alias", 1, 1))
-    near = F.abs(F.length("name") - F.length("alias")) <= F.greatest(F.lit(2), F.ceil((100 - cutoff) / 50 * (F.length("name") + F.length("alias"))) + 24)
-    scored = a.join(b, "_k").where(near).withColumn("score", _score("name", "alias"))
-    ranked = scored.groupBy("name").agg(F.max_by(F.struct("alias", "score"), F.struct("score", "alias")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    second = F.coalesce(F.try_element_at("scores", F.lit(2)), F.lit(0.0))
-    return ranked.where((F.col("best.score") >= cutoff) & (F.col("best.score") - second >= margin)).select("name", "best.alias", "best.score")
-
-
-def suggestions(query: str, known: DataFrame, k: int = 10) -> DataFrame:
-    """Autocomplete: names that contain the query, shortest first, then by edit distance."""
+    keys = ["_k"]
+    if scorer is None and least > TOKEN_RATIOS or scorer is not None:
+        # |a - b| <= (1 - least) (a + b): lengths from a / r to a r
+        r = (2 - least / 100) / (least / 100)
+        n = F.length("name")
+        a = a.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(n / r)).cast("int"), F.ceil(n * r).cast("int"))))
+        b = b.withColumn("_n", F.length("alias"))
+        keys = ["_k", "_n"]
+    scored = a.join(b, keys).select("name", "alias", (scorer or _score)("name", "alias").alias("score"))
+    # the two best of a name: the engine keeps no more of each in a task
+    two = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("alias"))
+    best = scored.withColumn("_r", F.row_number().over(two)).where("_r <= 2").groupBy("name").agg(F.max(F.when(F.col("_r") == 1, F.struct("alias", "score"))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
+    return best.where((F.col("best.score") >= cutoff) & (F.col("best.score") - F.coalesce("second", F.lit(0.0)) >= margin)).select("name", "best.alias", "best.score")
+
+
+def edit_score(a, b) -> Column:
+    """100 (1 - edit distance / the longer length), all JVM-side."""
+    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
+
+def searchable(known: DataFrame, rxnorm: DataFrame | None = None) -> DataFrame:
+    """(alias, dc_id) of the aliases of all sources that mean one ingredient."""
+    every = known if rxnorm is None else known.unionByName(rxnorm)
+    return every.groupBy("alias").agg(F.countDistinct("dc_id").alias("n"), F.min("dc_id").alias("dc_id")).where("n = 1").select("alias", "dc_id")
+
+
+def fuzzy_cascade(rows: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3) -> DataFrame:
+    """(faers_raw, ids, conflict) as exact_cascade gives it, with names and components matched to their nearest alias."""
+    values = rows.select(F.explode(F.array("prod_ai", "faers_raw")).alias("v")).where(F.col("v").isNotNull()).distinct()
+    parts = F.concat(F.array(C.drug_name(F.col("v"))), F.transform(F.split(F.upper("v"), r"\s*(?:/|\+)\s*"), C.drug_name))
+    asked = values.select(F.explode(parts).alias("name")).where("name <> ''").distinct()
+    near = fuzzy(asked, known, cutoff, margin).join(known, "alias").select(F.col("name").alias("alias"), "dc_id")
+    return exact_cascade(rows, near)
+
+
+def rxnorm_local(identifiers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Names of the label mapping (rxcui, rxstring) for the ingredients' identifiers (rxcui, struct_id)."""
+    names = labels.where(C.filled(F.col("rxcui")) & C.filled(F.col("rxstring"))).select("rxcui", F.col("rxstring").alias("rxnorm_name")).distinct()
+    return identifiers.join(names, "rxcui").select("rxnorm_name", "struct_id", "rxcui", F.lit("drugcentral_identifier").alias("source"), F.lit(None).cast("string").alias("query_name")).distinct()
+
+
+def rxnorm_answers(responses: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the names whose best-ranked candidates all lead to one set of ingredients. responses: query_name, candidates
+    (name, rxcui, rank); a name has few candidates."""
+    rows = responses.select("query_name", F.posexplode("candidates").alias("place", "c")).select("query_name", "place", "c.*")
+    rank = F.coalesce("rank", F.lit(0))
+    best = rows.groupBy("query_name").agg(F.min(rank).alias("_best"))
+    rows = rows.join(best, "query_name").where(rank == F.col("_best"))
+    found = rows.join(resolve(rows, "name", known), "name").where("ids is not null")
+    one = found.groupBy("query_name").agg(F.size(F.collect_set("ids")).alias("n"), F.min_by(F.struct("name", "rxcui", "ids"), "place").alias("first")).where("n = 1")
+    return one.select(F.col("first.name").alias("rxnorm_name"), F.explode("first.ids").alias("struct_id"), F.col("first.rxcui").alias("rxcui"), F.lit("rxnorm_api").alias("source"), "query_name")
+
+
+def rxnorm_aliases(lookup: DataFrame) -> DataFrame:
+    """(alias, dc_id): both names of a lookup row stand for its ingredient."""
+    names = F.explode(F.array("rxnorm_name", "query_name"))
+    return lookup.where("struct_id is not null").select(names.alias("name"), F.col("struct_id").cast("bigint").alias("dc_id")).select(C.drug_name(F.col("name")).alias("alias"), "dc_id").where("alias <> ''").distinct()
+
+
+def suggestions(query: str, known: DataFrame, k: int = 10, cutoff: float = 70.0) -> DataFrame:
+    """Autocomplete: the k aliases with a stretch as long as the query that is nearest to it, if that reaches the cutoff;
+    the shortest of equals first. Stretches are compared by edit distance, JVM-side."""
     text = query.upper().strip()
-    return known.select("alias").distinct().where(F.col("alias").contains(text)).orderBy(F.length("alias"), F.levenshtein("alias", F.lit(text)), "alias").limit(k)
+    n = len(text)
+    near = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("alias") - n + 1)), F.lit(1_000_000), lambda out, i: F.least(out, F.levenshtein(F.col("alias").substr(i, F.lit(n)), F.lit(text))))
+    scored = known.select("alias").distinct().withColumn("score", 100.0 * (1 - near / max(n, 1)))
+    return scored.where(F.col("score") >= cutoff).orderBy(F.desc("score"), F.length("alias"), "alias").limit(k)
 
 
 def boxed_warnings(sections: DataFrame, labels: DataFrame, ingredients: DataFrame) -> DataFrame:
