@@ -1,8 +1,13 @@
-"""Keyword-only builders: staged tables in, Parquet and a manifest out. An equal build is used again."""
+"""Keyword-only builders: staged tables in, Parquet and a manifest out. An equal build is used again; nothing is computed for it.
+
+A build is equal if its version, its parameters and every input are: source files by SHA-256 (which is only computed if
+their listing has changed), staged tables by their listing. Outputs come into place whole."""
 
 from __future__ import annotations
 
+import fnmatch
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +24,7 @@ from ..operators import quality as QA
 from ..operators import risk as RI
 from ..sources import copydump, delimited, manifest, zipped
 
-VERSION = "1"
+VERSION = "2"
 REPORT_TABLES = ("demo", "drug", "indi", "reac", "outc", "delete")
 REFERENCE_TABLES = ("structures", "synonyms", "atc", "struct2atc", "drug_class")
 
@@ -34,163 +39,347 @@ class Build:
     counts: dict
 
 
-def _publish(spark, df: DataFrame, output: str, inputs: dict[str, str], parameters: dict, counts: dict | None = None, provenance: dict | None = None) -> Build:
-    wanted = manifest.Manifest(VERSION, {k: manifest.tree_sha256(p) for k, p in inputs.items() if os.path.exists(p)}, parameters)
+def _publish(spark: SparkSession, make: Callable, output: str, parameters: dict, sources: dict[str, str] | None = None, tables: dict[str, str] | None = None) -> Build:
+    """make() gives the rows, or (rows, counts); it is called only if no equal build is there."""
+    listings = {k: manifest.listing(spark, p) for k, p in {**(sources or {}), **(tables or {})}.items()}
     side = f"{output}.manifest.json"
-    if manifest.reusable(side, wanted, spark, output):
-        return Build(output, manifest.load(side).rows, True, counts or {})
+    wanted = manifest.Manifest(VERSION, listings, parameters)
+    had = manifest.reusable(spark, side, wanted, output)
+    digests = None
+    if had is None and sources:
+        # the same bytes under other times are the same input
+        digests = {k: manifest.sha256(spark, p) for k, p in sources.items()}
+        old = manifest.load(spark, side)
+        if old is not None and old.provenance.get("sha256") == digests and all(old.inputs.get(k) == listings[k] for k in tables or {}):
+            had = manifest.reusable(spark, side, manifest.Manifest(VERSION, old.inputs, parameters), output)
+    if had is not None:
+        return Build(output, had.rows, True, had.provenance.get("counts", {}))
+    made = make()
+    df, counts = made if isinstance(made, tuple) else (made, {})
     delimited.write_staged(df, output)
     rows = spark.read.parquet(output).count()
-    manifest.save(side, manifest.Manifest(VERSION, wanted.inputs, parameters, rows, provenance or {}))
-    return Build(output, rows, False, counts or {})
+    manifest.save(spark, side, manifest.Manifest(VERSION, listings, parameters, rows, {"counts": counts, "sha256": digests or {}, "sources": sources or {}}))
+    return Build(output, rows, False, counts)
 
 
 def build_reports(*, spark: SparkSession, data_dir: str, quarters: list[str], tables: tuple = REPORT_TABLES) -> list[Build]:
-    """raw/<quarter>/<table>*.txt to interim/<table>/quarter=..., all strings."""
-    import glob
-
+    """raw/<quarter>/**/*<table>*.txt to interim/<table>_<quarter>.parquet, all strings."""
     out = []
     for q in quarters:
+        there = [name for name, _, _ in manifest.files(spark, os.path.join(data_dir, "raw", q))]
         for t in tables:
-            paths = sorted(glob.glob(os.path.join(data_dir, "raw", q, "**", f"*{t}*.txt"), recursive=True))
-            if t == "delete":
-                df = delimited.deleted_cases(spark, paths, q)
-            elif not paths:
+            paths = sorted(p for p in there if fnmatch.fnmatch(p.rsplit("/", 1)[1].lower(), f"*{t}*.txt"))
+            if t != "delete" and not paths:
                 raise delimited.SourceError(f"{q} has no file of {t}")
-            else:
-                df = delimited.report_table(spark, paths[0], q)
-            out.append(_publish(spark, df, os.path.join(data_dir, "interim", f"{t}_{q}.parquet"), {p: p for p in paths}, {"table": t, "quarter": q}))
+            make = (lambda paths=paths, q=q: delimited.deleted_cases(spark, paths, q)) if t == "delete" else (lambda paths=paths, q=q: delimited.report_table(spark, paths[0], q))
+            out.append(_publish(spark, make, os.path.join(data_dir, "interim", f"{t}_{q}.parquet"), {"table": t, "quarter": q}, {p: p for p in paths}))
     return out
 
 
 def build_reference(*, spark: SparkSession, data_dir: str, dump: str, tables: tuple = REFERENCE_TABLES) -> list[Build]:
-    return [_publish(spark, copydump.copy_table(spark, dump, t), os.path.join(data_dir, "reference", f"{t}.parquet"), {"dump": dump}, {"table": t}) for t in tables]
+    return [_publish(spark, lambda t=t: copydump.copy_table(spark, dump, t), os.path.join(data_dir, "reference", f"{t}.parquet"), {"table": t}, {"dump": dump}) for t in tables]
 
 
 def build_labels(*, spark: SparkSession, data_dir: str, archives: dict[str, str]) -> list[Build]:
-    return [_publish(spark, zipped.zip_table(spark, path, t), os.path.join(data_dir, "labels", f"{t}.parquet"), {t: path}, {"table": t}) for t, path in archives.items()]
+    return [_publish(spark, lambda t=t, path=path: zipped.zip_table(spark, path, t), os.path.join(data_dir, "labels", f"{t}.parquet"), {"table": t}, {t: path}) for t, path in archives.items()]
+
+
+def _interim(spark, data_dir: str, *tables: str) -> dict[str, str]:
+    """The staged shards of some tables, by name."""
+    return {p.rsplit("/", 1)[1]: p for t in tables for p in manifest.matching(spark, os.path.join(data_dir, "interim", f"{t}_*.parquet"))}
+
 
+def _staged(spark, data_dir: str, table: str, **options) -> DataFrame:
+    return delimited.staged(spark, list(_interim(spark, data_dir, table).values()), **options)
 
-def _interim(spark, data_dir: str, table: str) -> DataFrame:
-    import glob
 
-    return delimited.staged(spark, sorted(glob.glob(os.path.join(data_dir, "interim", f"{table}_*.parquet"))))
+def _under(data_dir: str, folder: str, *names: str) -> dict[str, str]:
+    return {n: os.path.join(data_dir, folder, f"{n}.parquet") for n in names}
 
 
 def build_cohort(*, spark: SparkSession, data_dir: str, split_preset: str = "gnn-small") -> dict[str, Build]:
     if split_preset not in SPLITS:
         raise ValueError(f"no such split: {split_preset}")
-    made = CO.build_cohort(*[_interim(spark, data_dir, t) for t in ("demo", "drug", "reac", "outc", "delete")], split_preset)
-    inputs, parameters = {"interim": os.path.join(data_dir, "interim")}, {"split_preset": split_preset}
-    put = lambda df, name, **k: _publish(spark, df, os.path.join(data_dir, "processed", f"{name}.parquet"), inputs, parameters | {"part": name}, **k)
-    out = {"cohort": put(made.cohort.orderBy(F.asc_nulls_last("report_date"), "caseid"), "cohort", counts=made.audit())}
+    parts = ("demo", "drug", "reac", "outc", "delete")
+    made = CO.build_cohort(*[_staged(spark, data_dir, t) for t in parts], split_preset)
+    inputs = _interim(spark, data_dir, *parts)
+    put = lambda make, name: _publish(spark, make, os.path.join(data_dir, "processed", f"{name}.parquet"), {"split_preset": split_preset, "part": name}, tables=inputs)
+    out = {"cohort": put(lambda: (made.cohort.orderBy(F.asc_nulls_last("report_date"), "caseid"), made.audit()), "cohort")}
     for name in ("report_drug", "report_reaction", "report_outcome", "case_splits"):
-        out[name] = put(getattr(made, name), name)
+        out[name] = put(lambda name=name: getattr(made, name), name)
+    cohort, splits = (spark.read.parquet(out[n].output) for n in ("cohort", "case_splits"))
+    QA.require_same_cases(cohort, splits)
     return out
 
 
+def build_rxnorm_lookup(*, spark: SparkSession, data_dir: str, dump: str, responses: str | None = None) -> Build:
+    """(rxnorm_name, struct_id, rxcui, source, query_name): names of the dump's RxNorm identifiers, through the label mapping,
+    and answers of the name service kept as JSON lines (query_name, candidates), if there are any. Nothing is fetched here."""
+    labels = os.path.join(data_dir, "labels", "rxnorm.parquet")
+    reference = _under(data_dir, "reference", "structures", "synonyms")
+    if missing := QA.missing_prerequisites({"labels": labels, **reference}, spark):
+        raise FileNotFoundError("; ".join(missing))
+
+    def make():
+        read = lambda n: spark.read.parquet(reference[n])
+        local = NA.rxnorm_local(copydump.rxnorm_names(spark, dump), spark.read.parquet(labels))
+        rows = local
+        if responses:
+            kept = spark.read.schema("query_name string, candidates array<struct<name: string, rxcui: string, rank: int>>").option("mode", "FAILFAST").json(responses)
+            rows = rows.unionByName(NA.rxnorm_answers(kept, NA.aliases(read("structures"), read("synonyms").select("id", "name"))))
+        rows = rows.where(C.drug_name(F.col("rxnorm_name")) != "").distinct()
+        return rows.orderBy(F.coalesce("query_name", F.lit("")), "rxnorm_name", "struct_id"), {"local": local.count()}
+
+    return _publish(spark, make, os.path.join(data_dir, "reference", "rxnorm_lookup.parquet"), {"responses": bool(responses)}, {"dump": dump, **({"responses": responses} if responses else {})}, {"labels": labels, **reference})
+
+
 def build_drug_dictionary(*, spark: SparkSession, data_dir: str, dump: str | None = None, fuzzy_trigger_rate: float = 0.5, fuzzy_score_cutoff: float = 97, fuzzy_margin: float = 3) -> Build:
     """(faers_raw, dc_id, atc_code, ror, has_boxed_warning): a row an ingredient; id 0 where a name stays unmapped. Fuzzy
-    matches are tried only if the exact rate is below the trigger."""
+    matches are tried only if the exact rate is below the trigger, of prod_ai first."""
     if not (0 <= fuzzy_trigger_rate <= 1 and 0 <= fuzzy_score_cutoff <= 100 and 0 <= fuzzy_margin <= 100):
         raise ValueError("a fuzzy parameter is out of range")
-    read = lambda *p: spark.read.parquet(os.path.join(data_dir, *p))
-    edges, cohort = read("processed", "report_drug.parquet"), read("processed", "cohort.parquet")
-    known = NA.aliases(read("reference", "structures.parquet"), read("reference", "synonyms.parquet").select("id", "name"))
-    raw = edges.select(F.trim("drugname").alias("faers_raw"), "prod_ai").where(C.filled(F.col("faers_raw"))).distinct()
-    mapped = GR.checkpointed(NA.exact_cascade(raw, known))
-    total, hit = mapped.count(), mapped.where("ids is not null").count()
-    if total and hit / total < fuzzy_trigger_rate:
-        open_ = mapped.where("ids is null and conflict = 0").select("faers_raw", C.drug_name(F.col("faers_raw")).alias("name"))
-        near = NA.fuzzy(open_, known, fuzzy_score_cutoff, fuzzy_margin).join(known, "alias").select("name", "dc_id")
-        more = open_.join(near, "name").groupBy("faers_raw").agg(F.array_sort(F.collect_set("dc_id")).alias("_f"))
-        mapped = mapped.join(more, "faers_raw", "left").withColumn("ids", F.coalesce("ids", "_f")).drop("_f")
-    rows = mapped.select("faers_raw", F.explode(F.coalesce("ids", F.array(F.lit(0).cast("bigint")))).alias("dc_id"))
-    rows = rows.join(NA.atc_by_structure(read("reference", "struct2atc.parquet")), "dc_id", "left")
-    if dump:
-        boxed = NA.boxed_warnings(copydump.copy_table(spark, dump, "section"), copydump.copy_table(spark, dump, "prd2label"), copydump.copy_table(spark, dump, "active_ingredient")).withColumn("has_boxed_warning", F.lit(1))
-        rows = rows.join(boxed, "dc_id", "left").fillna({"has_boxed_warning": 0})
-    else:
-        rows = rows.withColumn("has_boxed_warning", F.lit(0))
-    out = NA.dictionary_ror(rows, edges, cohort).select("faers_raw", "dc_id", "atc_code", "ror", "has_boxed_warning")
-    QA.require_unique(out, ["faers_raw", "dc_id"])
-    return _publish(spark, out.orderBy("faers_raw", "dc_id"), os.path.join(data_dir, "processed", "drug_dictionary.parquet"), {"edges": os.path.join(data_dir, "processed", "report_drug.parquet")}, {"trigger": fuzzy_trigger_rate, "cutoff": fuzzy_score_cutoff, "margin": fuzzy_margin}, {"names": total, "exact": hit})
-
-
-def add_tabular_features(*, spark: SparkSession, data_dir: str) -> Build:
-    """The cohort with demographics, temporal risk, ATC, exposure and dose features."""
-    read = lambda p: spark.read.parquet(os.path.join(data_dir, "processed", p))
-    cohort, edges, dictionary = read("cohort.parquet"), read("report_drug.parquet"), read("drug_dictionary.parquet")
-    named = edges.withColumn("faers_raw", F.trim("drugname"))
-    reports = cohort.select(F.col("primaryid").alias("report"), "report_date", "is_serious", "split")
-    exposures = named.select(F.col("primaryid").alias("report"), "faers_raw").join(dictionary.where("dc_id > 0").select("faers_raw", "dc_id"), "faers_raw").select("report", "dc_id").distinct()
-    boxed = dictionary.where("dc_id > 0").groupBy("dc_id").agg(F.max("has_boxed_warning").alias("has_boxed_warning"))
-    codes = dictionary.where("dc_id > 0").groupBy("dc_id").agg(F.min("atc_code").alias("atc_code"))
-    risk = RI.patient_risk(RI.temporal_ror(exposures, reports, "dc_id"), boxed).withColumnRenamed("report", "primaryid")
-    atc = FE.atc_features(FE.atc_rows(exposures, codes)).withColumnRenamed("report", "primaryid")
-    doses = DO.patient_features(DO.relative(DO.eligible(DO.canonical(named), DO.single_ingredient(dictionary))))
-    out = FE.assemble(FE.demographics(cohort), "primaryid", [risk, atc, FE.exposure_features(named), doses], {"max_ror": 1.0})
-    QA.require_same_rows(cohort, out, "primaryid")
-    return _publish(spark, out, os.path.join(data_dir, "processed", "cohort_tabular.parquet"), {"cohort": os.path.join(data_dir, "processed", "cohort.parquet")}, {})
-
-
-def build_feature_rescue(*, spark: SparkSession, data_dir: str, training_end_year: int = 2023, top_pairs: int = 50, minimum_pair_reports: int = 25) -> Build:
+    tables = {**_under(data_dir, "processed", "report_drug", "cohort"), **_under(data_dir, "reference", "structures", "synonyms", "struct2atc")}
+    rx = os.path.join(data_dir, "reference", "rxnorm_lookup.parquet")
+    if manifest.exists(spark, rx):
+        tables["rxnorm_lookup"] = rx
+
+    def make():
+        read = lambda n: spark.read.parquet(tables[n])
+        edges, cohort = read("report_drug"), read("cohort")
+        known = NA.aliases(read("structures"), read("synonyms").select("id", "name"))
+        rxnorm = NA.rxnorm_aliases(read("rxnorm_lookup")) if "rxnorm_lookup" in tables else None
+        raw = edges.select(F.trim("drugname").alias("faers_raw"), "prod_ai").where(C.filled(F.col("faers_raw"))).distinct()
+        mapped = GR.checkpointed(NA.exact_cascade(raw, known, rxnorm))
+        total, hit = mapped.count(), mapped.where("ids is not null").count()
+        if total and hit / total < fuzzy_trigger_rate:
+            open_ = raw.join(mapped.where("ids is null and conflict = 0").select("faers_raw"), "faers_raw", "left_semi")
+            more = NA.fuzzy_cascade(open_, NA.searchable(known, rxnorm), fuzzy_score_cutoff, fuzzy_margin)
+            mapped = mapped.join(more.select("faers_raw", F.col("ids").alias("_f")), "faers_raw", "left").withColumn("ids", F.coalesce("ids", "_f")).drop("_f")
+        rows = mapped.select("faers_raw", F.explode(F.coalesce("ids", F.array(F.lit(0).cast("bigint")))).alias("dc_id"))
+        rows = rows.join(NA.atc_by_structure(read("struct2atc")), "dc_id", "left")
+        if dump:
+            boxed = NA.boxed_warnings(copydump.copy_table(spark, dump, "section"), copydump.copy_table(spark, dump, "prd2label"), copydump.copy_table(spark, dump, "active_ingredient")).withColumn("has_boxed_warning", F.lit(1))
+            rows = rows.join(boxed, "dc_id", "left").fillna({"has_boxed_warning": 0})
+        else:
+            rows = rows.withColumn("has_boxed_warning", F.lit(0))
+        out = NA.dictionary_ror(rows, edges, cohort).select("faers_raw", "dc_id", "atc_code", "ror", "has_boxed_warning")
+        QA.require_unique(out, ["faers_raw", "dc_id"])
+        return out.orderBy("faers_raw", "dc_id"), {"names": total, "exact": hit}
+
+    parameters = {"trigger": fuzzy_trigger_rate, "cutoff": fuzzy_score_cutoff, "margin": fuzzy_margin, "dump": bool(dump)}
+    return _publish(spark, make, os.path.join(data_dir, "processed", "drug_dictionary.parquet"), parameters, {"dump": dump} if dump else {}, tables)
+
+
+def add_tabular_features(*, spark: SparkSession, data_dir: str, rebuild_graph: bool = True) -> Build:
+    """The cohort with demographics, temporal risk, ATC, exposure and dose features; the frozen dose table beside it."""
+    tables = _under(data_dir, "processed", "cohort", "report_drug", "drug_dictionary")
+    read = lambda n: spark.read.parquet(tables[n])
+    named = lambda: read("report_drug").withColumn("faers_raw", F.trim("drugname"))
+    eligible = lambda: DO.eligible(DO.canonical(named()), DO.single_ingredient(read("drug_dictionary")))
+
+    def make():
+        cohort, dictionary = read("cohort"), read("drug_dictionary").where("dc_id > 0")
+        reports = cohort.select(F.col("primaryid").alias("report"), "report_date", "is_serious", "split")
+        exposures = named().select(F.col("primaryid").alias("report"), "faers_raw").join(dictionary.select("faers_raw", "dc_id"), "faers_raw").select("report", "dc_id").distinct()
+        boxed = dictionary.groupBy("dc_id").agg(F.max("has_boxed_warning").alias("has_boxed_warning"))
+        codes = dictionary.groupBy("dc_id").agg(F.min("atc_code").alias("atc_code"))
+        risk = RI.patient_risk(RI.temporal_ror(exposures, reports, "dc_id"), boxed).withColumnRenamed("report", "primaryid")
+        atc = FE.atc_features(FE.atc_rows(exposures, codes)).withColumnRenamed("report", "primaryid")
+        doses = DO.patient_features(DO.relative(eligible()))
+        out = FE.assemble(FE.demographics(cohort), "primaryid", [risk, atc, FE.exposure_features(named()), doses], {"max_ror": 1.0})
+        QA.require_same_rows(cohort, out, "primaryid")
+        return out
+
+    _publish(spark, lambda: DO.lookup(eligible()), os.path.join(data_dir, "processed", "dose_reference.parquet"), {"part": "dose_reference"}, tables=tables)
+    out = _publish(spark, make, os.path.join(data_dir, "processed", "cohort_tabular.parquet"), {"part": "cohort_tabular"}, tables=tables)
+    if rebuild_graph:
+        build_graph(spark=spark, data_dir=data_dir, cohort="cohort_tabular")
+    return out
+
+
+def build_feature_rescue(*, spark: SparkSession, data_dir: str, training_end_year: int = 2023, top_pairs: int = 50, minimum_pair_reports: int = 25, rebuild_graph: bool = True) -> Build:
     """Pair risks, indications and outcome flags; only training reports up to the year are fitted on."""
-    read = lambda p: spark.read.parquet(os.path.join(data_dir, "processed", p))
-    cohort, edges, dictionary = read("cohort_tabular.parquet"), read("report_drug.parquet"), read("drug_dictionary.parquet")
-    reports = cohort.select(F.col("primaryid").alias("report"), "report_date", "is_serious", "split")
+    tables = {**_under(data_dir, "processed", "cohort_tabular", "report_drug", "drug_dictionary"), **_interim(spark, data_dir, "indi")}
+    parameters = {"year": training_end_year, "least": minimum_pair_reports, "top": top_pairs}
     fit = (F.col("split") == "train") & (F.year("report_date") <= training_end_year)
-    exposures = edges.select(F.col("primaryid").alias("report"), F.trim("drugname").alias("faers_raw")).join(dictionary.where("dc_id > 0").select("faers_raw", "dc_id"), "faers_raw").select("report", "dc_id").distinct()
-    pairs = GR.checkpointed(RI.pairs(exposures))
-    top = RI.top_pairs(RI.pair_risk(pairs, reports.where(fit), minimum_pair_reports), top_pairs)
-    _publish(spark, top, os.path.join(data_dir, "processed", "high_risk_drug_pairs.parquet"), {}, {"year": training_end_year, "least": minimum_pair_reports, "top": top_pairs})
-    pair_features = RI.patient_pair_risk(RI.pair_scores(pairs, reports, fit, minimum_pair_reports)).withColumnRenamed("report", "primaryid")
-    parts = [pair_features]
-    terms = _interim(spark, data_dir, "indi").select(F.col("primaryid").alias("report"), F.col("indi_pt").alias("indication"))
-    vocabulary = FE.indication_vocabulary(terms.join(reports.where(fit).select("report"), "report"))
-    parts.append(FE.indication_features(terms, vocabulary).withColumnRenamed("report", "primaryid"))
-    out = FE.assemble(cohort, "primaryid", parts).withColumns(FE.outcome_targets(F.col("outcome_codes")))
-    QA.require_same_rows(cohort, out, "primaryid")
-    return _publish(spark, out, os.path.join(data_dir, "processed", "cohort_enriched.parquet"), {"cohort": os.path.join(data_dir, "processed", "cohort_tabular.parquet")}, {"year": training_end_year, "least": minimum_pair_reports, "top": top_pairs}, provenance={"fitted_on": f"train up to {training_end_year}, strictly earlier dates", "held_out": "frozen"})
-
-
-def build_graph(*, spark: SparkSession, data_dir: str, top_unknown: int = 500) -> dict[str, Build]:
-    read = lambda p: spark.read.parquet(os.path.join(data_dir, "processed", p))
-    cohort, edges, dictionary = read("cohort.parquet"), read("report_drug.parquet"), read("drug_dictionary.parquet")
-    QA.require_splits(cohort)
-    patients = GR.dense_index(cohort.select("primaryid", "report_date", "split", "is_serious"), [F.asc_nulls_last("report_date"), F.asc("primaryid")], "patient_index")
-    patients = GR.checkpointed(patients)
-    named = edges.withColumn("faers_raw", F.trim("drugname"))
-    mapped = dictionary.where("dc_id > 0")
-    unknown = NA.unmapped_by_frequency(named, mapped, top_unknown)
-    nodes = GR.drug_nodes(mapped.select("dc_id").distinct(), unknown)
-    links = GR.graph_edges(named.join(patients.select("primaryid", "patient_index"), "primaryid").select("patient_index", "faers_raw"), dictionary, unknown, nodes)
-    QA.require_no_orphans(links, nodes, "node_index")
-    out = os.path.join(data_dir, "graph")
-    made = {n: _publish(spark, df, os.path.join(out, f"{n}.parquet"), {}, {"top_unknown": top_unknown, "part": n}) for n, df in (("patients", patients), ("drug_nodes", nodes), ("graph_edges", links))}
-    return made
+    read = lambda n: spark.read.parquet(tables[n])
+    reports = lambda: read("cohort_tabular").select(F.col("primaryid").alias("report"), "report_date", "is_serious", "split")
+    known: list[DataFrame] = []
+
+    def pairs() -> DataFrame:
+        if not known:
+            dictionary = read("drug_dictionary").where("dc_id > 0").select("faers_raw", "dc_id")
+            exposures = read("report_drug").select(F.col("primaryid").alias("report"), F.trim("drugname").alias("faers_raw")).join(dictionary, "faers_raw").select("report", "dc_id").distinct()
+            known.append(GR.checkpointed(RI.pairs(exposures)))
+        return known[0]
+
+    def make():
+        cohort = read("cohort_tabular")
+        scored = RI.patient_pair_risk(RI.pair_scores(pairs(), reports(), fit, minimum_pair_reports)).withColumnRenamed("report", "primaryid")
+        terms = _staged(spark, data_dir, "indi").select(F.col("primaryid").alias("report"), F.col("indi_pt").alias("indication"))
+        vocabulary = FE.indication_vocabulary(terms.join(reports().where(fit).select("report"), "report"))
+        parts = [scored, FE.indication_features(terms, vocabulary).withColumnRenamed("report", "primaryid")]
+        out = FE.assemble(cohort, "primaryid", parts).withColumns(FE.outcome_targets(F.col("outcome_codes")))
+        QA.require_same_rows(cohort, out, "primaryid")
+        return out, {"fitted_on": f"train up to {training_end_year}, strictly earlier dates", "held_out": "frozen"}
+
+    top = lambda: RI.top_pairs(RI.pair_risk(pairs(), reports().where(fit), minimum_pair_reports), top_pairs)
+    _publish(spark, top, os.path.join(data_dir, "processed", "high_risk_drug_pairs.parquet"), parameters, tables=tables)
+    out = _publish(spark, make, os.path.join(data_dir, "processed", "cohort_enriched.parquet"), parameters, tables=tables)
+    if rebuild_graph:
+        build_graph(spark=spark, data_dir=data_dir, cohort="cohort_enriched")
+    return out
+
+
+#: Columns of a cohort that aren't features: identity, time, text, and what is to be predicted.
+NOT_FEATURES = {"primaryid", "caseid", "caseversion", "report_date", "quarter", "split", "is_serious", "is_death", "is_hospitalization", "outcome_codes", "age", "num_drugs"}
+
+
+def numeric_features(cohort: DataFrame) -> list[str]:
+    """Numeric columns that may be learnt from, beside age, sex and the number of drugs, which every vector has."""
+    return [c for c, t in cohort.dtypes if c not in NOT_FEATURES and (t in ("int", "bigint", "smallint", "tinyint", "float", "double") or t.startswith("decimal"))]
+
+
+def build_graph(*, spark: SparkSession, data_dir: str, top_unknown: int = 500, cohort: str = "cohort") -> dict[str, Build]:
+    """patients (with their vectors), drug_nodes (with theirs), graph_edges in the order of split, patient and drug, and the
+    descriptor: edges and first edge of each split."""
+    tables = {**_under(data_dir, "processed", cohort, "report_drug", "drug_dictionary")}
+    names = tables | ({"structures": p} if manifest.exists(spark, p := os.path.join(data_dir, "reference", "structures.parquet")) else {})
+    read = lambda n: spark.read.parquet(names[n])
+    folder, parameters = os.path.join(data_dir, "graph"), {"top_unknown": top_unknown, "cohort": cohort}
+    put = lambda make, n: _publish(spark, make, os.path.join(folder, f"{n}.parquet"), parameters | {"part": n}, tables=names)
+
+    def patients():
+        rows = read(cohort)
+        QA.require_splits(rows)
+        numeric = numeric_features(rows)
+        vectors = FE.patient_vector(rows, numeric).select("primaryid", "report_date", "split", "is_serious", "features")
+        return GR.dense_index(vectors, [F.asc_nulls_last("report_date"), F.asc("primaryid")], "patient_index"), {"features": ["age", "sex_m", "num_drugs", *numeric]}
+
+    mapped = lambda: read("drug_dictionary").where("dc_id > 0")
+    named = lambda: read("report_drug").withColumn("faers_raw", F.trim("drugname"))
+
+    def nodes():
+        unknown = GR.checkpointed(NA.unmapped_by_frequency(named(), mapped(), top_unknown))
+        own = mapped().groupBy("dc_id").agg(F.max("has_boxed_warning").alias("has_boxed_warning"), F.min("atc_code").alias("atc_code"))
+        made = GR.drug_nodes(mapped().select("dc_id").distinct(), unknown, GR.has_other(named(), read("drug_dictionary"), unknown))
+        made = made.join(own.withColumnRenamed("dc_id", "semantic_id"), "semantic_id", "left")
+        train = read(cohort).where("split = 'train'").select(F.col("primaryid").alias("report"), "is_serious")
+        links = GR.graph_edges(named().select(F.col("primaryid").alias("patient_index"), "faers_raw"), read("drug_dictionary"), unknown, made).withColumnRenamed("patient_index", "report")
+        cells = RI.with_ror(RI.contingency(links, train, ["node_index"]), "zero").select("node_index", F.log("ror").alias("log_ror"))
+        made = FE.drug_vector(made.join(cells, "node_index", "left"))
+        made = GR.named_nodes(made, read("structures")) if "structures" in names else made.withColumn("display_name", F.col("node_label"))
+        return made, {"features": FE.DRUG_FEATURES}
+
+    out = {"patients": put(patients, "patients"), "drug_nodes": put(nodes, "drug_nodes")}
+    here = _under(data_dir, "graph", "patients", "drug_nodes")
+    who, drugs = (spark.read.parquet(here[n]) for n in ("patients", "drug_nodes"))
+
+    def edges():
+        unknown = drugs.where("node_kind = 'frequent_unknown'").select(F.col("node_label").alias("faers_raw"))
+        links = GR.graph_edges(named().join(who.select("primaryid", "patient_index"), "primaryid").select("patient_index", "faers_raw"), read("drug_dictionary"), unknown, drugs)
+        QA.require_no_orphans(links, drugs, "node_index")
+        return GR.ordered_edges(links, who)
+
+    # the nodes are inputs of the edges as well
+    out["graph_edges"] = _publish(spark, edges, os.path.join(folder, "graph_edges.parquet"), parameters | {"part": "graph_edges"}, tables={**tables, **here})
+    made = spark.read.parquet(out["graph_edges"].output)
+    out["descriptor"] = _publish(spark, lambda: GR.split_offsets(made), os.path.join(folder, "descriptor.parquet"), parameters | {"part": "descriptor"}, tables={"graph_edges": out["graph_edges"].output})
+    return out
 
 
 def build_graph_features(*, spark: SparkSession, data_dir: str, n_iterations: int = 3, alpha: float = 0.7) -> Build:
-    read = lambda p: spark.read.parquet(os.path.join(data_dir, "graph", p))
-    patients, nodes, links = read("patients.parquet"), read("drug_nodes.parquet"), read("graph_edges.parquet")
-    train = patients.where("split = 'train'").select(F.col("patient_index").alias("report"), "is_serious", "split")
-    cells = RI.with_ror(RI.contingency(links.select(F.col("patient_index").alias("report"), "node_index"), train, ["node_index"]), "zero")
-    base = nodes.select("node_index").join(cells.select("node_index", F.log("ror").alias("log_ror")), "node_index", "left").fillna({"log_ror": 0.0})
-    return _publish(spark, GR.graph_features(links, patients, base, n_iterations, alpha), os.path.join(data_dir, "graph", "graph_features.parquet"), {}, {"steps": n_iterations, "alpha": alpha})
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+
+    def make():
+        patients, nodes, links = (spark.read.parquet(tables[n]) for n in ("patients", "drug_nodes", "graph_edges"))
+        base = nodes.select("node_index", F.coalesce("log_ror", F.lit(0.0)).alias("log_ror"))
+        return GR.graph_features(links.select("patient_index", "node_index"), patients, base, n_iterations, alpha)
+
+    return _publish(spark, make, os.path.join(data_dir, "graph", "graph_features.parquet"), {"steps": n_iterations, "alpha": alpha}, tables=tables)
+
+
+def _training_rows(spark, data_dir: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows, patient features, neighbour features): a column each, with label and split, after the graph's audits."""
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+    patients, nodes, links = (spark.read.parquet(tables[n]) for n in ("patients", "drug_nodes", "graph_edges"))
+    GR.inductive_audit(links, patients)
+    own = manifest.load(spark, f"{tables['patients']}.manifest.json").provenance["counts"]["features"]
+    near = [f"drug_{n}" for n in FE.DRUG_FEATURES]
+    rows = patients.join(GR.one_hop_means(links, patients, nodes, len(near)), "patient_index")
+    columns = [*[F.col("features")[k].cast("double").alias(n) for k, n in enumerate(own)], *[F.col("neighbours")[k].alias(n) for k, n in enumerate(near)]]
+    return rows.select("patient_index", "primaryid", "split", F.col("is_serious").alias("label"), *columns), own, near
+
+
+def train_model(*, spark: SparkSession, data_dir: str, kind: str = "boosted", feature_track: str = "prospective", evaluate_test: bool = False, **options) -> Build:
+    """A model on patients' own features and the means of their drugs', learnt from training patients; saved under models/,
+    with the scores of validation patients (and test patients where asked) and its metrics beside it."""
+    from ..operators import evaluate as EV
+    from ..operators import models as MO
+
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+    name = f"{kind}-{feature_track}"
+    place = os.path.join(data_dir, "models", name)
+
+    def make():
+        rows, own, near = _training_rows(spark, data_dir)
+        chosen = [*FE.track(own, feature_track), *near]
+        rows = GR.checkpointed(rows)
+        model = MO.fit(rows, chosen, kind, **options)
+        MO.save(model, place)
+        held = MO.scored(model, rows.where(F.col("split").isin("validation", *(["test"] if evaluate_test else []))))
+        held = GR.checkpointed(held.select("patient_index", "primaryid", "split", "label", "score"))
+        auc = {s: EV.auc(held.where(F.col("split") == s)).first()["auc"] for s in ("validation", *(["test"] if evaluate_test else []))}
+        return held, {"features": chosen, "auc": auc}
+
+    return _publish(spark, make, os.path.join(data_dir, "models", f"{name}-scores.parquet"), {"kind": kind, "track": feature_track, "test": evaluate_test, **options}, tables=tables)
+
+
+def evaluate_dosage_ablation(*, spark: SparkSession, data_dir: str, kind: str = "boosted", seed: int = 42, bootstrap_samples: int = 500, **options) -> Build:
+    """The same model with and without the dose features: both AUCs on validation and the paired bootstrap of their difference."""
+    from ..operators import serving as SE
+
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+
+    def make():
+        rows, own, near = _training_rows(spark, data_dir)
+        base = [*FE.track(own, "prospective-no-dosage"), *near]
+        dose = [n for n in FE.track(own, "prospective") if n not in base]
+        found = SE.ablation(spark, GR.checkpointed(rows.withColumnRenamed("patient_index", "report")), base, dose, kind, bootstrap_samples, seed, **options)
+        flat = {"auc_without": found["auc_without"], "auc_with": found["auc_with"], **{f"difference_{k}": float(v) for k, v in found["difference"].items()}}
+        return spark.createDataFrame([flat], ", ".join(f"{k} double" for k in flat)), {"dose_features": dose}
+
+    return _publish(spark, make, os.path.join(data_dir, "models", "dosage_ablation.parquet"), {"kind": kind, "seed": seed, "samples": bootstrap_samples, **options}, tables=tables)
+
+
+def visualize_graph(*, spark: SparkSession, data_dir: str, split: str = "validation", patients: int = 100, top_drugs: int = 50) -> dict[str, Build]:
+    """Tables for a viewer: an even sample of a split's patients by label, their edges to the most frequent drugs among them,
+    places on golden-angle discs and display names."""
+    if not (1 <= patients <= 1_000_000 and 1 <= top_drugs <= 100_000):
+        raise ValueError("patients or top_drugs is out of range")
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+    who, nodes, links = (spark.read.parquet(tables[n]) for n in ("patients", "drug_nodes", "graph_edges"))
+    parameters = {"split": split, "patients": patients, "drugs": top_drugs}
+    put = lambda make, n: _publish(spark, make, os.path.join(data_dir, "viewer", f"{n}.parquet"), parameters | {"part": n}, tables=tables)
+    sample = GR.checkpointed(GR.systematic_sample(who.where(F.col("split") == split).select("patient_index", "is_serious"), "is_serious", "patient_index", -(-patients // 2)))
+    among = links.join(sample, "patient_index", "left_semi").select("patient_index", "node_index")
+    best = GR.degree(among).orderBy(F.desc("degree"), "node_index").limit(top_drugs)
+    drugs = nodes.join(best, "node_index").select("node_index", "display_name", "node_kind", "degree")
+    spots = GR.layout(GR.dense_index(sample, [F.asc("patient_index")], "place").select(F.col("place").alias("patient_index")), GR.dense_index(drugs, [F.desc("degree"), F.asc("node_index")], "place").select(F.col("place").alias("node_index")))
+    return {"patients": put(lambda: sample, "patients"), "drugs": put(lambda: drugs, "drugs"), "edges": put(lambda: among.join(best.select("node_index"), "node_index").select("patient_index", "node_index"), "edges"), "layout": put(lambda: spots, "layout")}
 
 
 def build_prospective_pipeline(*, spark: SparkSession, data_dir: str, split_preset: str = "gnn-small", dump: str | None = None, **options) -> list:
     """Cohort, dictionary, tabular features, rescue and graph; tells all missing inputs at once."""
     wanted = {t: os.path.join(data_dir, "reference", f"{t}.parquet") for t in ("structures", "synonyms", "struct2atc")} | {"interim": os.path.join(data_dir, "interim")}
-    if missing := QA.missing_prerequisites(wanted):
+    if missing := QA.missing_prerequisites(wanted, spark):
         raise FileNotFoundError("; ".join(missing))
     return [
         build_cohort(spark=spark, data_dir=data_dir, split_preset=split_preset),
         build_drug_dictionary(spark=spark, data_dir=data_dir, dump=dump),
-        add_tabular_features(spark=spark, data_dir=data_dir),
-        build_feature_rescue(spark=spark, data_dir=data_dir, **options),
-        build_graph(spark=spark, data_dir=data_dir),
+        add_tabular_features(spark=spark, data_dir=data_dir, rebuild_graph=False),
+        build_feature_rescue(spark=spark, data_dir=data_dir, rebuild_graph=False, **options),
+        build_graph(spark=spark, data_dir=data_dir, cohort="cohort_enriched"),
         build_graph_features(spark=spark, data_dir=data_dir),
     ]
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import manifest
+
 
 class SourceError(ValueError):
     """A source that doesn't have the shape it should have."""
@@ -40,15 +45,42 @@ def deleted_cases(spark: SparkSession, paths: list[str], quarter: str) -> DataFr
     return spark.read.text(paths).select(F.explode(tokens).alias("caseid")).where(F.col("caseid").rlike("^[0-9]+$")).withColumn("quarter", F.lit(quarter))
 
 
-def staged(spark: SparkSession, paths: list[str] | str, required: list[str] = ()) -> DataFrame:
-    """Parquet shards by name; columns that some lack are null. Missing required columns fail."""
+def staged(spark: SparkSession, paths: list[str] | str, required: list[str] = (), optional: dict[str, str] | None = None) -> DataFrame:
+    """Parquet shards by name; columns that some lack are null, and so are optional ones (by type) that all lack. Missing
+    required columns fail."""
     df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     if missing := [c for c in required if c not in df.columns]:
         raise SourceError(f"columns are missing: {missing}")
-    return df
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in (optional or {}).items() if c not in df.columns})
 
 
 def write_staged(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Snappy Parquet. Spark's commit protocol publishes whole outputs only (_SUCCESS comes last)."""
-    writer = df.write.mode("overwrite").option("compression", "snappy")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    """Snappy Parquet, written whole to a folder beside and then moved into place: the output before it stays until then."""
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "snappy")
+    (writer.partitionBy(by) if by else writer).parquet(staging)
+    manifest.published(spark, staging, path)
+
+
+def codecs(spark: SparkSession, path: str) -> dict[str, int]:
+    """Column chunks of Parquet files by codec; footers are read by tasks."""
+    names = [(n,) for n, _, _ in manifest.files(spark, path) if n.endswith(".parquet")]
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for pdf in batches:
+            found = []
+            for name in pdf["name"]:
+                store, where = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+                meta = pq.read_metadata(store.open_input_file(where))
+                found += [meta.row_group(g).column(c).compression for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+            yield pd.DataFrame({"codec": found}, dtype=object)
+
+    if not names:
+        return {}
+    rows = spark.createDataFrame(names, "name string").mapInPandas(run, "codec string").groupBy("codec").count()
+    return {r["codec"]: r["count"] for r in rows.collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import os
 import zipfile
 
@@ -54,10 +55,21 @@ def test_zip_table(spark, tmp_path):
     assert [tuple(r)[:5] for r in zipped.zip_table(spark, str(tmp_path / "x.zip"), "rxnorm").collect()] == [("1", "2", "3", "a|b", None)]
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     m = manifest.Manifest("1", {"a": "x"}, {"k": 1}, 5)
-    manifest.save(str(tmp_path / "m.json"), m)
-    assert manifest.load(str(tmp_path / "m.json")) == m and m.same_build(manifest.Manifest("1", {"a": "x"}, {"k": 1})) and not m.same_build(manifest.Manifest("2", {}, {}))
+    manifest.save(spark, str(tmp_path / "m.json"), m)
+    (tmp_path / "in").mkdir()
+    for n in ("b", "a"):
+        (tmp_path / "in" / f"{n}.txt").write_text(n * 3_000_000)
+    folder = str(tmp_path / "in")
+    one, list_one = manifest.sha256(spark, folder), manifest.listing(spark, folder)
+    assert [f[1] for f in manifest.files(spark, folder)] == [3_000_000] * 2 and list_one == manifest.listing(spark, folder)
+    assert manifest.sha256(spark, f"{folder}/a.txt") == hashlib.sha256(b"a" * 3_000_000).hexdigest()
+    (tmp_path / "in" / "a.txt").write_text("a" * 2_999_999 + "c")
+    assert manifest.sha256(spark, folder) != one
+    with pytest.raises(FileNotFoundError):
+        manifest.listing(spark, str(tmp_path / "nowhere"))
+    assert manifest.load(spark, str(tmp_path / "m.json")) == m and manifest.load(spark, str(tmp_path / "none.json")) is None and m.same_build(manifest.Manifest("1", {"a": "x"}, {"k": 1})) and not m.same_build(manifest.Manifest("2", {}, {}))
 
 
 def test_quality(spark):
@@ -99,17 +111,47 @@ def test_builders_end_to_end(spark, tmp_path):
             f.write(f"COPY public.{t} ({columns}) FROM stdin;\n" + "".join(r + "\n" for r in rows) + "\\.\n")
     B.build_reference(spark=spark, data_dir=folder, dump=dump)
     out = B.build_prospective_pipeline(spark=spark, data_dir=folder, dump=dump, minimum_pair_reports=5)
-    assert out[0]["cohort"].rows == 160 and out[2].rows == out[3].rows == 160 and out[4]["drug_nodes"].rows == 4 and out[5].rows == 160
+    assert out[0]["cohort"].rows == 160 and out[2].rows == out[3].rows == 160 and out[4]["drug_nodes"].rows == 3 and out[5].rows == 160
     words = {r["faers_raw"]: r for r in spark.read.parquet(out[1].output).collect()}
     assert words["Aspirin 100 MG"]["dc_id"] == 1 and words["Aspirin 100 MG"]["atc_code"] == "B01AC06|N02BA01" and words["Aspirin 100 MG"]["has_boxed_warning"] == 1 and words["Mystery"]["dc_id"] == 0
     again = B.build_cohort(spark=spark, data_dir=folder)
-    assert again["cohort"].cached and again["cohort"].rows == 160
+    assert again["cohort"].cached and again["cohort"].rows == 160 and again["cohort"].counts == out[0]["cohort"].counts
+    graph = {n: spark.read.parquet(out[4][n].output) for n in ("patients", "drug_nodes", "graph_edges", "descriptor")}
+    parts = sorted(name for name, _, _ in manifest.files(spark, out[4]["graph_edges"].output))
+    edges = [tuple(r) for p in parts for r in spark.read.parquet(p).select("split_id", "patient_index", "node_index").collect()]
+    assert edges == sorted(edges) and [tuple(r)[0] for r in graph["descriptor"].orderBy("split_id").collect()] == [0, 1, 2]
+    assert sum(r["edges"] for r in graph["descriptor"].collect()) == len(edges)
+    assert {r["display_name"] for r in graph["drug_nodes"].collect()} == {"Aspirin", "Warfarin", "Mystery"}
+    assert all(len(r["features"]) == 28 for r in graph["drug_nodes"].collect())
+    assert QA.require_codec(spark, out[0]["cohort"].output) > 0
+    QA.require_integer_ids(graph["graph_edges"], ["patient_index", "node_index"])
+    model = B.train_model(spark=spark, data_dir=folder, kind="logistic", rounds=5)
+    assert model.rows == 40 and 0 <= model.counts["auc"]["validation"] <= 1 and B.train_model(spark=spark, data_dir=folder, kind="logistic", rounds=5).cached
+    ablation = B.evaluate_dosage_ablation(spark=spark, data_dir=folder, kind="logistic", bootstrap_samples=10, rounds=5)
+    assert ablation.rows == 1 and ablation.counts["dose_features"] and spark.read.parquet(ablation.output).first()["auc_with"] is not None
+    viewer = B.visualize_graph(spark=spark, data_dir=folder, patients=10, top_drugs=2)
+    assert viewer["drugs"].rows == 2 and viewer["patients"].rows == 10 and viewer["layout"].rows == 12
     wide = spark.read.parquet(out[3].output)
     rows = wide.withColumnRenamed("is_serious", "label")
     features = ["age_imputed", "num_drugs", "max_ror", "num_high_risk_atc", "dose_normalized_numeric_fraction"]
     for kind in ("forest", "logistic", "svm", "boosted"):
         scored = MO.scored(MO.fit(rows, features, kind, rounds=3, trees=5, depth=3), rows)
         assert scored.where("score < 0 or score > 1 or score is null").count() == 0
+    # one input changes: what is made of it is made anew, what isn't stays
+    drug = os.path.join(folder, "raw", "2024Q1", "drug2024Q1.txt")
+    with open(drug) as f:
+        text = f.read()
+    with open(drug, "w") as f:
+        f.write(text.replace("Mystery", "Enigma"))
+    made = {b.output.rsplit("/", 1)[1]: b for b in B.build_reports(spark=spark, data_dir=folder, quarters=quarters)}
+    assert [n for n, b in made.items() if not b.cached] == ["drug_2024Q1.parquet"]
+    later = B.build_prospective_pipeline(spark=spark, data_dir=folder, dump=dump, minimum_pair_reports=5)
+    assert not later[0]["report_drug"].cached and not later[1].cached and not later[4]["graph_edges"].cached and not later[5].cached
+    assert {"Enigma", "Mystery"} <= {r["faers_raw"] for r in spark.read.parquet(later[1].output).collect()} and later[4]["drug_nodes"].rows == 4
+    assert {r["node_label"] for r in spark.read.parquet(later[4]["drug_nodes"].output).collect()} >= {"Mystery"}
+    assert all(b.cached for b in B.build_reference(spark=spark, data_dir=folder, dump=dump))
+    os.utime(dump)  # the same bytes at another time
+    assert all(b.cached for b in B.build_reference(spark=spark, data_dir=folder, dump=dump))
     with pytest.raises(FileNotFoundError):
         B.build_prospective_pipeline(spark=spark, data_dir=os.path.join(folder, "nowhere"))
 
