@@ -100,12 +100,14 @@ def pair_prr_topk(spark, sf_dir):
     return _rounded(RI.top_pairs(RI.pair_risk(RI.pairs(P.brands(spark, sf_dir)), reports.where(_fit(reports)))), 9, "prr", "log_ror")
 
 
-_PAIR_TEMPORAL = f"""days AS (SELECT report_date, sum(s) OVER w AS s, sum(n) OVER w AS n FROM (SELECT report_date, count(*) FILTER (is_serious = 1) AS s, count(*) FILTER (is_serious = 0) AS n FROM fit GROUP BY report_date) WINDOW w AS (ORDER BY report_date)),
-    own AS (SELECT dc_id_1, dc_id_2, report_date, sum(a) OVER w AS a, sum(b) OVER w AS b FROM (SELECT dc_id_1, dc_id_2, report_date, count(*) FILTER (is_serious = 1) AS a, count(*) FILTER (is_serious = 0) AS b FROM pairs JOIN fit USING (report) JOIN risk USING (dc_id_1, dc_id_2) GROUP BY dc_id_1, dc_id_2, report_date) WINDOW w AS (PARTITION BY dc_id_1, dc_id_2 ORDER BY report_date)),
-    early AS (SELECT p.report, p.dc_id_1, p.dc_id_2, o.a, o.b, d.s - o.a AS c, d.n - o.b AS d FROM pairs p JOIN fit t USING (report) JOIN risk USING (dc_id_1, dc_id_2)
-        ASOF JOIN days d ON t.report_date > d.report_date ASOF JOIN own o ON p.dc_id_1 = o.dc_id_1 AND p.dc_id_2 = o.dc_id_2 AND t.report_date > o.report_date WHERE o.a + o.b >= 25),
+_PAIR_TEMPORAL = f"""days AS (SELECT report_date, coalesce(sum(s) OVER w, 0) AS s, coalesce(sum(n) OVER w, 0) AS n FROM (SELECT report_date, count(*) FILTER (is_serious = 1) AS s, count(*) FILTER (is_serious = 0) AS n FROM fit GROUP BY report_date)
+        WINDOW w AS (ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    seen AS (SELECT p.report, dc_id_1, dc_id_2, report_date, is_serious FROM pairs p JOIN fit USING (report) JOIN (SELECT dc_id_1, dc_id_2 FROM risk) USING (dc_id_1, dc_id_2)),
+    own AS (SELECT dc_id_1, dc_id_2, report_date, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(b) OVER w, 0) AS b FROM (SELECT dc_id_1, dc_id_2, report_date, count(*) FILTER (is_serious = 1) AS a, count(*) FILTER (is_serious = 0) AS b FROM seen GROUP BY dc_id_1, dc_id_2, report_date)
+        WINDOW w AS (PARTITION BY dc_id_1, dc_id_2 ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    early AS (SELECT x.report, dc_id_1, dc_id_2, o.a, o.b, d.s - o.a AS c, d.n - o.b AS d FROM seen x JOIN own o USING (dc_id_1, dc_id_2, report_date) JOIN days d USING (report_date) WHERE o.a + o.b >= 25),
     scored AS (SELECT report, dc_id_1, dc_id_2, ln({_HALF}) AS log_ror FROM early UNION ALL
-        SELECT p.report, p.dc_id_1, p.dc_id_2, log_ror FROM pairs p JOIN risk USING (dc_id_1, dc_id_2) JOIN reports r USING (report) WHERE r.report NOT IN (SELECT report FROM fit))"""
+        SELECT p.report, dc_id_1, dc_id_2, log_ror FROM pairs p JOIN risk USING (dc_id_1, dc_id_2) JOIN reports r ON r.report = p.report WHERE coalesce(NOT (r.split = 'train' AND year(r.report_date) <= 1999), TRUE))"""
 _ALL_PAIRS = (P.REPORTS, P.BRANDS, _PAIRS, _FIT, _PAIR_RISK, _PAIR_TEMPORAL)
 
 
@@ -359,11 +361,18 @@ def name_exact_mapping(spark, sf_dir):
     return NA.exact_cascade(rows, known).select("faers_raw", F.try_element_at("ids", F.lit(1)).alias("dc_id"))
 
 
-@query()
+_FUZZY = "100.0 * (1 - levenshtein(name, alias)::DOUBLE / greatest(length(name), length(alias)))"
+
+
+@query(f"""WITH alias AS (SELECT DISTINCT upper(p_name) AS alias FROM part), asked AS (SELECT DISTINCT upper(p_name) || 'S' AS name FROM part),
+    scored AS (SELECT name, alias, {_FUZZY} AS score FROM asked JOIN alias ON substr(name, 1, 1) = substr(alias, 1, 1)),
+    ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM scored WINDOW w AS (PARTITION BY name ORDER BY score DESC, alias DESC))
+    SELECT name, alias, round(score, 9) AS score FROM ranked WHERE r = 1 AND score >= 90 AND score - coalesce(second, 0) >= 3""")
 def fuzzy_block_match(spark, sf_dir):
+    """With the edit-distance scorer, which is JVM-side; blocks and margins are those of any scorer."""
     p = P.table(spark, sf_dir, "part").select("p_name").distinct()
     misspelt = p.select(F.concat(F.upper("p_name"), F.lit("S")).alias("name"))
-    return NA.fuzzy(misspelt, p.select(F.upper("p_name").alias("alias")), 90, 3)
+    return _rounded(NA.fuzzy(misspelt, p.select(F.upper("p_name").alias("alias")), 90, 3, NA.edit_score), 9, "score")
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------
@@ -573,13 +582,26 @@ def rf_baseline(spark, sf_dir):
     return models.scored(models.fit(rows, ["o_totalprice", "max_ror", "mean_log_ror", "high_ror_count"], "forest", trees=10, depth=4), rows).select("report", "split", "label", "score")
 
 
-@query()
+_TRAINED = """mine AS (SELECT links.* FROM links JOIN reports ON report = patient_index WHERE split = 'train'),
+    weights AS (SELECT x.node_index AS n1, y.node_index AS n2, count(*) AS weight FROM mine x JOIN mine y ON x.patient_index = y.patient_index AND x.node_index <> y.node_index GROUP BY ALL),
+    seen AS (SELECT node_index, avg(is_serious) AS risk, count(*) AS degree FROM mine JOIN reports ON report = patient_index GROUP BY node_index),
+    r0 AS (SELECT node_index, node_index / 100.0::DOUBLE AS log_ror, coalesce(risk, 0.0) AS risk, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT node_index FROM links) LEFT JOIN seen USING (node_index))"""
+_SPREAD = """near AS (SELECT n1 AS node_index, sum(weight * log_ror) / sum(weight) AS m FROM weights JOIN r0 ON node_index = n2 GROUP BY n1),
+    reach AS (SELECT node_index, node_index AS component FROM r0 UNION SELECT n2, component FROM reach JOIN weights ON n1 = node_index),
+    part AS (SELECT node_index, min(component) AS component FROM reach GROUP BY node_index),
+    by_part AS (SELECT component, avg(risk) AS component_risk FROM part JOIN r0 USING (node_index) GROUP BY component),
+    vals AS (SELECT r0.node_index, coalesce(m, 0.0) AS neighbour_log_ror, r3.risk AS propagated, component_risk, r0.degree FROM r0 JOIN r3 USING (node_index) JOIN part USING (node_index) JOIN by_part USING (component) LEFT JOIN near USING (node_index))"""
+_POOLED = ("neighbour_log_ror", "propagated", "component_risk", "degree")
+
+
+@query("WITH RECURSIVE " + ", ".join([P.REPORTS, _LINKS, _TRAINED, _step(1), _step(2), _step(3), _SPREAD]) + " SELECT r.report AS patient_index, " + ", ".join([f"round(coalesce(avg({c}), 0.0), 9) AS {c}_mean, round(coalesce(max({c}), 0)::DOUBLE, 9) AS {c}_max" for c in _POOLED]) + " FROM reports r LEFT JOIN (links JOIN vals USING (node_index)) l ON l.patient_index = r.report GROUP BY r.report")
 def patient_graph_features(spark, sf_dir):
-    """The eight columns of the graph: iterations, no SQL. Checked in parts by the queries above."""
+    """The eight columns of the graph."""
     patients = P.reports(spark, sf_dir).select(F.col("report").alias("patient_index"), "split", "is_serious")
     links = _links(spark, sf_dir)
     nodes = links.select("node_index").distinct().withColumn("log_ror", F.col("node_index") / 100.0)
-    return GR.graph_features(links, patients, nodes)
+    out = GR.graph_features(links, patients, nodes)
+    return out.select("patient_index", *[F.round(F.col(f"{c}_{t}").cast("double"), 9).alias(f"{c}_{t}") for c in _POOLED for t in ("mean", "max")])
 
 
 def _events(spark, sf_dir):
@@ -588,11 +610,9 @@ def _events(spark, sf_dir):
 
 
 def _stream_folder(spark) -> str:
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{GR.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
