@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, kind: str = "spac
 
     def run(batches):
         enc = encoder(path, kind)
-        for b in balanced(batches, "text"):
+        for b in balanced(batches, "text", encoding=True):
             rows, counts = [], []
             for ids in enc.batch(b.column("text").to_pylist()):
                 ids += end

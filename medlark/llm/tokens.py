@@ -10,6 +10,7 @@ read: extra columns, whatever their names, do no harm.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -154,9 +155,20 @@ def encoder(path: str, kind: str) -> UnitEncoder:
     return _ENCODERS[key]
 
 
-def balanced(batches: Iterator[pa.RecordBatch], text: str, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices of about `limit` bytes of text (a longer text stands alone). What Arrow keeps of freed
-    memory goes back at the end, as workers wait for further tasks."""
+def _give_back() -> None:
+    """Memory that is free goes back to the machine: workers wait for further tasks, beside others that work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def balanced(batches: Iterator[pa.RecordBatch], text: str, limit: int = OUT_BYTES, encoding: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about `limit` bytes of text (a longer text stands alone). A worker that goes on to
+    something other than encoding drops its encoders and their caches."""
+    if not encoding and _ENCODERS:
+        _ENCODERS.clear()
+        _give_back()
     try:
         for b in batches:
             if not b.num_rows:
@@ -168,7 +180,7 @@ def balanced(batches: Iterator[pa.RecordBatch], text: str, limit: int = OUT_BYTE
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 yield b.slice(lo, hi - lo)
     finally:
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
 
 def count_tokens(docs: DataFrame, path: str, kind: str = "word", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +190,7 @@ def count_tokens(docs: DataFrame, path: str, kind: str = "word", limit: int = 20
 
     def count(batches):
         enc = encoder(path, kind)
-        for b in balanced(batches, "text"):
+        for b in balanced(batches, "text", encoding=True):
             texts = b.column("text").to_pylist()
             lengths = np.fromiter((len(x) >> 2 for x in enc.batch(texts)), dtype=np.int64, count=len(texts))
             sizes = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
@@ -198,7 +210,7 @@ def encode_ids(docs: DataFrame, path: str, kind: str, carry: list[str], text_col
 
     def run(batches):
         enc, before = encoder(path, kind), 0
-        for b in balanced(batches, "_text"):
+        for b in balanced(batches, "_text", encoding=True):
             rows = [x + end for x in enc.batch(b.column("_text").to_pylist())]
             n = np.fromiter((len(x) >> 2 for x in rows), dtype=np.int64, count=len(rows))
             edges = np.concatenate([[0], np.cumsum(n)])
