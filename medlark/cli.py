@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     add("train-model", *model, ("--feature-track", {"default": "prospective", "choices": list(TRACKS)}), ("--evaluate-test", {"action": "store_true"}))
     add("evaluate-dosage-ablation", *model, ("--seed", {"type": int, "default": 42}), ("--bootstrap-samples", {"type": int, "default": 500}))
     add("visualize-graph", ("--split", {"default": "validation"}), ("--patients", {"type": int, "default": 100}), ("--top-drugs", {"type": int, "default": 50}))
+    add("export-training-table", ("--feature-track", {"default": "prospective", "choices": list(TRACKS)}))
+    for name in ("export-full-visualization", "estimate-full-visualization"):
+        add(name, ("--target-shard-bytes", {"type": int, "default": 32 << 20}))
     fetched = sub.add_parser("fetch")
     for flag, options in (("--name", {"required": True}), ("--url", {"required": True}), ("--path", {"required": True}), ("--sha256", {}), ("--unpack-to", {})):
         fetched.add_argument(flag, **options)
@@ -64,7 +67,8 @@ def main(argv: list[str] | None = None) -> None:
         "build-drug-dictionary": B.build_drug_dictionary, "add-tabular-features": B.add_tabular_features, "feature-rescue": B.build_feature_rescue,
         "build-graph": B.build_graph, "build-graph-features": B.build_graph_features, "build-prospective": B.build_prospective_pipeline,
         "build-rxnorm-lookup": B.build_rxnorm_lookup, "train-model": B.train_model, "evaluate-dosage-ablation": B.evaluate_dosage_ablation,
-        "visualize-graph": B.visualize_graph,
+        "visualize-graph": B.visualize_graph, "export-training-table": B.export_training_table,
+        "export-full-visualization": B.export_full_visualization, "estimate-full-visualization": B.estimate_full_visualization,
     }
     out = run[command](spark=spark, **args)
     print(json.dumps(out, default=lambda x: dataclasses.asdict(x) if dataclasses.is_dataclass(x) else str(x), indent=2))

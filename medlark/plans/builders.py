@@ -22,7 +22,7 @@ from ..operators import graph as GR
 from ..operators import names as NA
 from ..operators import quality as QA
 from ..operators import risk as RI
-from ..sources import copydump, delimited, manifest, zipped
+from ..sources import arrays, copydump, delimited, manifest, zipped
 
 VERSION = "2"
 REPORT_TABLES = ("demo", "drug", "indi", "reac", "outc", "delete")
@@ -369,6 +369,55 @@ def visualize_graph(*, spark: SparkSession, data_dir: str, split: str = "validat
     return {"patients": put(lambda: sample, "patients"), "drugs": put(lambda: drugs, "drugs"), "edges": put(lambda: among.join(best.select("node_index"), "node_index").select("patient_index", "node_index"), "edges"), "layout": put(lambda: spots, "layout")}
 
 
+def export_training_table(*, spark: SparkSession, data_dir: str, feature_track: str = "prospective") -> Build:
+    """(patient_index, primaryid, split, label, features) for learners elsewhere; the names of the features are in the manifest."""
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+
+    def make():
+        rows, own, near = _training_rows(spark, data_dir)
+        chosen = [*FE.track(own, feature_track), *near]
+        QA.require_no_targets(chosen)
+        QA.require_finite(rows, chosen, ["label"])
+        return rows.select("patient_index", "primaryid", "split", "label", F.array(*[F.col(c).cast("float") for c in chosen]).alias("features")), {"features": chosen}
+
+    return _publish(spark, make, os.path.join(data_dir, "models", f"training-{feature_track}.parquet"), {"track": feature_track}, tables=tables)
+
+
+def estimate_full_visualization(*, spark: SparkSession, data_dir: str, target_shard_bytes: int = 32 << 20) -> dict[str, dict[str, int]]:
+    """Shards and bytes of a full export, without making it."""
+    counts = {n: manifest.load(spark, f"{p}.manifest.json").rows for n, p in _under(data_dir, "graph", "patients", "graph_edges").items()}
+    return {"points": arrays.shard_estimate(counts["patients"], POINT_FIELDS, target_shard_bytes), "edges": arrays.shard_estimate(counts["graph_edges"], EDGE_FIELDS, target_shard_bytes)}
+
+
+#: Fields of the shards of a full export.
+POINT_FIELDS = [("x", "<f4"), ("y", "<f4"), ("label", "u1"), ("split_id", "i1"), ("cluster", "<i4")]
+EDGE_FIELDS = [("patient_index", "<i4"), ("node_index", "<i4")]
+
+
+def export_full_visualization(*, spark: SparkSession, data_dir: str, target_shard_bytes: int = 32 << 20) -> dict:
+    """All patients on a disc round their primary drugs' order, in binary shards with checksums, their edges in shards in the
+    order of patients, counts and boxes by cell and cluster, and each cluster's drugs. The folder has to be shared; shards that
+    are marked as done are kept, so an export that was stopped goes on."""
+    tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
+    who, nodes, links = (spark.read.parquet(tables[n]) for n in ("patients", "drug_nodes", "graph_edges"))
+    folder = os.path.join(data_dir, "viewer-full")
+    drugs = nodes.count()
+    bucket = GR.primary_drug(links, who, drugs)
+    ordered = GR.dense_index(who.join(bucket, "patient_index").select("patient_index", "bucket", F.col("is_serious").alias("label"), GR.split_id(F.col("split")).alias("split_id")), [F.asc("bucket"), F.asc("patient_index")], "place")
+    spots = GR.layout(ordered.select(F.col("place").alias("patient_index")), nodes.limit(0)).select(F.col("index").alias("place"), "x", "y")
+    points = GR.checkpointed(GR.clustered(ordered.join(spots, "place")))
+    sizes = estimate_full_visualization(spark=spark, data_dir=data_dir, target_shard_bytes=target_shard_bytes)
+    plain = folder.removeprefix("file://")
+    made = {"points": arrays.write_shards(points.select("place", *[c for c, _ in POINT_FIELDS]), os.path.join(plain, "points"), "place", POINT_FIELDS, sizes["points"]["per_shard"])}
+    numbered = GR.dense_index(links.select("patient_index", "node_index"), [F.asc("patient_index"), F.asc("node_index")], "at")
+    made["edges"] = arrays.write_shards(numbered, os.path.join(plain, "edges"), "at", EDGE_FIELDS, sizes["edges"]["per_shard"])
+    put = lambda make, n: _publish(spark, make, os.path.join(folder, f"{n}.parquet"), {"part": n}, tables=tables)
+    cells = lambda: points.groupBy("cluster").agg(F.count(F.lit(1)).alias("patients"), F.sum("label").alias("positives"), *[F.count_if(F.col("split_id") == k).alias(s) for s, k in GR.SPLIT_IDS.items()], *[f(c).alias(f"{t}_{c}") for c in ("x", "y") for t, f in (("min", F.min), ("max", F.max))])
+    made["clusters"] = put(cells, "clusters")
+    made["cluster_drugs"] = put(lambda: GR.cluster_drug_edges(links, points.select("patient_index", "cluster")), "cluster_drugs")
+    return made
+
+
 def build_prospective_pipeline(*, spark: SparkSession, data_dir: str, split_preset: str = "gnn-small", dump: str | None = None, **options) -> list:
     """Cohort, dictionary, tabular features, rescue and graph; tells all missing inputs at once."""
     wanted = {t: os.path.join(data_dir, "reference", f"{t}.parquet") for t in ("structures", "synonyms", "struct2atc")} | {"interim": os.path.join(data_dir, "interim")}

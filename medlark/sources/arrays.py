@@ -15,30 +15,33 @@ class ArrayError(ValueError):
     """An array that isn't what its manifest says."""
 
 
-def save_matrix(df: DataFrame, index: str, values: list[str], path: str, dtype: str = "float32", batch: int = 131_072) -> tuple[int, int]:
-    """Rows 0..n-1 by index into one memory-mapped file, a partition at a time on the driver; the index has to be dense."""
-    n = df.count()
-    out = np.lib.format.open_memmap(f"{path}.tmp", mode="w+", dtype=dtype, shape=(n, len(values)))
-    seen, block = 0, []
-    for row in df.select(index, *values).toLocalIterator(prefetchPartitions=True):
-        if not 0 <= row[0] < n:
-            raise ArrayError(f"index {row[0]} is outside 0..{n - 1}")
-        block.append(row)
-        if len(block) == batch:
-            seen += _put(out, block)
-            block = []
-    seen += _put(out, block)
-    out.flush()
-    if seen != n:
-        raise ArrayError(f"{seen} rows, {n} expected")
-    os.replace(f"{path}.tmp", path)
-    return n, len(values)
-
+def save_matrix(df: DataFrame, index: str, values: list[str], path: str, dtype: str = "float32") -> tuple[int, int]:
+    """Rows 0..n-1 by index into one .npy file, which has to be in a shared folder: tasks write the rows of their range of
+    indexes in place; the driver makes the empty file and moves the full one into place. The index has to be dense."""
+    i = F.col(index)
+    n, lo, hi, some = df.agg(F.count(F.lit(1)), F.min(i), F.max(i), F.countDistinct(i)).first()
+    if n and (lo, hi, some) != (0, n - 1, n):
+        raise ArrayError(f"{n} rows, but {some} indexes from {lo} to {hi}")
+    part = f"{path}.tmp"
+    np.lib.format.open_memmap(part, mode="w+", dtype=dtype, shape=(n, len(values))).flush()
+
+    def put(batches):
+        import pandas as pd
 
-def _put(out: np.ndarray, rows: list) -> int:
-    if rows:
-        out[[r[0] for r in rows]] = np.array([tuple(r)[1:] for r in rows], dtype=out.dtype)
-    return len(rows)
+        out = np.lib.format.open_memmap(part, mode="r+")
+        seen = 0
+        for pdf in batches:
+            out[pdf[index].to_numpy(dtype=np.int64)] = pdf[values].to_numpy(dtype=out.dtype)
+            seen += len(pdf)
+        out.flush()
+        yield pd.DataFrame({"n": [seen]})
+
+    if n:
+        seen = df.select(index, *values).repartitionByRange(index).mapInPandas(put, "n long").agg(F.sum("n")).first()[0]
+        if seen != n:
+            raise ArrayError(f"{seen} rows, {n} expected")
+    os.replace(part, path)
+    return n, len(values)
 
 
 def load_matrix(spark: SparkSession, root: str, name: str, columns: list[str], dtype: str = "float32") -> DataFrame:

@@ -110,5 +110,6 @@ def rxnorm_names(spark, path: str):
 
     kinds = copy_table(spark, path, "id_type", ["id", "type"]).where(F.lower("type").like("%rxnorm%") | F.lower("type").like("%rxcui%"))
     ids = copy_table(spark, path, "identifier", ["identifier", "id_type", "struct_id"])
-    match = ids.join(F.broadcast(kinds.select(F.col("type").alias("id_type"))), "id_type")
+    # dumps name the type by its id or by its name
+    match = ids.join(kinds.select(F.explode(F.array("id", "type")).alias("id_type")).distinct(), "id_type")
     return match.select(F.col("identifier").alias("rxcui"), F.col("struct_id").cast("bigint").alias("struct_id")).distinct()

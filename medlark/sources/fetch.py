@@ -148,3 +148,37 @@ def unpack(archive: str, folder: str) -> list[str]:
     with open(mark, "w") as f:
         json.dump(names, f)
     return names
+
+
+#: Questions a second that a name service is asked at most.
+FASTEST = 20.0
+
+
+def ask(names: list[str], kept: str, one: Callable[[str], list[dict]], per_second: float = 10.0, batch: int = 250, clock: Callable = time.monotonic, sleep: Callable = time.sleep) -> int:
+    """Asks a name service for what the JSON lines in `kept` don't have yet (query_name, candidates) and adds its answers, a
+    batch at a time, so that a run that is stopped goes on where it was. `one` gives the candidates of a name. Returns the
+    number of questions."""
+    if not 0 < per_second <= FASTEST or batch < 1:
+        raise ValueError("the rate or the batch is out of range")
+    known = set()
+    if os.path.exists(kept):
+        with open(kept, encoding="utf-8") as f:
+            for n, line in enumerate(f, 1):
+                try:
+                    known.add(json.loads(line)["query_name"])
+                except (ValueError, KeyError, TypeError) as e:
+                    raise SourceError(f"line {n} of {kept} is no answer") from e
+    asked = sorted({n for n in names if n and n not in known})
+    due = clock()
+    for lo in range(0, len(asked), batch):
+        lines = []
+        for name in asked[lo : lo + batch]:
+            if (wait := due - clock()) > 0:
+                sleep(wait)
+            due = max(due, clock()) + 1 / per_second
+            lines.append(json.dumps({"query_name": name, "candidates": one(name)}, sort_keys=True))
+        with open(kept, "a", encoding="utf-8") as f:
+            f.write("\n".join(lines) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+    return len(asked)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest
 from .delimited import SourceError
 
 #: Other names of columns.
@@ -27,10 +29,11 @@ def name_of(raw: str, required: tuple) -> str:
     return n if n in required else ALIASES.get(n, n)
 
 
-def members(data: bytes, required: tuple):
-    """Rows of every member whose first line has the required columns; its header has to be the same in all of them."""
+def members(archive, required: tuple):
+    """Rows of every member of an open archive whose first line has the required columns, as they are read; its header has
+    to be the same in all of them."""
     known = None
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(archive) as z:
         for info in z.infolist():
             if info.is_dir():
                 continue
@@ -42,26 +45,36 @@ def members(data: bytes, required: tuple):
                 if known is not None and known != names:
                     raise SourceError(f"{info.filename} has another header")
                 known = names
+                places = [names.index(c) for c in required]
                 for row in rows:
                     if any(x.strip() for x in row):
                         if len(row) != len(names):
                             raise SourceError(f"{info.filename} has a row of {len(row)} fields, its header has {len(names)}")
-                        at = dict(zip(names, row, strict=True))
-                        yield tuple(at[c] or None for c in required)
+                        yield tuple(row[k] or None for k in places)
     if known is None:
         raise SourceError(f"no member has the columns {required}")
 
 
+#: Rows that a task hands on at a time.
+ROWS = 20_000
+
+
 def zip_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All archives under path; each is read by one task."""
+    """All archives under path; each is read by one task, which keeps a block of rows and never an archive or a member."""
     required = TABLES[table]
-    files = spark.read.format("binaryFile").load(path).select("content")
+    names = [(n,) for n, _, _ in manifest.files(spark, path)]
 
     def run(batches):
         import pandas as pd
+        from pyarrow import fs
 
         for pdf in batches:
-            for data in pdf["content"]:
-                yield pd.DataFrame(list(members(data, required)), columns=list(required), dtype=object)
+            for name in pdf["name"]:
+                store, where = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+                with store.open_input_file(where) as f:
+                    rows = members(f, required)
+                    while block := list(itertools.islice(rows, ROWS)):
+                        yield pd.DataFrame(block, columns=list(required), dtype=object)
 
+    files = spark.createDataFrame(names, "name string").repartition(max(1, len(names)))
     return files.mapInPandas(run, ", ".join(f"{c} string" for c in required)).withColumn("source_table", F.lit(table))

@@ -77,3 +77,18 @@ def test_unpack(tmp_path):
     (tmp_path / "half" / "x").write_text("x")
     with pytest.raises(SourceError):
         fetch.unpack(str(good), str(tmp_path / "half"))
+
+
+def test_name_service_is_asked_once_and_slowly(tmp_path):
+    now, asked = [0.0], []
+    wait = lambda s: now.__setitem__(0, now[0] + s)
+    one = lambda name: asked.append((name, round(now[0], 3))) or [{"name": name.upper(), "rxcui": "1", "rank": 1}]
+    kept = str(tmp_path / "answers.jsonl")
+    assert fetch.ask(["b", "a", "a", ""], kept, one, 4.0, 1, lambda: now[0], wait) == 2
+    assert asked == [("a", 0.0), ("b", 0.25)] and fetch.ask(["a", "b", "c"], kept, one, 4.0, 250, lambda: now[0], wait) == 1
+    with open(kept, "a") as f:
+        f.write("half a li")
+    with pytest.raises(SourceError):
+        fetch.ask(["d"], kept, one)
+    with pytest.raises(ValueError):
+        fetch.ask([], kept, one, 21)

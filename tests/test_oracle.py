@@ -6,6 +6,7 @@ import math
 
 import pytest
 
+from medlark.plans import more_queries  # noqa: F401  registers its queries
 from medlark.plans import queries as Q
 
 FOLDER = "/root/testdata/sf0.001"

@@ -36,7 +36,7 @@ def test_ablation(spark):
 
 def test_matrix(spark, tmp_path):
     df = spark.range(50).selectExpr("49 - id as i", "cast(id as double) as a", "cast(id * 2 as double) as b")
-    assert AR.save_matrix(df, "i", ["a", "b"], str(tmp_path / "m.npy"), batch=7) == (50, 2)
+    assert AR.save_matrix(df, "i", ["a", "b"], str(tmp_path / "m.npy")) == (50, 2)
     back = {r["index"]: (r["a"], r["b"]) for r in AR.load_matrix(spark, str(tmp_path), "m.npy", ["a", "b"]).collect()}
     assert back == {49 - i: (float(i), 2.0 * i) for i in range(50)}
     for name, columns in (("m.npy", ["a"]), ("../m.npy", ["a", "b"])):
@@ -54,3 +54,31 @@ def test_shards(spark, tmp_path):
     assert np.frombuffer(data[:20], "<f4").tolist() == [10, 10.5, 11, 11.5, 12] and list(data[20:]) == [2, 0, 1, 2, 0]
     assert AR.write_shards(df, str(tmp_path / "s"), "i", [("x", "<f4"), ("label", "u1")], 10) == made
     assert AR.shard_estimate(100, [("x", "<f4")], 40) == {"per_shard": 10, "shards": 10, "bytes": 400}
+
+
+def test_platt(spark):
+    from medlark.operators import models as MO
+
+    rows = spark.range(400).selectExpr("id", "case when id % 2 = 0 then 'validation' else 'test' end as split", "cast(id % 400 > 300 as int) as label", "0.2 + 0.6 * id / 400.0 as score")
+    got = MO.calibrated(rows).toPandas()
+    assert list(got.columns) == ["id", "split", "label", "score", "calibrated"] and got["calibrated"].between(0, 1).all()
+    order = got.sort_values("score")["calibrated"].to_numpy()
+    assert (np.diff(order) >= -1e-12).all() and ((got["calibrated"] - got["label"]) ** 2).mean() < ((got["score"] - got["label"]) ** 2).mean()
+
+
+def test_bootstrap_against_numpy(spark):
+    from medlark.operators import evaluate as EV
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.4).astype(int)
+    a, b = y * 0.5 + rng.random(400), y * 0.9 + rng.random(400)
+    rows = spark.createDataFrame([(int(i), int(l), float(p), float(q)) for i, (l, p, q) in enumerate(zip(y, a, b, strict=True))], "id int, label int, score_a double, score_b double")
+    got = EV.bootstrap_difference(rows, 120, 3, "id").iloc[0]
+
+    def auc(s, at):
+        pos, neg = s[at][y[at] == 1], s[at][y[at] == 0]
+        return (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
+
+    draws = [rng.integers(0, 400, 400) for _ in range(400)]
+    deltas = np.array([auc(b, d) - auc(a, d) for d in draws])
+    assert abs(got["mean"] - deltas.mean()) < 0.01 and abs(got["low"] - np.quantile(deltas, 0.025)) < 0.02 and abs(got["high"] - np.quantile(deltas, 0.975)) < 0.02 and got["p_above_0"] == 1.0

@@ -109,7 +109,18 @@ def test_builders_end_to_end(spark, tmp_path):
     with open(dump, "w") as f:
         for t, columns, rows in (("structures", "id, name", ["1\tAspirin", "2\tWarfarin"]), ("synonyms", "id, name", ["1\tASA"]), ("struct2atc", "struct_id, atc_code", ["1\tB01AC06", "1\tN02BA01", "2\tB01AA03"]), ("atc", "id", ["1"]), ("drug_class", "id", ["1"]), ("section", "id, label_id, code, title", ["1\tL\t34066-1\tX"]), ("prd2label", "ndc_product_code, label_id", ["N\tL"]), ("active_ingredient", "ndc_product_code, struct_id", ["N\t1"])):
             f.write(f"COPY public.{t} ({columns}) FROM stdin;\n" + "".join(r + "\n" for r in rows) + "\\.\n")
+    with open(dump, "a") as f:
+        f.write("COPY public.id_type (id, type) FROM stdin;\n1\tRXNORM\n2\tUNII\n\\.\nCOPY public.identifier (identifier, id_type, struct_id) FROM stdin;\n77\tRXNORM\t2\n78\tUNII\t1\n\\.\n")
     B.build_reference(spark=spark, data_dir=folder, dump=dump)
+    with zipfile.ZipFile(os.path.join(folder, "labels.zip"), "w") as z:
+        z.writestr("map.txt", "SETID|SPL_VERSION|RXCUI|RXSTRING|RXTTY\n1|2|77|Coumadin Sodium 5 MG Oral Tablet|SCD\n1|2|99|Other|SCD\n")
+    B.build_labels(spark=spark, data_dir=folder, archives={"rxnorm": os.path.join(folder, "labels.zip")})
+    answers = os.path.join(folder, "answers.jsonl")
+    with open(answers, "w") as f:
+        f.write('{"query_name": "Bayer tabs", "candidates": [{"name": "Aspirin", "rxcui": "5", "rank": 1}, {"name": "Warfarin", "rxcui": "6", "rank": 2}]}\n{"query_name": "Both", "candidates": [{"name": "Aspirin", "rxcui": "5", "rank": 1}, {"name": "Warfarin", "rxcui": "6", "rank": 1}]}\n')
+    lookup = B.build_rxnorm_lookup(spark=spark, data_dir=folder, dump=dump, responses=answers)
+    found = {(r["rxnorm_name"], r["struct_id"], r["source"], r["query_name"]) for r in spark.read.parquet(lookup.output).collect()}
+    assert found == {("Coumadin Sodium 5 MG Oral Tablet", 2, "drugcentral_identifier", None), ("Aspirin", 1, "rxnorm_api", "Bayer tabs")} and lookup.counts == {"local": 1}
     out = B.build_prospective_pipeline(spark=spark, data_dir=folder, dump=dump, minimum_pair_reports=5)
     assert out[0]["cohort"].rows == 160 and out[2].rows == out[3].rows == 160 and out[4]["drug_nodes"].rows == 3 and out[5].rows == 160
     words = {r["faers_raw"]: r for r in spark.read.parquet(out[1].output).collect()}
@@ -131,6 +142,11 @@ def test_builders_end_to_end(spark, tmp_path):
     assert ablation.rows == 1 and ablation.counts["dose_features"] and spark.read.parquet(ablation.output).first()["auc_with"] is not None
     viewer = B.visualize_graph(spark=spark, data_dir=folder, patients=10, top_drugs=2)
     assert viewer["drugs"].rows == 2 and viewer["patients"].rows == 10 and viewer["layout"].rows == 12
+    training = B.export_training_table(spark=spark, data_dir=folder)
+    assert training.rows == 160 and len(spark.read.parquet(training.output).first()["features"]) == len(training.counts["features"])
+    full = B.export_full_visualization(spark=spark, data_dir=folder, target_shard_bytes=560)
+    assert [x["rows"] for x in full["points"]] == [40] * 4 and sum(x["rows"] for x in full["edges"]) == len(edges) and full["clusters"].rows <= 64 and full["cluster_drugs"].rows > 0
+    assert B.estimate_full_visualization(spark=spark, data_dir=folder, target_shard_bytes=560)["points"] == {"per_shard": 40, "shards": 4, "bytes": 160 * 14}
     wide = spark.read.parquet(out[3].output)
     rows = wide.withColumnRenamed("is_serious", "label")
     features = ["age_imputed", "num_drugs", "max_ror", "num_high_risk_atc", "dose_normalized_numeric_fraction"]
