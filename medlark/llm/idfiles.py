@@ -29,13 +29,18 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
+#: Bytes of text whose ids go to one file.
+FILE_BYTES = 128 << 20
 
 
 def write_ids(docs: DataFrame, vocabulary: str, kind: str, end_id: int, folder: str, files: int | None = None) -> str:
     """Writes (part, doc_id, n_tokens, before, ids) rows; before: ids of the file ahead of the document's."""
     spark = docs.sparkSession
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
+    if files is None:  # as many as tasks, and more where they would be large
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ranged = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     # the running total is within the partition, whose rows are in order
     ids = encode_ids(ranged, vocabulary, kind, ["doc_id"], suffix=end_id, running=True)
     placed = ids.withColumn("part", F.spark_partition_id())
