@@ -1,7 +1,12 @@
 """Corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing over the documents of a folder.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of
-documents; the last one returns a row a piece of a packed sequence.
+documents, extra ones included, whatever their names; the last one returns a row a piece of a packed sequence.
+
+In every stage: a null text is empty; empty and very long texts, and rows with null doc_id, are rows like others (an empty
+text isn't toxic, is equal to other empty ones, is like nothing, is taken by no mix as it has no words). Repeated rows: both
+may be toxic, one of them stays after exact dedup. Ties go to the smallest doc_id, null after all others. An empty table
+gives an empty table; without labels nothing is toxic.
 """
 
 from __future__ import annotations

@@ -579,7 +579,7 @@ def rf_baseline(spark, sf_dir):
     from ..operators import models
 
     rows = GR.checkpointed(_model_rows(spark, sf_dir))
-    return models.scored(models.fit(rows, ["o_totalprice", "max_ror", "mean_log_ror", "high_ror_count"], "forest", trees=10, depth=4), rows).select("report", "split", "label", "score")
+    return models.scored(models.fit(rows, ["o_totalprice", "max_ror", "mean_log_ror", "high_ror_count"], "forest", trees=100, depth=10), rows).select("report", "split", "label", "score")
 
 
 _TRAINED = """mine AS (SELECT links.* FROM links JOIN reports ON report = patient_index WHERE split = 'train'),
