@@ -7,8 +7,8 @@ words grows by further sentences, once forwards from its first and once backward
 a passage are met. The first occurrence of a hash is that of smallest (doc_id, key, place), key being a hash of the text;
 every sentence that another occurrence covers is removed. Case, white space and punctuation don't count.
 
-Hashes alone are counted first. Only runs whose hash comes again (and a few that a screen lets pass) are carried with
-their places, in a second pass over the texts.
+Texts are cut and hashed once, a row of hashes each. Hashes alone are counted; only runs whose hash comes again (and a few
+that a screen lets pass) are carried with their places, and only texts that lose something are cut again.
 
 Nulls: a null text is empty and stays null; a null doc_id comes first. Repeated rows count as one document, and each gets
 its result; equal texts of other doc_ids are copies, of which the first stays. Texts of fewer than LEAST_WORDS words have
@@ -102,47 +102,61 @@ def _ends(rows: np.ndarray) -> np.ndarray:
     return ends
 
 
-def cuts(text: str, words: Words | None = None) -> list[int]:
-    """0 and the code points up to the end of each sentence; together the sentences are the text."""
-    before, rows = (Words() if words is None else words).of(text)
-    if not len(rows):
-        return [0, len(text)] if text else [0]
-    upto = np.concatenate([[0], np.cumsum(rows[:, 2].astype(np.int64))]) + before
-    out = upto[_ends(rows)]
-    out[0] = 0
-    return out.tolist()
+class Cut:
+    """A text cut into sentences: `ends`, 0 and the number of words up to the end of each, and the words' rows."""
+
+    def __init__(self, text: str, words: Words | None = None):
+        self.words = Words() if words is None else words
+        self.size = len(text)
+        self.before, self.rows = self.words.of(text)
+        self.ends = _ends(self.rows)
+
+    def places(self) -> np.ndarray:
+        """0 and the code points up to the end of each sentence; together the sentences are the text."""
+        if not len(self.rows):
+            return np.array([0, self.size] if self.size else [0])
+        upto = np.concatenate([[0], np.cumsum(self.rows[:, 2].astype(np.int64))]) + self.before
+        out = upto[self.ends]
+        out[0] = 0
+        return out
+
+    def spans(self) -> np.ndarray:
+        """(first, end) of every run, in order: forwards, the least end for each first sentence; backwards, the last first
+        sentence for each end."""
+        ends, n = self.ends, len(self.ends) - 1
+        if len(self.rows) < LEAST_WORDS:
+            return np.zeros((0, 2), dtype=np.int64)
+        at = np.arange(n + 1)
+        end = np.maximum(np.searchsorted(ends, ends + LEAST_WORDS), at + RUN)
+        first = np.minimum(np.searchsorted(ends, ends - LEAST_WORDS, side="right") - 1, at - RUN)
+        found = np.unique(np.concatenate([(at << 32 | end)[end <= n], (first << 32 | at)[first >= 0]]))
+        found = found if len(found) else np.array([n])
+        return np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
+
+    def hashes(self, spans: np.ndarray) -> np.ndarray:
+        """Two columns of 64 bits a run."""
+        out = np.empty((len(spans), 2), dtype=np.int64)
+        if not len(spans):
+            return out
+        n_words, lo, hi = len(self.rows), self.ends[spans[:, 0]], self.ends[spans[:, 1]]
+        for k in range(2):
+            h = _mix(self.rows[:, 0] + _U(k))
+            upto = np.concatenate([np.zeros(1, _U), np.cumsum(h * self.words.power(k, n_words), dtype=_U)])
+            value = (upto[hi] - upto[lo]) * self.words.power(2 + k, n_words)[lo]
+            out[:, k] = _mix(value + (hi - lo).astype(_U)).view(np.int64)
+        return out
 
 
 def sentences(text: str) -> list[str]:
-    at = cuts(text)
+    at = Cut(text).places().tolist()
     return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def runs(text: str, words: Words | None = None) -> np.ndarray:
     """Rows (first, end, hash, hash) of every run."""
-    words = Words() if words is None else words
-    _, rows = words.of(text)
-    n_words = len(rows)
-    if n_words < LEAST_WORDS:
-        return np.zeros((0, 4), dtype=np.int64)
-    ends = _ends(rows)
-    n = len(ends) - 1
-    at = np.arange(n + 1)
-    # forwards, the least end for each first sentence; backwards, the last first sentence for each end
-    end = np.maximum(np.searchsorted(ends, ends + LEAST_WORDS), at + RUN)
-    first = np.minimum(np.searchsorted(ends, ends - LEAST_WORDS, side="right") - 1, at - RUN)
-    spans = np.unique(np.concatenate([(at << 32 | end)[end <= n], (first << 32 | at)[first >= 0]]))
-    if not len(spans):
-        spans = np.array([n])
-    out = np.empty((len(spans), 4), dtype=np.int64)
-    out[:, 0], out[:, 1] = spans >> 32, spans & 0xFFFFFFFF
-    lo, hi = ends[out[:, 0]], ends[out[:, 1]]
-    for k in range(2):
-        h = _mix(rows[:, 0] + _U(k))
-        upto = np.concatenate([np.zeros(1, _U), np.cumsum(h * words.power(k, n_words), dtype=_U)])
-        value = (upto[hi] - upto[lo]) * words.power(2 + k, n_words)[lo]
-        out[:, 2 + k] = _mix(value + (hi - lo).astype(_U)).view(np.int64)
-    return out
+    cut = Cut(text, words)
+    spans = cut.spans()
+    return np.concatenate([spans, cut.hashes(spans)], axis=1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -150,87 +164,89 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def run_hashes(docs: DataFrame) -> DataFrame:
-    """(h1, n): how often each run stands in a batch of texts."""
+def run_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, h1, h2) of every row: the hashes of its runs in their order."""
 
     def run(batches):
         words = Words()
         for b in balanced(batches, "text"):
-            found = [runs(t, words)[:, 2] for t in b.column("text").to_pylist() if t]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h1", "n"])
+            found, counts = [np.zeros((0, 2), np.int64)], []
+            for t in b.column("text").to_pylist():
+                cut = Cut(t or "", words)
+                found.append(cut.hashes(cut.spans()))
+                counts.append(len(found[-1]))
+            edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            h = np.concatenate(found)
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(h[:, k]))) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *lists], names=["doc_id", "key", "h1", "h2"])
 
-    return _keyed(docs).select("text").mapInArrow(run, "h1 long, n long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, h1 array<long>, h2 array<long>")
 
 
-def run_rows(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, key, first, end, h1, h2) of every run of every row, or of those whose h1 passes the bit map `known`."""
-    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+def run_rows(lists: DataFrame, known: np.ndarray) -> DataFrame:
+    """(doc_id, key, run, h1, h2) of the runs whose h1 passes the bit map `known`; run is their number in the text."""
+    shared = lists.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        words = Words()
-        for b in balanced(batches, "text"):
-            found, counts = [np.zeros((0, 4), np.int64)], []
-            for t in b.column("text").to_pylist():
-                got = runs(t, words) if t else found[0]
-                if shared is not None and len(got):
-                    got = got[may_have(shared.value, np.ascontiguousarray(got[:, 2]))]
-                found.append(got)
-                counts.append(len(got))
-            n = np.concatenate(found)
-            at = pa.array(np.repeat(np.arange(b.num_rows), counts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("key").take(at), pa.array(n[:, 0].astype(np.int32)), pa.array(n[:, 1].astype(np.int32)), pa.array(n[:, 2]), pa.array(n[:, 3])], names=["doc_id", "key", "first", "end", "h1", "h2"])
+        for b in batches:
+            column = b.column("h1")
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            h1, h2 = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+            hit = np.flatnonzero(may_have(shared.value, np.ascontiguousarray(h1)))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            number = hit - (np.cumsum(sizes) - sizes)[row]
+            at = pa.array(row)
+            for lo in range(0, len(hit), 1 << 17):
+                part = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at[part]), b.column("key").take(at[part]), pa.array(number[part].astype(np.int32)), pa.array(h1[hit[part]]), pa.array(h2[hit[part]])], names=["doc_id", "key", "run", "h1", "h2"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, first int, end int, h1 long, h2 long")
+    return lists.select("doc_id", "key", "h1", "h2").mapInArrow(run, "doc_id long, key long, run int, h1 long, h2 long")
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, key, covered): for each document that loses any, runs of its sentences as (first, end)."""
+    """(doc_id, key, covered): for each document that loses any, the numbers of its runs that stand earlier as well."""
+    lists = written(run_lists(docs), "hashes")
     # sums within a task first: a passage in a third of all texts costs a row a task
-    again = written(run_hashes(docs).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1"), "again")
-    every = written(run_rows(docs, bits_of(again, "h1")), "runs")
+    again = written(lists.select(F.explode("h1").alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "again")
+    every = written(run_rows(lists, bits_of(again, "h1")), "runs")
     remove(spark, again)
-    place = F.struct("doc_id", "key", "first")
+    remove(spark, lists)
+    place = F.struct("doc_id", "key", "run")
     repeated = every.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where("origin != last").select("h1", "h2", "origin")
-    repeated = written(repeated, "repeated")
-    passes = screen(repeated, "h1")
-    later = every.where(passes(F.col("h1"))).join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
-    covered = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "end")).alias("covered"))
-    out = written(covered, "covered")
+    later = every.join(written(repeated, "repeated"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
+    out = written(later.groupBy("doc_id", "key").agg(F.collect_set("run").alias("covered")), "covered")
     remove(spark, every)
-    remove(spark, repeated)
     return out
 
 
 def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (start, end in code points of the text, not overlapping) and the text left."""
+    """doc_id, n_removed (sentences), removed (start, end in code points of the text, not overlapping) and the text left."""
     lost = removals(spark, docs)
     rows = _keyed(docs)
     passes = screen(lost, "key")
     touched = rows.where(passes(F.col("key"))).join(lost.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "covered")
-    others = rows.where(~passes(F.col("key"))).select("doc_id", "text", F.lit(None).cast(dict(lost.dtypes)["covered"]).alias("covered"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         words = Words()
         for b in balanced(batches, "text"):
             out = []
-            for t, covered in zip(b.column("text").to_pylist(), b.column("covered").to_pylist(), strict=True):
-                at = cuts(t or "", words)
-                n = len(at) - 1
-                if not covered:
-                    out.append((n, 0, [], t))
+            for t, covered in zip(b.column("text").to_pylist(), b.column("covered"), strict=True):
+                if not covered.is_valid:
+                    out.append((0, [], t))
                     continue
-                gone = np.zeros(n + 2, dtype=np.int64)
-                for c in covered:
-                    gone[c["first"] + 1] += 1
-                    gone[c["end"] + 1] -= 1
-                gone = np.cumsum(gone) > 0  # one to the right, and nothing gone on either side
-                edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
-                cut = [{"start": at[i], "end": at[j]} for i, j in edges.tolist()]
-                left = "".join([t[x:y] for x, y in zip([0, *[c["end"] for c in cut]], [*[c["start"] for c in cut], len(t)], strict=True)])
-                out.append((n, int(gone.sum()), cut, left))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind), pa.array(cols[3], pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed", "text"])
-
-    return touched.unionByName(others).mapInArrow(run, "doc_id long, n_sentences long, n_removed long, removed array<struct<start: long, end: long>>, text string")
+                cut = Cut(t, words)
+                chosen = cut.spans()[covered.values.to_numpy(zero_copy_only=False)]
+                step = np.zeros(len(cut.ends) + 1, dtype=np.int64)  # one to the right, and nothing gone on either side
+                np.add.at(step, chosen[:, 0] + 1, 1)
+                np.add.at(step, chosen[:, 1] + 1, -1)
+                gone = np.cumsum(step) > 0
+                edges = cut.places()[np.flatnonzero(gone[1:] != gone[:-1])].reshape(-1, 2).tolist()
+                left = "".join([t[x:y] for x, y in zip([0, *[e for _, e in edges]], [*[a for a, _ in edges], len(t)], strict=True)])
+                out.append((int(gone.sum()), [{"start": x, "end": y} for x, y in edges], left))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], kind), pa.array(cols[2], pa.string())], names=["doc_id", "n_removed", "removed", "text"])
+
+    schema = "doc_id long, n_removed long, removed array<struct<start: long, end: long>>, text string"
+    others = rows.where(~passes(F.col("key"))).select("doc_id", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start: long, end: long>>").alias("removed"), "text")
+    return touched.mapInArrow(run, schema).unionByName(others)
