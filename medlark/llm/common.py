@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, so that a lost executor costs no more than the scan."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +49,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once nobody holds the tables that were made of them: what nobody holds is let go of."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,13 +101,20 @@ def screen(keys: DataFrame, key: str):
     follow."""
     shared = keys.sparkSession.sparkContext.broadcast(bits_of(keys, key))
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(may_have(shared.value, np.ascontiguousarray(h.to_numpy(dtype=np.int64))))
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(may_have(shared.value, h.fill_null(0).to_numpy(zero_copy_only=False)))
 
     return lambda column: test(column)
 
 
+def untouched(keyed: DataFrame, touched: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that are surely not among the touched ones, the others), by a column of 64-bit hashes that both tables have.
+    The first go on where they were read; only the others need a join."""
+    passes = screen(touched, key)
+    return keyed.where(~passes(F.col(key))), keyed.where(passes(F.col(key)))
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """df with columns c0, c1, ...: names that clash, be it by case alone, can't be told apart otherwise."""
     names = [f"c{i}" for i in range(len(df.columns))]
@@ -108,7 +122,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 #: Bytes of an Arrow batch, on either side: texts are long, and two tasks share an executor.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, numbered, pick, screen, written
+from .common import new_path, numbered, pick, remove, screen, tidy, untouched, written
 
 #: The characters that don't count.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -206,6 +206,7 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     rows = written(digest_rows(docs).withColumn("part", part), "digests")
     known = [Snapshot.write(spark, classes(rows.where("part = 0")))]
+    scratch: list[DataFrame] = []
     merged = known[0].classes.select("digest", F.lit(0).alias("variant"), "doc_id", "n_chars", "n")
     for k in range(1, batches):
         batch = classes(rows.where(F.col("part") == k))
@@ -213,29 +214,40 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
         found = None
         for snapshot in known:  # a digest stands in one of them at most
             fresh = written(snapshot.screened(batch), "screened")
+            scratch.append(fresh)
             hits = snapshot.matches(fresh)
             found = hits if found is None else found.unionByName(hits)
-        checked = written(same_bytes(docs, written(found, "positives")), "checked")
+        found = written(found, "positives")
+        checked = written(same_bytes(docs, found), "checked")
+        scratch += [found, checked]
         # texts of one digest and other bytes (a collision) stay apart, as a variant of their own
         tagged = fresh.join(checked, "digest", "left").select("digest", F.when(F.col("same") == F.lit(False), k).otherwise(0).alias("variant"), "doc_id", "n_chars", "n")
         merged = merged.unionByName(tagged)
         if k + 1 < batches:
             known.append(Snapshot.write(spark, fresh.join(checked, "digest", "left_anti")))
     final = merged.groupBy("digest", "variant").agg(best().alias("keep"), F.sum("n").alias("group_size"))
-    odd = merged.where("variant > 0").select("digest", F.col("variant").alias("part"), "variant").distinct()
+    odd = written(merged.where("variant > 0").select("digest", F.col("variant").alias("part"), "variant").distinct(), "odd")
     final = written(final.select("digest", "variant", F.col("keep.doc_id").alias("keep_id"), "group_size"), "classes")
+    for table in (*scratch, *[t for k in known for t in (k.classes, k.filters)]):
+        remove(spark, table)
     placed = rows.join(odd, ["digest", "part"], "left").select("doc_id", "digest", F.coalesce("variant", F.lit(0)).alias("variant"))
     return placed.join(final, ["digest", "variant"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows, one."""
-    keep = dedup(spark, docs, batches).where("kept").groupBy("keep_id", "text_sha256").agg(F.count(F.lit(1)).alias("_copies"))
+    """The rows that stay, with all their columns; of repeated rows, one. Rows of a class of their own, which are most, go on
+    where they are read; the others meet their decisions."""
+    tidy(spark)
+    id_ = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
+    decided = dedup(spark, docs, batches).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("_copies"))
+    decided = written(decided.select(F.col("doc_id").alias("_d"), "text_sha256", "kept", "_copies", F.xxhash64("text_sha256", id_(F.col("doc_id"))).alias("_h")), "decided")
     plain, names = numbered(docs)
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
     keyed = plain.withColumn("_digest", F.sha2(normalised(F.col(at["text"])), 256))
-    rows = keyed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("text_sha256")))
+    keyed = keyed.withColumn("_h", F.xxhash64("_digest", id_(F.col(at["doc_id"]))))
+    alone, met = untouched(keyed, decided, "_h")
+    rows = met.join(decided.drop("_h"), F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_digest") == F.col("text_sha256")), "left").where(F.coalesce("kept", F.lit(True)))
     # rows of one doc_id and one normalised text: the longest original, then the largest row, stays
     size = F.coalesce(F.length(F.col(at["text"]).cast("string")), F.lit(0))
-    repeated = rows.where("_copies > 1").groupBy("keep_id", "_digest").agg(F.max(F.struct(size.alias("_size"), *names)).alias("row")).select(*[f"row.{n}" for n in names])
-    return rows.where("_copies = 1").select(*names).unionByName(repeated).toDF(*docs.columns)
+    repeated = rows.where("_copies > 1").groupBy("_d", "_digest").agg(F.max(F.struct(size.alias("_size"), *names)).alias("row")).select(*[f"row.{n}" for n in names])
+    return alone.select(*names).unionByName(rows.where("coalesce(_copies, 1) = 1").select(*names)).unionByName(repeated).toDF(*docs.columns)

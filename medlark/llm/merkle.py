@@ -29,7 +29,6 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -226,9 +225,11 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = np.array(_bounds(docs, parts), dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.where(doc_id.isna(), 0, np.searchsorted(bounds, doc_id.fillna(0).astype("int64"))), dtype="int32")
+    @F.arrow_udf("int")
+    def range_of(doc_id: pa.Array) -> pa.Array:
+        known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(np.where(known, at, 0).astype(np.int32))
 
     ranged = docs.withColumn("part", range_of("doc_id"))
     # one row a range: which doc_id it starts with, and the range before, in which the first document also ends. The table

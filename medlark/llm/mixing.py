@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, remove, written
+from .common import numbered, pick, remove, tidy, written
 
 #: Fixed by the contract: what separates words, and the weights of sources by rank, repeating.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -131,6 +131,7 @@ def copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs.
 
     Rows get a key that is written with them, so that repeated rows stay apart when decisions meet them again."""
+    tidy(spark)
     plain, names = numbered(docs)
     keyed = written(plain.withColumn("row", F.monotonically_increasing_id()), "keyed")
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}

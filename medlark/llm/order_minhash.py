@@ -23,7 +23,6 @@ Repeated rows are equal texts. Empty table: empty result. Extra columns are igno
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, remove, screen, written
+from .common import numbered, pick, remove, screen, tidy, untouched, written
 from .tokens import balanced
 
 SHINGLE, SIMILAR, BANDS, TUPLE, LEADERS, ROUNDS, CENTRAL = 5, 0.8, 20, 4, 4, 1, 2
@@ -288,9 +287,7 @@ def _met(early: DataFrame, component: DataFrame | None) -> DataFrame:
     rows = _placed(early, component)
     parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"), F.max_by(F.struct("uid", "n", "place"), F.struct("company", "uid")).alias("central"))
     heads = parts.groupBy("shingle").agg(F.max_by(F.struct("component", "central"), F.struct("c", "component")).alias("head"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("head.component").alias("major"), "head.central")
-    heads = written(heads, "heads")
-    passes = screen(heads, "shingle")
-    return written(rows.where(passes(F.col("shingle"))).join(heads, "shingle"), "met")
+    return written(rows.join(heads, "shingle"), "met")
 
 
 def _near(n, place, n_, place_):
@@ -419,8 +416,11 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         linked(_pairs(buckets, component, round_))
     open_ = written(texts.join(_open(buckets, component), "uid"), "open")
     if not open_.isEmpty():
-        early = written(_prefixes(open_), "prefixes")
+        every = written(_prefixes(open_), "prefixes")
         remove(spark, open_)
+        # a shingle that one text has shows no pair
+        early = written(every.join(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle"), "shingle"), "early")
+        remove(spark, every)
         met = _met(early, component)
         for _ in range(CENTRAL):
             if not linked(_central(met)):
@@ -430,10 +430,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         linked(_left(met))
         remove(spark, early)
         remove(spark, met)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that Spark drops the shuffle files of rounds that are over
+    tidy(spark)
     remove(spark, texts)
-    ends = None
     if component is None:
         placed = uniq.withColumn("component", F.col("uid")).withColumn("links", F.lit(0).cast("long"))
     else:
@@ -443,6 +441,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     heads = placed.groupBy("component").agg(F.min(best).alias("head"), F.sum("copies").alias("class_size")).select("component", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("class_key"), "class_size")
     full = written(placed.join(heads, "component").select("t1", "t2", "class_id", "class_key", "class_size", "links"), "classes")
+    for table in (uniq, shared, buckets, involved, placed, *[t for t in (tried, links, component) if t is not None]):
+        remove(spark, table)
     inner = rows.where("n > 0").join(full, ["t1", "t2"]).select("doc_id", "key", "class_id", "class_key", "class_size", "links")
     alone = rows.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("key").alias("class_key"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
     out = inner.unionByName(alone)
@@ -450,11 +450,17 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each class, with all its columns; of repeated rows one, too. Texts without words all stay."""
-    keep = classes(spark, docs).where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_copies")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_copies")
+    """One row of each class, with all its columns; of repeated rows one, too. Texts without words all stay. Rows of a class
+    of their own, which are most, go on where they are read; the others meet their decisions."""
+    tidy(spark)
+    id_ = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
+    decided = classes(spark, docs).where("class_size > 1").groupBy("doc_id", "key", "kept").agg(F.count(F.lit(1)).alias("_copies"))
+    decided = written(decided.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "kept", "_copies", F.xxhash64("key", id_(F.col("doc_id"))).alias("_h")), "decided")
     plain, names = numbered(docs)
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
     keyed = plain.withColumn("_key", F.xxhash64(F.col(at["text"]).cast("string")))
-    rows = keyed.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    keyed = keyed.withColumn("_h", F.xxhash64("_key", id_(F.col(at["doc_id"]))))
+    alone, met = untouched(keyed, decided, "_h")
+    rows = met.join(decided.drop("_h"), F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").where(F.coalesce("kept", F.lit(True)))
     repeated = rows.where("_copies > 1").groupBy("_d", "_k").agg(F.max(F.struct(*names)).alias("row")).select("row.*")
-    return rows.where("_copies = 1").select(*names).unionByName(repeated).toDF(*docs.columns)
+    return alone.select(*names).unionByName(rows.where("coalesce(_copies, 1) = 1").select(*names)).unionByName(repeated).toDF(*docs.columns)

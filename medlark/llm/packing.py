@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, remove, written
+from .common import pick, remove, tidy, written
 from .tokens import balanced, encoder
 
 #: Pieces of an island; islands that a node of the tree joins; bins that an island opens; solutions; generations in an
@@ -276,6 +276,7 @@ def _evolved(at: DataFrame, schema: str, room: int, seed: int, level: int) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, seed: int = 11) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    tidy(spark)
     table = written(pieces(docs, vocabulary, room, end_id).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     kind = dict(table.dtypes)["doc_id"]
     schema = _ROWS.format(kind)
