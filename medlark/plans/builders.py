@@ -77,7 +77,15 @@ def build_reports(*, spark: SparkSession, data_dir: str, quarters: list[str], ta
 
 
 def build_reference(*, spark: SparkSession, data_dir: str, dump: str, tables: tuple = REFERENCE_TABLES) -> list[Build]:
-    return [_publish(spark, lambda t=t: copydump.copy_table(spark, dump, t), os.path.join(data_dir, "reference", f"{t}.parquet"), {"table": t}, {"dump": dump}) for t in tables]
+    """The dump is read once for all tables that aren't there yet."""
+    made: dict[str, DataFrame] = {}
+
+    def make(table: str) -> DataFrame:
+        if not made:
+            made.update(copydump.copy_tables(spark, dump, dict.fromkeys(tables)))
+        return made[table]
+
+    return [_publish(spark, lambda t=t: make(t), os.path.join(data_dir, "reference", f"{t}.parquet"), {"table": t}, {"dump": dump}) for t in tables]
 
 
 def build_labels(*, spark: SparkSession, data_dir: str, archives: dict[str, str]) -> list[Build]:
@@ -158,7 +166,8 @@ def build_drug_dictionary(*, spark: SparkSession, data_dir: str, dump: str | Non
         rows = mapped.select("faers_raw", F.explode(F.coalesce("ids", F.array(F.lit(0).cast("bigint")))).alias("dc_id"))
         rows = rows.join(NA.atc_by_structure(read("struct2atc")), "dc_id", "left")
         if dump:
-            boxed = NA.boxed_warnings(copydump.copy_table(spark, dump, "section"), copydump.copy_table(spark, dump, "prd2label"), copydump.copy_table(spark, dump, "active_ingredient")).withColumn("has_boxed_warning", F.lit(1))
+            labels = copydump.copy_tables(spark, dump, {"section": ["label_id", "code", "title"], "prd2label": None, "active_ingredient": None})
+            boxed = NA.boxed_warnings(labels["section"], labels["prd2label"], labels["active_ingredient"]).withColumn("has_boxed_warning", F.lit(1))
             rows = rows.join(boxed, "dc_id", "left").fillna({"has_boxed_warning": 0})
         else:
             rows = rows.withColumn("has_boxed_warning", F.lit(0))

@@ -6,7 +6,7 @@ import gzip
 import re
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .delimited import SourceError
 
@@ -42,60 +42,80 @@ def _names(columns: str) -> list[str]:
     return [c.strip().strip('"').lower() for c in columns.split(",")]
 
 
-def block_columns(path: str, table: str) -> list[str]:
+def blocks(path: str, wanted: list[str]) -> dict[str, list[str]]:
+    """Columns of the COPY blocks of some tables, in one pass up to the last of them."""
+    left, out = set(wanted), {}
     for line in _lines(path):
-        if (m := _START.match(line)) and m[1].lower() == table:
-            return _names(m[2])
-    raise SourceError(f"{path} has no COPY block of {table}")
+        if (m := _START.match(line)) and m[1].lower() in left:
+            out[m[1].lower()] = _names(m[2])
+            left.discard(m[1].lower())
+            if not left:
+                return out
+    raise SourceError(f"{path} has no COPY block of {', '.join(sorted(left))}")
+
+
+def rows(path: str, chosen: dict[str, list[str]]):
+    """(table, fields) of every row of the chosen tables' blocks, as they come."""
+    table, seen, places, width = None, set(), [], 0
+    for n, line in enumerate(_lines(path), 1):
+        if table is not None:
+            if line == r"\.":
+                table = None
+                continue
+            fields = line.split("\t")
+            if len(fields) != width:
+                raise SourceError(f"line {n} has {len(fields)} fields, {table} has {width} columns")
+            yield table, [value(fields[k]) for k in places]
+        elif (m := _START.match(line)) and m[1].lower() in chosen:
+            table = m[1].lower()
+            if table in seen:
+                raise SourceError(f"{table} has more than one COPY block")
+            seen.add(table)
+            there = _names(m[2])
+            places, width = [there.index(c) for c in chosen[table]], len(there)
+    if table is not None:
+        raise SourceError(f"the COPY block of {table} doesn't end")
 
 
 class CopyReader(DataSourceReader):
-    def __init__(self, path: str, table: str, names: list[str]):
-        self.path, self.table, self.names = path, table, names
+    def __init__(self, path: str, chosen: dict[str, list[str]], several: bool):
+        self.path, self.chosen, self.several = path, chosen, several
 
     def partitions(self):
         return [InputPartition(self.path)]  # a gzip stream can't be split
 
     def read(self, partition):
-        inside, seen, columns = False, 0, []
-        for n, line in enumerate(_lines(partition.value), 1):
-            if inside:
-                if line == r"\.":
-                    inside = False
-                    continue
-                fields = line.split("\t")
-                if len(fields) != len(columns):
-                    raise SourceError(f"line {n} has {len(fields)} fields, {self.table} has {len(columns)} columns")
-                row = dict(zip(columns, map(value, fields), strict=True))
-                yield tuple(row[c] for c in self.names)
-            elif (m := _START.match(line)) and m[1].lower() == self.table:
-                seen += 1
-                if seen > 1:
-                    raise SourceError(f"{self.table} has more than one COPY block")
-                inside, columns = True, _names(m[2])
-        if inside:
-            raise SourceError(f"the COPY block of {self.table} doesn't end")
+        for table, fields in rows(partition.value, self.chosen):
+            yield (table, fields) if self.several else tuple(fields)
 
 
 class CopyDump(DataSource):
-    """Options: path, table, and columns (a comma-separated choice)."""
+    """Options: path, and table with columns (a comma-separated choice), or tables: several in one pass, as rows of
+    source_table and fields."""
 
     @classmethod
     def name(cls) -> str:
         return "copydump"
 
-    def _chosen(self) -> list[str]:
-        there = block_columns(self.options["path"], self.options["table"].lower())
-        chosen = [c.strip().lower() for c in self.options.get("columns", "").split(",") if c.strip()] or there
-        if missing := set(chosen) - set(there):
-            raise SourceError(f"{self.options['table']} lacks {sorted(missing)}")
-        return chosen
+    def _chosen(self) -> dict[str, list[str]]:
+        split = lambda x: [c.strip().lower() for c in x.split(",") if c.strip()]
+        tables = split(self.options.get("tables", "")) or [self.options["table"].lower()]
+        there = blocks(self.options["path"], tables)
+        if "tables" not in self.options and (some := split(self.options.get("columns", ""))):
+            if missing := set(some) - set(there[tables[0]]):
+                raise SourceError(f"{tables[0]} lacks {sorted(missing)}")
+            return {tables[0]: some}
+        return there
 
     def schema(self) -> StructType:
-        return StructType([StructField(c, StringType()) for c in self._chosen()])
+        if "tables" in self.options:
+            return StructType([StructField("source_table", StringType()), StructField("fields", ArrayType(StringType()))])
+        return StructType([StructField(c, StringType()) for names in self._chosen().values() for c in names])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return CopyReader(self.options["path"], self.options["table"].lower(), schema.names)
+        if "tables" in self.options:
+            return CopyReader(self.options["path"], self._chosen(), True)
+        return CopyReader(self.options["path"], {self.options["table"].lower(): schema.names}, False)
 
 
 def copy_table(spark, path: str, table: str, columns: list[str] | None = None):
@@ -104,12 +124,32 @@ def copy_table(spark, path: str, table: str, columns: list[str] | None = None):
     return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
 
 
+def copy_tables(spark, path: str, columns: dict[str, list[str] | None]) -> dict:
+    """Several tables of a dump (None: all columns) with one pass over its rows: they are written by table to a folder of
+    their own, from which each is read."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ..operators.graph import shared_dir
+
+    spark.dataSource.register(CopyDump)
+    there = blocks(path, list(columns))
+    for table, some in columns.items():
+        if missing := set(some or ()) - set(there[table]):
+            raise SourceError(f"{table} lacks {sorted(missing)}")
+    folder = f"{shared_dir(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    spark.read.format("copydump").option("tables", ",".join(columns)).load(path).write.partitionBy("source_table").parquet(folder)
+    every = spark.read.schema("fields array<string>, source_table string").parquet(folder)
+    return {t: every.where(F.col("source_table") == t).select(*[F.col("fields")[there[t].index(c)].alias(c) for c in some or there[t]]) for t, some in columns.items()}
+
+
 def rxnorm_names(spark, path: str):
     """(rxcui, struct_id) of identifiers whose type says RxNorm, out of the dump's identifier and id_type blocks."""
     from pyspark.sql import functions as F
 
-    kinds = copy_table(spark, path, "id_type", ["id", "type"]).where(F.lower("type").like("%rxnorm%") | F.lower("type").like("%rxcui%"))
-    ids = copy_table(spark, path, "identifier", ["identifier", "id_type", "struct_id"])
+    both = copy_tables(spark, path, {"id_type": ["id", "type"], "identifier": ["identifier", "id_type", "struct_id"]})
+    kinds, ids = both["id_type"].where(F.lower("type").like("%rxnorm%") | F.lower("type").like("%rxcui%")), both["identifier"]
     # dumps name the type by its id or by its name
     match = ids.join(kinds.select(F.explode(F.array("id", "type")).alias("id_type")).distinct(), "id_type")
     return match.select(F.col("identifier").alias("rxcui"), F.col("struct_id").cast("bigint").alias("struct_id")).distinct()

@@ -44,8 +44,12 @@ def test_copy_dump(spark, tmp_path):
     rows = copydump.copy_table(spark, path, "structures").collect()
     assert [tuple(r) for r in rows] == [("1", "A\tB", None), ("2", "C\\DAA", "z")]
     assert copydump.copy_table(spark, path, "structures", ["name"]).columns == ["name"]
+    both = copydump.copy_tables(spark, path, {"structures": ["note", "id"], "other": None})
+    assert sorted(map(tuple, both["structures"].collect()), key=repr) == [("z", "2"), (None, "1")] and [tuple(r) for r in both["other"].collect()] == [("9",)]
     with pytest.raises(Exception, match="no COPY block"):
         copydump.copy_table(spark, path, "missing").count()
+    with pytest.raises(copydump.SourceError):
+        copydump.copy_tables(spark, path, {"structures": ["nowhere"]})
 
 
 def test_zip_table(spark, tmp_path):
