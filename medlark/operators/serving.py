@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -27,7 +27,11 @@ def match_medications(typed: DataFrame, known: DataFrame, k: int = 3) -> DataFra
     aliases = known.select("alias", "dc_id")
     pairs = one.withColumn("_k", F.substring("name", 1, 1)).join(aliases.withColumn("_k", F.substring("alias", 1, 1)), "_k", "left")
     scored = pairs.withColumn("score", F.when(F.col("alias").isNotNull(), NA._score(F.col("name"), F.coalesce("alias", F.lit("")))))
-    best = scored.groupBy("typed").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("score", "alias", "dc_id"))))), 1, k).alias("candidates"))
+    # the engine keeps no more than the k best of each name in a task
+    order = Window.partitionBy("typed").orderBy(F.desc_nulls_last("score"), F.desc("alias"), F.desc("dc_id"))
+    first = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    listed = F.array_sort(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("_r", "score", "alias", "dc_id"))))
+    best = first.groupBy("typed").agg(F.transform(listed, lambda x: F.struct(x["score"].alias("score"), x["alias"].alias("alias"), x["dc_id"].alias("dc_id"))).alias("candidates"))
     top = F.try_element_at("candidates", F.lit(1))["score"]
     status = F.when(top >= MATCHED, "matched").when(top >= AMBIGUOUS, "ambiguous").otherwise("unmatched")
     return best.select("typed", status.alias("status"), "candidates")
