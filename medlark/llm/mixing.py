@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,15 +128,45 @@ def mixture(spark: SparkSession, docs: DataFrame, share: float = 1.5, most: floa
     return result.select("doc_id", "size", "source_size", "target", copies, *[c for c in carry if c not in ("doc_id", "size")]).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+#: Decisions of up to so many rows are sent to all tasks, a bit a row and copy (16 MB a copy), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1 << 27
+
+
 def copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs.
 
-    Rows get a key that is written with them, so that repeated rows stay apart when decisions meet them again."""
+    Rows get a key that is written with them, so that repeated rows stay apart when decisions meet them again. Decisions
+    come to the rows: as bit maps over the keys, so that no text is shuffled, unless there are too many of them."""
     tidy(spark)
     plain, names = numbered(docs)
     keyed = written(plain.withColumn("row", F.monotonically_increasing_id()), "keyed")
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
     mixed = mixture(spark, keyed.select("row", *[F.col(n).alias(c) for c, n in at.items()]), carry=["row"], **options)
-    taken = mixed.where("copies > 0").select("row", F.col("copies").cast("int").alias("_copies"))
-    rows = keyed.join(taken, "row").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return rows.select(*names).toDF(*docs.columns)
+    taken = written(mixed.where("copies > 0").select("row", F.col("copies").cast("int").alias("_copies")), "taken")
+    if taken.count() <= BROADCAST_ROWS:
+        rows = keyed.withColumn("_copies", _decisions(taken)(F.col("row"))).where("_copies > 0")
+    else:
+        rows = keyed.join(taken, "row")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*names).toDF(*docs.columns)
+
+
+def _decisions(taken: DataFrame):
+    """A column function: copies of a row by its key. Keys count up within a partition, so blocks of them are well filled."""
+    spark = taken.sparkSession
+    each = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    blocks = each.groupBy("copy", F.expr("row div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("row % 32768")).alias("bits"))
+    shared = spark.sparkContext.broadcast({(r["block"], r["copy"]): np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in blocks.toLocalIterator()})
+
+    @F.arrow_udf("int")
+    def test(row: pa.Array) -> pa.Array:
+        known, row = shared.value, row.to_numpy(zero_copy_only=False)
+        block, place, out = row >> 15, row & 32767, np.zeros(len(row), dtype=np.int32)
+        for b in np.unique(block).tolist():
+            here, copy = np.flatnonzero(block == b), 1
+            while (bits := known.get((b, copy))) is not None:
+                p = place[here]
+                out[here] += bits[p >> 3] >> (p & 7).astype(np.uint8) & 1
+                copy += 1
+        return pa.array(out)
+
+    return test
