@@ -198,7 +198,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     scored = written(table.where(known).unionByName(prefixes.where(known)).select("term", _bounded_log_odds(n0, n1).alias("s")), "scored")
     telling = scored.where("s <> 0")
     # terms that tell nothing but keep a longer known term from taking a prefix's score
-    lead = telling.where(F.col("term").endswith("*")).select(F.rtrim(F.col("term"), F.lit("*")).alias("lead")).distinct()
+    lead = written(telling.where(F.col("term").endswith("*")).select(F.rtrim(F.col("term"), F.lit("*")).alias("lead")).distinct(), "lead")
+    lead = F.broadcast(lead) if lead.count() <= BROADCAST_TERMS else lead
     plain = scored.where("s = 0").withColumn("lead", F.explode(F.array(*[F.substring("term", 1, k) for k in PREFIXES])))
     terms = written(telling.unionByName(plain.join(lead, "lead").select("term", "s").distinct()), "terms")
     remove(spark, table)
