@@ -95,7 +95,7 @@ def test_mixture(spark, docs, empty, monkeypatch):
     assert mixing.mixture(spark, empty).count() == 0
 
 
-def test_mix_keeps_columns_and_comes_near(spark):
+def test_mix_keeps_columns_and_comes_near(spark, monkeypatch):
     rows = [(i, " ".join("w" * (1 + i % 7)), f"s{i % 4}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixed = mixing.copies(spark, docs)
@@ -107,6 +107,8 @@ def test_mix_keeps_columns_and_comes_near(spark):
         taken[r["source"]] += len(r["text"].split())
     target = mixing.targets(list(size.items()))
     assert all(abs(taken[s] - target[s]) <= 7 for s in size)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)  # decisions that are joined give the same
+    assert Counter(map(tuple, mixing.copies(spark, docs).collect())) == Counter(map(tuple, mixed.collect()))
 
 
 def test_exact_dedup(spark, docs, empty):
