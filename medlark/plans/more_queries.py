@@ -149,11 +149,11 @@ def boxed_warnings(spark, sf_dir):
     return NA.boxed_warnings(sections, labels, ingredients)
 
 
-@query("""WITH c AS (SELECT l_orderkey % 500 AS query_name, l_linenumber AS rank, l_suppkey % 3 AS struct_id FROM lineitem), b AS (SELECT query_name, min(rank) AS rank FROM c GROUP BY 1)
+@query("""WITH c AS (SELECT l_orderkey AS query_name, l_linenumber // 3 AS rank, l_suppkey % 3 AS struct_id FROM lineitem), b AS (SELECT query_name, min(rank) AS rank FROM c GROUP BY 1)
     SELECT CAST(query_name AS VARCHAR) AS query_name, CAST(min(struct_id) AS BIGINT) AS struct_id FROM c JOIN b USING (query_name, rank) GROUP BY query_name HAVING count(DISTINCT struct_id) = 1""")
 def name_consensus(spark, sf_dir):
     l = P.table(spark, sf_dir, "lineitem")
-    return NA.consensus(l.select((F.col("l_orderkey") % 500).cast("string").alias("query_name"), F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") % 3).cast("bigint").alias("struct_id")))
+    return NA.consensus(l.select(F.col("l_orderkey").cast("string").alias("query_name"), F.expr("l_linenumber div 3").alias("rank"), (F.col("l_suppkey") % 3).cast("bigint").alias("struct_id")))
 
 
 @query(_sql(P.REPORTS, P.DOSES, P.DICTIONARY, "seen AS (SELECT DISTINCT primaryid AS report, dc_id FROM edges JOIN dictionary ON trim(edges.faers_raw) = dictionary.faers_raw)",
