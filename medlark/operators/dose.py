@@ -50,14 +50,17 @@ def references(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def wide_references(rows: DataFrame) -> DataFrame:
-    """`references` by dimension alone: nine groups at most, each ranked over many tasks."""
+    """`references` by dimension alone: nine groups at most, each ranked over many tasks, amounts and daily amounts at once."""
     used = rows.where((F.col("split") == "train") & (F.col("eligible") == 1))
-    at, out = [0.25, 0.5, 0.75, 0.9], None
-    for p, c in (("amount", "canonical_amount"), ("daily", "canonical_daily_amount")):
-        q = quantiles(used.select("dose_dimension", F.log(c).alias("_log")), "_log", at, ["dose_dimension"])
-        part = q.select("dose_dimension", F.col("support").alias(f"{p}_support"), F.col("q")[1].alias(f"{p}_median"), F.col("q")[0].alias(f"{p}_q25"), F.col("q")[2].alias(f"{p}_q75"), (F.col("q")[2] - F.col("q")[0]).alias(f"{p}_iqr"), F.col("q")[3].alias(f"{p}_p90"))
-        out = part if out is None else out.join(part, "dose_dimension", "left").fillna({f"{p}_support": 0})
-    return out
+    both = F.array(*[F.struct(F.lit(p).alias("kind"), F.log(c).alias("log")) for p, c in (("amount", "canonical_amount"), ("daily", "canonical_daily_amount"))])
+    long = used.select("dose_dimension", F.explode(both).alias("x")).select("dose_dimension", "x.kind", "x.log")
+    found = quantiles(long, "log", [0.25, 0.5, 0.75, 0.9], ["dose_dimension", "kind"])
+    cols = []
+    for p in ("amount", "daily"):
+        at = lambda x, p=p: F.max(F.when(F.col("kind") == p, x))
+        q = at(F.col("q"))
+        cols += [F.coalesce(at(F.col("support")), F.lit(0)).alias(f"{p}_support"), q[1].alias(f"{p}_median"), q[0].alias(f"{p}_q25"), q[2].alias(f"{p}_q75"), (q[2] - q[0]).alias(f"{p}_iqr"), q[3].alias(f"{p}_p90")]
+    return found.groupBy("dose_dimension").agg(*cols)
 
 
 def lookup(rows: DataFrame) -> DataFrame:

@@ -73,12 +73,11 @@ def indication_features(terms: DataFrame, vocabulary: DataFrame, bins: int = 32)
 
 def train_medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     """One row: the exact median of each value over training rows, by name. Ranks are taken over many tasks."""
-    out = None
-    for name, value in values.items():
-        one = quantiles(rows.where("split = 'train'").select(value.cast("double").alias("_x")), "_x", [0.5], []).select(F.col("q")[0].alias(name))
-        one = one.agg(F.max(name).alias(name))  # a row of nulls without any value
-        out = one if out is None else out.crossJoin(one)
-    return out
+    each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()])
+    long = rows.where("split = 'train'").select(F.explode(each).alias("x")).select("x.name", "x.value")
+    found = quantiles(long, "value", [0.5], ["name"])
+    # a row of nulls without any value
+    return found.agg(*[F.max(F.when(F.col("name") == n, F.col("q")[0])).alias(n) for n in values])
 
 
 def demographics(cohort: DataFrame) -> DataFrame:
