@@ -170,13 +170,32 @@ def atc_by_structure(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("struct_id").cast("bigint").alias("dc_id")).agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.trim("atc_code")))), "|").alias("atc_code"))
 
 
+#: Pairs of name and id up to which they go to every task; more are joined by a shuffle.
+BROADCAST_PAIRS = 400_000
+
+
+def ids_of(named: DataFrame, key: str, pairs: DataFrame, id: str, otherwise: Column | None = None) -> DataFrame:
+    """(key, ids): the distinct ids that a key's names stand for. named: (key, faers_raw), pairs: (faers_raw, id); a name may
+    have many ids. Names meet by key first and their ids come to them as arrays, so no row of a key and an id is shuffled.
+    A name without pairs, null too, has the ids `otherwise`; unless given, keys with such names only are left out."""
+    known = pairs.groupBy("faers_raw").agg(F.collect_set(id).alias("_ids"))
+    known = F.broadcast(known) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else known
+    # a struct, as sets leave out nulls
+    names = named.groupBy(key).agg(F.collect_set(F.struct("faers_raw")).alias("_n")).select(key, F.explode("_n").alias("_n")).select(key, "_n.faers_raw")
+    found = names.join(known, "faers_raw", "inner" if otherwise is None else "left")
+    ids = F.col("_ids") if otherwise is None else F.coalesce("_ids", otherwise)
+    return found.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(ids))).alias("ids"))
+
+
 def dictionary_ror(dictionary: DataFrame, report_drug: DataFrame, cohort: DataFrame) -> DataFrame:
     """The dictionary with its ROR over all splits (conditional smoothing). Unmapped names share id 0 and one ROR."""
-    from .risk import contingency, with_ror
+    from .risk import counted, with_ror
 
-    exposures = report_drug.select(F.col("primaryid").alias("report"), F.trim("drugname").alias("faers_raw")).join(dictionary.select("faers_raw", "dc_id"), "faers_raw").select("report", "dc_id").distinct()
+    named = report_drug.select(F.col("primaryid").alias("report"), F.trim("drugname").alias("faers_raw"))
     reports = cohort.select(F.col("primaryid").alias("report"), "is_serious", "split")
-    rors = with_ror(contingency(exposures, reports, ["dc_id"]), "zero").select("dc_id", "ror")
+    # a report's ids are listed one by one only where they are counted
+    seen = ids_of(named, "report", dictionary.select("faers_raw", "dc_id"), "dc_id").join(reports.select("report", "is_serious"), "report").select(F.explode("ids").alias("dc_id"), "is_serious")
+    rors = with_ror(counted(seen, reports, ["dc_id"]), "zero").select("dc_id", "ror")
     return dictionary.drop("ror").join(rors, "dc_id", "left")
 
 

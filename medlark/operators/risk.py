@@ -13,10 +13,15 @@ from ..functions import columns as C
 
 
 def contingency(exposures: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
-    """a, b by key and c, d from the totals of all reports. The totals are one row."""
+    """a, b by key and c, d from the totals of all reports."""
+    return counted(exposures.join(reports.select("report", "is_serious"), "report"), reports, keys)
+
+
+def counted(rows: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+    """`contingency` of exposures that have is_serious already. The totals are one row."""
     serious = F.col("is_serious") == 1
     total = reports.agg(F.count_if(serious).alias("serious"), F.count_if(~serious).alias("calm"))
-    cells = exposures.join(reports.select("report", "is_serious"), "report").groupBy(*keys).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
+    cells = rows.groupBy(*keys).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
     return cells.crossJoin(F.broadcast(total)).select(*keys, "a", "b", (F.col("serious") - F.col("a")).alias("c"), (F.col("calm") - F.col("b")).alias("d"))
 
 
