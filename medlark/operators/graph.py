@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .names import ids_of
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration: written to spark.checkpoint.dir."""
@@ -58,11 +59,13 @@ def drug_nodes(mapped: DataFrame, unknown: DataFrame, has_other: bool = True) ->
 
 def graph_edges(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (patient_index, node_index): known names by id, frequent unknown ones by rank, the rest to OTHER."""
-    known = named.join(dictionary.where("dc_id > 0").select("faers_raw", "dc_id"), "faers_raw").select("patient_index", F.col("dc_id").alias("semantic_id"))
-    left = named.join(dictionary.where("dc_id > 0").select("faers_raw").distinct(), "faers_raw", "left_anti")
+    mapped = dictionary.where("dc_id > 0").select("faers_raw", F.col("dc_id").alias("semantic_id"))
     labels = unknown.select("faers_raw").join(nodes.where("node_kind = 'frequent_unknown'").select(F.col("node_label").alias("faers_raw"), "semantic_id"), "faers_raw")
-    rest = left.join(labels, "faers_raw", "left").select("patient_index", F.coalesce("semantic_id", F.lit(-1).cast("bigint")).alias("semantic_id"))
-    return known.unionByName(rest).distinct().join(nodes.select("semantic_id", "node_index"), "semantic_id").select("patient_index", "node_index")
+    pairs = mapped.unionByName(labels.join(mapped.select("faers_raw").distinct(), "faers_raw", "left_anti"))
+    # left: a known name whose id has no node is no OTHER
+    pairs = pairs.join(nodes.select("semantic_id", "node_index"), "semantic_id", "left").select("faers_raw", "node_index")
+    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).scalar()
+    return ids_of(named, "patient_index", pairs, "node_index", other).select("patient_index", F.explode("ids").alias("node_index"))
 
 
 def degree(edges: DataFrame) -> DataFrame:

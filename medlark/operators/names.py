@@ -201,9 +201,9 @@ def dictionary_ror(dictionary: DataFrame, report_drug: DataFrame, cohort: DataFr
 
 def unmapped_by_frequency(edges: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """The k most frequent unknown names of training edges (edge rows count), with their rank."""
-    unknown = edges.where("split = 'train'").join(dictionary.select("faers_raw").distinct(), "faers_raw", "left_anti").where(C.filled(F.col("faers_raw")))
+    seen = edges.where("split = 'train'").where(C.filled(F.col("faers_raw"))).groupBy("faers_raw").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("faers_raw")]
-    top = unknown.groupBy("faers_raw").agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(k)
+    top = seen.join(dictionary.select("faers_raw").distinct(), "faers_raw", "left_anti").orderBy(*order).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

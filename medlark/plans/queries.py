@@ -391,10 +391,9 @@ def _graph(spark, sf_dir):
     edges = P.dose_edges(spark, sf_dir).select(F.col("primaryid").alias("patient_index"), "split", "faers_raw")
     dictionary = P.dictionary(spark, sf_dir)
     mapped = dictionary.where("dc_id > 0")
-    unknown = NA.unmapped_by_frequency(edges, mapped, 20)
+    unknown = GR.checkpointed(NA.unmapped_by_frequency(edges, mapped, 20))
     nodes = GR.drug_nodes(mapped.select("dc_id").distinct(), unknown)
-    edges = edges.select("patient_index", "faers_raw").distinct()
-    return edges, unknown, nodes, GR.graph_edges(edges.select("patient_index", "faers_raw"), dictionary, unknown, nodes)
+    return edges.select("patient_index", "faers_raw"), unknown, nodes, dictionary
 
 
 @query(_sql(P.REPORTS, P.DOSES, P.DICTIONARY, _MAPPED, _UNKNOWN, select="SELECT * FROM unknown"))
@@ -409,7 +408,8 @@ def drug_nodes(spark, sf_dir):
 
 @query(_sql(*_GRAPH, select="SELECT * FROM links"))
 def graph_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[3]
+    edges, unknown, nodes, dictionary = _graph(spark, sf_dir)
+    return GR.graph_edges(edges, dictionary, unknown, nodes)
 
 
 _LINKS = "links AS (SELECT DISTINCT l_orderkey AS patient_index, CAST(substr(p_brand, 7, 2) AS BIGINT) + 100 * (p_size % 4) AS node_index FROM lineitem JOIN part ON p_partkey = l_partkey)"
