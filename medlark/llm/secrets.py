@@ -51,7 +51,7 @@ _UNICODE = re.compile(
 )
 _WIDE = re.compile("[！-～]")
 _ENTITIES = {"quot": '"', "apos": "'", "amp": "&", "lt": "<", "gt": ">"}
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PARTS = re.compile(r"[A-Za-z0-9]{16,}")
 #: What compressed bytes begin with.
 _MAGIC = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"(\xb5/\xfd")
@@ -149,7 +149,7 @@ def _unicodes(layer: Layer) -> Iterator[Layer]:
 
 
 def _decoded(run: str) -> bytes | None:
-    plain = run.replace("-", "+").replace("_", "/")
+    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(plain) % 4 == 1:
         return None
     return binascii.a2b_base64(plain + "=" * (-len(plain) % 4))
@@ -287,6 +287,9 @@ def digests(found: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.transform(column, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def of_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
     base = F.filter("found", lambda s: s["path"] == "")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), (F.size("found") - F.size(base)).cast("long").alias("n_decoded"))
