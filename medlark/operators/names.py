@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as C
+from .fuzzy import WEIGHTED, Measure, candidates
 
 
 def aliases(canonical: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -49,68 +48,18 @@ def exact_cascade(rows: DataFrame, known: DataFrame, rxnorm: DataFrame | None =
     return per.select("faers_raw", F.when(~conflict, F.coalesce(F.when(F.size("ai") == 1, F.col("ai")[0]), F.col("by_name"))).alias("ids"), conflict.cast("int").alias("conflict"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 (1 - insertions and deletions / both lengths), by a bit-parallel longest common subsequence."""
-    if not a and not b:
-        return 100.0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    full = v = (1 << len(a)) - 1
-    for ch in b:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
-
-
-def weighted_ratio(a: str, b: str) -> float:
-    """The best of the plain, the token-sorted (x 0.95) and the token-set ratio (x 0.95). Close to, not equal to, the scorer
-    of the library that isn't installed here."""
-    ta, tb = sorted(a.split()), sorted(b.split())
-    common = sorted(set(ta) & set(tb))
-    rest_a, rest_b = [t for t in ta if t not in common], [t for t in tb if t not in common]
-    base = " ".join(common)
-    joined = [" ".join([base, *r]).strip() for r in (rest_a, rest_b)]
-    token_set = max(indel_ratio(base, joined[0]), indel_ratio(base, joined[1]), indel_ratio(*joined)) if common else indel_ratio(*joined)
-    return max(indel_ratio(a, b), 0.95 * indel_ratio(" ".join(ta), " ".join(tb)), 0.95 * token_set)
-
-
-@F.pandas_udf(T.DoubleType())
-def _score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
-#: Where the cutoff is above this, only the plain ratio can reach it: the others are scaled by 0.95.
-TOKEN_RATIOS = 95.0
-
-
-def fuzzy(names: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3, scorer=None) -> DataFrame:
-    """(name, alias, score) of names whose best alias reaches the cutoff and leads the next one by the margin. Only aliases
-    with the same first letter are scored; above TOKEN_RATIOS also only those of a length that can reach the cutoff less
-    the margin, which name and alias meet by. `scorer` is a column function of both, `_score` by default."""
-    least = cutoff - margin
-    a = names.select("name").distinct().withColumn("_k", F.substring("name", 1, 1)).where("_k <> ''")
-    b = known.select("alias").distinct().withColumn("_k", F.substring("alias", 1, 1))
-    keys = ["_k"]
-    if scorer is None and least > TOKEN_RATIOS or scorer is not None:
-        # |a - b| <= (1 - least) (a + b): lengths from a / r to a r
-        r = (2 - least / 100) / (least / 100)
-        n = F.length("name")
-        a = a.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(n / r)).cast("int"), F.ceil(n * r).cast("int"))))
-        b = b.withColumn("_n", F.length("alias"))
-        keys = ["_k", "_n"]
-    scored = a.join(b, keys).select("name", "alias", (scorer or _score)("name", "alias").alias("score"))
+def fuzzy(names: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3, measure: Measure = WEIGHTED, rivals: float | None = None) -> DataFrame:
+    """(name, alias, score) of names whose best alias reaches the cutoff and leads the next one by the margin. Aliases of
+    another first letter don't count, nor do those that score below `rivals` (the cutoff, if not given): they are no rivals.
+    Pairs come from the index of `fuzzy.candidates`, so none that counts is lost."""
+    least = cutoff if rivals is None else rivals
+    scored = candidates(names, known, least / 100, measure).withColumn("score", measure.score(F.col("name"), F.col("alias"))).where(F.col("score") >= least)
     # the two best of a name: the engine keeps no more of each in a task
     two = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("alias"))
     best = scored.withColumn("_r", F.row_number().over(two)).where("_r <= 2").groupBy("name").agg(F.max(F.when(F.col("_r") == 1, F.struct("alias", "score"))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
     return best.where((F.col("best.score") >= cutoff) & (F.col("best.score") - F.coalesce("second", F.lit(0.0)) >= margin)).select("name", "best.alias", "best.score")
 
 
-def edit_score(a, b) -> Column:
-    """100 (1 - edit distance / the longer length), all JVM-side."""
-    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
-
-
 def searchable(known: DataFrame, rxnorm: DataFrame | None = None) -> DataFrame:
     """(alias, dc_id) of the aliases of all sources that mean one ingredient."""
     every = known if rxnorm is None else known.unionByName(rxnorm)

@@ -11,6 +11,7 @@ from . import evaluate as EV
 from . import features as FE
 from . import models as MO
 from . import names as NA
+from .fuzzy import candidates, weighted_score
 
 #: Scores from which a name is matched, and from which it is ambiguous.
 MATCHED, AMBIGUOUS = 90.0, 75.0
@@ -22,11 +23,11 @@ def parse_medications(texts: DataFrame, column: str) -> DataFrame:
 
 
 def match_medications(typed: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
-    """(typed, status, candidates): the k best aliases of the same first letter with their scores; exact ones score 100."""
+    """(typed, status, candidates): the k best aliases of the same first letter that score AMBIGUOUS or more; exact ones score
+    100. What scores less is never used, so it isn't looked for."""
     one = typed.select("typed").distinct().withColumn("name", C.drug_name(F.col("typed")))
-    aliases = known.select("alias", "dc_id")
-    pairs = one.withColumn("_k", F.substring("name", 1, 1)).join(aliases.withColumn("_k", F.substring("alias", 1, 1)), "_k", "left")
-    scored = pairs.withColumn("score", F.when(F.col("alias").isNotNull(), NA._score(F.col("name"), F.coalesce("alias", F.lit("")))))
+    near = candidates(one, known, AMBIGUOUS / 100).withColumn("score", weighted_score("name", "alias")).where(F.col("score") >= AMBIGUOUS)
+    scored = one.join(near, "name", "left").join(known.select("alias", "dc_id"), "alias", "left")
     # the engine keeps no more than the k best of each name in a task
     order = Window.partitionBy("typed").orderBy(F.desc_nulls_last("score"), F.desc("alias"), F.desc("dc_id"))
     first = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)

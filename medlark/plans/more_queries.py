@@ -172,6 +172,28 @@ def medication_list(spark, sf_dir):
     return SE.parse_medications(P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("list")), "list").select("id", "typed")
 
 
+#: A longest common subsequence of name and alias, row by row, and the ratio of insertions and deletions from it.
+_LCS = """list_extract(list_reduce(list_prepend(list_transform(range(0, length(alias) + 1), lambda j: 0), list_transform(string_split(name, ''), lambda c: [CAST(ascii(c) AS INTEGER)])),
+    lambda row, c: list_reduce(list_prepend([0], list_transform(range(1, length(alias) + 1), lambda j: [CAST(j AS INTEGER)])), lambda new, j: list_append(new, CASE WHEN ascii(substr(alias, j[1], 1)) = c[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], new[j[1]]) END))), length(alias) + 1)"""
+_LABEL = "upper(p_name || ' ' || p_type || ' ' || p_brand || ' LOT ' || p_partkey)"
+
+
+@query(f"""WITH alias AS (SELECT DISTINCT {_LABEL} AS alias FROM part), asked AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN left(t, k) || substr(t, k + 2) WHEN 1 THEN left(t, k) || 'X' || substr(t, k + 2) ELSE left(t, k) || substr(t, k + 1, 1) || substr(t, k + 1) END AS name
+        FROM (SELECT p_partkey, {_LABEL} AS t, 3 + p_partkey % 37 AS k FROM part)),
+    scored AS (SELECT name, alias, 200.0 * {_LCS} / (length(name) + length(alias)) AS score FROM asked JOIN alias ON substr(name, 1, 1) = substr(alias, 1, 1)
+        WHERE abs(length(name) - length(alias)) <= 0.03 * (length(name) + length(alias)) AND 100.0 * (1 - 2.0 * levenshtein(name, alias) / (length(name) + length(alias))) >= 93),
+    ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM scored WHERE score >= 97 WINDOW w AS (PARTITION BY name ORDER BY score DESC, alias DESC))
+    SELECT name, alias, round(score, 9) AS score FROM ranked WHERE r = 1 AND score - coalesce(second, 0) >= 3""")
+def fuzzy_names(spark, sf_dir):
+    """Misspelt labels and their nearest ones: the default scorer, cutoff and margin."""
+    k, n = F.col("p_partkey"), (3 + F.col("p_partkey") % 37).cast("int")
+    t = F.upper(F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand", F.lit(" LOT "), k.cast("string")))
+    labels = P.table(spark, sf_dir, "part").select(k, n.alias("n"), t.alias("t"))
+    head, after = F.substr("t", F.lit(1), F.col("n")), lambda i: F.substr("t", F.col("n") + i)
+    wrong = F.when(k % 3 == 0, F.concat(head, after(2))).when(k % 3 == 1, F.concat(head, F.lit("X"), after(2))).otherwise(F.concat(head, F.substr("t", F.col("n") + 1, F.lit(1)), after(1)))
+    return _rounded(NA.fuzzy(labels.select(wrong.alias("name")), labels.select(F.col("t").alias("alias"))), 9, "score")
+
+
 _NEAR = "100.0 * (1 - list_min(list_transform(range(1, greatest(1, length(alias) - 5 + 1) + 1), lambda i: levenshtein(substr(alias, i, 5), 'WIDGE'))) / 5.0::DOUBLE)"
 
 

@@ -17,6 +17,7 @@ from ..operators import features as FE
 from ..operators import graph as GR
 from ..operators import names as NA
 from ..operators import risk as RI
+from ..operators.fuzzy import EDITS
 from . import proxy as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,7 +373,7 @@ def fuzzy_block_match(spark, sf_dir):
     """With the edit-distance scorer, which is JVM-side; blocks and margins are those of any scorer."""
     p = P.table(spark, sf_dir, "part").select("p_name").distinct()
     misspelt = p.select(F.concat(F.upper("p_name"), F.lit("S")).alias("name"))
-    return _rounded(NA.fuzzy(misspelt, p.select(F.upper("p_name").alias("alias")), 90, 3, NA.edit_score), 9, "score")
+    return _rounded(NA.fuzzy(misspelt, p.select(F.upper("p_name").alias("alias")), 90, 3, EDITS, 87), 9, "score")
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------

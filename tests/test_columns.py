@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from medlark.functions import columns as C
 from medlark.operators import dose as DO
+from medlark.operators import fuzzy as FZ
 from medlark.operators import names as NA
 
 
@@ -70,4 +71,4 @@ def test_fuzzy(spark):
     known = spark.createDataFrame([("METFORMIN",), ("ASPIRIN",)], "alias string")
     got = NA.fuzzy(spark.createDataFrame([("METFORMINE",), ("ZZZ",)], "name string"), known, 90, 3).collect()
     assert [(r["name"], r["alias"]) for r in got] == [("METFORMINE", "METFORMIN")]
-    assert NA.weighted_ratio("A B", "B A") == 95.0 and NA.indel_ratio("abc", "abc") == 100.0
+    assert FZ.weighted_ratio("A B", "B A") == 95.0 and FZ.indel_ratio("abc", "abc") == 100.0
