@@ -36,6 +36,8 @@ MOST_WORDS = 4
 CELLS, BLOCK = 1 << 26, 1 << 18
 #: Bytes of text of a shard, and patterns of an automaton.
 SHARD_BYTES, PATTERNS = 16 << 20, 250_000
+#: Shards hand on their counts in so many parts by phrase, as columns; rows of a part that are summed at once.
+BUCKETS, MERGE = 1024, 1_000_000
 
 #: Lower case and delimiters, byte by byte: bytes beyond ASCII stay. A piece ends with a line feed, words with blanks.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -186,17 +188,49 @@ def counted(spark: SparkSession, docs: DataFrame, least: int) -> DataFrame:
             single, runs = shard.candidates(shared.value)
             per_word = np.bincount(shard.ids, minlength=len(shard.words))
             known = np.flatnonzero(single)
-            phrases = [None, *[shard.words[i] for i in known.tolist()], *[b" ".join([shard.words[i] for i in r]) for r in runs]]
-            f = np.concatenate([[len(shard.ids) - per_word[0]], per_word[known], _matches(shard, runs)])
-            sizes = np.concatenate([[0], np.ones(len(known), np.int64), [len(r) for r in runs]]).astype(np.int32)
-            for lo in range(0, len(f), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                n = len(f[part])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(phrases[part], pa.binary()), pa.array(sizes[part]), pa.array(f[part])], names=["lang", "phrase", "words", "f"])
-
-    rows = _source(docs).mapInArrow(run, "lang string, phrase binary, words int, f long")
-    rows = rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f")
-    return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
+            phrases = [*[shard.words[i] for i in known.tolist()], *[b" ".join([shard.words[i] for i in r]) for r in runs]]
+            f = np.concatenate([per_word[known], _matches(shard, runs)])
+            sizes = np.concatenate([np.ones(len(known), np.int64), [len(r) for r in runs]]).astype(np.int32)
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(p) % BUCKETS for p in phrases), dtype=np.int32, count=len(phrases))
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            edges = pa.array(np.append(first, len(order)).astype(np.int32))
+            at = pa.array(order)
+            lists = [pa.ListArray.from_arrays(edges, c.take(at)) for c in (pa.array(phrases, pa.binary()), pa.array(sizes), pa.array(f))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), *lists], names=["lang", "bucket", "phrase", "words", "f"])
+            total = [[lang], [BUCKETS], [[None]], [[0]], [[len(shard.ids) - int(per_word[0])]]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(total, kinds, strict=True)], names=["lang", "bucket", "phrase", "words", "f"])
+
+    def add(batches):
+        at, held, size = None, [], 0
+
+        def together():
+            return pa.concat_tables(held).group_by(["phrase", "words"]).aggregate([("f", "sum")]).rename_columns(["phrase", "words", "f"])
+
+        def done():
+            t = together()
+            t = t.filter(pc.or_(pc.equal(t["words"], 0), pc.greater_equal(t["f"], least))).combine_chunks()
+            for part in t.to_batches(1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(part), pa.string()), *[part.column(c) for c in ("phrase", "words", "f")]], names=["lang", "phrase", "words", "f"])
+
+        for b in batches:
+            for k, key in enumerate(zip(b.column("lang").to_pylist(), b.column("bucket").to_pylist(), strict=True)):
+                if at is not None and key != at:
+                    yield from done()
+                    held, size = [], 0
+                at = key
+                held.append(pa.table({c: b.column(c)[k].values for c in ("phrase", "words", "f")}))
+                size += len(held[-1])
+                if size > MERGE:  # as many as there are distinct phrases stay
+                    held = [together()]
+                    size = 0
+        if at is not None:
+            yield from done()
+
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    parts = _source(docs).mapInArrow(run, "lang string, bucket int, phrase array<binary>, words array<int>, f array<long>")
+    rows = parts.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(add, "lang string, phrase binary, words int, f long")
+    return rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f")
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = 30, top: int = 2000, contained: int = 80) -> DataFrame:
