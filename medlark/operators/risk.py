@@ -43,14 +43,19 @@ def _prior(daily: DataFrame, keys: list[str], date: str, values: list[str]) -> D
     return daily.select(*keys, date, *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"prior_{v}") for v in values])
 
 
-def prior_cells(exposures: DataFrame, reports: DataFrame, keys: list[str], having: Column | None = None) -> DataFrame:
+def prior_cells(exposures: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
     """a, b, c, d before each (key, day) on which dated reports are exposed. Totals by day are at most some ten thousand
     rows: a row a day."""
     dated = reports.where(F.col("report_date").isNotNull())
     serious = F.col("is_serious") == 1
     days = dated.groupBy("report_date").agg(F.count_if(serious).alias("s"), F.count_if(~serious).alias("n"))
-    totals = _prior(days, [], "report_date", ["s", "n"])
     own = exposures.join(dated.select("report", "report_date", "is_serious"), "report").groupBy(*keys, "report_date").agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
+    return prior_of(own, days, keys)
+
+
+def prior_of(own: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
+    """`prior_cells` of daily facts: (keys, report_date, a, b) and the totals (report_date, s, n)."""
+    totals = _prior(days, [], "report_date", ["s", "n"])
     before = _prior(own, keys, "report_date", ["a", "b"])
     return before.join(totals, "report_date").select(*keys, "report_date", F.col("prior_a").alias("a"), F.col("prior_b").alias("b"), (F.col("prior_s") - F.col("prior_a")).alias("c"), (F.col("prior_n") - F.col("prior_b")).alias("d"))
 

@@ -19,7 +19,7 @@ from ..operators import risk as RI
 from ..operators import serving as SE
 from ..sources import delimited
 from . import proxy as P
-from .queries import _CELLS, _DOSE, _GRAPH, _LINKS, _LOOKUP, _TRAIN, _eligible, _graph, _links, _refs, _rounded, _sql, query
+from .queries import _CELLS, _DOSE, _GRAPH, _LINKS, _LOOKUP, _TRAIN, _eligible, _graph, _links, _refs, _rounded, _sql, _stream_folder, query
 
 # --- demographics ------------------------------------------------------------------------------------------------------
 
@@ -335,3 +335,47 @@ def auc_bootstrap(spark, sf_dir):
     d = P.scores(spark, sf_dir)
     rows = d.select("label", F.col("score").alias("score_a"), F.round(F.col("score") + F.col("label") * 0.05, 3).alias("score_b"))
     return spark.createDataFrame(EV.bootstrap_difference(rows, 100))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH late AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 2 = 1), w AS (SELECT date_trunc('hour', ts) AS start, event_id, event_type FROM events)
+    SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM w, late WHERE event_id % 2 = 1 OR start + INTERVAL 1 HOUR > mark GROUP BY ALL""")
+def stream_late_events(spark, sf_dir):
+    """Two micro-batches in update mode: what the second one has of windows that the first one closed is too late."""
+    from ..streaming import upsert
+
+    folder = _stream_folder(spark)
+    e = P.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for odd in (1, 0):
+        e.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{folder}/in")
+        counts = upsert.windowed_counts(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), "ts", by=["event_type"])
+        out = upsert.drained(counts, folder, "update", ["start", "end", "event_type"])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(_sql("gone AS (SELECT c_custkey AS caseid FROM customer WHERE c_acctbal < 0)",
+    "reports AS (SELECT o_orderkey AS report, CAST(o_orderdate AS DATE) AS report_date, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS is_serious FROM orders WHERE o_custkey NOT IN (SELECT caseid FROM gone) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 5 DESC, o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1)",
+    "train AS (SELECT * FROM reports WHERE year(report_date) < 2000)", P.EXPOSURES,
+    "own AS (SELECT dc_id, report_date, count(*) FILTER (is_serious = 1) AS a, count(*) FILTER (is_serious = 0) AS b FROM exposures JOIN train USING (report) GROUP BY dc_id, report_date)",
+    "days AS (SELECT report_date, count(*) FILTER (is_serious = 1) AS s, count(*) FILTER (is_serious = 0) AS n FROM train GROUP BY report_date)",
+    "own2 AS (SELECT dc_id, report_date, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(b) OVER w, 0) AS b FROM own WINDOW w AS (PARTITION BY dc_id ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    "days2 AS (SELECT report_date, coalesce(sum(s) OVER w, 0) AS s, coalesce(sum(n) OVER w, 0) AS n FROM days WINDOW w AS (ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    "cells AS (SELECT dc_id, report_date, a, b, s - a AS c, n - b AS d FROM own2 JOIN days2 USING (report_date))",
+    select="SELECT dc_id, report_date, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d, round(CASE WHEN a + b = 0 OR a + c = 0 OR b + d = 0 THEN 1.0 ELSE ((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5)) END, 9) AS ror FROM cells"))
+def incremental_temporal_ror(spark, sf_dir):
+    """Orders are versions of their customer's case, customers in debt tombstones; three micro-batches of a stream, the
+    tombstones in the second. The daily facts follow by differences."""
+    from ..streaming.incremental import CaseState
+
+    folder = _stream_folder(spark)
+    drugs = P.exposures(spark, sf_dir).groupBy("report").agg(F.collect_set("dc_id").alias("dc_ids"))
+    r = P.reports(spark, sf_dir).join(drugs, "report", "left")
+    versions = r.select("caseid", "report", (F.col("report") % 5).alias("caseversion"), "report_date", "is_serious", F.when(F.year("report_date") < 2000, "train").alias("split"), "dc_ids", F.lit(False).alias("deleted"))
+    gone = P.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("caseid"), F.lit(True).alias("deleted"))
+    state = CaseState(spark, f"{folder}/cases", 8)
+    for part in (versions.where("report % 3 = 0"), versions.where("report % 3 = 1").unionByName(gone, allowMissingColumns=True), versions.where("report % 3 = 2")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        state.follow(spark.readStream.schema(versions.schema).parquet(f"{folder}/in"), f"{folder}/checkpoint")
+    return _rounded(state.history(), 9, "ror")

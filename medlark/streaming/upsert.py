@@ -12,7 +12,8 @@ def latest_by_key(stream: DataFrame, key: str, order: list[str], values: list[st
 
 
 def windowed_counts(stream: DataFrame, ts: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: list[str] = ()) -> DataFrame:
-    """Counts by event-time window; rows later than the watermark are left out."""
+    """Counts by event-time window. In update or append mode, windows that the watermark has passed take no further rows; in
+    complete mode nothing is ever late."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
@@ -28,12 +29,17 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str):
     return df.sparkSession.table(name)
 
 
-def drained(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming query over what is there, each micro-batch's result to Parquet, and reads the last one."""
+def drained(df: DataFrame, folder: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Runs a streaming query over what is there and reads its result. Complete mode: the last micro-batch's table. Update
+    mode, in which a watermark drops late rows and closes windows: the last row of each of the `keys`."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result" if mode == "complete" else f"{folder}/result/batch={n}")
 
     q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.parquet(f"{folder}/result")
+    out = df.sparkSession.read.parquet(f"{folder}/result")
+    if mode == "complete":
+        return out
+    rest = [c for c in out.columns if c not in (*keys, "batch")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
