@@ -28,14 +28,14 @@ def parser() -> argparse.ArgumentParser:
     add("build-cohort", preset)
     add("build-drug-dictionary", ("--dump", {}), ("--fuzzy-trigger-rate", {"type": float, "default": 0.5}), ("--fuzzy-score-cutoff", {"type": float, "default": 97}), ("--fuzzy-margin", {"type": float, "default": 3}))
     graph = ("--rebuild-graph", {"action": argparse.BooleanOptionalAction, "default": True})
-    model = [("--kind", {"default": "boosted", "choices": ["boosted", "forest", "logistic", "svm", "adaboost", "network"]})]
+    model = [("--kind", {"default": "boosted", "choices": ["boosted", "forest", "logistic", "svm", "adaboost", "network", "graph"]})]
     add("build-rxnorm-lookup", ("--dump", {"required": True}), ("--responses", {}))
     add("add-tabular-features", graph)
     add("feature-rescue", *rescue, graph)
-    add("build-graph", ("--top-unknown", {"type": int, "default": 500}), ("--cohort", {"default": "cohort"}))
+    add("build-graph", ("--top-unknown", {"type": int, "default": 500}), ("--cohort", {"default": "cohort"}), ("--baseline-rounds", {"type": int, "default": 300}), ("--leaves", {"type": int, "default": 31}), ("--arrays", {"action": "store_true"}))
     add("build-graph-features", ("--n-iterations", {"type": int, "default": 3}), ("--alpha", {"type": float, "default": 0.7}))
     add("build-prospective", preset, ("--dump", {}), *rescue)
-    add("train-model", *model, ("--feature-track", {"default": "prospective", "choices": list(TRACKS)}), ("--evaluate-test", {"action": "store_true"}))
+    add("train-model", *model, ("--feature-track", {"default": "prospective", "choices": list(TRACKS)}), ("--evaluate-test", {"action": "store_true"}), ("--resume", {"action": "store_true"}))
     add("evaluate-dosage-ablation", *model, ("--seed", {"type": int, "default": 42}), ("--bootstrap-samples", {"type": int, "default": 500}))
     add("visualize-graph", ("--split", {"default": "validation"}), ("--patients", {"type": int, "default": 100}), ("--top-drugs", {"type": int, "default": 50}))
     add("export-training-table", ("--feature-track", {"default": "prospective", "choices": list(TRACKS)}))

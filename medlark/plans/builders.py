@@ -249,9 +249,11 @@ def numeric_features(cohort: DataFrame) -> list[str]:
     return [c for c, t in cohort.dtypes if c not in NOT_FEATURES and (t in ("int", "bigint", "smallint", "tinyint", "float", "double") or t.startswith("decimal"))]
 
 
-def build_graph(*, spark: SparkSession, data_dir: str, top_unknown: int = 500, cohort: str = "cohort") -> dict[str, Build]:
+def build_graph(*, spark: SparkSession, data_dir: str, top_unknown: int = 500, cohort: str = "cohort", baseline_rounds: int = 0, leaves: int = 31, arrays: bool = False) -> dict[str, Build]:
     """patients (with their vectors), drug_nodes (with theirs), graph_edges in the order of split, patient and drug, and the
-    descriptor: edges and first edge of each split."""
+    descriptor: edges and first edge of each split. With `baseline_rounds`, boosted trees on the patients' vectors: validation
+    scores, and importances with the AUC of each round. With `arrays`, both nodes' vectors as memory-mapped matrices beside
+    them, which needs a data_dir that all machines mount."""
     tables = {**_under(data_dir, "processed", cohort, "report_drug", "drug_dictionary")}
     names = tables | ({"structures": p} if manifest.exists(spark, p := os.path.join(data_dir, "reference", "structures.parquet")) else {})
     read = lambda n: spark.read.parquet(names[n])
@@ -293,10 +295,37 @@ def build_graph(*, spark: SparkSession, data_dir: str, top_unknown: int = 500, c
     # the nodes are inputs of the edges as well
     out["graph_edges"] = _publish(spark, edges, os.path.join(folder, "graph_edges.parquet"), parameters | {"part": "graph_edges"}, tables={**tables, **here})
     made = spark.read.parquet(out["graph_edges"].output)
+    if baseline_rounds:
+        out |= _baseline(spark, data_dir, who, out["patients"].counts["features"], baseline_rounds, leaves)
+    if arrays:
+        from ..sources import arrays as AR
+
+        for df, index, n, names_ in ((who, "patient_index", "patients", out["patients"].counts["features"]), (drugs, "node_index", "drug_nodes", FE.DRUG_FEATURES)):
+            AR.save_matrix(df.select(index, *[F.col("features")[k].alias(f"c{k}") for k in range(len(names_))]), index, [f"c{k}" for k in range(len(names_))], os.path.join(folder, f"{n}.npy"))
     out["descriptor"] = _publish(spark, lambda: GR.split_offsets(made), os.path.join(folder, "descriptor.parquet"), parameters | {"part": "descriptor"}, tables={"graph_edges": out["graph_edges"].output})
     return out
 
 
+def _baseline(spark: SparkSession, data_dir: str, patients: DataFrame, names: list[str], rounds: int, leaves: int) -> dict[str, Build]:
+    from ..operators import models as MO
+
+    parameters = {"rounds": rounds, "leaves": leaves}
+    rows = patients.select("patient_index", "split", F.col("is_serious").alias("label"), *[F.col("features")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    rows, found = GR.checkpointed(rows), {}
+
+    def scores():
+        found["model"] = model = MO.fit(rows, names, "boosted", rounds=rounds, leaves=leaves)
+        MO.save(spark, model, os.path.join(data_dir, "models", "graph-baseline"))
+        return model.scored(rows.where("split = 'validation'")).select("patient_index", "label", "score"), {"auc": max(model.history), "round": len(model.trees)}
+
+    def importances():
+        model = found.get("model") or MO.load(spark, os.path.join(data_dir, "models", "graph-baseline"))
+        return spark.createDataFrame(model.importances(), "feature string, gain double")
+
+    inputs = _under(data_dir, "graph", "patients")
+    return {n: _publish(spark, make, os.path.join(data_dir, "graph", f"{n}.parquet"), parameters | {"part": n}, tables=inputs) for n, make in (("baseline", scores), ("baseline_importances", importances))}
+
+
 def build_graph_features(*, spark: SparkSession, data_dir: str, n_iterations: int = 3, alpha: float = 0.7) -> Build:
     tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
 
@@ -320,10 +349,12 @@ def _training_rows(spark, data_dir: str) -> tuple[DataFrame, list[str], list[str
     return rows.select("patient_index", "primaryid", "split", F.col("is_serious").alias("label"), *columns), own, near
 
 
-def train_model(*, spark: SparkSession, data_dir: str, kind: str = "boosted", feature_track: str = "prospective", evaluate_test: bool = False, **options) -> Build:
+def train_model(*, spark: SparkSession, data_dir: str, kind: str = "boosted", feature_track: str = "prospective", evaluate_test: bool = False, resume: bool = False, **options) -> Build:
     """A model on patients' own features and the means of their drugs', learnt from training patients; saved under models/,
-    with the scores of validation patients (and test patients where asked) and its metrics beside it."""
+    with the scores of validation patients (and test patients where asked) and its metrics beside it. Kind "graph" is the
+    network of two encoders, whose options are those of inductive.Settings; with `resume` it goes on from its last state."""
     from ..operators import evaluate as EV
+    from ..operators import inductive as IN
     from ..operators import models as MO
 
     tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
@@ -334,9 +365,16 @@ def train_model(*, spark: SparkSession, data_dir: str, kind: str = "boosted", fe
         rows, own, near = _training_rows(spark, data_dir)
         chosen = [*FE.track(own, feature_track), *near]
         rows = GR.checkpointed(rows)
-        model = MO.fit(rows, chosen, kind, **options)
-        MO.save(model, place)
-        held = MO.scored(model, rows.where(F.col("split").isin("validation", *(["test"] if evaluate_test else []))))
+        wanted = F.col("split").isin("validation", *(["test"] if evaluate_test else []))
+        if kind == "graph":
+            sides = rows.withColumns({"own": F.array(*FE.track(own, feature_track)), "near": F.array(*near)})
+            network = IN.fit(sides, f"{place}-work", IN.Settings(**options), resume)
+            IN.save(spark, network, place)
+            held = network.scored(sides.where(wanted))
+        else:
+            model = MO.fit(rows, chosen, kind, **options)
+            MO.save(spark, model, place)
+            held = MO.scored(model, rows.where(wanted))
         held = GR.checkpointed(held.select("patient_index", "primaryid", "split", "label", "score"))
         auc = {s: EV.auc(held.where(F.col("split") == s)).first()["auc"] for s in ("validation", *(["test"] if evaluate_test else []))}
         return held, {"features": chosen, "auc": auc}

@@ -583,6 +583,21 @@ def rf_baseline(spark, sf_dir):
     return models.scored(models.fit(rows, ["o_totalprice", "max_ror", "mean_log_ror", "high_ror_count"], "forest", trees=100, depth=10), rows).select("report", "split", "label", "score")
 
 
+@query()
+def inductive_network(spark, sf_dir):
+    """Scores of all reports by the network of two encoders, three epochs: own totals and the means of their parts' risks and
+    prices. Gradients and training are held against differences and planted signals in tests, so no SQL."""
+    from ..operators import inductive
+
+    rows = _model_rows(spark, sf_dir)
+    parts = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dc_id"), F.array(F.col("p_size").cast("double"), "p_retailprice", (F.length("p_name") % 7).cast("double")).alias("features"))
+    near = P.exposures(spark, sf_dir).join(parts, "dc_id").groupBy("report").agg(F.array(*[F.avg(F.col("features")[k]) for k in range(3)]).alias("near"))
+    graph = rows.join(near, "report").select(F.col("report").alias("patient_index"), "split", "label", F.array("o_totalprice", "max_ror", "mean_log_ror", F.col("high_ror_count").cast("double")).alias("own"), "near")
+    graph = GR.checkpointed(graph)
+    net = inductive.fit(graph, f"{_stream_folder(spark)}-network", inductive.Settings(epochs=3, hidden=16))
+    return net.scored(graph).select(F.col("patient_index").alias("report"), "split", "label", "score")
+
+
 _TRAINED = """mine AS (SELECT links.* FROM links JOIN reports ON report = patient_index WHERE split = 'train'),
     weights AS (SELECT x.node_index AS n1, y.node_index AS n2, count(*) AS weight FROM mine x JOIN mine y ON x.patient_index = y.patient_index AND x.node_index <> y.node_index GROUP BY ALL),
     seen AS (SELECT node_index, avg(is_serious) AS risk, count(*) AS degree FROM mine JOIN reports ON report = patient_index GROUP BY node_index),

@@ -7,6 +7,7 @@ import hashlib
 import os
 import zipfile
 
+import numpy as np
 import pytest
 
 from medlark import cli
@@ -142,6 +143,8 @@ def test_builders_end_to_end(spark, tmp_path):
     QA.require_integer_ids(graph["graph_edges"], ["patient_index", "node_index"])
     model = B.train_model(spark=spark, data_dir=folder, kind="logistic", rounds=5)
     assert model.rows == 40 and 0 <= model.counts["auc"]["validation"] <= 1 and B.train_model(spark=spark, data_dir=folder, kind="logistic", rounds=5).cached
+    network = B.train_model(spark=spark, data_dir=folder, kind="graph", epochs=1, batch=128, hidden=4)
+    assert network.rows == 40 and 0 <= network.counts["auc"]["validation"] <= 1
     ablation = B.evaluate_dosage_ablation(spark=spark, data_dir=folder, kind="logistic", bootstrap_samples=10, rounds=5)
     assert ablation.rows == 1 and ablation.counts["dose_features"] and spark.read.parquet(ablation.output).first()["auc_with"] is not None
     viewer = B.visualize_graph(spark=spark, data_dir=folder, patients=10, top_drugs=2)
@@ -174,6 +177,9 @@ def test_builders_end_to_end(spark, tmp_path):
     assert all(b.cached for b in B.build_reference(spark=spark, data_dir=folder, dump=dump))
     with pytest.raises(FileNotFoundError):
         B.build_prospective_pipeline(spark=spark, data_dir=os.path.join(folder, "nowhere"))
+    more = B.build_graph(spark=spark, data_dir=folder, baseline_rounds=1, leaves=3, arrays=True)
+    assert more["baseline"].rows == 40 and {"auc", "round"} <= set(more["baseline"].counts) and spark.read.parquet(more["baseline_importances"].output).count() > 3
+    assert np.load(os.path.join(folder, "graph", "patients.npy"), mmap_mode="r").shape[0] == 160
 
 
 def test_cli_parses():
