@@ -41,7 +41,7 @@ def report_date(fda: Column, received: Column, event: Column, quarter: Column) -
 def age_years(age: Column, unit: Column) -> Column:
     a, u = number(age), F.upper(F.trim(unit))
     by = {"YR": a, "MON": a / 12.0, "WK": a / 52.142857, "DY": a / 365.25, "HR": a / 8766.0, "DEC": a * 10.0}
-    return reduce(lambda out, k: out.when(u == k, by[k]), list(by)[1:], F.when(u == "YR", by["YR"]))
+    return reduce(lambda out, k: out.when(u.isin(*V.AGE_UNITS[k]), by[k]), list(by)[1:], F.when(u.isin(*V.AGE_UNITS["YR"]), by["YR"]))
 
 
 def sex(c: Column) -> Column:
@@ -118,7 +118,7 @@ def atc_level(code: Column, length: int) -> Column:
 @cache
 def _ascii_forms() -> str:
     """The compatibility characters that NFKC makes ASCII, as a JSON map: a table by rule, not by hand."""
-    pairs = ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(0x80, 0x10000) if not 0xD800 <= k < 0xE000)
+    pairs = ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000)
     return json.dumps({a: b for a, b in pairs if a != b and b.isascii()})
 
 
@@ -140,7 +140,8 @@ def compatible(c: Column) -> Column:
 
 def drug_name(c: Column) -> Column:
     """A name without dose, form, release and salt. Compatibility forms are unified where there is anything but ASCII."""
-    name = F.upper(F.trim(compatible(F.regexp_replace(F.coalesce(c, F.lit("")), V.NAME_MARKS, ""))))
+    # marks go after the forms, so a trade mark sign has become letters by then
+    name = F.regexp_replace(F.upper(F.trim(compatible(F.coalesce(c, F.lit(""))))), V.NAME_MARKS, "")
     name = F.regexp_replace(name, V.NAME_BRACKETS, " ")
     name = F.regexp_replace(name, V.NAME_FORM_TAIL, "")
     name = F.regexp_replace(name, rf"^\s*{V.NAME_DOSE}\s+", "")

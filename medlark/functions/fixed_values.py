@@ -80,3 +80,13 @@ NAME_FORM_TAIL = r"\s*[\[(](?:CAPSULES?|TABLETS?|INJECTIONS?|SOLUTIONS?|SUSPENSI
 NAME_RELEASE = r"\s+(?:ER|XR|CR|SR|DR|IR|XL|LA|SA|EXTENDED RELEASE|SUSTAINED RELEASE|CONTROLLED RELEASE|DELAYED RELEASE)\s*$"
 NAME_SALTS = r"\b(?:HYDROCHLORIDE|HCL|SODIUM|POTASSIUM|SULFATE|SULPHATE|MALEATE|FUMARATE)\b"
 NAME_FORMS = r"\b(?:CAPSULES?|TABLETS?|INJECTIONS?|INJECTABLE|SOLUTIONS?|SUSPENSIONS?|ORAL|TOPICAL|OPHTHALMIC|OTIC|NASAL|RECTAL|VAGINAL|SUBLINGUAL)\b"
+
+#: Names of units of age.
+AGE_UNITS = {
+    "YR": ("YR", "YEAR", "YEARS"),
+    "MON": ("MON", "MO", "MONTH", "MONTHS"),
+    "WK": ("WK", "WEEK", "WEEKS"),
+    "DY": ("DY", "DAY", "DAYS"),
+    "HR": ("HR", "HOUR", "HOURS"),
+    "DEC": ("DEC", "DECADE", "DECADES"),
+}

@@ -259,6 +259,33 @@ def clustered(points: DataFrame, cells: int = 4, clusters: int = 4) -> DataFrame
     return quarter.withColumn("cluster", ((F.col("cx") * cells + F.col("cy")) * 4 + F.col("_quarter")).cast("int")).drop("_mx", "_my", "_right", "_quarter")
 
 
+def tiled(points: DataFrame, depth: int) -> DataFrame:
+    """points (x, y) with `tile`: their cell of an even grid of 2^depth by 2^depth, numbered so that the cells of a coarser grid
+    are stretches of these numbers (bits of x and y in turn). Points of one place, or of none, share a tile."""
+    cells = 1 << depth
+    box = points.agg(*[f(c).alias(f"_{t}{c}") for c in "xy" for t, f in (("lo", F.min), ("hi", F.max))])
+    place = lambda c: F.least(F.greatest(F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(f"_lo{c}")) * cells, F.col(f"_hi{c}") - F.col(f"_lo{c}")), F.lit(0.0))), F.lit(0)), F.lit(cells - 1)).cast("long")
+    bits = F.lit(0).cast("long")
+    for k in range(depth):
+        for shift, c in enumerate("xy"):
+            bits = bits + F.shiftleft(F.shiftright(place(c), k).bitwiseAND(F.lit(1).cast("long")), 2 * k + shift)
+    return points.crossJoin(F.broadcast(box)).withColumn("tile", bits).drop(*[f"_{t}{c}" for c in "xy" for t in ("lo", "hi")])
+
+
+def tile_index(points: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """A row a tile of every level that has points: level (0 is the whole), tile, records of points and of edges from their
+    first on, and the box of the points. points: place, tile, x, y, in the order of place; edges: at, tile, in that of at;
+    both are dealt by tile, so the records of a tile of any level are one stretch."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    up = F.expr(f"shiftright(tile, 2 * ({depth} - level))")
+    # finest tiles first, so that the levels are summed from few rows
+    fine = points.groupBy("tile").agg(F.min("place").alias("first_point"), F.count(F.lit(1)).alias("points"), *[f(c).alias(f"{t}_{c}") for c in "xy" for t, f in (("min", F.min), ("max", F.max))])
+    links = edges.groupBy("tile").agg(F.min("at").alias("first_edge"), F.count(F.lit(1)).alias("edges"))
+    both = fine.join(links, "tile", "left").select("*", level).withColumn("tile", up)
+    sums = [F.min("first_point").alias("first_point"), F.sum("points").alias("points"), F.min("first_edge").alias("first_edge"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges")]
+    return both.groupBy("level", "tile").agg(*sums, *[f(f"{t}_{c}").alias(f"{t}_{c}") for c in "xy" for t, f in (("min", F.min), ("max", F.max))])
+
+
 def without_drug_features(nodes: DataFrame, features: str = "features") -> DataFrame:
     """Ablation: all components of the drugs' vectors are zero."""
     return nodes.withColumn(features, F.transform(features, lambda x: x * 0))

@@ -438,13 +438,21 @@ def estimate_full_visualization(*, spark: SparkSession, data_dir: str, target_sh
 
 #: Fields of the shards of a full export.
 POINT_FIELDS = [("x", "<f4"), ("y", "<f4"), ("label", "u1"), ("split_id", "i1"), ("cluster", "<i4")]
-EDGE_FIELDS = [("patient_index", "<i4"), ("node_index", "<i4")]
+EDGE_FIELDS = [("point", "<i4"), ("node_index", "<i4")]
+#: Points that a tile of the finest level has on average, at most.
+TILE_POINTS = 4096
+
+
+def tile_depth(points: int) -> int:
+    """Levels of tiles below the whole."""
+    return next(d for d in range(14) if points <= TILE_POINTS << 2 * d or d == 13)
 
 
 def export_full_visualization(*, spark: SparkSession, data_dir: str, target_shard_bytes: int = 32 << 20) -> dict:
-    """All patients on a disc round their primary drugs' order, in binary shards with checksums, their edges in shards in the
-    order of patients, counts and boxes by cell and cluster, and each cluster's drugs. The folder has to be shared; shards that
-    are marked as done are kept, so an export that was stopped goes on."""
+    """All patients on a disc round their primary drugs' order and their edges, in binary shards with checksums in the order of
+    tiles; an index of tiles of all levels of detail, with boxes and the records of points and edges of each; counts and boxes
+    by cluster, and each cluster's drugs. The folder has to be shared; shards that are there with the same bytes are kept, so
+    an export that was stopped goes on, and one of a changed graph is made anew. An edge names its patient by the point's place."""
     tables = _under(data_dir, "graph", "patients", "drug_nodes", "graph_edges")
     who, nodes, links = (spark.read.parquet(tables[n]) for n in ("patients", "drug_nodes", "graph_edges"))
     folder = os.path.join(data_dir, "viewer-full")
@@ -452,14 +460,18 @@ def export_full_visualization(*, spark: SparkSession, data_dir: str, target_shar
     bucket = GR.primary_drug(links, who, drugs)
     ordered = GR.dense_index(who.join(bucket, "patient_index").select("patient_index", "bucket", F.col("is_serious").alias("label"), GR.split_id(F.col("split")).alias("split_id")), [F.asc("bucket"), F.asc("patient_index")], "place")
     spots = GR.layout(ordered.select(F.col("place").alias("patient_index")), nodes.limit(0)).select(F.col("index").alias("place"), "x", "y")
-    points = GR.checkpointed(GR.clustered(ordered.join(spots, "place")))
+    depth = tile_depth(manifest.load(spark, f"{tables['patients']}.manifest.json").rows)
+    placed = GR.tiled(GR.clustered(ordered.join(spots, "place")), depth).withColumnRenamed("place", "_order")
+    points = GR.checkpointed(GR.dense_index(placed, [F.asc("tile"), F.asc("_order")], "place").drop("_order"))
     sizes = estimate_full_visualization(spark=spark, data_dir=data_dir, target_shard_bytes=target_shard_bytes)
     plain = folder.removeprefix("file://")
     made = {"points": arrays.write_shards(points.select("place", *[c for c, _ in POINT_FIELDS]), os.path.join(plain, "points"), "place", POINT_FIELDS, sizes["points"]["per_shard"])}
-    numbered = GR.dense_index(links.select("patient_index", "node_index"), [F.asc("patient_index"), F.asc("node_index")], "at")
+    near = links.select("patient_index", "node_index").join(points.select("patient_index", F.col("place").alias("point"), "tile"), "patient_index").drop("patient_index")
+    numbered = GR.checkpointed(GR.dense_index(near, [F.asc("tile"), F.asc("point"), F.asc("node_index")], "at"))
     made["edges"] = arrays.write_shards(numbered, os.path.join(plain, "edges"), "at", EDGE_FIELDS, sizes["edges"]["per_shard"])
     put = lambda make, n: _publish(spark, make, os.path.join(folder, f"{n}.parquet"), {"part": n}, tables=tables)
     cells = lambda: points.groupBy("cluster").agg(F.count(F.lit(1)).alias("patients"), F.sum("label").alias("positives"), *[F.count_if(F.col("split_id") == k).alias(s) for s, k in GR.SPLIT_IDS.items()], *[f(c).alias(f"{t}_{c}") for c in ("x", "y") for t, f in (("min", F.min), ("max", F.max))])
+    made["tiles"] = put(lambda: GR.tile_index(points, numbered, depth), "tiles")
     made["clusters"] = put(cells, "clusters")
     made["cluster_drugs"] = put(lambda: GR.cluster_drug_edges(links, points.select("patient_index", "cluster")), "cluster_drugs")
     return made

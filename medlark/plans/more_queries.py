@@ -323,9 +323,9 @@ def report_text_round_trip(spark, sf_dir):
 
     path = f"{GR.shared_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
     k = F.col("c_custkey")
-    rows = P.table(spark, sf_dir, "customer").select(F.concat_ws("$", k.cast("string"), "c_name", F.when(k % 3 != 0, F.concat("c_mktsegment", F.lit(' "x'))).otherwise("")).alias("value"))
-    # one file with its header first: a table of customers as a source would send it
-    spark.createDataFrame([("PrimaryID$Name $segment",)], "value string").unionAll(rows).coalesce(1).write.text(path)
+    rows = P.table(spark, sf_dir, "customer").select(k.cast("string").alias("PrimaryID"), F.col("c_name").alias("Name "), F.when(k % 3 != 0, F.concat("c_mktsegment", F.lit(' "x'))).alias("segment"))
+    # each file has the header, as a source's parts have
+    rows.write.option("header", True).option("sep", "$").option("quote", "").option("nullValue", "").option("ignoreTrailingWhiteSpace", False).csv(path)
     return delimited.report_table(spark, path, "2024Q1")
 
 

@@ -64,9 +64,18 @@ def load_matrix(spark: SparkSession, root: str, name: str, columns: list[str], d
     return spark.range(len(a)).mapInPandas(run, "index long, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def _mark(path: str) -> str:
+    try:
+        with open(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return ""
+
+
 def write_shards(df: DataFrame, folder: str, index: str, fields: list[tuple[str, str]], per_shard: int) -> list[dict]:
     """Binary shards of per_shard rows by index, fields as (column, dtype) one after the other, each with its checksum and a
-    .done mark; a shard that is marked is kept. Each shard is one group of bounded size. folder has to be shared."""
+    .done mark that holds it; a shard is kept if it is marked with the checksum of the same bytes. Shards of an earlier, larger
+    export go. Each shard is one group of bounded size. folder has to be shared."""
     os.makedirs(folder, exist_ok=True)
     schema = "shard long, rows long, bytes long, sha256 string"
 
@@ -77,9 +86,11 @@ def write_shards(df: DataFrame, folder: str, index: str, fields: list[tuple[str,
         data = b"".join(np.ascontiguousarray(pdf[c].to_numpy(), dtype=d).tobytes() for c, d in fields)
         name = os.path.join(folder, f"shard-{int(key[0]):06d}.bin")
         digest = hashlib.sha256(data).hexdigest()
-        if not os.path.exists(f"{name}.done"):
+        if _mark(f"{name}.done") != digest or not os.path.exists(name):
             with open(f"{name}.tmp", "wb") as f:
                 f.write(data)
+            if os.path.exists(f"{name}.done"):  # what it marks is about to change
+                os.remove(f"{name}.done")
             os.replace(f"{name}.tmp", name)
             with open(f"{name}.done", "w") as f:
                 f.write(digest)
@@ -88,6 +99,10 @@ def write_shards(df: DataFrame, folder: str, index: str, fields: list[tuple[str,
     shard = F.floor(F.col(index) / per_shard).cast("long").alias("_shard")
     made = df.select(index, *[c for c, _ in fields if c != index], shard).groupBy("_shard").applyInPandas(put, schema)
     found = [r.asDict() for r in made.orderBy("shard").collect()]
+    names = {f"shard-{r['shard']:06d}.bin" for r in found}
+    for n in os.listdir(folder):
+        if n.startswith("shard-") and n.removesuffix(".done") not in names:
+            os.remove(os.path.join(folder, n))
     with open(os.path.join(folder, "index.json.tmp"), "w") as f:
         json.dump({"fields": fields, "per_shard": per_shard, "shards": found}, f)
     os.replace(os.path.join(folder, "index.json.tmp"), os.path.join(folder, "index.json"))
@@ -99,3 +114,24 @@ def shard_estimate(rows: int, fields: list[tuple[str, str]], target: int = 32 <<
     width = sum(np.dtype(d).itemsize for _, d in fields)
     per = max(1, target // width)
     return {"per_shard": per, "shards": -(-rows // per), "bytes": rows * width}
+
+
+def read_range(folder: str, first: int, count: int) -> np.ndarray:
+    """Records first to first + count - 1 of shards that write_shards made, by their index alone: only the shards that hold them
+    are opened, and only those bytes are read. A reader's side, on one machine."""
+    with open(os.path.join(folder, "index.json")) as f:
+        index = json.load(f)
+    kinds = [(c, np.dtype(d)) for c, d in index["fields"]]
+    out, per, rows = np.empty(count, dtype=kinds), index["per_shard"], {s["shard"]: s["rows"] for s in index["shards"]}
+    at = first
+    while at < first + count:
+        shard, inside = divmod(at, per)
+        n = min(first + count - at, per - inside)
+        with open(os.path.join(folder, f"shard-{shard:06d}.bin"), "rb") as f:
+            start = 0  # a shard has its columns one after the other
+            for c, d in kinds:
+                f.seek(start + inside * d.itemsize)
+                out[c][at - first : at - first + n] = np.frombuffer(f.read(n * d.itemsize), dtype=d)
+                start += rows[shard] * d.itemsize
+        at += n
+    return out
