@@ -110,9 +110,13 @@ def normalised(text):
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), BLANKS, "")
 
 
+def digest_of(norm):
+    return F.sha2(norm, 256)
+
+
 def digest_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, digest) of every row: all that later steps need but for byte checks."""
-    return docs.select("doc_id", F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_chars"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    return docs.select("doc_id", F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_chars"), digest_of(normalised(F.col("text"))).alias("digest"))
 
 
 def best():
@@ -141,14 +145,19 @@ class Snapshot:
     def __init__(self, spark: SparkSession, folder: str):
         self.classes = spark.read.parquet(f"{folder}/classes")
         self.filters = spark.read.parquet(f"{folder}/filters")
+        self.folder = folder
         self.buckets = (self.filters.select("buckets").first() or [1])[0]
 
     open = classmethod(lambda cls, spark, folder: cls(spark, folder))
 
     @classmethod
-    def write(cls, spark: SparkSession, rows: DataFrame, folder: str | None = None) -> Snapshot:
-        """rows: (digest, doc_id, n_chars, n), a row a class. The filters are written last."""
+    def write(cls, spark: SparkSession, rows: DataFrame, folder: str | None = None, docs: DataFrame | None = None) -> Snapshot:
+        """rows: (digest, doc_id, n_chars, n), a row a class. The filters are written last. With `docs`, the normalised texts of
+        the classes' keepers are kept beside them, so that later sessions can compare bytes; without, whoever compares has to
+        have those documents."""
         folder = folder or new_path(spark, "snapshot")
+        if docs is not None:
+            _texts(docs).join(rows.select("digest", F.col("doc_id").alias("d")), "digest").where(F.col("id").eqNullSafe(F.col("d"))).groupBy("digest", "id").agg(F.min("norm").alias("norm")).write.parquet(f"{folder}/texts")
         rows.select("digest", "doc_id", "n_chars", "n").write.parquet(f"{folder}/classes")
         known = spark.read.parquet(f"{folder}/classes")
         buckets = max(1, -(-known.count() // BUCKET_CLASSES))
@@ -182,19 +191,30 @@ class Snapshot:
         return fresh.where("maybe").select("digest", F.col("doc_id").alias("new_id")).join(self.classes.select("digest", F.col("doc_id").alias("old_id")), "digest")
 
 
-def same_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """(id, norm, digest) of documents."""
+    return docs.select(F.col("doc_id").alias("id"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest_of(F.col("norm")))
+
+
+def same_bytes(docs: DataFrame, found: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
     """(digest, same) for every row of the written table found (digest, new_id, old_id): whether the two texts' normalised
-    bytes agree. A row whose texts aren't there fails the job: nothing is taken for equal that wasn't compared."""
+    bytes agree. Old texts come from the documents, or from a `snapshot` that keeps its own. Both texts have to be there, else
+    the job fails: nothing is taken for equal that wasn't compared."""
     # of a class, the texts of two rows are wanted: those pass a screen before anything is shuffled
     wanted = written(found.select("digest", F.explode(F.array("new_id", "old_id")).alias("id")).distinct(), "wanted")
     row = lambda id_: F.xxhash64("digest", F.coalesce(id_.cast("long"), F.lit(-1)))
     passes = screen(wanted.select(row(F.col("id")).alias("key")), "key")
-    texts = docs.select(F.col("doc_id").alias("_id"), normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
-    texts = texts.where(passes(row(F.col("_id"))))
-    picked = texts.join(wanted.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("_id").eqNullSafe(F.col("id")))
-    compared = picked.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
+    texts = _texts(docs).where(passes(row(F.col("id")))).select(F.lit(False).alias("kept"), "id", "norm", "digest")
+    if snapshot is not None:
+        texts = texts.unionByName(docs.sparkSession.read.parquet(f"{snapshot.folder}/texts").select(F.lit(True).alias("kept"), "id", "norm", "digest"))
+    # each text tells which of the two it is: a snapshot's is the old one, whatever documents came with it
+    pairs = found.select(F.col("digest").alias("d"), "new_id", "old_id")
+    new, old = ~F.col("kept") & F.col("id").eqNullSafe(F.col("new_id")), (F.col("kept") if snapshot is not None else F.lit(True)) & F.col("id").eqNullSafe(F.col("old_id"))
+    picked = texts.join(pairs, (F.col("digest") == F.col("d")) & (new | old))
+    compared = picked.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"), (F.bool_or(new) & F.bool_or(old)).alias("both"))
     missing = F.raise_error(F.concat(F.lit("no texts to compare for digest "), F.col("digest")))
-    return found.select("digest").join(compared, "digest", "left").select("digest", F.when(F.col("same").isNull(), missing.cast("boolean")).otherwise(F.col("same")).alias("same"))
+    met = found.select("digest").join(compared, "digest", "left")
+    return met.select("digest", F.when(F.coalesce("both", F.lit(False)), F.col("same")).otherwise(missing.cast("boolean")).alias("same"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -243,7 +263,7 @@ def kept_documents(spark: SparkSession, docs: DataFrame, batches: int = 2) -> Da
     decided = written(decided.select(F.col("doc_id").alias("_d"), "text_sha256", "kept", "_copies", F.xxhash64("text_sha256", id_(F.col("doc_id"))).alias("_h")), "decided")
     plain, names = numbered(docs)
     at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-    keyed = plain.withColumn("_digest", F.sha2(normalised(F.col(at["text"])), 256))
+    keyed = plain.withColumn("_digest", digest_of(normalised(F.col(at["text"]))))
     keyed = keyed.withColumn("_h", F.xxhash64("_digest", id_(F.col(at["doc_id"]))))
     alone, met = untouched(keyed, decided, "_h")
     rows = met.join(decided.drop("_h"), F.col(at["doc_id"]).eqNullSafe(F.col("_d")) & (F.col("_digest") == F.col("text_sha256")), "left").where(F.coalesce("kept", F.lit(True)))

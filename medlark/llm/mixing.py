@@ -86,7 +86,8 @@ def mixture(spark: SparkSession, docs: DataFrame, share: float = 1.5, most: floa
     """doc_id, size, source_size, target, taken and copies of every row, and the columns to carry along."""
     carry = carry or []
     docs = pick(docs, "doc_id", "text", "source", *carry)
-    deal = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text").cast("string")))
+    # by the whole row, so that many rows of one doc_id are dealt as others are
+    deal = F.xxhash64("doc_id", F.col("text").cast("string"))
     rows = sized(docs.withColumn("source", F.col("source").cast("string"))).select("doc_id", "source", "size", deal.alias("deal"), *[c for c in carry if c not in ("doc_id", "source", "size")])
     rows = written(rows, "sizes")
     # one row a source
