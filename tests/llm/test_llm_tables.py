@@ -175,6 +175,58 @@ def test_snapshots_open_again_and_checks_may_not_be_missing(spark):
         exact_dedup.same_bytes(docs.where("doc_id <> 160"), written(found, "t")).collect()
 
 
+def test_bytes_are_compared_only_where_both_texts_are_there(spark):
+    from medlark.llm.common import new_path, written
+
+    docs = spark.createDataFrame([(1, "Same text."), (7, "Same  text."), (9, "Other.")], "doc_id long, text string")
+    digest = exact_dedup.digest_rows(docs.where("doc_id = 7")).first()["digest"]
+    found = written(spark.createDataFrame([(digest, 7, 1)], "digest string, new_id long, old_id long"), "t")
+    assert exact_dedup.same_bytes(docs, found).first()["same"] is True
+    for lost in (1, 7):
+        with pytest.raises(Exception, match="no texts to compare"):
+            exact_dedup.same_bytes(docs.where(f"doc_id <> {lost}"), found).collect()
+    # a snapshot that keeps its texts is compared in a later session, when its documents are gone
+    folder = new_path(spark, "snapshot-test")
+    old = docs.where("doc_id <> 7")
+    exact_dedup.Snapshot.write(spark, exact_dedup.classes(exact_dedup.digest_rows(old)), folder, old)
+    known, now = exact_dedup.Snapshot.open(spark, folder), docs.where("doc_id = 7")
+    positives = written(known.matches(written(known.screened(exact_dedup.classes(exact_dedup.digest_rows(now))), "t")), "t")
+    assert [tuple(r) for r in positives.collect()] == [(digest, 7, 1)] and exact_dedup.same_bytes(now, positives, known).first()["same"] is True
+    with pytest.raises(Exception, match="no texts to compare"):
+        exact_dedup.same_bytes(docs.where("doc_id = 1"), positives, known).collect()
+
+
+def test_texts_of_one_digest_and_other_bytes_stay_apart(spark, monkeypatch):
+    part = spark.range(60).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("p")).collect()
+    a, b = (next(r["id"] for r in part if r["p"] == p) for p in (0, 1))
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.sha2(F.substring(norm, 1, 3), 256))
+    got = {r["doc_id"]: r for r in exact_dedup.dedup(spark, spark.createDataFrame([(a, "abc one"), (b, "abc other")], "doc_id long, text string")).collect()}
+    assert {d: (r["keep_id"], r["group_size"], r["kept"]) for d, r in got.items()} == {a: (a, 1, True), b: (b, 1, True)}
+    same = {r["doc_id"]: r for r in exact_dedup.dedup(spark, spark.createDataFrame([(a, "abc one"), (b, "abc  one ")], "doc_id long, text string")).collect()}
+    assert {d: (r["keep_id"], r["group_size"]) for d, r in same.items()} == {a: (b, 2), b: (b, 2)}
+
+
+def test_many_rows_of_one_document_are_dealt_over_buckets(spark, monkeypatch):
+    """By hand: sizes, targets and words near them, when one doc_id has nearly all rows."""
+    rows = [(7, " ".join(["w"] * (1 + k % 9)) + f" x{k}", "a") for k in range(600)] + [(k, "one two three", "b") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    got = mixing.mixture(spark, table).collect()
+    sizes = Counter(s for _, t, s in rows for _ in t.split())
+    assert Counter(r["size"] for r in got) == Counter(len(t.split()) for _, t, _ in rows)
+    goal = {r["source_size"]: r["target"] for r in got}
+    # a has weight 5 and b 2 of 7 parts of 150 %, at most twice their sizes
+    both, want = 1.5 * sum(sizes.values()), {}
+    want["a"] = min(2 * sizes["a"], both * 5 / 7)
+    want["b"] = min(2 * sizes["b"], both - want["a"])
+    want["a"] = min(2 * sizes["a"], both - want["b"])
+    assert goal == pytest.approx({sizes[s]: want[s] for s in sizes})
+    for s in sizes:
+        taken = [r for r in got if r["source_size"] == sizes[s]]
+        assert abs(sum(r["taken"] for r in taken) - want[s]) <= max(r["size"] for r in taken)
+        assert all(r["taken"] in {c * r["size"] for c in (0, 1, 2)} for r in taken)
+
+
 def test_spans(spark, docs, empty):
     passage = " ".join(f"Sentence number {i} of a passage that is shared." for i in range(9))
     rows = [(d, t) for d, t, _ in TEXTS] + [(50, f"Own start one. {passage} Own end one."), (51, f"A different start. {passage} Another end."), (52, passage)]
