@@ -99,6 +99,48 @@ def rxnorm_aliases(lookup: DataFrame) -> DataFrame:
     return lookup.where("struct_id is not null").select(names.alias("name"), F.col("struct_id").cast("bigint").alias("dc_id")).select(C.drug_name(F.col("name")).alias("alias"), "dc_id").where("alias <> ''").distinct()
 
 
+#: Letters of the grams that aliases are found by.
+GRAMS = (1, 2, 3)
+
+
+def _pieces(text: Column, q: int) -> Column:
+    """Stretches of q letters, each with how often it came before."""
+    plain = F.array_sort(F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: text.substr(i, F.lit(q)))).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.array(plain), lambda p: F.transform(p, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(p, g)).cast("string"))))[0]
+
+
+def write_postings(known: DataFrame, path: str) -> None:
+    """Where each gram stands: (q, gram, alias), in the order of q and gram, so that a lookup reads the few row groups that may
+    have its grams."""
+    grams = F.explode(F.concat(*[_tagged(q) for q in GRAMS])).alias("g")
+    rows = known.select("alias").distinct().where("alias is not null").select("alias", grams).select("g.q", "g.gram", "alias")
+    rows.repartitionByRange("q", "gram").sortWithinPartitions("q", "gram", "alias").write.mode("overwrite").parquet(path)
+
+
+def _tagged(q: int) -> Column:
+    return F.transform(_pieces(F.col("alias"), q), lambda g: F.struct(F.lit(q).alias("q"), g.alias("gram")))
+
+
+def suggestions_from(query: str, postings: DataFrame, k: int = 10, cutoff: float = 70.0) -> DataFrame:
+    """`suggestions` of stored postings. A stretch that reaches the cutoff is at most d edits from the query, and each edit
+    breaks q of its grams of q letters at most, so an alias with fewer of them in common isn't looked at; the longest grams
+    that still tell are used. Where none does (very low cutoffs), every alias is scored."""
+    text = query.upper().strip()
+    n = len(text)
+    edits = int((1 - cutoff / 100) * n + 1e-9)
+    q, needed = max(((q, n - q + 1 - q * edits) for q in GRAMS if n - q + 1 - q * edits > 0), default=(1, 0))
+    if needed <= 0:
+        return suggestions(query, postings.where("q = 1"), k, cutoff)
+    counts: dict[str, int] = {}
+    asked = []
+    for i in range(n - q + 1):
+        g = text[i : i + q]
+        asked.append(f"{g}#{counts.get(g, 0)}")
+        counts[g] = counts.get(g, 0) + 1
+    near = postings.where((F.col("q") == q) & F.col("gram").isin(asked)).groupBy("alias").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed)
+    return suggestions(query, near, k, cutoff)
+
+
 def suggestions(query: str, known: DataFrame, k: int = 10, cutoff: float = 70.0) -> DataFrame:
     """Autocomplete: the k aliases with a stretch as long as the query that is nearest to it, if that reaches the cutoff;
     the shortest of equals first. Stretches are compared by edit distance, JVM-side."""

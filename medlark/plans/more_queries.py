@@ -180,8 +180,11 @@ _LABEL = "upper(p_name || ' ' || p_type || ' ' || p_brand || ' LOT ' || p_partke
 
 @query(f"""WITH alias AS (SELECT DISTINCT {_LABEL} AS alias FROM part), asked AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN left(t, k) || substr(t, k + 2) WHEN 1 THEN left(t, k) || 'X' || substr(t, k + 2) ELSE left(t, k) || substr(t, k + 1, 1) || substr(t, k + 1) END AS name
         FROM (SELECT p_partkey, {_LABEL} AS t, 3 + p_partkey % 37 AS k FROM part)),
-    scored AS (SELECT name, alias, 200.0 * {_LCS} / (length(name) + length(alias)) AS score FROM asked JOIN alias ON substr(name, 1, 1) = substr(alias, 1, 1)
-        WHERE abs(length(name) - length(alias)) <= 0.03 * (length(name) + length(alias)) AND 100.0 * (1 - 2.0 * levenshtein(name, alias) / (length(name) + length(alias))) >= 93),
+    near AS (SELECT name AS whole, alias AS other, len(list_filter(range(1, least(length(name), length(alias)) + 1), lambda i: left(name, i) = left(alias, i))) AS p FROM asked JOIN alias ON substr(name, 1, 1) = substr(alias, 1, 1)
+        WHERE abs(length(name) - length(alias)) <= 0.03 * (length(name) + length(alias)) AND levenshtein(name, alias) <= 0.035 * (length(name) + length(alias))),
+    rest AS (SELECT whole, other, p, substr(whole, p + 1) AS x, substr(other, p + 1) AS y FROM near),
+    inner_parts AS (SELECT whole, other, p + s AS same, left(x, length(x) - s) AS name, left(y, length(y) - s) AS alias FROM (SELECT *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: right(x, i) = right(y, i))) AS s FROM rest)),
+    scored AS (SELECT whole AS name, other AS alias, 200.0 * (same + CASE WHEN name = '' OR alias = '' THEN 0 ELSE {_LCS} END) / (length(whole) + length(other)) AS score FROM inner_parts),
     ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM scored WHERE score >= 97 WINDOW w AS (PARTITION BY name ORDER BY score DESC, alias DESC))
     SELECT name, alias, round(score, 9) AS score FROM ranked WHERE r = 1 AND score - coalesce(second, 0) >= 3""")
 def fuzzy_names(spark, sf_dir):
@@ -202,6 +205,14 @@ def name_suggestions(spark, sf_dir):
     return _rounded(NA.suggestions("widge ", P.table(spark, sf_dir, "part").select(F.upper("p_name").alias("alias")), 10, 60), 9, "score")
 
 
+@query(f"SELECT alias, round(score, 9) AS score FROM (SELECT alias, {_NEAR} AS score FROM (SELECT DISTINCT upper(p_name) || ' ' || p_partkey AS alias FROM part)) WHERE score >= 60 ORDER BY score DESC, length(alias), alias LIMIT 25")
+def indexed_suggestions(spark, sf_dir):
+    """The same by stored postings, over an alias a part."""
+    path = f"{_stream_folder(spark)}-postings"
+    NA.write_postings(P.table(spark, sf_dir, "part").select(F.concat(F.upper("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("alias")), path)
+    return _rounded(NA.suggestions_from("widge ", spark.read.parquet(path), 25, 60), 9, "score")
+
+
 @query(_sql(P.REPORTS, P.EXPOSURES, _TRAIN, _CELLS.format(r="train"), _LOOKUP, select="""SELECT report, CAST(count(DISTINCT e.dc_id) AS INTEGER) AS num_drugs, round(max(coalesce(ror, 1.0)), 9) AS max_ror, round(avg(ln(greatest(coalesce(ror, 1.0), 1e-12))), 9) AS mean_log_ror, count(*) FILTER (coalesce(ror, 1.0) > 2) AS high_ror_count
     FROM exposures e LEFT JOIN lookup l ON l.dc_id = e.dc_id AND l.dc_id % 2 = 0 GROUP BY report"""))
 def case_features(spark, sf_dir):

@@ -77,3 +77,12 @@ def test_no_letter_block_is_met_whole(spark):
     aliases = spark.range(3000).selectExpr("concat('S', upper(md5(cast(id as string)))) as alias")
     names = aliases.selectExpr("concat(alias, 'A') as name")
     assert FZ.candidates(names, aliases, 0.97).count() < 3100
+
+
+@pytest.mark.parametrize(("query", "cutoff"), [("sodium", 70), ("acet", 60), ("metformin hydro", 80), ("b", 100), ("zzzz", 30), ("SS", 90)])
+def test_postings_give_what_a_scan_gives(spark, tables, tmp_path, query, cutoff):
+    known = tables[3]
+    NA.write_postings(known, f"file://{tmp_path}/p")
+    postings = spark.read.parquet(f"file://{tmp_path}/p")
+    plain = lambda df: [(r["alias"], round(r["score"], 9)) for r in df.collect()]
+    assert plain(NA.suggestions_from(query, postings, 12, cutoff)) == plain(NA.suggestions(query, known, 12, cutoff))

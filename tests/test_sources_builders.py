@@ -177,7 +177,7 @@ def test_builders_end_to_end(spark, tmp_path):
     assert all(b.cached for b in B.build_reference(spark=spark, data_dir=folder, dump=dump))
     with pytest.raises(FileNotFoundError):
         B.build_prospective_pipeline(spark=spark, data_dir=os.path.join(folder, "nowhere"))
-    more = B.build_graph(spark=spark, data_dir=folder, baseline_rounds=1, leaves=3, arrays=True)
+    more = B.build_graph(spark=spark, data_dir=folder, cohort="cohort_enriched", baseline_rounds=1, leaves=3, arrays=True)
     assert more["baseline"].rows == 40 and {"auc", "round"} <= set(more["baseline"].counts) and spark.read.parquet(more["baseline_importances"].output).count() > 3
     assert np.load(os.path.join(folder, "graph", "patients.npy"), mmap_mode="r").shape[0] == 160
 
