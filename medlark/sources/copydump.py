@@ -1,8 +1,13 @@
-"""COPY blocks of a PostgreSQL dump as a Spark data source: spark.read.format("copydump").option("table", ...).load(path)."""
+"""COPY blocks of a PostgreSQL dump. A plain dump is read by byte ranges: one pass over all of them finds where the blocks
+begin and end, and a table's rows come from the ranges of its block only. A gzip dump can't be split, so a data source reads it
+in one task: spark.read.format("copydump").option("table", ...).load(path).
+
+Paths of plain dumps may be of any file system that pyarrow opens (file, hdfs, s3); all tasks have to reach them."""
 
 from __future__ import annotations
 
 import gzip
+import io
 import re
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -118,21 +123,126 @@ class CopyDump(DataSource):
         return CopyReader(self.options["path"], {self.options["table"].lower(): schema.names}, False)
 
 
+#: Bytes of a range of a plain dump.
+RANGE = 64 << 20
+
+
+def _opened(path: str):
+    """(file, size) of a path or URI, to be read at any place."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return io.BufferedReader(system.open_input_file(place), 1 << 20), system.get_file_info(place).size
+
+
+def _lines_from(path: str, lo: int, hi: int):
+    """(offset, line) of the lines that begin in a range of bytes; the one before its first byte's ends is another range's."""
+    f, size = _opened(path)
+    with f:
+        at = lo
+        if lo:
+            f.seek(lo - 1)
+            at = lo - 1 + len(f.readline())
+        else:
+            f.seek(0)
+        while at < min(hi, size):
+            line = f.readline()
+            yield at, line.rstrip(b"\n")
+            at += len(line)
+
+
+def _spread(spark, lo: int, hi: int, read, schema: str):
+    """Rows that read(lo, hi) gives, over ranges of bytes, each in a task."""
+    n = max(1, -(-(hi - lo) // RANGE))
+    step = RANGE
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for k in b["id"]:
+                held = []
+                for row in read(lo + int(k) * step, min(hi, lo + (int(k) + 1) * step)):
+                    held.append(row)
+                    if len(held) == 10_000:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=names)
+
+    names = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
+    return spark.range(0, n, 1, n).mapInPandas(run, schema)
+
+
+def extents(spark, path: str) -> dict[str, list[tuple[list[str], int, int]]]:
+    """(columns, first byte, end) of each table's blocks, by one distributed pass. Few lines come to the driver: those that look
+    like the begin or the end of a block; which of them are so follows from their order, as rows may look like either begin."""
+    f, size = _opened(path)
+    f.close()
+
+    def look(lo: int, hi: int):
+        for at, line in _lines_from(path, lo, hi):
+            if line == b"\\.":
+                yield at, at + 3, None, None
+            elif line[:4].upper() == b"COPY" and (m := _START.match(line.decode("utf-8", "replace"))):
+                yield at, at + len(line) + 1, m[1].lower(), m[2]
+
+    out, block = {}, None
+    for at, end, table, columns in sorted(_spread(spark, 0, size, look, "at long, next long, name string, columns string").collect()):
+        if table is None and block is not None:
+            out.setdefault(block[0], []).append((block[1], block[2], at))
+            block = None
+        elif table is not None and block is None:
+            block = (table, _names(columns), end)
+    if block is not None:
+        raise SourceError(f"the COPY block of {block[0]} doesn't end")
+    return out
+
+
+def plain_tables(spark, path: str, columns: dict[str, list[str] | None]) -> dict:
+    """`copy_tables` of a plain dump."""
+    there, out = extents(spark, path), {}
+    if missing := sorted(set(columns) - set(there)):
+        raise SourceError(f"{path} has no COPY block of {', '.join(missing)}")
+    for table, some in columns.items():
+        if len(there[table]) > 1:
+            raise SourceError(f"{table} has more than one COPY block")
+        own, lo, hi = there[table][0]
+        if lacking := set(some or ()) - set(own):
+            raise SourceError(f"{table} lacks {sorted(lacking)}")
+        chosen = some or own
+
+        def read(a: int, b: int, own=own, chosen=chosen, table=table, lo=lo):
+            # the byte before the block's first is the end of a line, so its first line is the range's own
+            for at, line in _lines_from(path, a, b):
+                fields = line.decode().split("\t")
+                if len(fields) != len(own):
+                    raise SourceError(f"the row at byte {at} has {len(fields)} fields, {table} has {len(own)} columns")
+                yield [value(fields[own.index(c)]) for c in chosen]
+
+        out[table] = _spread(spark, lo, hi, read, ", ".join(f"`{c}` string" for c in chosen)) if hi > lo else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in chosen))
+    return out
+
+
 def copy_table(spark, path: str, table: str, columns: list[str] | None = None):
+    if not path.endswith(".gz"):
+        return plain_tables(spark, path, {table.lower(): columns})[table.lower()]
     spark.dataSource.register(CopyDump)
     reader = spark.read.format("copydump").option("table", table)
     return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
 
 
 def copy_tables(spark, path: str, columns: dict[str, list[str] | None]) -> dict:
-    """Several tables of a dump (None: all columns) with one pass over its rows: they are written by table to a folder of
-    their own, from which each is read."""
+    """Several tables of a dump (None: all columns). Of a gzip dump, with one pass over its rows: they are written by table to a
+    folder of their own, from which each is read."""
     import uuid
 
     from pyspark.sql import functions as F
 
     from ..operators.graph import shared_dir
 
+    if not path.endswith(".gz"):
+        return plain_tables(spark, path, columns)
     spark.dataSource.register(CopyDump)
     there = blocks(path, list(columns))
     for table, some in columns.items():

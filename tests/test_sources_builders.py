@@ -53,6 +53,30 @@ def test_copy_dump(spark, tmp_path):
         copydump.copy_tables(spark, path, {"structures": ["nowhere"]})
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_plain_dump_by_byte_ranges(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(copydump, "RANGE", size if size > 1 else 13)
+    path = str(tmp_path / "dump.sql")
+    body = [(str(k), f"n{k}é" if k % 3 else None, "COPY public.other (id) FROM stdin;" if k == 5 else "x" * (k % 9)) for k in range(40)]
+    text = "SET x;\nCOPY public.structures (id, name, note) FROM stdin;\n" + "".join("\t".join(r"\N" if v is None else v for v in r) + "\n" for r in body) + "\\.\n"
+    # a row that looks like the begin of a block, and an empty block
+    text += "COPY public.empty (id) FROM stdin;\n\\.\nCOPY odd (line) FROM stdin;\nCOPY public.structures (id) FROM stdin;\n\\.\nCOPY public.\"other\" (id, \"Two\") FROM stdin;\n9\ta\\tb\n\\.\nSELECT 1;"
+    with open(path, "w") as f:
+        f.write(text)
+    assert sorted(map(tuple, copydump.copy_table(spark, f"file://{path}", "structures").collect()), key=lambda r: int(r[0])) == body
+    made = copydump.copy_tables(spark, path, {"structures": ["note", "id"], "other": None, "empty": None, "odd": None})
+    assert made["structures"].columns == ["note", "id"] and made["structures"].count() == 40 and made["empty"].count() == 0
+    assert [tuple(r) for r in made["other"].collect()] == [("9", "a\tb")] and made["other"].columns == ["id", "two"]
+    assert [r["line"] for r in made["odd"].collect()] == ["COPY public.structures (id) FROM stdin;"]
+    for wanted in ({"missing": None}, {"other": ["three"]}):
+        with pytest.raises(copydump.SourceError):
+            copydump.copy_tables(spark, path, wanted)
+    with open(path, "a") as f:
+        f.write("\nCOPY late (id) FROM stdin;\n1\n")
+    with pytest.raises(copydump.SourceError, match="doesn't end"):
+        copydump.copy_table(spark, path, "other")
+
+
 def test_zip_table(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("readme.txt", "nothing here")
