@@ -390,3 +390,70 @@ def incremental_temporal_ror(spark, sf_dir):
         part.write.mode("append").parquet(f"{folder}/in")
         state.follow(spark.readStream.schema(versions.schema).parquet(f"{folder}/in"), f"{folder}/checkpoint")
     return _rounded(state.history(), 9, "ror")
+
+
+# --- sources and names that only builders used ---------------------------------------------------------------------------
+
+
+@query("""SELECT token AS caseid, '2024Q1' AS quarter FROM (SELECT trim(unnest(string_split(o_custkey || '$ ' || o_orderkey || ' $x' || o_custkey || '$' || o_orderstatus || '$', '$'))) AS token FROM orders) WHERE regexp_full_match(token, '[0-9]+')""")
+def deletion_ids(spark, sf_dir):
+    """Tokens of deletion lists over many files; duplicates stay, every fiftieth line begins with a byte order mark."""
+    path = f"{_stream_folder(spark)}-deleted"
+    k = F.col("o_orderkey")
+    mark = F.when(k % 50 == 0, "\ufeff").otherwise("")
+    P.table(spark, sf_dir, "orders").select(F.concat(mark, F.col("o_custkey").cast("string"), F.lit("$ "), k.cast("string"), F.lit(" $x"), F.col("o_custkey").cast("string"), F.lit("$"), "o_orderstatus", F.lit("$"))).write.text(path)
+    return delimited.deleted_cases(spark, [path], "2024Q1")
+
+
+@query("""SELECT DISTINCT s_name AS rxnorm_name, CAST(p_partkey % 100 AS BIGINT) AS struct_id, CAST(p_size AS VARCHAR) AS rxcui, 'drugcentral_identifier' AS source FROM part JOIN supplier ON p_size = s_suppkey % 60 WHERE s_suppkey % 7 <> 0""")
+def rxnorm_rows(spark, sf_dir):
+    """Lookup rows out of identifiers and the label mapping; names that are blank don't count."""
+    identifiers = P.table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("rxcui"), (F.col("p_partkey") % 100).alias("struct_id"))
+    labels = P.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 60).cast("string").alias("rxcui"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).otherwise("  ").alias("rxstring"))
+    return NA.rxnorm_local(identifiers, labels).drop("query_name")
+
+
+_CLEAN = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH known AS (SELECT {_CLEAN.format("p_name")} AS alias, list_sort(list(DISTINCT p_partkey % 7)) AS ids FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
+    asked AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' / ' || p_brand END AS name FROM part UNION SELECT DISTINCT p_name || '+' || reverse(p_name) FROM part UNION SELECT DISTINCT p_name || ' + red bolt' FROM part),
+    parts AS (SELECT name, unnest(regexp_split_to_array(upper(name), '\\s*(?:/|\\+)\\s*')) AS part FROM asked),
+    per_name AS (SELECT name, bool_and(ids IS NOT NULL) AS every, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM parts LEFT JOIN known ON alias = {_CLEAN.format("part")} GROUP BY name)
+    SELECT name, array_to_string(coalesce(k.ids, CASE WHEN every THEN b.ids END), ',') AS ids FROM asked LEFT JOIN known k ON k.alias = {_CLEAN.format("name")} JOIN per_name b USING (name)""")
+def multi_id_names(spark, sf_dir):
+    """Whole names with several ids first, else all their components."""
+    p = P.table(spark, sf_dir, "part")
+    known = p.where("p_partkey % 3 <> 0").select(C.drug_name(F.col("p_name")).alias("alias"), (F.col("p_partkey") % 7).alias("dc_id")).distinct()
+    asked = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" / "), "p_brand")).alias("name"))
+    asked = asked.unionByName(p.select(F.concat("p_name", F.lit("+"), F.reverse("p_name")).alias("name"))).unionByName(p.select(F.concat("p_name", F.lit(" + red bolt")).alias("name")))
+    return NA.resolve(asked, "name", known).select("name", F.when(F.col("ids").isNotNull(), F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query(_sql(*_GRAPH, "links2 AS (SELECT DISTINCT patient_index AS report, node_index FROM links)",
+    "cells AS (SELECT node_index, a, b, s - a AS c, n - b AS d FROM (SELECT node_index, count(*) FILTER (is_serious = 1) AS a, count(*) FILTER (is_serious = 0) AS b FROM links2 JOIN reports USING (report) WHERE split = 'train' GROUP BY node_index), (SELECT count(*) FILTER (is_serious = 1) AS s, count(*) FILTER (is_serious = 0) AS n FROM reports WHERE split = 'train'))",
+    select="SELECT node_index, a, b, c, d, round(CASE WHEN a = 0 OR b = 0 OR c = 0 OR d = 0 THEN ((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5)) ELSE (a * d)::DOUBLE / (b * c) END, 9) AS ror FROM cells"))
+def graph_drug_ror(spark, sf_dir):
+    """RORs of the graph's nodes, from training reports only."""
+    edges, unknown, nodes, dictionary = _graph(spark, sf_dir)
+    links = GR.graph_edges(edges, dictionary, unknown, nodes).withColumnRenamed("patient_index", "report")
+    train = P.reports(spark, sf_dir).where("split = 'train'").select("report", "is_serious")
+    return _rounded(RI.with_ror(RI.contingency(links, train, ["node_index"]), "zero"), 9, "ror")
+
+
+_TILE = "(cx & 1) | ((cy & 1) << 1) | ((cx >> 1 & 1) << 2) | ((cy >> 1 & 1) << 3)"
+
+
+@query(f"""WITH points AS (SELECT c_custkey AS id, c_acctbal::DOUBLE AS x, (c_custkey % 97)::DOUBLE AS y FROM customer), box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points),
+    cells AS (SELECT id, x, y, CAST(least(floor((x - x0) * 4 / (x1 - x0)), 3) AS BIGINT) AS cx, CAST(least(floor((y - y0) * 4 / (y1 - y0)), 3) AS BIGINT) AS cy FROM points, box),
+    tiles AS (SELECT id, x, y, {_TILE} AS tile FROM cells), placed AS (SELECT *, row_number() OVER (ORDER BY tile, id) - 1 AS place FROM tiles),
+    edges AS (SELECT tile, row_number() OVER (ORDER BY tile, place, o_orderkey) - 1 AS at_edge FROM orders JOIN placed ON id = o_custkey),
+    levels AS (SELECT unnest([0, 1, 2]) AS level)
+    SELECT CAST(level AS INTEGER) AS level, tile >> (2 * (2 - level)) AS tile, min(place) AS first_point, count(*) AS points, any_value(e.first_edge) AS first_edge, coalesce(any_value(e.edges), 0) AS edges, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y
+    FROM placed, levels LEFT JOIN (SELECT level AS l, tile >> (2 * (2 - level)) AS t, min(at_edge) AS first_edge, count(*) AS edges FROM edges, levels GROUP BY ALL) e ON e.l = level AND e.t = tile >> (2 * (2 - level)) GROUP BY level, tile >> (2 * (2 - level))""")
+def layout_tiles(spark, sf_dir):
+    """The index of tiles of all levels over the records of points and edges."""
+    points = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"))
+    placed = GR.checkpointed(GR.dense_index(GR.tiled(points, 2), [F.asc("tile"), F.asc("id")], "place"))
+    edges = P.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id")).join(placed.select("id", "place", "tile"), "id")
+    return GR.tile_index(placed, GR.dense_index(edges, [F.asc("tile"), F.asc("place"), F.asc("o_orderkey")], "at"), 2)
