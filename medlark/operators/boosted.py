@@ -62,15 +62,58 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
+    #: Curvatures of the training rows that come to each node.
+    cover: list[float] = field(default_factory=lambda: [0.0])
 
     def split(self, node: int, feature: int, cut: int, missing: bool, gain: float) -> int:
         """The number of the left child; the right one comes after it."""
         k = len(self.feature)
         self.feature[node], self.cut[node], self.missing[node], self.left[node], self.gain[node] = feature, cut, missing, k, gain
-        for values, v in ((self.feature, -1), (self.cut, 0), (self.missing, False), (self.left, 0), (self.value, 0.0), (self.gain, 0.0)):
+        for values, v in ((self.feature, -1), (self.cut, 0), (self.missing, False), (self.left, 0), (self.value, 0.0), (self.gain, 0.0), (self.cover, 0.0)):
             values += [v, v]
         return k
 
+    def paths(self) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, bool, bool]]]]]]:
+        """For each leaf its value, and for each feature on its way the share of rows that goes that way whatever the feature is,
+        and the conditions (cut, missing rows to the left, left) on it."""
+        out, todo = [], [(0, {})]
+        while todo:
+            n, way = todo.pop()
+            if self.feature[n] < 0:
+                out.append((self.value[n], way))
+                continue
+            f = self.feature[n]
+            for child, is_left in ((self.left[n], True), (self.left[n] + 1, False)):
+                share, conditions = way.get(f, (1.0, []))
+                part = self.cover[child] / self.cover[n] if self.cover[n] else 0.5
+                todo.append((child, {**way, f: (share * part, [*conditions, (self.cut[n], self.missing[n], is_left)])}))
+        return out
+
+    def attributions(self, bins: np.ndarray) -> tuple[float, np.ndarray]:
+        """(mean of the tree over its rows, rows x features): exact Shapley values of the game in which a feature that isn't known
+        lets rows go both ways by their shares. A leaf is a product over the features on its way, so its values come from the
+        coefficients of a polynomial in the number of known ones."""
+        out, mean = np.zeros(bins.shape), 0.0
+        for value, way in self.paths():
+            features, k = list(way), len(way)
+            zero = np.array([way[f][0] for f in features])
+            mean += value * zero.prod()
+            one = np.ones((len(bins), k))
+            for j, f in enumerate(features):
+                b = bins[:, f]
+                for cut, missing, left in way[f][1]:
+                    one[:, j] *= np.where(b == 0, missing, b <= cut) == left
+            weights = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
+            for i, f in enumerate(features):
+                poly = np.zeros((len(bins), k))
+                poly[:, 0] = 1.0
+                for j in range(k):
+                    if j != i:
+                        poly[:, 1:] = poly[:, 1:] * zero[j] + poly[:, :-1] * one[:, [j]]
+                        poly[:, 0] *= zero[j]
+                out[:, f] += value * (one[:, i] - zero[i]) * (poly @ weights)
+        return mean, out
+
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
         """The node that each row ends in; bins: rows x features."""
         feature, cut, missing, left = (np.array(x) for x in (self.feature, self.cut, self.missing, self.left))
@@ -107,6 +150,27 @@ class Model:
 
         return binned.withColumn("score", score("_bins")).select(*rows.columns, "score")
 
+    def contributors(self, rows: DataFrame, top: int = 5) -> DataFrame:
+        """rows with base (the mean margin) and contributors: the `top` features of largest share in the row's margin beside it, as
+        (feature, value), and `rest`, the sum of all others: base, values and rest are the margin."""
+        binned, names = _binned(rows, self.features, self.cuts), self.features
+        trees, start = self.trees, self.base
+
+        @F.arrow_udf("struct<base: double, contributors: array<struct<feature: string, value: double>>, rest: double>")
+        def explain(bins: pa.Array) -> pa.Array:
+            b = _bytes(bins, len(names))
+            base, total = start, np.zeros(b.shape)
+            for t in trees:
+                mean, part = t.attributions(b)
+                base, total = base + mean, total + part
+            order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :top]
+            chosen = np.take_along_axis(total, order, axis=1)
+            listed = [[{"feature": names[f], "value": v} for f, v in zip(fs, vs, strict=True)] for fs, vs in zip(order.tolist(), chosen.tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())]))
+            return pa.StructArray.from_arrays([pa.array(np.full(len(b), base)), pa.array(listed, kind), pa.array(total.sum(axis=1) - chosen.sum(axis=1))], names=["base", "contributors", "rest"])
+
+        return binned.withColumn("_x", explain("_bins")).select(*rows.columns, "_x.base", "_x.contributors", "_x.rest")
+
     def importances(self) -> list[tuple[str, float]]:
         """Share of the gain of all cuts, by feature."""
         total = np.zeros(len(self.features))
@@ -278,6 +342,8 @@ def _grown(table: DataFrame, waiting: list[Tree], number: int, width: int, s: Se
     for n in used:
         k = out.split(at[n], seen.feature[n], seen.cut[n], seen.missing[n], seen.gain[n])
         at[seen.left[n]], at[seen.left[n] + 1] = k, k + 1
+    for n, k in at.items():
+        out.cover[k] = known[n][5] if n in known else 0.0
     for n in leaves:
         g, h = known[n][4:] if n in known else (0.0, 0.0)
         out.value[at[n]] = -s.rate * g / (h + s.ridge)

@@ -134,3 +134,37 @@ def test_adaptive_boosting_weighs_what_was_missed(spark, data, rows, tmp_path, m
     again = MO.load(spark, f"file://{tmp_path}/v")
     assert [r["score"] for r in MO.scored(again, train).orderBy("report").collect()] == pytest.approx(got)
     assert len(MO.importances(model, ["a", "b", "c"])) == 3
+
+
+def test_attributions_against_all_subsets(spark, rows, tmp_path):
+    import itertools
+
+    model = BO.fit(rows, ["a", "b", "c"], f"file://{tmp_path}/s", BO.Settings(rounds=2, leaves=7, rate=0.5))
+    held = rows.where("split = 'test'").limit(40)
+    names = model.features
+
+    def expected(tree, n, bins, known):
+        """The tree's value when only some features are known, by going down both ways elsewhere."""
+        if tree.feature[n] < 0:
+            return tree.value[n]
+        f, left = tree.feature[n], tree.left[n]
+        if f in known:
+            b = bins[f]
+            return expected(tree, left if (tree.missing[n] if b == 0 else b <= tree.cut[n]) else left + 1, bins, known)
+        return sum(tree.cover[c] / tree.cover[n] * expected(tree, c, bins, known) for c in (left, left + 1))
+
+    made = {r["report"]: r for r in model.contributors(BO._binned(held, names, model.cuts), 2).collect()}
+    scores = {r["report"]: r["score"] for r in model.scored(held).collect()}
+    for r in made.values():
+        bins, want = list(bytes(r["_bins"])), {}
+        for f in range(3):
+            others = [x for x in range(3) if x != f]
+            want[names[f]] = sum(
+                math.factorial(k) * math.factorial(2 - k) / 6 * sum(expected(t, 0, bins, {*some, f}) - expected(t, 0, bins, set(some)) for t in model.trees)
+                for k in range(3) for some in itertools.combinations(others, k)
+            )
+        best = sorted(want, key=lambda n: -abs(want[n]))[:2]
+        assert {c["feature"]: c["value"] for c in r["contributors"]} == pytest.approx({n: want[n] for n in best}, abs=1e-9)
+        margin = r["base"] + sum(c["value"] for c in r["contributors"]) + r["rest"]
+        assert 1 / (1 + math.exp(-margin)) == pytest.approx(scores[r["report"]])
+    assert len(made) == 40
