@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import running
@@ -84,6 +84,10 @@ def average_precision(rows: DataFrame) -> DataFrame:
     return t.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos").cast("double")).alias("auprc"))
 
 
+#: Equal rows of a chunk.
+EQUAL = 10_000
+
+
 def bootstrap_difference(rows: DataFrame, replicates: int = 500, seed: int = 42, key: str | None = None) -> pd.DataFrame:
     """(delta mean, 2.5 and 97.5 % quantiles, share above 0) of AUC(score_b) - AUC(score_a), stratified by class and paired.
 
@@ -93,8 +97,12 @@ def bootstrap_difference(rows: DataFrame, replicates: int = 500, seed: int = 42,
     an even deal among equal ones)."""
     plain = rows.select(*([F.col(key).alias("_id")] if key else []), "label", "score_a", "score_b")
     if not key:
-        number = Window.partitionBy("label", "score_a", "score_b").orderBy(F.lit(0))
-        plain = plain.withColumn("_id", F.struct("label", "score_a", "score_b", F.row_number().over(number)))
+        # equal rows are counted, and made again in chunks with numbers of their own, so that many of them are spread over tasks
+        values = ["label", "score_a", "score_b"]
+        counted = plain.groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
+        chunks = counted.select("*", F.explode(F.expr(f"sequence(0, (_n - 1) div {EQUAL})")).alias("_chunk")).repartition(*values, "_chunk")
+        number = F.explode(F.expr(f"sequence(_chunk * {EQUAL} + 1, least(_n, (_chunk + 1) * {EQUAL}))")).alias("_at")
+        plain = chunks.select(*values, number).select(*values, F.struct(*values, F.col("_at").cast("int")).alias("_id"))
     # Poisson(1) by inversion of its distribution function; beyond 7 there are 10 in a million
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
     out = None
