@@ -19,33 +19,36 @@ def aliases(canonical: DataFrame, synonyms: DataFrame) -> DataFrame:
     return first.where("best.n = 1").select("alias", "best.dc_id")
 
 
-def resolve(names: DataFrame, name: str, known: DataFrame) -> DataFrame:
-    """(name, ids): the whole normalised name, else all of its components (split at / and +), sorted; null if any fails.
-    known: (alias, dc_id); an alias may have several ids."""
+def resolve(names: DataFrame, name: str, known: DataFrame, whole: bool = True) -> DataFrame:
+    """(name, ids): the ids of the whole normalised name where that is asked for, else those of all its components (split at /
+    and +, empty ones left out), each of which has to mean one id; sorted, null if any fails. known: (alias, dc_id)."""
     sets = known.groupBy("alias").agg(F.array_sort(F.collect_set("dc_id")).alias("ids"))
-    one = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_whole", C.drug_name(F.col(name)))
-    parts = one.withColumn("_part", F.explode(F.transform(F.split(F.upper(F.col(name)), r"\s*(?:/|\+)\s*"), C.drug_name)))
-    whole = one.join(sets.withColumnsRenamed({"alias": "_whole", "ids": "_w"}), "_whole", "left").select(name, "_w")
-    each = parts.join(sets.withColumnsRenamed({"alias": "_part", "ids": "_p"}), "_part", "left")
-    both = each.groupBy(name).agg(F.bool_and(F.col("_p").isNotNull()).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("_c"))
-    return whole.join(both, name).select(name, F.coalesce("_w", F.when(F.col("_all"), F.col("_c"))).alias("ids"))
+    one = names.select(name).where(F.col(name).isNotNull()).distinct()
+    parts = F.filter(F.transform(F.split(F.upper(F.col(name)), r"\s*(?:/|\+)\s*"), C.drug_name), lambda x: x != "")
+    each = one.select(name, F.explode(parts).alias("_part")).join(sets.withColumnsRenamed({"alias": "_part", "ids": "_p"}), "_part", "left")
+    both = each.groupBy(name).agg(F.bool_and(F.col("_p").isNotNull() & (F.size("_p") == 1)).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("_c"))
+    out = one.join(both, name, "left").withColumn("ids", F.when(F.col("_all"), F.col("_c")))
+    if whole:
+        out = out.withColumn("_whole", C.drug_name(F.col(name))).join(sets.withColumnsRenamed({"alias": "_whole", "ids": "_w"}), "_whole", "left").withColumn("ids", F.coalesce("_w", "ids"))
+    return out.select(name, "ids")
 
 
 def exact_cascade(rows: DataFrame, known: DataFrame, rxnorm: DataFrame | None = None) -> DataFrame:
-    """(faers_raw, ids, conflict) of (faers_raw, prod_ai) rows. prod_ai comes before the name, own aliases before RxNorm's;
-    a raw name whose prod_ai lead to several results is a conflict and stays unmapped."""
-    raw = rows.select("faers_raw", "prod_ai").distinct()
-
-    def step(table: DataFrame, by: str, tables: list[DataFrame], out: str) -> DataFrame:
-        for k, t in enumerate(tables):
-            table = table.join(resolve(raw, by, t).withColumnRenamed("ids", f"_{out}{k}"), by, "left")
-        return table.withColumn(out, F.coalesce(*[F.col(f"_{out}{k}") for k in range(len(tables))])).drop(*[f"_{out}{k}" for k in range(len(tables))])
-
-    tables = [known, *([rxnorm] if rxnorm is not None else [])]
-    out = step(step(raw, "prod_ai", tables, "by_ai"), "faers_raw", tables, "by_name")
-    per = out.groupBy("faers_raw").agg(F.collect_set("by_ai").alias("ai"), F.max("by_name").alias("by_name"))
-    conflict = F.size("ai") > 1
-    return per.select("faers_raw", F.when(~conflict, F.coalesce(F.when(F.size("ai") == 1, F.col("ai")[0]), F.col("by_name"))).alias("ids"), conflict.cast("int").alias("conflict"))
+    """(faers_raw, ids, conflict) of (faers_raw, prod_ai) rows: own aliases of prod_ai, then of the name, then RxNorm's of
+    prod_ai, then of the name. Where prod_ai lead to several results before anything else decides, it is a conflict and the
+    name stays unmapped. RxNorm's whole names may mean several ids."""
+    out = raw = rows.select("faers_raw", "prod_ai").distinct()
+    tables = [(known, False), *([(rxnorm, True)] if rxnorm is not None else [])]
+    for k, (t, whole) in enumerate(tables):
+        for by, tag in (("prod_ai", "ai"), ("faers_raw", "name")):
+            out = out.join(resolve(raw, by, t, whole).withColumnRenamed("ids", f"_{tag}{k}"), by, "left")
+    per = out.groupBy("faers_raw").agg(*[x for k in range(len(tables)) for x in (F.collect_set(f"_ai{k}").alias(f"_ai{k}"), F.max(f"_name{k}").alias(f"_name{k}"))])
+    ids, conflict = F.lit(None).cast("array<bigint>"), F.lit(0)
+    for k in reversed(range(len(tables))):
+        n = F.size(f"_ai{k}")
+        ids = F.when(n > 1, F.lit(None)).when(n == 1, F.col(f"_ai{k}")[0]).otherwise(F.coalesce(f"_name{k}", ids))
+        conflict = F.when(n > 1, 1).when((n == 1) | F.col(f"_name{k}").isNotNull(), 0).otherwise(conflict)
+    return per.select("faers_raw", ids.alias("ids"), conflict.alias("conflict"))
 
 
 def fuzzy(names: DataFrame, known: DataFrame, cutoff: float = 97, margin: float = 3, measure: Measure = WEIGHTED, rivals: float | None = None) -> DataFrame:
@@ -88,7 +91,7 @@ def rxnorm_answers(responses: DataFrame, known: DataFrame) -> DataFrame:
     rank = F.coalesce("rank", F.lit(0))
     best = rows.groupBy("query_name").agg(F.min(rank).alias("_best"))
     rows = rows.join(best, "query_name").where(rank == F.col("_best"))
-    found = rows.join(resolve(rows, "name", known), "name").where("ids is not null")
+    found = rows.join(resolve(rows, "name", known, whole=False), "name").where("ids is not null")
     one = found.groupBy("query_name").agg(F.size(F.collect_set("ids")).alias("n"), F.min_by(F.struct("name", "rxcui", "ids"), "place").alias("first")).where("n = 1")
     return one.select(F.col("first.name").alias("rxnorm_name"), F.explode("first.ids").alias("struct_id"), F.col("first.rxcui").alias("rxcui"), F.lit("rxnorm_api").alias("source"), "query_name")
 

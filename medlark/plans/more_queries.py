@@ -419,10 +419,10 @@ _CLEAN = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
 @query(f"""WITH known AS (SELECT {_CLEAN.format("p_name")} AS alias, list_sort(list(DISTINCT p_partkey % 7)) AS ids FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
     asked AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' / ' || p_brand END AS name FROM part UNION SELECT DISTINCT p_name || '+' || reverse(p_name) FROM part UNION SELECT DISTINCT p_name || ' + red bolt' FROM part),
     parts AS (SELECT name, unnest(regexp_split_to_array(upper(name), '\\s*(?:/|\\+)\\s*')) AS part FROM asked),
-    per_name AS (SELECT name, bool_and(ids IS NOT NULL) AS every, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM parts LEFT JOIN known ON alias = {_CLEAN.format("part")} GROUP BY name)
+    per_name AS (SELECT name, bool_and(ids IS NOT NULL AND len(ids) = 1) AS every, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM parts LEFT JOIN known ON alias = {_CLEAN.format("part")} GROUP BY name)
     SELECT name, array_to_string(coalesce(k.ids, CASE WHEN every THEN b.ids END), ',') AS ids FROM asked LEFT JOIN known k ON k.alias = {_CLEAN.format("name")} JOIN per_name b USING (name)""")
 def multi_id_names(spark, sf_dir):
-    """Whole names with several ids first, else all their components."""
+    """Whole names with several ids first, else all their components, each with one."""
     p = P.table(spark, sf_dir, "part")
     known = p.where("p_partkey % 3 <> 0").select(C.drug_name(F.col("p_name")).alias("alias"), (F.col("p_partkey") % 7).alias("dc_id")).distinct()
     asked = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" / "), "p_brand")).alias("name"))
@@ -457,3 +457,25 @@ def layout_tiles(spark, sf_dir):
     placed = GR.checkpointed(GR.dense_index(GR.tiled(points, 2), [F.asc("tile"), F.asc("id")], "place"))
     edges = P.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id")).join(placed.select("id", "place", "tile"), "id")
     return GR.tile_index(placed, GR.dense_index(edges, [F.asc("tile"), F.asc("place"), F.asc("o_orderkey")], "at"), 2)
+
+
+@query(f"""WITH p AS (SELECT p_name || ' ' || p_brand AS faers_raw, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_type WHEN 2 THEN p_name || ' + ' WHEN 3 THEN 'nothing' ELSE p_name END AS prod_ai, * FROM part),
+    own AS (SELECT {_CLEAN.format("p_type")} AS alias, length(p_type) AS id FROM part WHERE p_type <> 'PROMO' UNION SELECT {_CLEAN.format("faers_raw")}, 100 FROM p WHERE p_brand LIKE '%7'),
+    rx AS (SELECT DISTINCT {_CLEAN.format("p_name")} AS alias, 200 + p_size % 2 AS id FROM part WHERE p_size % 3 = 0 OR p_name LIKE 'red%' UNION SELECT DISTINCT {_CLEAN.format("faers_raw")}, 300 FROM p WHERE p_brand LIKE '%5'),
+    rxs AS (SELECT alias, list_sort(list(id)) AS ids FROM rx GROUP BY alias), o AS (SELECT alias, any_value(id) AS id FROM own GROUP BY alias),
+    r AS (SELECT DISTINCT faers_raw, prod_ai FROM p),
+    found AS (SELECT faers_raw, list(DISTINCT oa.id) FILTER (oa.id IS NOT NULL) AS oa, any_value(orw.id) AS orw, list(DISTINCT ra.ids) FILTER (ra.ids IS NOT NULL) AS ra, any_value(rr.ids) AS rr FROM r
+        LEFT JOIN o oa ON oa.alias = {_CLEAN.format("prod_ai")} LEFT JOIN o orw ON orw.alias = {_CLEAN.format("faers_raw")} LEFT JOIN rxs ra ON ra.alias = CASE WHEN prod_ai LIKE '%+%' THEN '' ELSE {_CLEAN.format("prod_ai")} END OR (prod_ai LIKE '%+%' AND ra.alias = {_CLEAN.format("prod_ai")}) LEFT JOIN rxs rr ON rr.alias = {_CLEAN.format("faers_raw")} GROUP BY faers_raw)
+    SELECT faers_raw, CASE WHEN len(oa) > 1 THEN NULL WHEN len(oa) = 1 THEN CAST(oa[1] AS VARCHAR) WHEN orw IS NOT NULL THEN CAST(orw AS VARCHAR) WHEN len(ra) > 1 THEN NULL WHEN len(ra) = 1 THEN array_to_string(ra[1], ',') ELSE array_to_string(rr, ',') END AS ids,
+        CASE WHEN len(oa) > 1 THEN 1 WHEN len(oa) = 1 OR orw IS NOT NULL THEN 0 WHEN len(ra) > 1 THEN 1 ELSE 0 END AS conflict FROM found""")
+def mapping_cascade(spark, sf_dir):
+    """The order of the exact steps, conflicts included: own aliases of prod_ai and name, then RxNorm's."""
+    raw = F.concat("p_name", F.lit(" "), "p_brand")
+    k = F.col("p_partkey") % 5
+    ai = F.when(k == 1, F.col("p_type")).when(k == 2, F.concat("p_name", F.lit(" + "))).when(k == 3, "nothing").when(k == 4, F.col("p_name"))
+    p = P.table(spark, sf_dir, "part").withColumns({"faers_raw": raw, "prod_ai": ai})
+    alias = lambda rows, c, id: rows.select(C.drug_name(F.col(c)).alias("alias"), id.cast("bigint").alias("dc_id"))
+    own = alias(p.where("p_type <> 'PROMO'"), "p_type", F.length("p_type")).unionByName(alias(p.where("p_brand like '%7'"), "faers_raw", F.lit(100))).distinct()
+    rx = alias(p.where("p_size % 3 = 0 or p_name like 'red%'"), "p_name", 200 + F.col("p_size") % 2).unionByName(alias(p.where("p_brand like '%5'"), "faers_raw", F.lit(300))).distinct()
+    out = NA.exact_cascade(p.select("faers_raw", "prod_ai"), own, rx)
+    return out.select("faers_raw", F.when(F.col("ids").isNotNull(), F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"), F.col("conflict").cast("int").alias("conflict"))
