@@ -117,8 +117,10 @@ def by_segments(names: DataFrame, aliases: DataFrame, r: float, measure: Measure
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
     asked = asked.select("*", F.explode(F.sequence(-F.col("e"), F.col("e"))).alias("move"))
     place, size = start(F.col("k"), F.col("d"), F.col("m")) + F.col("move"), start(F.col("k") + 1, F.col("d"), F.col("m")) - start(F.col("k"), F.col("d"), F.col("m"))
-    asked = asked.where((place >= 0) & (place + size <= F.col("n"))).select("name", "initial", "m", "k", F.substr("name", place + 1, size).alias("segment"))
-    return asked.join(index, ["initial", "m", "k", "segment"]).select("name", "alias").distinct()
+    asked = asked.where((place >= 0) & (place + size <= F.col("n"))).select("name", "initial", "m", "k", "e", F.substr("name", place + 1, size).alias("segment"))
+    met = asked.join(index, ["initial", "m", "k", "segment"])
+    # a banded distance, JVM-side, before anything is shuffled: no score takes fewer edits than the edit distance
+    return met.where(F.expr("levenshtein(name, alias, e)") >= 0).select("name", "alias").distinct()
 
 
 def by_grams(names: DataFrame, aliases: DataFrame, r: float, measure: Measure) -> DataFrame:
