@@ -79,9 +79,11 @@ def fuzzy_cascade(rows: DataFrame, known: DataFrame, cutoff: float = 97, margin:
 
 
 def rxnorm_local(identifiers: DataFrame, labels: DataFrame) -> DataFrame:
-    """Names of the label mapping (rxcui, rxstring) for the ingredients' identifiers (rxcui, struct_id)."""
+    """Names of the label mapping (rxcui, rxstring) for the ingredients' identifiers (rxcui, struct_id). Both sides are distinct
+    before they meet, so the join makes each row of the result once."""
     names = labels.where(C.filled(F.col("rxcui")) & C.filled(F.col("rxstring"))).select("rxcui", F.col("rxstring").alias("rxnorm_name")).distinct()
-    return identifiers.join(names, "rxcui").select("rxnorm_name", "struct_id", "rxcui", F.lit("drugcentral_identifier").alias("source"), F.lit(None).cast("string").alias("query_name")).distinct()
+    ids = identifiers.select("rxcui", "struct_id").distinct()
+    return ids.join(names, "rxcui").select("rxnorm_name", "struct_id", "rxcui", F.lit("drugcentral_identifier").alias("source"), F.lit(None).cast("string").alias("query_name"))
 
 
 def rxnorm_answers(responses: DataFrame, known: DataFrame) -> DataFrame:
