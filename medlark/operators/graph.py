@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .names import ids_of
+from .names import counted_ids, ids_of
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration: written to spark.checkpoint.dir."""
@@ -59,13 +59,24 @@ def drug_nodes(mapped: DataFrame, unknown: DataFrame, has_other: bool = True) ->
 
 def graph_edges(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (patient_index, node_index): known names by id, frequent unknown ones by rank, the rest to OTHER."""
+    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).scalar()
+    return ids_of(named, "patient_index", node_pairs(dictionary, unknown, nodes), "node_index", other).select("patient_index", F.explode("ids").alias("node_index"))
+
+
+def node_counts(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """(node_index, a, b): serious and other patients of each node by the edges of graph_edges, which aren't made for it.
+    reports: (patient_index, is_serious)."""
+    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).first()[0]
+    return counted_ids(named.withColumnRenamed("patient_index", "report"), reports.withColumnRenamed("patient_index", "report"), node_pairs(dictionary, unknown, nodes), "node_index", other)
+
+
+def node_pairs(dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(faers_raw, node_index) of known and frequent unknown names; a known name whose id has no node has null, as it is no
+    OTHER."""
     mapped = dictionary.where("dc_id > 0").select("faers_raw", F.col("dc_id").alias("semantic_id"))
     labels = unknown.select("faers_raw").join(nodes.where("node_kind = 'frequent_unknown'").select(F.col("node_label").alias("faers_raw"), "semantic_id"), "faers_raw")
     pairs = mapped.unionByName(labels.join(mapped.select("faers_raw").distinct(), "faers_raw", "left_anti"))
-    # left: a known name whose id has no node is no OTHER
-    pairs = pairs.join(nodes.select("semantic_id", "node_index"), "semantic_id", "left").select("faers_raw", "node_index")
-    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).scalar()
-    return ids_of(named, "patient_index", pairs, "node_index", other).select("patient_index", F.explode("ids").alias("node_index"))
+    return pairs.join(nodes.select("semantic_id", "node_index"), "semantic_id", "left").select("faers_raw", "node_index")
 
 
 def degree(edges: DataFrame) -> DataFrame:

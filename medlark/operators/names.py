@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +171,10 @@ def atc_by_structure(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("struct_id").cast("bigint").alias("dc_id")).agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.trim("atc_code")))), "|").alias("atc_code"))
 
 
-#: Pairs of name and id up to which they go to every task; more are joined by a shuffle.
-BROADCAST_PAIRS = 400_000
+#: Pairs of name and id up to which they go to every task (8 bytes a pair in arrays); more are joined by a shuffle.
+BROADCAST_PAIRS = 4_000_000
+#: Cells of reports and ids that a task marks at once.
+CELLS = 4_000_000
 
 
 def ids_of(named: DataFrame, key: str, pairs: DataFrame, id: str, otherwise: Column | None = None) -> DataFrame:
@@ -183,15 +190,58 @@ def ids_of(named: DataFrame, key: str, pairs: DataFrame, id: str, otherwise: Col
     return found.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(ids))).alias("ids"))
 
 
+def counted_ids(named: DataFrame, reports: DataFrame, pairs: DataFrame, id: str, otherwise: list[int] | None = None) -> DataFrame:
+    """(id, a, b): how many serious and other reports have a name of the id. named: (report, faers_raw), reports: (report,
+    is_serious), pairs and otherwise as in ids_of. Tasks mark a report's ids and hand on a row an id: a report's ids are
+    neither listed nor shuffled, so what is shuffled are names, whatever number of ids they have."""
+    pairs = pairs.select("faers_raw", F.col(id).cast("long").alias("_id")).where(F.col("faers_raw").isNotNull())
+    serious = F.col("is_serious") == 1
+    reports = reports.select("report", "is_serious")
+    if pairs.limit(BROADCAST_PAIRS + 1).count() > BROADCAST_PAIRS:
+        default = None if otherwise is None else F.array(*[F.lit(x).cast("long") for x in otherwise]) if otherwise else F.array().cast("array<bigint>")
+        seen = ids_of(named, "report", pairs, "_id", default).join(reports, "report").select(F.explode("ids").alias(id), "is_serious")
+        return seen.groupBy(id).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
+    known = pairs.groupBy("faers_raw").agg(F.collect_set("_id").alias("ids")).toArrow()
+    lists = known["ids"].combine_chunks()
+    values, places = np.unique(np.concatenate([lists.flatten().to_numpy(), np.array(otherwise or [], dtype="int64")]), return_inverse=True)
+    # the last stretch is that of names without pairs
+    starts = np.concatenate([lists.offsets.to_numpy() - lists.offsets[0].as_py(), [len(places)]]).astype("int64")
+    table = named.sparkSession.sparkContext.broadcast((known["faers_raw"].combine_chunks(), starts, places.astype("int32"), values))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, places, values = table.value
+        k, sizes = len(values), np.diff(starts)
+        total = np.zeros((2, k), dtype="int64")
+        for batch in batches if k else ():
+            at = pc.fill_null(pc.index_in(batch["names"].flatten(), value_set=names), len(names)).to_numpy()
+            ends = batch["names"].offsets.to_numpy() - batch["names"].offsets[0].as_py()
+            flags = batch["serious"].to_numpy()
+            for lo in range(0, batch.num_rows, step := max(1, CELLS // k)):
+                cut = ends[lo : lo + step + 1]
+                here = at[cut[0] : cut[-1]]
+                n = sizes[here]
+                ids = places[np.arange(n.sum()) + np.repeat(starts[here] - np.cumsum(n) + n, n)]
+                hit = np.zeros((len(cut) - 1) * k, dtype="uint8")
+                hit[np.repeat(np.repeat(np.arange(len(cut) - 1) * k, np.diff(cut)), n) + ids] = 1
+                hit, own = hit.reshape(-1, k), flags[lo : lo + step]
+                for j in (0, 1):
+                    total[j] += hit[own == j].sum(0, dtype="int64")
+        some = total.sum(0) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(values[some], pa.int64()), pa.array(total[1][some]), pa.array(total[0][some])], names=[id, "a", "b"])
+
+    # a struct, as sets leave out nulls; a report without a known outcome counts nowhere
+    own = named.groupBy("report").agg(F.collect_set(F.struct("faers_raw")).alias("_n")).join(reports.where(serious.isNotNull()), "report")
+    rows = own.select(F.col("_n.faers_raw").alias("names"), serious.cast("int").alias("serious"))
+    return rows.mapInArrow(tally, f"{id} long, a long, b long").groupBy(id).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def dictionary_ror(dictionary: DataFrame, report_drug: DataFrame, cohort: DataFrame) -> DataFrame:
     """The dictionary with its ROR over all splits (conditional smoothing). Unmapped names share id 0 and one ROR."""
-    from .risk import counted, with_ror
+    from .risk import with_ror, with_totals
 
     named = report_drug.select(F.col("primaryid").alias("report"), F.trim("drugname").alias("faers_raw"))
     reports = cohort.select(F.col("primaryid").alias("report"), "is_serious", "split")
-    # a report's ids are listed one by one only where they are counted
-    seen = ids_of(named, "report", dictionary.select("faers_raw", "dc_id"), "dc_id").join(reports.select("report", "is_serious"), "report").select(F.explode("ids").alias("dc_id"), "is_serious")
-    rors = with_ror(counted(seen, reports, ["dc_id"]), "zero").select("dc_id", "ror")
+    rors = with_ror(with_totals(counted_ids(named, reports, dictionary, "dc_id"), reports, ["dc_id"]), "zero").select("dc_id", "ror")
     return dictionary.drop("ror").join(rors, "dc_id", "left")
 
 

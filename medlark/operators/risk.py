@@ -18,10 +18,15 @@ def contingency(exposures: DataFrame, reports: DataFrame, keys: list[str]) -> Da
 
 
 def counted(rows: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
-    """`contingency` of exposures that have is_serious already. The totals are one row."""
+    """`contingency` of exposures that have is_serious already."""
+    serious = F.col("is_serious") == 1
+    return with_totals(rows.groupBy(*keys).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b")), reports, keys)
+
+
+def with_totals(cells: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b) with c and d. The totals are one row."""
     serious = F.col("is_serious") == 1
     total = reports.agg(F.count_if(serious).alias("serious"), F.count_if(~serious).alias("calm"))
-    cells = rows.groupBy(*keys).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
     return cells.crossJoin(F.broadcast(total)).select(*keys, "a", "b", (F.col("serious") - F.col("a")).alias("c"), (F.col("calm") - F.col("b")).alias("d"))
 
 

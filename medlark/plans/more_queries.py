@@ -436,9 +436,9 @@ def multi_id_names(spark, sf_dir):
 def graph_drug_ror(spark, sf_dir):
     """RORs of the graph's nodes, from training reports only."""
     edges, unknown, nodes, dictionary = _graph(spark, sf_dir)
-    links = GR.graph_edges(edges, dictionary, unknown, nodes).withColumnRenamed("patient_index", "report")
-    train = P.reports(spark, sf_dir).where("split = 'train'").select("report", "is_serious")
-    return _rounded(RI.with_ror(RI.contingency(links, train, ["node_index"]), "zero"), 9, "ror")
+    train = P.reports(spark, sf_dir).where("split = 'train'").select(F.col("report").alias("patient_index"), "is_serious")
+    cells = GR.node_counts(edges, dictionary, unknown, nodes, train)
+    return _rounded(RI.with_ror(RI.with_totals(cells, train, ["node_index"]), "zero"), 9, "ror")
 
 
 _TILE = "(cx & 1) | ((cy & 1) << 1) | ((cx >> 1 & 1) << 2) | ((cy >> 1 & 1) << 3)"

@@ -34,3 +34,34 @@ def test_rxnorm_rows_meet_once(spark):
     out = NA.rxnorm_local(identifiers, labels)
     assert out.count() == 6 and out.distinct().count() == 6
     assert made(out, "Join", "numOutputRows") == 6
+
+
+def _many_ids(spark, ids: int):
+    named = spark.range(400).select((F.col("id") % 100).alias("report"), F.concat(F.lit("n"), (F.col("id") % 21).cast("string")).alias("faers_raw")).unionByName(spark.createDataFrame([(1, None)], "report long, faers_raw string"))
+    reports = spark.range(100).select(F.col("id").alias("report"), F.when(F.col("id") % 7 > 0, (F.col("id") % 2).cast("int")).alias("is_serious"))
+    pairs = spark.range(20 * ids).select(F.concat(F.lit("n"), (F.col("id") % 20).cast("string")).alias("faers_raw"), F.when(F.col("id") % 20 > 0, F.col("id") % (3 * ids)).alias("dc_id"))
+    return named, reports, pairs
+
+
+def test_counted_ids_equal_listed_ones_on_both_paths(spark, monkeypatch):
+    named, reports, pairs = _many_ids(spark, 50)
+    for otherwise in (None, [], [-1]):
+        default = None if otherwise is None else F.array(*[F.lit(x).cast("long") for x in otherwise]).cast("array<bigint>")
+        seen = NA.ids_of(named, "report", pairs, "dc_id", default).join(reports, "report").select(F.explode("ids").alias("dc_id"), "is_serious")
+        wanted = sorted(map(tuple, seen.groupBy("dc_id").agg(F.count_if(F.col("is_serious") == 1), F.count_if(F.col("is_serious") == 0)).collect()))
+        for cells, most in ((NA.CELLS, NA.BROADCAST_PAIRS), (7, NA.BROADCAST_PAIRS), (NA.CELLS, 5)):
+            monkeypatch.setattr(NA, "CELLS", cells)
+            monkeypatch.setattr(NA, "BROADCAST_PAIRS", most)
+            found = sorted(map(tuple, NA.counted_ids(named, reports, pairs, "dc_id", otherwise).collect()))
+            assert [r for r in found if r[1] + r[2]] == [r for r in wanted if r[1] + r[2]], (otherwise, cells, most)
+            monkeypatch.undo()
+
+
+def test_shuffled_rows_of_rors_do_not_grow_with_the_ids_of_a_name(spark):
+    def shuffled(ids: int) -> int:
+        named, reports, pairs = _many_ids(spark, ids)
+        cohort = reports.withColumnRenamed("report", "primaryid").withColumn("split", F.lit("train"))
+        out = NA.dictionary_ror(pairs.distinct().cache(), named.select(F.col("report").alias("primaryid"), F.col("faers_raw").alias("drugname")), cohort)
+        return made(out, "Generate", "numOutputRows")
+
+    assert shuffled(1000) == shuffled(10)
