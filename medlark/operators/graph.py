@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .names import counted_ids, ids_of
+from .names import counted_ids, linked
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration: written to spark.checkpoint.dir."""
@@ -59,8 +59,8 @@ def drug_nodes(mapped: DataFrame, unknown: DataFrame, has_other: bool = True) ->
 
 def graph_edges(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (patient_index, node_index): known names by id, frequent unknown ones by rank, the rest to OTHER."""
-    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).scalar()
-    return ids_of(named, "patient_index", node_pairs(dictionary, unknown, nodes), "node_index", other).select("patient_index", F.explode("ids").alias("node_index"))
+    other = nodes.where("semantic_id = -1").agg(F.collect_set("node_index")).first()[0]
+    return linked(named, "patient_index", node_pairs(dictionary, unknown, nodes), "node_index", other)
 
 
 def node_counts(named: DataFrame, dictionary: DataFrame, unknown: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:

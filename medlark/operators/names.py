@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -198,43 +198,83 @@ def counted_ids(named: DataFrame, reports: DataFrame, pairs: DataFrame, id: str,
     serious = F.col("is_serious") == 1
     reports = reports.select("report", "is_serious")
     if pairs.limit(BROADCAST_PAIRS + 1).count() > BROADCAST_PAIRS:
-        default = None if otherwise is None else F.array(*[F.lit(x).cast("long") for x in otherwise]) if otherwise else F.array().cast("array<bigint>")
+        default = None if otherwise is None else F.array(*[F.lit(x) for x in otherwise]).cast("array<bigint>")
         seen = ids_of(named, "report", pairs, "_id", default).join(reports, "report").select(F.explode("ids").alias(id), "is_serious")
         return seen.groupBy(id).agg(F.count_if(serious).alias("a"), F.count_if(~serious).alias("b"))
-    known = pairs.groupBy("faers_raw").agg(F.collect_set("_id").alias("ids")).toArrow()
-    lists = known["ids"].combine_chunks()
-    values, places = np.unique(np.concatenate([lists.flatten().to_numpy(), np.array(otherwise or [], dtype="int64")]), return_inverse=True)
-    # the last stretch is that of names without pairs
-    starts = np.concatenate([lists.offsets.to_numpy() - lists.offsets[0].as_py(), [len(places)]]).astype("int64")
-    table = named.sparkSession.sparkContext.broadcast((known["faers_raw"].combine_chunks(), starts, places.astype("int32"), values))
+    marked, values = _marks(named.sparkSession, pairs, otherwise)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, starts, places, values = table.value
-        k, sizes = len(values), np.diff(starts)
-        total = np.zeros((2, k), dtype="int64")
-        for batch in batches if k else ():
-            at = pc.fill_null(pc.index_in(batch["names"].flatten(), value_set=names), len(names)).to_numpy()
-            ends = batch["names"].offsets.to_numpy() - batch["names"].offsets[0].as_py()
+        total = np.zeros((2, len(values)), dtype="int64")
+        for batch in batches:
             flags = batch["serious"].to_numpy()
-            for lo in range(0, batch.num_rows, step := max(1, CELLS // k)):
-                cut = ends[lo : lo + step + 1]
-                here = at[cut[0] : cut[-1]]
-                n = sizes[here]
-                ids = places[np.arange(n.sum()) + np.repeat(starts[here] - np.cumsum(n) + n, n)]
-                hit = np.zeros((len(cut) - 1) * k, dtype="uint8")
-                hit[np.repeat(np.repeat(np.arange(len(cut) - 1) * k, np.diff(cut)), n) + ids] = 1
-                hit, own = hit.reshape(-1, k), flags[lo : lo + step]
+            for lo, hit in marked(batch["names"]):
+                own = flags[lo : lo + len(hit)]
                 for j in (0, 1):
                     total[j] += hit[own == j].sum(0, dtype="int64")
         some = total.sum(0) > 0
         yield pa.RecordBatch.from_arrays([pa.array(values[some], pa.int64()), pa.array(total[1][some]), pa.array(total[0][some])], names=[id, "a", "b"])
 
-    # a struct, as sets leave out nulls; a report without a known outcome counts nowhere
-    own = named.groupBy("report").agg(F.collect_set(F.struct("faers_raw")).alias("_n")).join(reports.where(serious.isNotNull()), "report")
-    rows = own.select(F.col("_n.faers_raw").alias("names"), serious.cast("int").alias("serious"))
+    # a report without a known outcome counts nowhere
+    own = _listed(named, "report").join(reports.where(serious.isNotNull()), "report")
+    rows = own.select("names", serious.cast("int").alias("serious"))
     return rows.mapInArrow(tally, f"{id} long, a long, b long").groupBy(id).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def linked(named: DataFrame, key: str, pairs: DataFrame, id: str, otherwise: list[int] | None = None) -> DataFrame:
+    """Distinct (key, id) of the ids that a key's names stand for: the rows of ids_of. Names are shuffled and grouped, ids are
+    not: tasks mark those of some keys at once and hand them on."""
+    pairs = pairs.select("faers_raw", F.col(id).cast("long").alias("_id")).where(F.col("faers_raw").isNotNull())
+    if pairs.limit(BROADCAST_PAIRS + 1).count() > BROADCAST_PAIRS:
+        default = None if otherwise is None else F.array(*[F.lit(x) for x in otherwise]).cast("array<bigint>")
+        return ids_of(named, key, pairs, "_id", default).select(key, F.explode("ids").alias(id))
+    marked, values = _marks(named.sparkSession, pairs, otherwise)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hit in marked(batch["names"]):
+                row, at = np.nonzero(hit.view(bool))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(hit)))]).astype("int32")
+                yield pa.RecordBatch.from_arrays([batch[key][lo : lo + len(hit)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at], pa.int64()))], names=[key, "ids"])
+
+    rows = _listed(named, key)
+    return rows.mapInArrow(spread, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<bigint>").select(key, F.explode("ids").alias(id))
+
+
+def _listed(named: DataFrame, key: str) -> DataFrame:
+    """(key, names): the distinct names of each key, null too (in a struct, as sets leave out nulls)."""
+    return named.groupBy(key).agg(F.collect_set(F.struct("faers_raw")).alias("_n")).select(key, F.col("_n.faers_raw").alias("names"))
+
+
+def _marks(spark: SparkSession, pairs: DataFrame, otherwise: list[int] | None):
+    """A function for tasks, from lists of names to (first list, matrix of lists and ids: 1 where one of the names has the id),
+    some lists at a time, and the ids. pairs: (faers_raw, _id), at most BROADCAST_PAIRS; they go to every task."""
+    known = pairs.groupBy("faers_raw").agg(F.collect_set("_id").alias("ids")).toArrow()
+    lists = known["ids"].combine_chunks()
+    values, places = np.unique(np.concatenate([lists.flatten().to_numpy(), np.array(otherwise or [], dtype="int64")]), return_inverse=True)
+    # the last stretch is that of names without pairs
+    starts = np.concatenate([lists.offsets.to_numpy() - lists.offsets[0].as_py(), [len(places)]]).astype("int64")
+    table = spark.sparkContext.broadcast((known["faers_raw"].combine_chunks(), starts, places.astype("int32")))
+    k = len(values)
+
+    def marked(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+        names, starts, places = table.value
+        if not k:
+            return
+        sizes = np.diff(starts)
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), len(names)).to_numpy()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for lo in range(0, len(lists), step := max(1, CELLS // k)):
+            cut = ends[lo : lo + step + 1]
+            here = at[cut[0] : cut[-1]]
+            n = sizes[here]
+            ids = places[np.arange(n.sum()) + np.repeat(starts[here] - np.cumsum(n) + n, n)]
+            hit = np.zeros((len(cut) - 1) * k, dtype="uint8")
+            hit[np.repeat(np.repeat(np.arange(len(cut) - 1) * k, np.diff(cut)), n) + ids] = 1
+            yield lo, hit.reshape(-1, k)
+
+    return marked, values
+
+
 def dictionary_ror(dictionary: DataFrame, report_drug: DataFrame, cohort: DataFrame) -> DataFrame:
     """The dictionary with its ROR over all splits (conditional smoothing). Unmapped names share id 0 and one ROR."""
     from .risk import with_ror, with_totals

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medlark.operators import dose as DO
+from medlark.operators import graph as GR
 from medlark.operators import names as NA
 
 
@@ -47,11 +49,14 @@ def test_counted_ids_equal_listed_ones_on_both_paths(spark, monkeypatch):
     named, reports, pairs = _many_ids(spark, 50)
     for otherwise in (None, [], [-1]):
         default = None if otherwise is None else F.array(*[F.lit(x).cast("long") for x in otherwise]).cast("array<bigint>")
-        seen = NA.ids_of(named, "report", pairs, "dc_id", default).join(reports, "report").select(F.explode("ids").alias("dc_id"), "is_serious")
+        listed = NA.ids_of(named, "report", pairs, "dc_id", default).select("report", F.explode("ids").alias("dc_id"))
+        seen = listed.join(reports, "report")
+        listed = sorted(map(tuple, listed.collect()))
         wanted = sorted(map(tuple, seen.groupBy("dc_id").agg(F.count_if(F.col("is_serious") == 1), F.count_if(F.col("is_serious") == 0)).collect()))
         for cells, most in ((NA.CELLS, NA.BROADCAST_PAIRS), (7, NA.BROADCAST_PAIRS), (NA.CELLS, 5)):
             monkeypatch.setattr(NA, "CELLS", cells)
             monkeypatch.setattr(NA, "BROADCAST_PAIRS", most)
+            assert sorted(map(tuple, NA.linked(named, "report", pairs, "dc_id", otherwise).collect())) == listed, (otherwise, cells, most)
             found = sorted(map(tuple, NA.counted_ids(named, reports, pairs, "dc_id", otherwise).collect()))
             assert [r for r in found if r[1] + r[2]] == [r for r in wanted if r[1] + r[2]], (otherwise, cells, most)
             monkeypatch.undo()
@@ -65,3 +70,19 @@ def test_shuffled_rows_of_rors_do_not_grow_with_the_ids_of_a_name(spark):
         return made(out, "Generate", "numOutputRows")
 
     assert shuffled(1000) == shuffled(10)
+
+
+def test_edges_are_made_without_collecting_the_ids_of_names(spark):
+    named, _, pairs = _many_ids(spark, 100)
+    nodes = spark.range(300).select(F.col("id").alias("node_index"), F.col("id").alias("semantic_id"), F.lit("mapped").alias("node_kind"), F.lit("").alias("node_label"))
+    out = GR.graph_edges(named.withColumnRenamed("report", "patient_index"), pairs, spark.createDataFrame([], "faers_raw string, rank int"), nodes)
+    assert out.count() == out.distinct().count() > 5_000
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_doses_are_read_once_for_a_filter(spark):
+    edges = spark.createDataFrame([("5", " m.g\t", "Q D")], "dose_amt string, dose_unit string, dose_freq string")
+    rows = DO.canonical(edges)
+    assert rows.select("canonical_amount", "dose_dimension", "administrations_per_day", "canonical_daily_amount").collect() == [(5.0, "mass_mg", 1.0, 5.0)]
+    plan = rows.where("canonical_amount is not null and canonical_daily_amount > 1").select("canonical_daily_amount")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 4  # an amount a condition; once ten and more
