@@ -64,11 +64,15 @@ def clamped(c: Column, scale: float) -> Column:
     return F.least(F.greatest(c / scale, F.lit(0.0)), F.lit(1.0))
 
 
+#: White space of regular expressions and the full stop.
+_BLANKS = " \t\n\x0b\f\r."
+
+
 def unit_token(c: Column) -> Column:
     """The micro sign becomes U before upper case, which would make a Greek letter of it."""
     u = F.upper(F.translate(F.trim(F.coalesce(c, F.lit(""))), "µμ", "UU"))
     u = F.replace(F.replace(F.replace(u, F.lit("²"), F.lit("2")), F.lit("**"), F.lit("")), F.lit("^"), F.lit(""))
-    return F.regexp_replace(u, r"[\s.]", "")
+    return F.translate(u, _BLANKS, "")
 
 
 def _lookup(values: dict, key: Column, kind: str) -> Column:
@@ -89,7 +93,7 @@ def base_unit(dimension: Column) -> Column:
 
 
 def per_day(frequency: Column) -> Column:
-    token = F.regexp_replace(F.upper(F.trim(F.coalesce(frequency, F.lit("")))), r"[\s.]", "")
+    token = F.translate(F.upper(F.trim(F.coalesce(frequency, F.lit("")))), _BLANKS, "")
     return _lookup(V.PER_DAY, token, "double")
 
 
