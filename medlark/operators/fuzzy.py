@@ -109,7 +109,9 @@ def by_segments(names: DataFrame, aliases: DataFrame, r: float, measure: Measure
     start = lambda k, d, m: F.floor(k * m / (d + 1)).cast("int")  # noqa: E731  0-based
     cut = aliases.select("name", "initial", F.col("n").alias("m"), most(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
     lo, hi = start(F.col("k"), F.col("d"), F.col("m")), start(F.col("k") + 1, F.col("d"), F.col("m"))
-    index = cut.select(F.col("name").alias("alias"), "initial", "m", "k", F.substr("name", lo + 1, hi - lo).alias("segment"))
+    # length, segment and its letters as one number: what clashes falls to the distance below
+    key = lambda letters: F.xxhash64("m", "k", letters).alias("key")
+    index = cut.select(F.col("name").alias("alias"), "initial", key(F.substr("name", lo + 1, hi - lo)))
     # a name asks for each length that a partner may have, each segment, and each place that the edits may have moved it to
     least, largest = measure.lengths(F.col("n"), r)
     asked = names.select("name", "initial", "n", F.explode(_sequence(F.greatest(F.lit(1), least), largest)).alias("m")).withColumn("d", most(F.col("m")))
@@ -117,8 +119,9 @@ def by_segments(names: DataFrame, aliases: DataFrame, r: float, measure: Measure
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
     asked = asked.select("*", F.explode(F.sequence(-F.col("e"), F.col("e"))).alias("move"))
     place, size = start(F.col("k"), F.col("d"), F.col("m")) + F.col("move"), start(F.col("k") + 1, F.col("d"), F.col("m")) - start(F.col("k"), F.col("d"), F.col("m"))
-    asked = asked.where((place >= 0) & (place + size <= F.col("n"))).select("name", "initial", "m", "k", "e", F.substr("name", place + 1, size).alias("segment"))
-    met = asked.join(index, ["initial", "m", "k", "segment"])
+    asked = asked.where((place >= 0) & (place + size <= F.col("n"))).select("name", "initial", "e", key(F.substr("name", place + 1, size)))
+    # a name asks some sixty times, which no estimate of sizes knows of: neither side may go to all tasks by the driver
+    met = asked.join(index.hint("merge"), ["initial", "key"])
     # a banded distance, JVM-side, before anything is shuffled: no score takes fewer edits than the edit distance
     return met.where(F.expr("levenshtein(name, alias, e)") >= 0).select("name", "alias").distinct()
 
@@ -155,6 +158,7 @@ def by_grams(names: DataFrame, aliases: DataFrame, r: float, measure: Measure) -
     left, right = listed(names), listed(aliases)
     found = None
     for a, b in ((letters(left), letters(right)), (words(left), every(right)), (every(left), words(right))):
-        met = a.join(b.withColumnRenamed("name", "alias"), ["initial", "gram"]).select("name", "alias")
+        # grams are many to a name: neither side may go to all tasks by the driver
+        met = a.join(b.withColumnRenamed("name", "alias").hint("merge"), ["initial", "gram"]).select("name", "alias")
         found = met if found is None else found.unionByName(met)
     return found.distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medlark.operators import fuzzy as FZ
 from medlark.operators import graph as GR
 from medlark.operators import names as NA
 
@@ -77,3 +78,13 @@ def test_edges_are_made_without_collecting_the_ids_of_names(spark):
     out = GR.graph_edges(named.withColumnRenamed("report", "patient_index"), pairs, spark.createDataFrame([], "faers_raw string, rank int"), nodes)
     assert out.count() == out.distinct().count() > 5_000
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fuzzy_candidates_do_not_go_to_all_tasks_by_the_driver(spark):
+    label = F.concat(F.lit("LARGE RING PROMO LOT "), F.col("id").cast("string"))
+    names, aliases = spark.range(300).select(F.concat(label, F.lit("X")).alias("name")), spark.range(300).select(label.alias("alias"))
+    for r in (0.97, 0.8):
+        out = FZ.candidates(names, aliases, r)
+        # what may be sent is how often each gram is seen; names ask dozens of times
+        assert made(out, "BroadcastExchange", "numOutputRows") <= 200, r
+        assert out.count() >= 300
