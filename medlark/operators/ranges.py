@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 
 from .graph import checkpointed
 
+#: Rows that a task of `dealt` takes, about.
+ROWS = 100_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Tasks for so many rows, at least as many as shuffles have, so that joins follow them. Best asked of a table as it is
+    stored, where counting reads no rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+
+
+def dealt(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """rows by key, over a number of tasks that isn't coalesced: small shuffle files of short rows are large once they are hashed
+    or sorted, so memory is bounded by rows and not by bytes. What groups by the key and more isn't shuffled again."""
+    return rows.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
 
 def running(rows: DataFrame, order: list, sums: dict[str, str], parts: int | None = None, by: str | None = None) -> DataFrame:
     """rows with running sums: {new column: summed column}, in the given order and including the own row; with `by`, of each

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import dealt, parts_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that line items are dealt to."""
+    return parts_for(table(spark, sf_dir, "lineitem"))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.year("o_orderdate")
     return table(spark, sf_dir, "orders").select(

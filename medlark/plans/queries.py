@@ -16,6 +16,7 @@ from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import graph as GR
 from ..operators import names as NA
+from ..operators import ranges as RG
 from ..operators import risk as RI
 from ..operators.fuzzy import EDITS
 from . import proxy as P
@@ -171,7 +172,9 @@ def quarter_coverage(spark, sf_dir):
 @query(_sql(P.REPORTS, select="SELECT DISTINCT l_orderkey AS report, caseid, split, l_partkey AS drug, l_returnflag AS flag FROM lineitem JOIN reports ON report = l_orderkey"))
 def edge_dedup(spark, sf_dir):
     l = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("drug"), F.col("l_returnflag").alias("flag"))
-    return l.join(P.reports(spark, sf_dir).select("report", "caseid", "split"), "report").distinct().select("report", "caseid", "split", "drug", "flag")
+    # both sides are distinct before they meet, so what they make is, too
+    r = P.reports(spark, sf_dir).select("report", "caseid", "split").distinct()
+    return RG.dealt(l, "report", P.parts(spark, sf_dir)).distinct().join(r, "report").select("report", "caseid", "split", "drug", "flag")
 
 
 @query("""SELECT o_orderkey AS report, round(CASE u WHEN 'YR' THEN a WHEN 'MON' THEN a / 12.0 WHEN 'WK' THEN a / 52.142857 WHEN 'DY' THEN a / 365.25 WHEN 'HR' THEN a / 8766.0 WHEN 'DEC' THEN a * 10.0 END, 9) AS age_years

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medlark.operators import fuzzy as FZ
 from medlark.operators import graph as GR
 from medlark.operators import names as NA
+from medlark.operators import ranges as RG
+from medlark.plans import queries as Q
 
 
 def made(df: DataFrame, kind: str, metric: str) -> int:
@@ -88,3 +91,12 @@ def test_fuzzy_candidates_do_not_go_to_all_tasks_by_the_driver(spark):
         # what may be sent is how often each gram is seen; names ask dozens of times
         assert made(out, "BroadcastExchange", "numOutputRows") <= 200, r
         assert out.count() >= 300
+
+
+@pytest.mark.parametrize("make", [Q.edge_dedup], ids=lambda f: f.__name__)
+def test_a_task_holds_no_more_rows_than_its_share(spark, monkeypatch, make):
+    """Short rows in small shuffle files were coalesced into few tasks, each of which hashed millions."""
+    monkeypatch.setattr(RG, "ROWS", 500)
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert make(spark, folder)._jdf.queryExecution().toRdd().getNumPartitions() >= lines / 500
