@@ -9,22 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as V
-from .ranges import quantiles
+from .graph import checkpointed
+from .ranges import dealt, quantiles
+
+#: Terms up to which a vocabulary goes to every task.
+BROADCAST_TERMS = 400_000
 
 
 def atc_rows(exposures: DataFrame, codes: DataFrame) -> DataFrame:
-    """Distinct (report, dc_id, l1..l4) of well-formed codes; a drug's codes stand between bars."""
+    """Distinct (report, dc_id, l1..l4) of well-formed codes; a drug's codes stand between bars. Both sides are distinct before
+    they meet, so what they make is, too."""
     code = F.explode(F.split(F.coalesce("atc_code", F.lit("")), r"\|"))
     long = codes.select("dc_id", code.alias("code")).where(F.col("code").rlike("^[A-Z][0-9]{2}"))
-    return exposures.select("report", "dc_id").distinct().join(long, "dc_id").select("report", "dc_id", *[C.atc_level(F.col("code"), n).alias(f"l{i}") for i, n in enumerate((1, 3, 4, 5), 1)]).distinct()
+    levels = long.select("dc_id", *[C.atc_level(F.col("code"), n).alias(f"l{i}") for i, n in enumerate((1, 3, 4, 5), 1)]).distinct()
+    return exposures.select("report", "dc_id").distinct().join(levels, "dc_id").select("report", "dc_id", "l1", "l2", "l3", "l4")
 
 
-def atc_features(rows: DataFrame) -> DataFrame:
+def atc_features(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts are of distinct drugs. Rows are dealt by report once; that also clusters (report, drug, class) and
     (report, class), so nothing is shuffled again, and no aggregate needs a distinct of its own."""
-    dealt = rows.repartition("report")
+    by_report = dealt(rows, "report", parts)
     level = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"l{i}").alias("code")) for i in range(1, 5)]))
-    one = dealt.select("report", "dc_id", level.alias("at")).select("report", "dc_id", "at.level", "at.code").where("code is not null").distinct()
+    one = by_report.select("report", "dc_id", level.alias("at")).select("report", "dc_id", "at.level", "at.code").where("code is not null").distinct()
     n = one.groupBy("report", "level", "code").agg(F.count(F.lit(1)).alias("n"))
     at = lambda i: F.col("level") == i
     counts = n.groupBy("report").agg(
@@ -32,7 +38,7 @@ def atc_features(rows: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(F.when(at(1) & (F.col("code") == x), F.col("n"))), F.lit(0)).alias(f"count_{x.lower()}") for x in string.ascii_uppercase],
         *[F.coalesce(F.sum(F.when(at(i), F.col("n") - 1)), F.lit(0)).alias(f"therapeutic_duplicates_l{i}") for i in (1, 2)],
     )
-    per_drug = dealt.groupBy("report", "dc_id").agg(F.max(F.col("l1").isin(*V.ATC_RISK_LETTERS).cast("int")).alias("risk"), F.max(F.coalesce(F.col("l3").isin(*V.ATC_RISK_GROUPS), F.lit(False)).cast("int")).alias("group"))
+    per_drug = by_report.groupBy("report", "dc_id").agg(F.max(F.col("l1").isin(*V.ATC_RISK_LETTERS).cast("int")).alias("risk"), F.max(F.coalesce(F.col("l3").isin(*V.ATC_RISK_GROUPS), F.lit(False)).cast("int")).alias("group"))
     risk = per_drug.groupBy("report").agg(F.sum("risk").alias("num_high_risk_atc"), F.sum("group").alias("num_high_risk_atc_groups"))
     return counts.join(risk, "report")
 

@@ -27,13 +27,13 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("dc_id")).distinct()
+    return dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("dc_id")), "report", parts(spark, sf_dir)).distinct()
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposures to 25 brands, coarse enough for pairs with support."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 2).cast("int").alias("dc_id"))
-    return table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("report")).join(part, "l_partkey").select("report", "dc_id").distinct()
+    return dealt(table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("report")).join(part, "l_partkey").select("report", "dc_id"), "report", parts(spark, sf_dir)).distinct()
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ _ATC_COUNTS = ", ".join(f"count(DISTINCT dc_id) FILTER (l1 = '{x}') AS count_{x.
     LEFT JOIN (SELECT report, sum(greatest(k - 1, 0)) AS n FROM (SELECT report, l1, count(DISTINCT dc_id) AS k FROM lv GROUP BY ALL) GROUP BY report) d1 USING (report)
     LEFT JOIN (SELECT report, sum(greatest(k - 1, 0)) AS n FROM (SELECT report, l2, count(DISTINCT dc_id) AS k FROM lv WHERE l2 IS NOT NULL GROUP BY ALL) GROUP BY report) d2 USING (report)"""))
 def atc_hierarchy_counts(spark, sf_dir):
-    return FE.atc_features(FE.atc_rows(P.exposures(spark, sf_dir), P.codes(spark, sf_dir)))
+    return FE.atc_features(FE.atc_rows(P.exposures(spark, sf_dir), P.codes(spark, sf_dir)), P.parts(spark, sf_dir))
 
 
 _EXPOSURE_SQL = ", ".join([
