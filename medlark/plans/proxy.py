@@ -47,9 +47,12 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as dosed exposures: raw name, amount, unit, frequency, route, form. Rows aren't distinct."""
+    """Line items as dosed exposures: raw name, amount, unit, frequency, route, form. Rows aren't distinct; they are dealt by
+    report with the reports that they meet."""
+    n = parts(spark, sf_dir)
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("faers_raw"), "p_name", "p_type")
-    l = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(reports(spark, sf_dir).select(F.col("report").alias("l_orderkey"), "split"), "l_orderkey")
+    l = dealt(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", n)
+    l = l.join(reports(spark, sf_dir).select(F.col("report").alias("l_orderkey"), "split"), "l_orderkey")
     route = F.when(F.col("l_linenumber") == 1, "Intravenous drip").when(F.col("l_linenumber") == 2, "oral").when(F.col("l_linenumber") == 3, "iv").when(F.col("l_linenumber") == 4, "Subcutaneous").when(F.col("l_linenumber") == 5, " ")
     return l.select(
         F.col("l_orderkey").alias("primaryid"), "split", "faers_raw", "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("dose_amt"),
