@@ -71,9 +71,13 @@ def indication_vocabulary(terms: DataFrame, bins: int = 32) -> DataFrame:
     return rows.select("indication", C.hash_bin(F.col("indication"), bins).alias("hash_bin"), *[F.col("indication").rlike(x).cast("int").alias(f"has_{k}") for k, x in V.INDICATIONS.items()])
 
 
-def indication_features(terms: DataFrame, vocabulary: DataFrame, bins: int = 32) -> DataFrame:
-    """Flags and bin counts, a term once a report."""
-    one = terms.where(C.filled(F.col("indication"))).select("report", F.upper(F.trim("indication")).alias("indication")).distinct().join(vocabulary, "indication")
+def indication_features(terms: DataFrame, vocabulary: DataFrame, bins: int = 32, parts: int | None = None) -> DataFrame:
+    """Flags and bin counts, a term once a report. Rows are dealt by report, and again where the vocabulary is too large to go to
+    every task, so that no task holds more reports than its share."""
+    vocabulary = checkpointed(vocabulary)
+    small = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    one = dealt(terms.where(C.filled(F.col("indication"))).select("report", F.upper(F.trim("indication")).alias("indication")), "report", parts).distinct()
+    one = one.join(F.broadcast(vocabulary), "indication") if small else dealt(one.join(vocabulary, "indication"), "report", parts)
     return one.groupBy("report").agg(*[F.max(f"has_{k}").alias(f"has_{k}") for k in V.INDICATIONS], *[F.count_if(F.col("hash_bin") == b).alias(f"indication_hash_{b:02d}") for b in range(bins)])
 
 

@@ -334,7 +334,7 @@ def indication_vocab_hash(spark, sf_dir):
 
 @query(_sql(P.REPORTS, _TERMS, _VOCAB, select="SELECT report, " + ", ".join(f"max(has_{k}) AS has_{k}" for k in V.INDICATIONS) + ", " + ", ".join(f"count(*) FILTER (hash_bin = {b}) AS indication_hash_{b:02d}" for b in range(32)) + " FROM (SELECT DISTINCT report, upper(trim(indication)) AS indication FROM terms) JOIN vocab USING (indication) GROUP BY report"))
 def indication_features(spark, sf_dir):
-    return FE.indication_features(_terms(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return FE.indication_features(_terms(spark, sf_dir), _vocabulary(spark, sf_dir), parts=P.parts(spark, sf_dir))
 
 
 # --- names -------------------------------------------------------------------------------------------------------------
