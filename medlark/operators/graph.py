@@ -120,25 +120,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = after
 
 
-def pooled(edges: DataFrame, patients: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
-    """Mean and maximum of the drugs' values for each patient; 0 without drugs."""
-    agg = edges.join(values, "node_index").groupBy("patient_index").agg(*[f(n).alias(f"{n}_{tag}") for n in names for tag, f in (("mean", F.avg), ("max", F.max))])
+#: Nodes up to which their values go to every task.
+BROADCAST_NODES = 400_000
+
+
+def pooled(edges: DataFrame, patients: DataFrame, values: DataFrame, names: list[str], parts: int | None = None) -> DataFrame:
+    """Mean and maximum of the drugs' values for each patient; 0 without drugs. Edges stay as they are dealt where the values go
+    to every task, else they are dealt by patient before they are grouped, so that no task holds more patients than its share."""
+    from .ranges import dealt
+
+    values = checkpointed(values)
+    small = values.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    met = edges.join(F.broadcast(values), "node_index") if small else dealt(edges.join(values, "node_index"), "patient_index", parts)
+    agg = met.groupBy("patient_index").agg(*[f(n).alias(f"{n}_{tag}") for n in names for tag, f in (("mean", F.avg), ("max", F.max))])
     return patients.select("patient_index").join(agg, "patient_index", "left").fillna(0)
 
 
-def graph_features(edges: DataFrame, patients: DataFrame, nodes: DataFrame, steps: int = 3, alpha: float = 0.7) -> DataFrame:
+def graph_features(edges: DataFrame, patients: DataFrame, nodes: DataFrame, steps: int = 3, alpha: float = 0.7, parts: int | None = None) -> DataFrame:
     """Eight columns a patient: neighbour risk, propagated risk, component risk and degree, each as mean and maximum. patients: patient_index,
     split, is_serious; nodes: node_index, log_ror. Statistics come from training edges."""
     train = edges.join(patients.where("split = 'train'").select("patient_index", "is_serious"), "patient_index")
     weights = checkpointed(cooccurrence(train.select("patient_index", "node_index")))
     seen = train.groupBy("node_index").agg(F.avg("is_serious").alias("risk"), F.count(F.lit(1)).alias("degree"))
-    base = nodes.select("node_index", "log_ror").join(seen, "node_index", "left").fillna({"risk": 0.0, "degree": 0})
+    # a row a node, read many times below
+    base = checkpointed(nodes.select("node_index", "log_ror").join(seen, "node_index", "left").fillna({"risk": 0.0, "degree": 0}))
     near = neighbour_mean(weights, base, "log_ror")
     spread = propagated(weights, base.select("node_index", "risk"), "risk", steps, alpha).withColumnRenamed("risk", "propagated")
     part = components(base, weights)
     by_part = part.join(base, "node_index").groupBy("component").agg(F.avg("risk").alias("component_risk"))
     values = base.select("node_index", "degree").join(near, "node_index").join(spread, "node_index").join(part.join(by_part, "component").select("node_index", "component_risk"), "node_index")
-    return pooled(edges, patients, values, ["neighbour_log_ror", "propagated", "component_risk", "degree"])
+    return pooled(edges, patients, values, ["neighbour_log_ror", "propagated", "component_risk", "degree"], parts)
 
 
 def rotated(edges: DataFrame, nodes: int, seed: int, split_no: int) -> DataFrame:

@@ -425,7 +425,7 @@ _DEGREE = "deg AS (SELECT node_index, count(*) AS degree FROM links GROUP BY nod
 def _links(spark, sf_dir):
     node = F.substring("p_brand", 7, 2).cast("bigint") + 100 * (F.col("p_size") % 4)
     part = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), node.alias("node_index"))
-    return P.table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(F.col("l_orderkey").alias("patient_index"), "node_index").distinct()
+    return RG.dealt(P.table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(F.col("l_orderkey").alias("patient_index"), "node_index"), "patient_index", P.parts(spark, sf_dir)).distinct()
 
 
 @query(_sql(_LINKS, _DEGREE, select="SELECT * FROM deg"))
@@ -620,7 +620,7 @@ def patient_graph_features(spark, sf_dir):
     patients = P.reports(spark, sf_dir).select(F.col("report").alias("patient_index"), "split", "is_serious")
     links = _links(spark, sf_dir)
     nodes = links.select("node_index").distinct().withColumn("log_ror", F.col("node_index") / 100.0)
-    out = GR.graph_features(links, patients, nodes)
+    out = GR.graph_features(links, patients, nodes, parts=P.parts(spark, sf_dir))
     return out.select("patient_index", *[F.round(F.col(f"{c}_{t}").cast("double"), 9).alias(f"{c}_{t}") for c in _POOLED for t in ("mean", "max")])
 
 

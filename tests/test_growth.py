@@ -93,7 +93,7 @@ def test_fuzzy_candidates_do_not_go_to_all_tasks_by_the_driver(spark):
         assert out.count() >= 300
 
 
-@pytest.mark.parametrize("make", [Q.edge_dedup, Q.atc_hierarchy_counts, Q.exposure_documentation, Q.indication_features], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("make", [Q.edge_dedup, Q.atc_hierarchy_counts, Q.exposure_documentation, Q.indication_features, Q._links], ids=lambda f: f.__name__)
 def test_a_task_holds_no_more_rows_than_its_share(spark, monkeypatch, make):
     """Short rows in small shuffle files were coalesced into few tasks, each of which hashed millions."""
     monkeypatch.setattr(RG, "ROWS", 500)
