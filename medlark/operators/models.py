@@ -1,5 +1,5 @@
-"""Tabular models with features fitted on train only: boosted trees of our own (`boosted`), adaptive boosting of weighted
-pyspark.ml trees, and the models of pyspark.ml."""
+"""Tabular models with features fitted on train only: boosted trees (`boosted`) and forests (`forest`) of our own, adaptive
+boosting of weighted pyspark.ml trees, and the models of pyspark.ml."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosted as BO
+from . import forest as FO
 from .graph import checkpointed, shared_dir
 from .quality import require_no_targets
 
@@ -21,7 +22,6 @@ from .quality import require_no_targets
 def classifier(kind: str, width: int, seed: int = 42, **options):
     base = {"featuresCol": "scaled", "labelCol": "label"}
     made = {
-        "forest": lambda: RandomForestClassifier(**base, weightCol="weight", seed=seed, numTrees=options.get("trees", 500), maxDepth=options.get("depth", 20)),
         "logistic": lambda: LogisticRegression(**base, weightCol="weight", maxIter=options.get("rounds", 100)),
         "svm": lambda: LinearSVC(**base, weightCol="weight", maxIter=options.get("rounds", 50)),
         "network": lambda: MultilayerPerceptronClassifier(**base, seed=seed, maxIter=options.get("rounds", 60), layers=[width, options.get("hidden", 64), 2]),
@@ -36,7 +36,7 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).withColumn("weight", w).drop("_n", "_p")
 
 
-def fit(rows: DataFrame, features: list[str], kind: str = "forest", **options) -> PipelineModel | BO.Model | Voting:
+def fit(rows: DataFrame, features: list[str], kind: str = "forest", **options) -> PipelineModel | BO.Model | FO.Forest | Voting:
     """rows: features, label (0/1), split. Medians and scales come from train; boosted trees take options of boosted.Settings
     and stop by validation."""
     require_no_targets(features)
@@ -44,6 +44,8 @@ def fit(rows: DataFrame, features: list[str], kind: str = "forest", **options) -
         id = next(c for c in ("report", "patient_index", "primaryid") if c in rows.columns)
         settings = BO.Settings(**{k: v for k, v in options.items() if k in BO.Settings.__dataclass_fields__})
         return BO.fit(rows, features, f"{shared_dir(rows.sparkSession).rstrip('/')}/boosted-{uuid.uuid4().hex}", settings, id)
+    if kind == "forest":
+        return FO.fit(rows, features, **{k: v for k, v in options.items() if k in ("trees", "depth", "seed")})
     weighted = balanced(rows).withColumn("held", F.col("split") == "validation")
     filled = [f"{c}_filled" for c in features]
     stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="assembled"), StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True)]
@@ -93,9 +95,9 @@ def adaptive(prepared: PipelineModel, rows: DataFrame, rounds: int = 200, depth:
     return Voting(prepared, trees, votes)
 
 
-def scored(model: PipelineModel | BO.Model | Voting, rows: DataFrame) -> DataFrame:
+def scored(model: PipelineModel | BO.Model | FO.Forest | Voting, rows: DataFrame) -> DataFrame:
     """rows with score: the probability of class 1, or the margin through a logistic curve where there is none."""
-    if isinstance(model, BO.Model):
+    if isinstance(model, (BO.Model, FO.Forest)):
         return model.scored(rows)
     if isinstance(model, Voting):
         out = model.prepared.transform(rows)
@@ -114,7 +116,7 @@ def scored(model: PipelineModel | BO.Model | Voting, rows: DataFrame) -> DataFra
 
 
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    if isinstance(model, BO.Model):
+    if isinstance(model, (BO.Model, FO.Forest)):
         return model.importances()
     if isinstance(model, Voting):
         total = sum(w * t.featureImportances.toArray() for t, w in zip(model.trees, model.weights, strict=True)) / sum(model.weights)
@@ -124,9 +126,11 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, map(float, values.toArray()), strict=True), key=lambda x: -abs(x[1]))
 
 
-def save(spark: SparkSession, model: PipelineModel | BO.Model | Voting, path: str) -> None:
+def save(spark: SparkSession, model: PipelineModel | BO.Model | FO.Forest | Voting, path: str) -> None:
     if isinstance(model, BO.Model):
         model.save(spark, f"{path}/boosted")
+    elif isinstance(model, FO.Forest):
+        model.save(spark, f"{path}/forest")
     elif isinstance(model, Voting):
         PipelineModel(stages=[*model.prepared.stages, *model.trees]).write().overwrite().save(f"{path}/trees")
         spark.createDataFrame([(len(model.prepared.stages), model.weights)], "first int, weights array<double>").write.mode("overwrite").parquet(f"{path}/votes")
@@ -134,13 +138,15 @@ def save(spark: SparkSession, model: PipelineModel | BO.Model | Voting, path: st
         model.write().overwrite().save(f"{path}/pipeline")
 
 
-def load(spark: SparkSession, path: str) -> PipelineModel | BO.Model | Voting:
+def load(spark: SparkSession, path: str) -> PipelineModel | BO.Model | FO.Forest | Voting:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     there = {s.getPath().getName() for s in fs.listStatus(folder)}
     if "boosted" in there:
         return BO.Model.load(spark, f"{path}/boosted")
+    if "forest" in there:
+        return FO.Forest.load(spark, f"{path}/forest")
     if "votes" in there:
         first, weights = spark.read.parquet(f"{path}/votes").first()
         stages = PipelineModel.load(f"{path}/trees").stages
