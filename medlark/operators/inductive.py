@@ -1,8 +1,11 @@
 """The inductive patient-drug network, trained data-parallel: two encoders (linear, layer norm, ReLU), one of a patient's own
 features and one of the mean of their drugs' vectors, and a head of a hidden layer with dropout over both.
 
-A step is a mini-batch: tasks sum the gradients of their rows, sums are met in a tree, and the driver, which holds nothing but
-the parameters, takes an AdamW step. Batches are parts of the written training table, so a step reads its own rows only. Labels
+A step is a mini-batch, and an epoch is one Spark job in barrier mode: its tasks, no more than a batch has work for, get their
+share of the training table sorted by step, sum the gradients of a step's rows, hand the sums to each other and take the same
+AdamW step, so steps cost no jobs and a task holds the parameters and its share of a step. Where executors come and go, which a
+barrier doesn't allow, a step is a job of its own: batches are parts of the written training table, sums are met in a tree, and
+the driver, which holds nothing but the parameters, takes the step. Labels
 of training patients alone drive it; positives weigh as much as negatives; the epoch of best validation AUC counts, and
 training stops when none of the next `patience` was better. Every random choice follows from the seed, the epoch, the step and
 the place of a row, so reruns agree, and a run that is resumed from its last saved state ends as one that wasn't stopped. A
@@ -16,12 +19,14 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ Params = dict[str, np.ndarray]
 FLAT = 1e-6
 #: Gradients of so many tasks are summed before they go to the driver.
 FAN_IN = 64
+#: Rows of a step that are worth a task of their own.
+TASK_ROWS = 1024
 
 
 class TrainingError(ValueError):
@@ -250,6 +257,97 @@ def _step(batch: DataFrame, params: Params, positive: float, settings: Settings,
     return loss, n, out
 
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run at once, as those of a barrier must; 0 where executors come and go."""
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    context = sc._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def _by_step(batches: Iterator[pa.RecordBatch], steps: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The pieces (own, near, label) of each step's rows, none where it has no rows here; batches come in the order of steps."""
+    pieces, now = [], 0
+    for b in batches:
+        if b.num_rows:
+            at, own, near, label = b.column("step").to_numpy(), _matrix(b.column("_own")), _matrix(b.column("_near")), b.column("label").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                while now < at[i]:
+                    yield pieces
+                    pieces, now = [], now + 1
+                pieces.append((own[i:j], near[i:j], label[i:j]))
+    while now < steps:
+        yield pieces
+        pieces, now = [], now + 1
+
+
+def _together(context: BarrierTaskContext, key: bytes) -> Callable[[np.ndarray], np.ndarray]:
+    """What sums arrays over the tasks of a barrier, in the order of tasks, so that all get the same bits. The first task adds;
+    the barrier's own messages take a second each, so they tell its address only."""
+    part, others = context.partitionId(), len(context.getTaskInfos()) - 1
+    mine, listener = "", None
+    if part == 0:
+        listener = Listener(("0.0.0.0", 0), backlog=others + 1, authkey=key)
+        mine = f"{context.getTaskInfos()[0].address.split(':')[0]}:{listener.address[1]}"
+    host, port = context.allGather(mine)[0].split(":")
+    links = {}
+    if listener:
+        for _ in range(others):
+            link = listener.accept()
+            links[int.from_bytes(link.recv_bytes(), "big")] = link
+        listener.close()
+    else:
+        links[0] = Client((host, int(port)), authkey=key)
+        links[0].send_bytes(part.to_bytes(4, "big"))
+
+    def summed(array: np.ndarray) -> np.ndarray:
+        if part:
+            links[0].send_bytes(array.tobytes())
+            return np.frombuffer(links[0].recv_bytes())
+        total = array.copy()
+        for k in range(1, others + 1):
+            total += np.frombuffer(links[k].recv_bytes())
+        for link in links.values():
+            link.send_bytes(total.tobytes())
+        return total
+
+    return summed
+
+
+def _epoch(table: DataFrame, order: list[int], state: State, positive: float, settings: Settings, tasks: int) -> tuple[State, float, int]:
+    """(state, loss, rows) after a step a batch, in the given order."""
+    epoch, start, names, steps, key = state.epoch + 1, state.packed(), sorted(state.params), len(order), secrets.token_bytes(16)
+
+    def run(batches):
+        context = BarrierTaskContext.get()
+        part, now, loss, seen = context.partitionId(), State.unpacked(start), 0.0, 0
+        size, summed = sum(v.size for v in now.params.values()), _together(context, key)
+        for step, pieces in enumerate(_by_step(batches, steps)):
+            sums = np.zeros(2 + size)
+            if pieces:
+                own, near, label = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                rng = np.random.default_rng([settings.seed, epoch, step, part])
+                keep = (rng.random((len(label), settings.hidden)) >= settings.dropout) / (1 - settings.dropout)
+                a, g = gradients(now.params, own, near, label, positive, keep)
+                sums = np.concatenate([[a, len(label)], *[g[k].ravel() for k in names]])
+            total = summed(sums)
+            loss, seen, at, mean = loss + total[0], seen + int(total[1]), 2, {}
+            for k in names:
+                mean[k] = total[at : at + now.params[k].size].reshape(now.params[k].shape) / total[1]
+                at += now.params[k].size
+            now.step(mean, settings.rate, settings.decay)
+        if part == 0:
+            yield pa.RecordBatch.from_pydict({"state": pa.array([now.packed()], pa.binary()), "loss": pa.array([float(loss)]), "seen": pa.array([seen], pa.int64())})
+
+    # a row a batch
+    at = F.broadcast(table.sparkSession.createDataFrame([(b, k) for k, b in enumerate(order)], "batch int, step int"))
+    shares = table.join(at, "batch").repartition(tasks, "patient_index").sortWithinPartitions("step", "patient_index")
+    (row,) = shares.select("step", "label", "_own", "_near").mapInArrow(run, "state binary, loss double, seen long", barrier=True).collect()
+    return State.unpacked(bytes(row["state"])), row["loss"], row["seen"]
+
+
 def _fingerprint(train: DataFrame, held: DataFrame) -> list[int]:
     """Sums over the rows' hashes: the same for the same rows in any order."""
     out = []
@@ -281,7 +379,12 @@ def fit(rows: DataFrame, work: str, settings: Settings = Settings(), resume: boo
     configuration = json.dumps({"rows": _fingerprint(train, held), **{k: v for k, v in vars(settings).items() if k not in ("epochs", "save_every")}}, sort_keys=True)
     batches = max(1, round(n / settings.batch))
     deal = F.pmod(F.xxhash64("patient_index", F.lit(settings.seed)), F.lit(batches)).cast("int")
-    _scaled(train, scales).select(deal.alias("batch"), "patient_index", "label", "_own", "_near").repartitionByRange("batch", "patient_index").sortWithinPartitions("batch", "patient_index").write.mode("overwrite").partitionBy("batch").parquet(f"{work}/train")
+    ready = _scaled(train, scales).select(deal.alias("batch"), "patient_index", "label", "_own", "_near")
+    tasks = min(_slots(spark), max(1, settings.batch // TASK_ROWS))
+    if tasks:
+        ready.write.mode("overwrite").parquet(f"{work}/train")
+    else:
+        ready.repartitionByRange("batch", "patient_index").sortWithinPartitions("batch", "patient_index").write.mode("overwrite").partitionBy("batch").parquet(f"{work}/train")
     _scaled(held, scales).select("label", "_own", "_near").write.mode("overwrite").parquet(f"{work}/held")
     table, checked = spark.read.parquet(f"{work}/train"), spark.read.parquet(f"{work}/held")
     there = sorted(r["batch"] for r in table.select("batch").distinct().collect())
@@ -299,7 +402,9 @@ def fit(rows: DataFrame, work: str, settings: Settings = Settings(), resume: boo
     while state.epoch < settings.epochs and state.epoch - state.best_epoch < settings.patience:
         epoch, loss, seen = state.epoch + 1, 0.0, 0
         order = np.random.default_rng([settings.seed, epoch]).permutation(len(there))
-        for step, k in enumerate(order.tolist()):
+        if tasks:
+            state, loss, seen = _epoch(table, [there[k] for k in order.tolist()], state, (n - positives) / positives, settings, tasks)
+        for step, k in enumerate([] if tasks else order.tolist()):
             a, m, g = _step(table.where(F.col("batch") == there[k]), state.params, (n - positives) / positives, settings, epoch, step)
             state.step(g, settings.rate, settings.decay)
             loss, seen = loss + a, seen + m

@@ -69,3 +69,26 @@ def test_what_cannot_be_learnt_from(rows, tmp_path):
             IN.fit(bad, f"file://{tmp_path}/x", IN.Settings(epochs=1, **SETTINGS))
     with pytest.raises(IN.TrainingError):
         IN.Settings(dropout=1.0)
+
+
+def test_steps_are_no_jobs_and_both_ways_agree(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(IN, "TASK_ROWS", 8)  # several tasks a step
+    sc = spark.sparkContext
+
+    def jobs(batch: int) -> int:
+        sc.setJobGroup(f"network-{batch}", "")
+        IN.fit(rows, f"file://{tmp_path}/{batch}", IN.Settings(epochs=1, **{**SETTINGS, "batch": batch}))
+        found = len(sc.statusTracker().getJobIdsForGroup(f"network-{batch}"))
+        sc.setJobGroup("other", "")
+        return found
+
+    assert IN._slots(spark) == 4 and jobs(30) <= jobs(300)  # 30 and 3 steps
+    # without dropout, what tasks sum for each other is what single jobs sum
+    plain = IN.Settings(epochs=2, **{**SETTINGS, "dropout": 0.0, "batch": 100})
+    a = IN.fit(rows, f"file://{tmp_path}/a", plain)
+    again = IN.fit(rows.repartition(2), f"file://{tmp_path}/c", plain)
+    monkeypatch.setattr(IN, "_slots", lambda spark: 0)
+    b = IN.fit(rows, f"file://{tmp_path}/b", plain)
+    assert [h["epoch"] for h in a.history] == [h["epoch"] for h in b.history] == [1, 2]
+    for k in a.params:
+        assert np.allclose(a.params[k], b.params[k], atol=1e-9) and np.allclose(a.params[k], again.params[k], atol=1e-9)
