@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ BINS = 32
 HISTOGRAM = 1 << 23
 #: Cells of a task, about.
 CELLS = 25_000
+#: Scores of cells that a task keeps, about.
+KEPT = 200_000
 
 
 @dataclass(frozen=True)
@@ -57,9 +60,17 @@ class Forest:
         feature, cut, left, value, trees = self.feature, self.cut, self.left, self.value, self.trees
 
         @F.arrow_udf("double")
-        def score(bins: pa.Array) -> pa.Array:
-            b = _bytes(bins, len(self.features))
-            return pa.array(value[_ends(feature, cut, left, np.arange(trees), b)].mean(axis=0))
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            seen: dict[bytes, float] = {}
+            for column in batches:
+                keys = column.to_pylist()
+                new = [k for k in dict.fromkeys(keys) if k not in seen]
+                if new:
+                    b = np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1)
+                    seen.update(zip(new, value[_ends(feature, cut, left, np.arange(trees), b)].mean(axis=0).tolist(), strict=True))
+                yield pa.array([seen[k] for k in keys], pa.float64())
+                if len(seen) > KEPT:
+                    seen.clear()
 
         return _cells(rows, self.features, self.medians, self.cuts).withColumn("score", score("_bins")).select(*rows.columns, "score")
 
