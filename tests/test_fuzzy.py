@@ -57,6 +57,17 @@ def test_no_pair_is_lost_by_edit_distance(tables, least):
     assert {(x, y) for x, y in itertools.product(set(names), set(aliases)) if x and y and x[0] == y[0] and score(x, y) >= least} <= found
 
 
+def test_few_edits_of_names_of_few_letters(spark):
+    # every length at which nothing, a letter, an exchange, two letters or more are allowed; runs of equal letters
+    random.seed(5)
+    aliases = ["A" + "".join(random.choices("AB", k=n)) for n in (0, 1, 2, 7, 15, 16, 17, *range(30, 54))]
+    names = {edited(a, k) for a in aliases for k in (0, 1, 1, 2, 2, 3)} | {a[:i] + a[i + 1 : j] + a[j + 1 :] for a in aliases for i, j in itertools.combinations(range(1, len(a)), 2) if (i + j) % 5 == 0}
+    names = sorted(n for n in names | {a[: len(a) // 3] + "A" + a[len(a) // 3 :] + "B" for a in aliases} if n.strip() and n[0] == "A")
+    found = {(r["name"], r["alias"]) for r in FZ.candidates(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(a,) for a in aliases], "alias string"), 0.97).collect()}
+    want = {p for p in itertools.product(names, aliases) if FZ.indel_ratio(*p) >= 97}
+    assert want <= found and len({len(a) - len(n) for n, a in want}) >= 5 and len(found) < 2 * len(want)
+
+
 def test_default_match_and_rivals(spark, tables):
     names, aliases, n, a = tables
     want = {}

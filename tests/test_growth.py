@@ -93,6 +93,31 @@ def test_fuzzy_candidates_do_not_go_to_all_tasks_by_the_driver(spark):
         assert out.count() >= 300
 
 
+def meetings(df: DataFrame) -> int:
+    """Pairs of rows that the joins of df bring together by key and letter, whatever their conditions keep of them."""
+    spark, found, plans = df.sparkSession, 0, [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            sides = [DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, side), spark) for side in (plan.left(), plan.right())]
+            by = [c for c in sides[0].columns if c in ("initial", "key")]
+            a, b = (side.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) for side, n in zip(sides, "ab", strict=True))
+            found += a.join(b, by).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    return found
+
+
+def test_names_of_one_boilerplate_do_not_all_meet(spark):
+    aliases = spark.range(1000).selectExpr("concat('LARGE RING PROMO BRAND#12 LOT ', 100000 + id * 7919 % 900001) as alias")
+    # without a letter of the boilerplate, with another one, with one more in the number
+    edits = [F.regexp_replace("alias", "RING", "RIG"), F.regexp_replace("alias", "RING", "RXNG"), F.regexp_replace("alias", "(.)$", "7$1")]
+    names = aliases.select(F.explode(F.array(*edits)).alias("name"))
+    out = FZ.candidates(names, aliases, 0.97)
+    assert out.count() >= 3000
+    # 3,000,000 pairs of one letter and boilerplate
+    assert meetings(out) <= 60_000
+
+
 @pytest.mark.parametrize("make", [Q.edge_dedup, Q.atc_hierarchy_counts, Q.exposure_documentation, Q.indication_features, Q._links], ids=lambda f: f.__name__)
 def test_a_task_holds_no_more_rows_than_its_share(spark, monkeypatch, make):
     """Short rows in small shuffle files were coalesced into few tasks, each of which hashed millions."""
